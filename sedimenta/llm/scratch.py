@@ -1,0 +1,49 @@
+"""Intermediate tables in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode only, a temporary folder where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", folder := "file://" + tempfile.mkdtemp(prefix="sedimenta-"))
+    return folder
+
+
+class Scratch:
+    """Tables written once and read many times; a lost executor costs a reread, not a recomputation."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.read(name, df)
+
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(self.path(name))
+
+    def drop(self, name: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        try:
+            self.drop("")
+        except Exception:  # the session has ended
+            pass
