@@ -76,10 +76,10 @@ SQL: dict[str, str] = {
             FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM toks WHERE len(w) > 0)),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
             FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS (
-            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
         edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
         reach(node, least) AS (
             SELECT doc_id, doc_id FROM documents

@@ -55,7 +55,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     firsts = rows.where(large).groupBy("digest").agg(F.min("page").alias("first")).select(F.col("digest").alias("group"), "first")
     group = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page", "digest").cast("string")))
     told = rows.withColumn("group", group).join(firsts, "group", "left")
-    first = F.when(F.col("page") <=> F.col("first"), F.lit(None)).otherwise(F.col("first"))
+    first = F.when(F.col("page").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     seconds = F.lit(epoch) + F.pmod(F.coalesce("page", F.lit(0)), F.lit(1_000_000_000))
     record = record_text(F.col("page"), F.col("url"), seconds, F.col("payload"), F.col("digest"), first)
     told.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
