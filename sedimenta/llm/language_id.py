@@ -103,7 +103,7 @@ def clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray,
     return c, (x @ c.T).argmax(1)
 
 
-def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 500, k: int = 4, slack: float = 0.5, rounds: int = 12, seed: int = 6) -> LanguageModel:
+def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 500, k: int = 4, slack: float = 0.35, rounds: int = 12, seed: int = 6) -> LanguageModel:
     """Fits on about `per_lang` rows of each language at most (those whose seeded key hash is low); rows without text or language are left out."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     sizes = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}

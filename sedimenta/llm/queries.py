@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.llm.ball_tree import top_inner_products
 from sedimenta.llm.byte_bpe import bpe_round_trip
+from sedimenta.llm.decontaminate import contaminated
 from sedimenta.llm.html_text import render_pages
 from sedimenta.llm.language_id import fit_languages, held_out, identify_languages
 from sedimenta.llm.near_dedup import near_duplicates
@@ -34,6 +36,10 @@ def op3_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = shuffle_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = F.coalesce("record.text", F.lit(""))
@@ -51,6 +57,11 @@ def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", out, "lang_pred", "score", "accepted")
 
 
+def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_inner_products(rows.where("vec_id % 50 = 0"), rows)
+
+
 def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path("archives"))
@@ -64,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op5_external_shuffle, op6_centroid_language, op9_warc_index_merge, op10_byte_bpe)
+    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op4_seed_alignment, op5_external_shuffle, op6_centroid_language, op8_ball_tree_topk, op9_warc_index_merge, op10_byte_bpe)
 }
 
 SQL: dict[str, str] = {
@@ -87,6 +98,15 @@ SQL: dict[str, str] = {
         found AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d LEFT JOIN sizes USING (doc_id) JOIN found ON node = d.doc_id""",
+    "op8_ball_tree_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_warc_index_merge": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
