@@ -2,8 +2,8 @@
 
 A document's set holds its distinct `width`-word shingles. Equal sets are one node. A node's SuperMinHash signature (each shingle ranks the
 places of the signature by a correlated permutation; a document stops once no later rank can win) is cut into bands; nodes that share
-a band are candidates. First every member of a band's bucket is held against the bucket's least node, which links groups of copies in linear
-time; then, in buckets that still hold several components, the members of different components are compared. Links
+a band are candidates. First every member of a band's bucket is held against the bucket's most central node, which links groups of copies in
+linear time; then, in buckets that still hold several components, the members of different components are compared. Links
 are confirmed on the full sets, and components come from repeated grouping. No pairs inside a component are formed.
 """
 
@@ -23,6 +23,7 @@ from sedimenta.llm.components import connected_components
 from sedimenta.llm.scratch import Scratch
 
 PLACES, ROWS = 128, 4
+BANDS = PLACES // ROWS
 NODE = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
 
 
@@ -74,7 +75,7 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, places: int
 
 
 def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text): the set's size and digest, the hashes of its bands, and a byte of each place of its signature."""
+    """Of (doc_id, text): the set's size and digest, the hashes of its bands, and a byte of each place of its signature with 4 of each band."""
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -82,13 +83,13 @@ def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 signature = mix64(superminhash(np.concatenate(sets), np.repeat(np.arange(j - i), sizes), j - i))
-                bands = signature.reshape(j - i, PLACES // ROWS, ROWS)
-                key = np.tile(np.arange(PLACES // ROWS, dtype=np.uint64), (j - i, 1))
+                bands = signature.reshape(j - i, BANDS, ROWS)
+                key = np.tile(np.arange(BANDS, dtype=np.uint64), (j - i, 1))
                 for k in range(ROWS):
                     key = mix64(key * U(0x9E3779B97F4A7C15) + bands[:, :, k])
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in (signature >> U(56)).astype(np.uint8)], pa.binary())],
+                    [batch.column(0)[i:j], pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in np.concatenate(((signature >> U(56)).astype(np.uint8), key.astype(np.uint32).view(np.uint8)), axis=1)], pa.binary())],
                     names=["doc_id", "n_shingles", "node", "bands", "signature"],
                 )
 
@@ -126,10 +127,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     nodes = scratch.keep(
         base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes"
     )
-    entry = nodes.select(F.explode("bands").alias("bucket"), "node")
-    full = entry.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > 1)
+    entry = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
+    full = entry.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = scratch.keep(entry.join(full, "bucket"), "members")
-    stars = members.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # what the others were copied from shares more buckets, and larger ones, than they share with each other
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    centres = members.where("n > 2").join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("centre"))
+    centres = centres.unionByName(members.where("n = 2").groupBy("bucket").agg(F.min("node").alias("centre")))
+    apart = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
+    stars = apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tried = scratch.keep(_close(stars, nodes, percent), "tried")
     links = scratch.keep(_confirmed(tried, nodes, rows, scratch, "stars", width, percent), "links-0")
     labels = scratch.keep(connected_components(links, scratch, "first"), "labels")
@@ -147,14 +153,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in nearly as many places as a link's would (five standard deviations less)."""
+    """Pairs whose signatures agree in nearly as many places as a link's would (four standard deviations less)."""
     least = estimate_floor(percent)
     of = nodes.select("node", "signature")
     both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sa", "sb")]
+            data = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES + 4 * BANDS)[:, :PLACES] for c in ("sa", "sb")]
             yield batch.select(["a", "b"]).filter(pa.array((data[0] == data[1]).sum(1) >= least))
 
     return both.mapInArrow(keep, "a binary, b binary")
@@ -162,7 +168,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def estimate_floor(percent: int) -> int:
     share = percent / 100
-    return int(PLACES * share - 5 * (PLACES * share * (1 - share)) ** 0.5)
+    return int(PLACES * share - 4 * (PLACES * share * (1 - share)) ** 0.5)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, label: str, width: int, percent: int) -> DataFrame:
@@ -183,36 +189,40 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scr
 
 def _across(spark: SparkSession, members: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, most: int) -> DataFrame:
     """Close pairs of different components out of buckets that hold several."""
-    held = members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = members.select("bucket", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = _mixed(scratch.keep(held, "held"), scratch, "mixed-0")
     least = estimate_floor(percent)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        data = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, PLACES)
-        component, node, out = group["component"].to_numpy(), group["node"].to_numpy(), []
+        data = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, PLACES + 4 * BANDS)
+        data, bands = data[:, :PLACES], np.ascontiguousarray(data[:, PLACES:]).view(np.uint32)
+        component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        node, band, out = group["node"].to_numpy(), group["band"].to_numpy(), []
         for i in range(len(node) - 1):
-            near = np.flatnonzero((data[i + 1 :] == data[i]).sum(1) >= least) + i + 1
-            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in near if component[i] != component[k]]
+            others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+            near = others[(data[others] == data[i]).sum(1) >= least]
+            first = (bands[near] == bands[i]).argmax(1)  # the pair is told by the first band that it shares, and by no other
+            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in near[(first == band[i]) | (first == band[near])].tolist()]
         return pd.DataFrame(out, columns=["a", "b"])
 
     found = []
     for depth in range(3):
         small, large = now.where(F.col("n") <= most), now.where(F.col("n") > most)
-        with_signature = small.join(nodes.select("node", "signature"), "node").select("bucket", "node", "component", "signature")
+        with_signature = small.join(nodes.select("node", "signature"), "node").select("bucket", "band", "node", "component", "signature")
         found.append(with_signature.groupBy("bucket").applyInPandas(compare, "a binary, b binary"))
         if large.isEmpty():
             break
         if depth == 0:  # members that also share another band
             cut = large.join(nodes.select("node", F.explode("bands").alias("other")), "node").where(F.col("other") != F.col("bucket"))
-            now = _mixed(scratch.keep(cut.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "component"), "cut"), scratch, "mixed-1")
+            now = _mixed(scratch.keep(cut.select(F.xxhash64("bucket", "other").alias("bucket"), "band", "node", "component"), "cut"), scratch, "mixed-1")
         elif depth == 1:  # blocks of a bucket, each pair of blocks a bucket of its own
             blocks = F.ceil(2 * F.col("n") / most).cast("int")
             own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
             dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-            now = _mixed(scratch.keep(dealt.select(pair.alias("bucket"), "node", "component"), "dealt"), scratch, "mixed-2")
+            now = _mixed(scratch.keep(dealt.select(pair.alias("bucket"), "band", "node", "component"), "dealt"), scratch, "mixed-2")
         else:  # blocks that came out a little larger
-            found.append(large.join(nodes.select("node", "signature"), "node").select("bucket", "node", "component", "signature").groupBy("bucket").applyInPandas(compare, "a binary, b binary"))
+            found.append(large.join(nodes.select("node", "signature"), "node").select("bucket", "band", "node", "component", "signature").groupBy("bucket").applyInPandas(compare, "a binary, b binary"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
