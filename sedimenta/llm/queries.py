@@ -14,6 +14,7 @@ from sedimenta.llm.decontaminate import contaminated
 from sedimenta.llm.html_text import render_pages
 from sedimenta.llm.language_id import fit_languages, held_out, identify_languages
 from sedimenta.llm.near_dedup import near_duplicates
+from sedimenta.llm.repeated_bytes import remove_repeats
 from sedimenta.llm.scratch import Scratch
 from sedimenta.llm.shuffle_shards import shuffle_shards
 from sedimenta.llm.surrogates import replace_entities
@@ -57,6 +58,11 @@ def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", out, "lang_pred", "score", "accepted")
 
 
+def op7_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_inner_products(rows.where("vec_id % 50 = 0"), rows)
@@ -75,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op4_seed_alignment, op5_external_shuffle, op6_centroid_language, op8_ball_tree_topk, op9_warc_index_merge, op10_byte_bpe)
+    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op4_seed_alignment, op5_external_shuffle, op6_centroid_language, op7_deep_shallow_repeats, op8_ball_tree_topk, op9_warc_index_merge, op10_byte_bpe)
 }
 
 SQL: dict[str, str] = {
