@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytehash import BLANK, LOWER, U, column_bytes, gram_hashes, mix64, pieces, word_hashes, words
-from sedimenta.llm.components import connected_components
-from sedimenta.llm.scratch import Scratch
+from sedimenta.operators.components import connected_components
+from sedimenta.sources.scratch import Scratch
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
