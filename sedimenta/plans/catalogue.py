@@ -5,6 +5,629 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sedimenta.functions import text as T
+from sedimenta.functions.vectors import cosine, to_unit
+from sedimenta.operators import accounts, chunks, duplicates, evaluation, filtering, fusion, graph, lexical, quality, similarity, store
+from sedimenta.plans import views as V
+from sedimenta.sources.formats import trec_lines
+from sedimenta.streaming import events as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+#: The query text and vector of the search queries.
+SEARCH = "the la reaux"
+VECTOR = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
+VECTOR_SQL = f"{VECTOR}::DOUBLE[64]::DOUBLE[]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# files and chunks
+
+
+@query(f"WITH {V.FILES} SELECT rel_path, language FROM files")
+def language_detect(spark, sf):
+    return V.files(spark, sf).select("rel_path", T.language_of(F.col("rel_path")).alias("language"))
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id, start_line, end_line, kind, sha256(document) AS sha FROM chunks")
+def line_window_chunks(spark, sf):
+    return V.chunks(spark, sf).select("chunk_id", "start_line", "end_line", "kind", F.sha2(F.col("document").cast("binary"), 256).alias("sha"))
+
+
+@query(f"""WITH {V.CHUNKS} SELECT project_id, count(*) AS n, sha256(string_agg(rel_path || ':' || start_line || '-' || end_line || chr(10), '' ORDER BY rel_path || ':' || start_line || '-' || end_line || chr(10))) AS digest
+    FROM chunks GROUP BY ALL""")
+def boundary_digest(spark, sf):
+    return evaluation.boundary_digest(V.chunks(spark, sf), "project_id")
+
+
+@query(rf"""WITH {V.CHUNKS}, e AS (SELECT file_id, start_line, end_line FROM chunks WHERE start_line % 4 = 1 UNION ALL SELECT file_id, len(ls) + 1, NULL FROM cut),
+    g AS (SELECT file_id, coalesce(max(end_line) OVER (PARTITION BY file_id ORDER BY start_line, end_line NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS gap_start, start_line - 1 AS gap_end FROM e)
+    SELECT file_id, gap_start, gap_end FROM g WHERE gap_end - gap_start + 1 >= 3""")
+def coverage_gaps(spark, sf):
+    files = V.files(spark, sf).select("file_id", F.size(T.lines(F.col("text"))).alias("n_lines"))
+    return chunks.coverage_gaps(V.chunks(spark, sf).where("start_line % 4 = 1"), files, least=3)
+
+
+@query(r"""SELECT doc_id, len(list_filter(l, lambda x: trim(x) <> ''))::INTEGER AS n_lines, len(list_filter(l, lambda x: trim(x) <> '')) > 12 AS long FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents)""")
+def nonempty_line_stats(spark, sf):
+    n = F.size(F.filter(T.lines(F.col("text")), lambda x: F.trim(x) != ""))
+    return V.read(spark, sf, "documents").select("doc_id", n.alias("n_lines"), (n > 12).alias("long"))
+
+
+@query(rf"""WITH {V.FILES}, n AS (SELECT file_id, doc_id, len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '')) AS loc FROM files), r AS (
+    SELECT file_id, 'quality/god-file' AS rule_id, 'warning' AS severity, loc::BIGINT AS value FROM n WHERE loc > 400 AND doc_id % 20 > 10
+    UNION ALL SELECT file_id, 'quality/high-fan-out', 'info', doc_id % 30 FROM n WHERE doc_id % 30 > 20
+    UNION ALL SELECT file_id, 'quality/long-params', 'info', doc_id % 9 FROM n WHERE doc_id % 9 > 5
+    UNION ALL SELECT file_id, 'quality/deep-nesting', CASE WHEN doc_id % 16 > 10 THEN 'warning' ELSE 'info' END, doc_id % 6 FROM n WHERE doc_id % 6 >= 4) SELECT * FROM r""")
+def file_quality_rules(spark, sf):
+    d = F.col("doc_id")
+    metrics = V.files(spark, sf).select("file_id", "text", (d % 20).alias("n_exports"), (d % 30).alias("n_imports"), (d % 9).alias("max_params"), (d % 6).alias("max_nesting"), (d % 16).alias("max_ccn"))
+    return quality.file_findings(metrics)
+
+
+# lexical
+
+
+def _literal(where: str = "true") -> str:
+    return rf"""WITH {V.FILES}, e AS (SELECT file_id, project_id, unnest(l) AS snippet, unnest(range(1, len(l) + 1))::INTEGER AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM files WHERE {where}))
+        SELECT file_id, project_id, line, instr(snippet, 'ment')::INTEGER AS "column", snippet FROM e WHERE contains(snippet, 'ment')"""
+
+
+def _lines_with(files: DataFrame) -> DataFrame:
+    return lexical.literal_matches(files.select("file_id", "project_id", "text"), "ment")
+
+
+@query(_literal())
+def literal_search(spark, sf):
+    return _lines_with(V.files(spark, sf))
+
+
+@query(_literal("project_id = 'src1'"))
+def literal_search_project(spark, sf):
+    return _lines_with(V.files(spark, sf).where(lexical.in_scope("src1")))
+
+
+@query(_literal("starts_with(rel_path, 'fr/doc_1')"))
+def literal_search_subtree(spark, sf):
+    return _lines_with(V.files(spark, sf).where(lexical.in_scope(prefix="fr/doc_1")))
+
+
+def _bm25(where: str = "true", k: int = 20) -> str:
+    terms = ", ".join(f"'{t}'" for t in lexical.query_terms(SEARCH))
+    return rf"""{V.CHUNKS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(document), '[^\p{{L}}\p{{N}}_]+'), lambda t: len(t) >= 1) AS w FROM chunks),
+        st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), t AS (SELECT unnest([{terms}]) AS t),
+        tf AS (SELECT chunk_id, t, len(list_filter(w, lambda x: x = t)) AS tf, len(w) AS dl FROM w, t), df AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY t),
+        bm AS (SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS bm25 FROM tf JOIN df USING (t), st GROUP BY chunk_id HAVING sum(tf) > 0),
+        lex AS (SELECT chunk_id, bm25 FROM bm JOIN chunks USING (chunk_id) WHERE {where} ORDER BY bm25 DESC, chunk_id LIMIT {k})"""
+
+
+@query(f"WITH {_bm25()} SELECT * FROM lex")
+def bm25_topk(spark, sf):
+    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20).select("chunk_id", "bm25")
+
+
+@query(f"WITH {_bm25("project_id = 'src2'")} SELECT * FROM lex")
+def bm25_topk_project(spark, sf):
+    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20, lexical.in_scope("src2")).select("chunk_id", "bm25")
+
+
+@query(f"WITH {_bm25("starts_with(rel_path, 'en/') AND language = 'markdown'")} SELECT * FROM lex")
+def bm25_topk_subtree(spark, sf):
+    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20, lexical.in_scope(prefix="en/", language="markdown")).select("chunk_id", "bm25")
+
+
+# vectors
+
+
+def _topk(where: str = "true", k: int = 20) -> str:
+    return f"{V.VECTORS}, vec AS (SELECT chunk_id, round(list_cosine_similarity(vector, {VECTOR_SQL}), 6) AS score FROM vectors WHERE {where} ORDER BY score DESC, chunk_id LIMIT {k})"
+
+
+@query(f"WITH {_topk()} SELECT * FROM vec")
+def vector_topk(spark, sf):
+    return similarity.vector_topk(V.vectors(spark, sf), VECTOR, 20).select("chunk_id", "score")
+
+
+@query(f"WITH {_topk('project_id = 1 AND file_id <> 3')} SELECT * FROM vec")
+def vector_topk_filtered(spark, sf):
+    return similarity.vector_topk(V.vectors(spark, sf), VECTOR, 20, "project_id = 1 AND file_id <> 3").select("chunk_id", "score")
+
+
+CENTROIDS = f"""{V.VECTORS}, u AS (SELECT *, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS u FROM vectors),
+    el AS (SELECT file_id, unnest(u) AS x, unnest(range(64)) AS i FROM u), ce AS (SELECT file_id, i, avg(x) AS x FROM el GROUP BY ALL), c AS (SELECT file_id, list(x ORDER BY i) AS c FROM ce GROUP BY ALL),
+    coh AS (SELECT file_id, count(*) AS n, round(avg(list_cosine_similarity(u, c)), 4) AS cohesion FROM u JOIN c USING (file_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {CENTROIDS} SELECT file_id, i::INTEGER AS i, round(x, 6) AS x FROM ce")
+def centroid(spark, sf):
+    return similarity.centroids(V.vectors(spark, sf), "file_id").select("file_id", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {CENTROIDS} SELECT * FROM coh")
+def cohesion(spark, sf):
+    return similarity.cohesion(V.vectors(spark, sf), "file_id")
+
+
+@query(f"WITH {CENTROIDS} SELECT file_id, n, cohesion FROM (SELECT *, row_number() OVER (ORDER BY cohesion, file_id) AS r, count(*) OVER () AS total FROM coh) WHERE r <= floor(total * 0.1) AND cohesion < 0.5")
+def low_cohesion(spark, sf):
+    return similarity.low_cohesion(similarity.cohesion(V.vectors(spark, sf), "file_id"), "file_id")
+
+
+@query(f"WITH {CENTROIDS}, p AS (SELECT i, avg(x) AS x FROM el GROUP BY i), pc AS (SELECT list(x ORDER BY i) AS p FROM p) SELECT file_id, round(list_cosine_similarity(c, p), 6) AS similarity, round(list_cosine_similarity(c, p), 6) < 0.35 AS drifted FROM c, pc")
+def doc_drift(spark, sf):
+    vectors = V.vectors(spark, sf)
+    pooled = similarity.centroids(vectors.withColumn("_all", F.lit(1)), "_all").select(F.col("centroid").alias("pooled"))
+    both = similarity.centroids(vectors, "file_id").crossJoin(F.broadcast(pooled)).select("file_id", F.round(cosine(F.col("centroid"), F.col("pooled")), 6).alias("similarity"))
+    return both.withColumn("drifted", F.col("similarity") < 0.35)
+
+
+PAIRS = f"""{V.VECTORS}, pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity FROM vectors a JOIN vectors b ON a.chunk_id < b.chunk_id AND a.file_id <> b.file_id
+    WHERE round(list_cosine_similarity(a.vector, b.vector), 6) >= 0.4)"""
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
+def semantic_pairs(spark, sf):
+    return similarity.similar_pairs(V.vectors(spark, sf), 0.4)
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, least) AS (SELECT a, a FROM e UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node WHERE r.least < e.b),
+    l AS (SELECT node, min(least) AS component FROM r GROUP BY node), z AS (SELECT component, count(*) AS size FROM l GROUP BY ALL), m AS (SELECT component, round(avg(similarity), 4) AS similarity FROM pairs JOIN l ON a = node GROUP BY ALL)
+    SELECT node, component, size, similarity FROM l JOIN z USING (component) JOIN m USING (component)""")
+def semantic_groups(spark, sf):
+    return similarity.similar_groups(similarity.similar_pairs(V.vectors(spark, sf), 0.4))
+
+
+@query("""SELECT vec_id, label, round FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS round FROM embeddings) ORDER BY round, label LIMIT 25""")
+def diverse_members(spark, sf):
+    return similarity.diverse(V.read(spark, sf, "embeddings").select("vec_id", "label"), "label", ["vec_id"], 25)
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents), v AS (SELECT doc_id, list_transform(range(16), lambda i: (('0x' || substr(h, (i * 2 + 1)::INTEGER, 2))::INTEGER - 128) / 128.0::DOUBLE) AS v FROM b)
+    SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS vector FROM v""")
+def hash_embedding(spark, sf):
+    return V.read(spark, sf, "documents").select("doc_id", F.transform(T.hash_embedding(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
+
+
+# fusion: a document's first chunk and the embedding of its number are one candidate
+
+FUSED = f"""{_bm25(k=50)}, {_topk(k=50)}, b AS (
+    SELECT doc_id AS key, 'lexical' AS branch, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS rank FROM (SELECT doc_id, bm25, chunk_id FROM lex JOIN chunks USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bm25 DESC, chunk_id) = 1)
+    UNION ALL SELECT chunk_id, 'vector', row_number() OVER (ORDER BY score DESC, chunk_id) FROM vec),
+    rrf AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, list_sort(list(branch)) AS sources, min(rank)::INTEGER AS best_rank FROM b GROUP BY key)"""
+
+
+def _branches(spark: SparkSession, sf: str) -> list[DataFrame]:
+    lex = lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 50).groupBy(F.col("doc_id").alias("key")).agg(F.min_by(F.struct("bm25", "chunk_id"), F.struct(-F.col("bm25"), F.col("chunk_id"))).alias("_b")).select("key", "_b.*")
+    vec = similarity.vector_topk(V.vectors(spark, sf), VECTOR, 50).withColumnRenamed("chunk_id", "key")
+    return [fusion.ranked(lex, "lexical", [F.desc("bm25"), F.col("chunk_id")], "key"), fusion.ranked(vec, "vector", [F.desc("score"), F.col("key")], "key")]
+
+
+@query(f"WITH {FUSED} SELECT * FROM rrf")
+def rrf_fusion(spark, sf):
+    return fusion.rrf(_branches(spark, sf), key="key")
+
+
+@query(f"WITH {FUSED} SELECT * FROM rrf ORDER BY rrf DESC, best_rank, key LIMIT 10")
+def hybrid_search(spark, sf):
+    return fusion.rrf(_branches(spark, sf), key="key").orderBy(F.desc("rrf"), "best_rank", "key").limit(10)
+
+
+@query(f"""WITH {FUSED}, {V.LINKS}, inb AS (SELECT page_id AS key, n FROM pages JOIN (SELECT to_path, count(DISTINCT from_file_id) AS n FROM links GROUP BY ALL) ON to_path = '/' || regexp_extract(url, '/([a-zA-Z]+)[^/]*$', 1)),
+    s AS (SELECT r.key, rrf, coalesce(n, 0) AS inbound, rel_path FROM rrf r LEFT JOIN inb USING (key) LEFT JOIN files f ON f.doc_id = r.key)
+    SELECT key, inbound, round(rrf + 0.004 * (language IS NOT NULL)::INTEGER + 0.01 * ln(1 + inbound) + CASE WHEN rel_path LIKE '%0.md' THEN 0.006 ELSE 0 END, 6) AS score, inbound >= 2 AS authoritative
+    FROM s LEFT JOIN (SELECT rel_path, language FROM files) USING (rel_path) ORDER BY score DESC, key LIMIT 10""")
+def boosted_search(spark, sf):
+    to_path = F.concat(F.lit("/"), F.regexp_extract("url", "/([a-zA-Z]+)[^/]*$", 1))
+    inbound = V.read(spark, sf, "pages").select(F.col("page_id").alias("key"), to_path.alias("to_path")).join(graph.inbound_links(V.links(spark, sf)), "to_path").select("key", "inbound")
+    at = V.files(spark, sf).select(F.col("doc_id").alias("key"), "rel_path", "language")
+    rows = fusion.rrf(_branches(spark, sf), key="key").join(inbound, "key", "left").join(at, "key", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("language").isNotNull(), F.lit("known_language"))))
+    gain = fusion.boost(reasons, F.col("inbound"), F.col("rel_path").endswith("0.md"), F.coalesce(fusion.is_derivative(F.col("rel_path")), F.lit(False)))
+    out = rows.select("key", F.coalesce("inbound", F.lit(0)).alias("inbound"), F.round(F.col("rrf") + gain, 6).alias("score"))
+    return out.withColumn("authoritative", F.col("inbound") >= 2).orderBy(F.desc("score"), "key").limit(10)
+
+
+# graph
+
+
+@query(f"WITH {V.LINKS} SELECT to_path, count(DISTINCT from_file_id) AS inbound FROM links GROUP BY ALL")
+def inbound_links(spark, sf):
+    return graph.inbound_links(V.links(spark, sf))
+
+
+@query(f"WITH {V.LINKS} SELECT * FROM links WHERE to_path NOT IN (SELECT DISTINCT '/' || regexp_extract(url, '/([a-zA-Z]+)[^/]*$', 1) FROM pages)")
+def broken_links(spark, sf):
+    paths = V.read(spark, sf, "pages").select(F.concat(F.lit("/"), F.regexp_extract("url", "/([a-zA-Z]+)[^/]*$", 1)).alias("path"))
+    return graph.broken_links(V.links(spark, sf), paths)
+
+
+@query(f"WITH {V.REFS} SELECT *, kind = 'def' AS is_definition FROM refs WHERE symbol = 'part_7'")
+def find_usages(spark, sf):
+    return graph.usages(V.refs(spark, sf), "part_7")
+
+
+@query(f"""WITH {V.REFS}, d AS (SELECT DISTINCT project_id, symbol, file_id FROM refs WHERE kind = 'def'), u AS (SELECT DISTINCT project_id, symbol, file_id AS usr FROM refs WHERE kind <> 'def')
+    SELECT project_id, file_id, count(DISTINCT usr) AS fan_in FROM d JOIN u USING (project_id, symbol) WHERE usr <> file_id GROUP BY ALL HAVING count(DISTINCT usr) >= 5""")
+def fan_in(spark, sf):
+    return graph.fan_in(V.refs(spark, sf), 5)
+
+
+HITS = "hits AS (SELECT project_id, file_id, rank, symbol FROM (SELECT project_id, file_id, symbol, dense_rank() OVER (ORDER BY file_id, project_id) AS rank FROM (SELECT DISTINCT project_id, file_id, symbol FROM refs WHERE kind = 'def' AND file_id < 200)))"
+
+
+@query(f"""WITH {V.REFS}, {HITS}, f AS (SELECT r.project_id, r.file_id, r.line, min({{'hit_rank': h.rank, 'symbol': h.symbol}}) AS b FROM refs r JOIN hits h ON r.project_id = h.project_id AND r.symbol = h.symbol AND r.file_id <> h.file_id WHERE kind <> 'def' GROUP BY ALL)
+    SELECT project_id, file_id, line, b.symbol AS symbol, b.hit_rank::INTEGER AS hit_rank FROM f ORDER BY b.hit_rank, project_id, file_id, line LIMIT 100""")
+def coverage_expand(spark, sf):
+    from pyspark.sql import Window
+
+    hits = V.refs(spark, sf).where("kind = 'def' AND file_id < 200").groupBy("project_id", "file_id").agg(F.collect_set("symbol").alias("exports"))
+    hits = hits.withColumn("rank", F.dense_rank().over(Window.orderBy("file_id", "project_id")))  # stands for a ranked list's bounded top
+    return graph.coverage(hits, V.refs(spark, sf), 50)
+
+
+@query("""WITH p AS (SELECT '/ws/c' || (c_custkey % 50) || '/s' || (c_custkey % 7) || CASE WHEN c_custkey % 3 = 0 THEN '/x' ELSE '' END AS path FROM customer), q AS (SELECT DISTINCT path FROM p),
+    r AS (SELECT s_suppkey AS project_id, CASE WHEN s_suppkey % 2 = 0 THEN '/ws/c' || s_suppkey ELSE '/ws/c' || s_suppkey || '/s' || (s_suppkey % 7) END AS root, s_suppkey % 5 <> 0 AS active FROM supplier),
+    b AS (SELECT path, max({'n': length(root), 'root': root, 'project_id': project_id}) AS b FROM q JOIN r ON active AND (path = root OR starts_with(path, root || '/')) GROUP BY path)
+    SELECT path, b.project_id AS project_id, CASE WHEN b IS NULL THEN 'all' WHEN path = b.root THEN 'project' ELSE 'subtree' END AS scope, CASE WHEN path <> b.root THEN substr(path, length(b.root) + 2) || '/' END AS prefix FROM q LEFT JOIN b USING (path)""")
+def scope_resolve(spark, sf):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    paths = V.read(spark, sf, "customer").select(F.concat(F.lit("/ws/c"), c % 50, F.lit("/s"), c % 7, F.when(c % 3 == 0, "/x").otherwise("")).alias("path")).distinct()
+    root = F.when(s % 2 == 0, F.concat(F.lit("/ws/c"), s)).otherwise(F.concat(F.lit("/ws/c"), s, F.lit("/s"), s % 7))
+    return graph.scope_of(paths, V.read(spark, sf, "supplier").select(s.alias("project_id"), root.alias("root"), (s % 5 != 0).alias("active")))
+
+
+@query(f"""WITH {V.FILES}, r AS (SELECT DISTINCT project_id, 'doc_' || (doc_id // 2) || '.md' AS ref FROM files),
+    o AS (SELECT r.project_id, ref, min({{'n': length(rel_path), 'p': rel_path}}) AS b FROM r JOIN files f ON f.project_id = r.project_id AND (rel_path = ref OR ends_with(rel_path, '/' || ref)) GROUP BY ALL)
+    SELECT r.project_id, r.ref, b.p AS rel_path FROM r LEFT JOIN o ON o.project_id = r.project_id AND o.ref = r.ref""")
+def suffix_resolve(spark, sf):
+    files = V.files(spark, sf)
+    refs = files.select("project_id", F.concat(F.lit("doc_"), F.floor(F.col("doc_id") / 2), F.lit(".md")).alias("ref")).distinct()
+    return graph.resolve_suffix(refs, files)
+
+
+# duplicates
+
+WINDOWS = (
+    V.FILES
+    + r""", tk AS (SELECT file_id, list_transform(list_zip(l, range(1, len(l) + 1)), lambda p: list_transform(regexp_extract_all(p[1], '[\p{L}\p{N}_]+'), lambda t: {'t': t, 'l': p[2]})) AS x FROM (SELECT file_id, string_split(text, chr(10)) AS l FROM files)),
+    fl AS (SELECT file_id, flatten(x) AS w FROM tk), po AS (SELECT file_id, w, unnest(range(1, len(w) - 48)) AS i FROM fl WHERE len(w) >= 50),
+    wi AS (SELECT file_id, list_transform(w[i:i + 49], lambda s: s.t) AS t, w[i].l::INTEGER AS start_line, w[i + 49].l::INTEGER AS end_line FROM po),
+    windows AS (SELECT file_id, sha1(array_to_string(t, chr(0))) AS hash, start_line, end_line, len(list_distinct(t))::INTEGER AS unique_tokens FROM wi
+        WHERE len(list_distinct(t)) >= 15 AND list_max(map_values(list_histogram(t))) <= 30)"""
+).replace("list_max(map_values(list_histogram(t)))", "list_max(map_values(list_aggregate(t, 'histogram')))")
+
+
+@query(f"WITH {WINDOWS} SELECT file_id, count(*) AS n, count(DISTINCT hash) AS hashes, sum(unique_tokens) AS tokens, min(hash) AS least, sum(end_line - start_line)::BIGINT AS spans FROM windows GROUP BY ALL".replace("sum(unique_tokens)", "sum(unique_tokens)::BIGINT"))
+def dup_windows(spark, sf):
+    w = duplicates.duplicate_windows(V.files(spark, sf))
+    return w.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("hashes"), F.sum("unique_tokens").alias("tokens"), F.min("hash").alias("least"), F.sum(F.col("end_line") - F.col("start_line")).alias("spans"))
+
+
+def _groups(where: str) -> str:
+    return f"""WITH {WINDOWS}, scoped AS (SELECT * FROM windows {where}), o AS (SELECT hash FROM scoped GROUP BY hash HAVING count(DISTINCT file_id) >= 2),
+        k AS (SELECT * FROM scoped WHERE hash IN (SELECT hash FROM o) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_id, start_line) <= 50)
+        SELECT hash, count(*) AS members, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM k GROUP BY hash ORDER BY members DESC, hash LIMIT 200"""
+
+
+@query(_groups(""))
+def dup_groups(spark, sf):
+    return duplicates.duplicate_groups(duplicates.duplicate_windows(V.files(spark, sf)))
+
+
+@query(_groups("WHERE file_id IN (SELECT file_id FROM files WHERE project_id = 'src0')"))
+def dup_groups_scoped(spark, sf):
+    return duplicates.duplicate_groups(duplicates.duplicate_windows(V.files(spark, sf).where(lexical.in_scope("src0"))))
+
+
+@query(f"WITH {WINDOWS} SELECT file_id, start_line, end_line, hash FROM windows WHERE hash IN (SELECT hash FROM windows GROUP BY hash HAVING count(DISTINCT file_id) >= 3)")
+def extract_candidates(spark, sf):
+    return duplicates.extract_candidates(duplicates.duplicate_windows(V.files(spark, sf)))
+
+
+# quality
+
+
+def _of_chunk(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", "file_id", "start_line", "end_line")
+
+
+OVERLAP = V.CHUNKS + V.FINDINGS.removeprefix(V.FILES) + ", ov AS (SELECT chunk_id, doc_id, rule_id, severity, least(end_line, line_to) - greatest(start_line, line_from) + 1 AS shared FROM (SELECT chunk_id, file_id, start_line, end_line FROM chunks) JOIN findings USING (file_id) WHERE start_line <= line_to AND end_line >= line_from)"
+
+
+@query(f"WITH {OVERLAP} SELECT chunk_id, rule_id, severity, shared FROM ov")
+def overlap_findings(spark, sf):
+    return quality.overlapping(_of_chunk(V.chunks(spark, sf)), V.findings(spark, sf)).select("chunk_id", "rule_id", "severity", "shared")
+
+
+SPANS = "sp AS (SELECT file_id, s AS ordinal, 1 + s * 3 AS line_from, 4 + s * 5 AS line_to, (7 * s + doc_id) % 13 AS ccn FROM files, (SELECT unnest(range(3))::INTEGER AS s))"
+BOTH = V.CHUNKS + f", {SPANS}, ov AS (SELECT chunk_id, ordinal, ccn, least(end_line, line_to) - greatest(start_line, line_from) + 1 AS shared FROM chunks JOIN sp USING (file_id) WHERE start_line <= line_to AND end_line >= line_from)"
+
+
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("ordinal")
+    at = V.files(spark, sf).select("file_id", "doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("ordinal"))
+    return at.select("file_id", "ordinal", (1 + s * 3).alias("line_from"), (4 + s * 5).alias("line_to"), ((7 * s + F.col("doc_id")) % 13).alias("ccn"))
+
+
+@query(f"WITH {BOTH} SELECT chunk_id, ordinal, shared, ccn FROM ov QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY shared DESC, ordinal) = 1")
+def best_overlap(spark, sf):
+    return quality.best_overlap(_of_chunk(V.chunks(spark, sf)), _spans(spark, sf), "chunk_id", "ordinal").select("chunk_id", "ordinal", "shared", "ccn")
+
+
+@query(f"WITH {BOTH} SELECT chunk_id, max(ccn) AS ccn FROM ov GROUP BY chunk_id")
+def max_overlap(spark, sf):
+    return quality.overlapping(_of_chunk(V.chunks(spark, sf)), _spans(spark, sf)).groupBy("chunk_id").agg(F.max("ccn").alias("ccn"))
+
+
+@query(f"WITH {V.FINDINGS} SELECT rule_id, count(*) AS n, count(DISTINCT file_id) AS n_files, min(severity) AS worst FROM findings GROUP BY rule_id")
+def quality_rollup(spark, sf):
+    return quality.rule_rollup(V.findings(spark, sf))
+
+
+@query(f"WITH {V.FINDINGS} SELECT file_id, rel_path, sum(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END)::BIGINT AS weight, count(*) AS n FROM findings GROUP BY ALL ORDER BY weight DESC, rel_path LIMIT 30")
+def quality_rank(spark, sf):
+    return quality.file_ranking(V.findings(spark, sf), 30)
+
+
+SUPPRESSED = V.FINDINGS + """, sup AS (SELECT *, CASE WHEN (rule_id = 'label/toxic' AND rel_path LIKE 'fr/%') OR rel_path LIKE '%7.md' THEN 'rule' WHEN doc_id % 11 = 0 THEN 'baseline' END AS suppressed_by FROM findings)"""
+
+
+def _suppressed(spark: SparkSession, sf: str) -> DataFrame:
+    found = V.findings(spark, sf)
+    return quality.suppressed(found, [("label/toxic", "fr/*"), ("*", "*7.md")], found.where("doc_id % 11 = 0").select("rule_id", "rel_path"))
+
+
+@query(f"WITH {SUPPRESSED} SELECT rule_id, rel_path, suppressed_by FROM sup")
+def suppressions(spark, sf):
+    return _suppressed(spark, sf).select("rule_id", "rel_path", "suppressed_by")
+
+
+@query(f"WITH {SUPPRESSED} SELECT rule_id, count(*) FILTER (suppressed_by IS NULL) AS shown, count(*) FILTER (suppressed_by = 'rule') AS by_rule, count(*) FILTER (suppressed_by = 'baseline') AS by_baseline FROM sup GROUP BY rule_id")
+def quality_report(spark, sf):
+    by = F.col("suppressed_by")
+    return _suppressed(spark, sf).groupBy("rule_id").agg(F.count_if(by.isNull()).alias("shown"), F.count_if(by == "rule").alias("by_rule"), F.count_if(by == "baseline").alias("by_baseline"))
+
+
+# statistics, log, usage
+
+
+@query(f"WITH {V.FILES} SELECT project_id, count(*) AS n_files, count(error) AS n_errors, sum(size)::BIGINT AS bytes, max(indexed_at) AS last FROM files GROUP BY ALL")
+def file_stats(spark, sf):
+    return accounts.file_stats(V.files(spark, sf))
+
+
+@query(f"WITH {V.CHUNKS} SELECT f.file_id, count(chunk_id) AS n_chunks FROM files f LEFT JOIN (SELECT file_id, chunk_id FROM chunks) c USING (file_id) GROUP BY ALL")
+def chunk_counts(spark, sf):
+    return accounts.chunk_counts(V.files(spark, sf), V.chunks(spark, sf))
+
+
+@query(f"WITH {V.CHUNKS} SELECT CASE language WHEN 'markdown' THEN 'md' WHEN 'python' THEN 'py' WHEN 'typescript' THEN 'ts' ELSE 'go' END AS ext, count(DISTINCT file_id) AS n_files, count(c.chunk_id) AS n_chunks FROM files f LEFT JOIN (SELECT file_id, chunk_id FROM chunks) c USING (file_id) GROUP BY ALL")
+def ext_rollup(spark, sf):
+    return accounts.extension_rollup(V.files(spark, sf), V.chunks(spark, sf))
+
+
+@query(f"WITH {V.CHUNKS} SELECT rel_path, count(*) AS n FROM chunks GROUP BY ALL ORDER BY n DESC, rel_path LIMIT 10")
+def top_files(spark, sf):
+    return V.chunks(spark, sf).groupBy("rel_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel_path").limit(10)
+
+
+@query(f"WITH {V.FILES} SELECT rel_path, indexed_at FROM files ORDER BY indexed_at DESC, rel_path LIMIT 10")
+def recent_files(spark, sf):
+    return V.files(spark, sf).select("rel_path", "indexed_at").orderBy(F.desc("indexed_at"), "rel_path").limit(10)
+
+
+@query(f"WITH {V.FILES} SELECT rel_path, error FROM files WHERE error IS NOT NULL")
+def failing_files(spark, sf):
+    return V.files(spark, sf).where("error IS NOT NULL").select("rel_path", "error")
+
+
+@query("SELECT event_id AS request_id, event_type AS tool FROM events ORDER BY event_id DESC LIMIT 200")
+def request_log_trim(spark, sf):
+    return accounts.newest(V.requests(spark, sf), 200).select("request_id", "tool")
+
+
+@query("SELECT event_type AS tool, event_type <> 'error' AS ok, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")
+def requests_since(spark, sf):
+    return V.requests(spark, sf).where("requested_at >= timestamp_ntz'2024-01-10'").groupBy("tool", "ok").agg(F.count("*").alias("n"), F.round(F.avg("elapsed_ms"), 6).alias("mean_ms"))
+
+
+@query("SELECT event_id AS request_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark, sf):
+    return V.requests(spark, sf).select("request_id", F.from_json("arguments_json", "k int")["k"].alias("k"))
+
+
+USAGE = V.RESULTS + """, o AS (SELECT query_id, project_id, file_id, sum(octet_length(encode(snippet))) AS r, max(file_bytes) AS b FROM results GROUP BY ALL),
+    deltas AS (SELECT query_id, project_id, count(*) AS n_files, sum(r)::BIGINT AS returned_bytes, coalesce(sum(b), 0)::BIGINT AS baseline_bytes FROM o GROUP BY ALL
+        UNION ALL SELECT query_id, '', count(*), sum(r)::BIGINT, coalesce(sum(b), 0)::BIGINT FROM o GROUP BY ALL),
+    roll AS (SELECT project_id, count(*) AS queries, sum(n_files)::BIGINT AS n_files, sum(returned_bytes)::BIGINT AS returned_bytes, sum(baseline_bytes)::BIGINT AS baseline_bytes FROM deltas GROUP BY ALL)"""
+
+
+@query(f"WITH {USAGE} SELECT * FROM deltas")
+def usage_deltas(spark, sf):
+    return accounts.usage_deltas(V.results(spark, sf))
+
+
+@query(f"WITH {USAGE} SELECT * FROM roll")
+def usage_rollup(spark, sf):
+    return accounts.usage_rollup(accounts.usage_deltas(V.results(spark, sf)))
+
+
+@query(f"""WITH {USAGE}, t AS (SELECT *, floor(returned_bytes / 4 + 0.5)::BIGINT AS back, floor(baseline_bytes / 4 + 0.5)::BIGINT AS base FROM roll)
+    SELECT project_id, queries, back AS tokens_returned, greatest(base - back, 0)::BIGINT AS tokens_saved, CASE WHEN base > 0 THEN floor(100 * greatest(base - back, 0) / base + 0.5)::BIGINT ELSE 0 END AS reduction FROM t""")
+def usage_summary(spark, sf):
+    return accounts.usage_summary(accounts.usage_rollup(accounts.usage_deltas(V.results(spark, sf))))
+
+
+# the store
+
+STORED = V.FILES + """, rec AS (SELECT file_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE content_sha END AS content_sha, 'hash-16' AS embedding_identity, error, doc_id FROM files WHERE doc_id % 7 <> 0)"""
+
+
+def _recorded(spark: SparkSession, sf: str) -> DataFrame:
+    sha = F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content_sha"))
+    return V.files(spark, sf).where("doc_id % 7 <> 0").select("file_id", sha.alias("content_sha"), F.lit("hash-16").alias("embedding_identity"), "error", "doc_id")
+
+
+@query(f"WITH {STORED} SELECT file_id, content_sha FROM files f WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.file_id = f.file_id AND r.content_sha = f.content_sha AND r.doc_id % 2 = 0)")
+def missing_enrichment(spark, sf):
+    done = _recorded(spark, sf).select("file_id", "content_sha", F.lit("quality").alias("analyzer"), F.lit("1").alias("analyzer_version"), F.when(F.col("doc_id") % 2 == 0, "complete").otherwise("failed").alias("status"))
+    return store.missing_enrichments(V.files(spark, sf).select("file_id", "content_sha"), done, "quality", "1")
+
+
+@query(f"""WITH {STORED}, l AS (SELECT file_id, content_sha, doc_id % 13 <> 0 AS eligible FROM files WHERE doc_id % 11 <> 0)
+    SELECT coalesce(l.file_id, r.file_id) AS file_id, CASE WHEN l.file_id IS NULL THEN 'deleted' WHEN NOT eligible AND r.file_id IS NOT NULL THEN 'excluded' WHEN NOT eligible THEN 'ignored' WHEN r.file_id IS NULL THEN 'new'
+        WHEN error IS NULL AND l.content_sha = r.content_sha THEN 'same' ELSE 'changed' END AS state FROM l FULL JOIN rec r ON l.file_id = r.file_id""")
+def reconcile_classify(spark, sf):
+    listing = V.files(spark, sf).where("doc_id % 11 <> 0").select("file_id", "content_sha", (F.col("doc_id") % 13 != 0).alias("eligible"))
+    return store.classify_changes(listing, _recorded(spark, sf), "hash-16", "file_id")
+
+
+@query(f"WITH {STORED} SELECT file_id, content_sha FROM rec WHERE doc_id % 3 <> 0 UNION ALL SELECT file_id, 'fresh' FROM files WHERE doc_id % 3 = 0")
+def upsert(spark, sf):
+    delta = V.files(spark, sf).where("doc_id % 3 = 0").select("file_id", F.lit("fresh").alias("content_sha"))
+    return store.upsert(_recorded(spark, sf).select("file_id", "content_sha"), delta, ["file_id"])
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE doc_id % 4 <> 1 UNION ALL SELECT file_id || ':new' FROM files WHERE doc_id % 4 = 1")
+def replace_chunks(spark, sf):
+    changed = V.files(spark, sf).where("doc_id % 4 = 1").select("file_id")
+    return store.replace_children(V.chunks(spark, sf).select("file_id", "chunk_id"), changed.select("file_id", F.concat("file_id", F.lit(":new")).alias("chunk_id")), changed).select("chunk_id")
+
+
+@query(f"WITH {V.CHUNKS} SELECT 'chunks' AS name, count(*) AS n FROM chunks WHERE doc_id % 9 <> 0 UNION ALL SELECT 'files', count(*) FROM files WHERE doc_id % 9 <> 0 UNION ALL SELECT 'enrichments', count(*) FROM files")
+def cascade_delete(spark, sf):
+    files = V.files(spark, sf).select("file_id", "doc_id")
+    left = store.cascade_delete({"files": files, "chunks": V.chunks(spark, sf).select("file_id", "chunk_id"), "enrichments": files}, files.where("doc_id % 9 = 0"))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""WITH d AS (SELECT c_custkey AS project_id, '/ws/c' || c_custkey AS root FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 4 = 0 THEN '/old/c' ELSE '/ws/c' END || c_custkey AS root, c_custkey % 2 = 0 AS active FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT coalesce(d.project_id, r.project_id) AS project_id, CASE WHEN r.root IS NULL THEN 'new' WHEN d.root IS NOT NULL AND active THEN 'active' WHEN d.root IS NOT NULL THEN 'inactive' WHEN starts_with(r.root, '/ws/') THEN 'missing' ELSE 'outside-roots' END AS state
+    FROM d FULL JOIN r ON d.project_id = r.project_id""")
+def inventory(spark, sf):
+    c = F.col("c_custkey")
+    rows = V.read(spark, sf, "customer")
+    found = rows.where(c % 3 != 0).select(c.alias("project_id"), F.concat(F.lit("/ws/c"), c).alias("root"))
+    recorded = rows.where(c % 5 != 0).select(c.alias("project_id"), F.concat(F.when(c % 4 == 0, "/old/c").otherwise("/ws/c"), c).alias("root"), (c % 2 == 0).alias("active"))
+    return store.inventory(found, recorded, ["/ws"])
+
+
+# filters
+
+PATH = "regexp_replace(url, '^https?://[^/]*/', '')"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(split_part({PATH}, '?', 1), '^(.*)$', CASE page_id % 6 WHEN 0 THEN '\\1.html' WHEN 1 THEN 'build/\\1.md' WHEN 2 THEN '\\1/.env.local' WHEN 3 THEN '\\1/.env.example' WHEN 4 THEN '\\1/yarn.lock' ELSE '\\1/x.bin' END) AS path, octet_length(encode(html)) AS size FROM pages)
+    SELECT page_id, CASE page_id % 6 WHEN 0 THEN CASE WHEN regexp_matches(path, '(^|/)[.]html$') THEN 'unsupported-extension' WHEN size > 3000 THEN 'oversized' ELSE 'ok' END WHEN 1 THEN 'ignored-directory' WHEN 2 THEN 'secret' WHEN 3 THEN CASE WHEN size > 3000 THEN 'oversized' ELSE 'ok' END WHEN 4 THEN 'noise' ELSE 'unsupported-extension' END AS reason FROM p""")
+def filter_decision(spark, sf):
+    base = F.split_part(F.regexp_replace("url", "^https?://[^/]*/", ""), F.lit("?"), F.lit(1))
+    n = F.col("page_id") % 6
+    path = (
+        F.when(n == 0, F.concat(base, F.lit(".html"))).when(n == 1, F.concat(F.lit("build/"), base, F.lit(".md"))).when(n == 2, F.concat(base, F.lit("/.env.local")))
+        .when(n == 3, F.concat(base, F.lit("/.env.example"))).when(n == 4, F.concat(base, F.lit("/yarn.lock"))).otherwise(F.concat(base, F.lit("/x.bin")))
+    )
+    rows = V.read(spark, sf, "pages").select("page_id", path.alias("path"), F.octet_length("html").alias("size"), F.substring("html", 1, 8192).alias("head"))
+    return rows.select("page_id", filtering.decision(F.col("path"), F.col("size"), F.col("head"), filtering.Rules(max_bytes=3000)).alias("reason"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_full_match('doc_' || doc_id || '.txt', 'doc_.[37].*\\.txt')")
+def glob_match(spark, sf):
+    rows = V.read(spark, sf, "documents").select("doc_id")
+    name = F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))
+    return rows.where(T.matches_glob(name, "doc_?3*.txt") | T.matches_glob(name, "doc_?7*.txt"))
+
+
+# change events
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+    SELECT user_id AS key, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, max({'ts': ts, 'event_id': event_id}).event_id AS last_event FROM s GROUP BY user_id, k""")
+def debounce(spark, sf):
+    out = S.debounce(V.read(spark, sf, "events").withColumnRenamed("user_id", "key"), "30 minutes")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("SELECT time_bucket(INTERVAL 2 SECOND, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def coalesce_2s(spark, sf):
+    out = S.coalesce(V.read(spark, sf, "events"), "2 seconds", ["event_type"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# evaluation
+
+EVAL = V.FILES + """, q AS (SELECT doc_id % 40 AS query_id, ['literal', 'symbol', 'concept', 'mixed', 'prose'][(doc_id % 40 % 5 + 1)] AS query_type, rel_path, quality + (doc_id % 3 = 0)::INTEGER * quality AS relevance FROM labels JOIN files USING (doc_id)),
+    run AS (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY md5(rel_path), rel_path)::INTEGER AS rank FROM (SELECT doc_id % 40 AS query_id, rel_path FROM files) QUALIFY rank <= 50),
+    j AS (SELECT query_id, rank, rel_path, coalesce(max(relevance), 0)::INTEGER AS grade FROM run LEFT JOIN q USING (query_id, rel_path) GROUP BY ALL),
+    m AS (SELECT query_id, coalesce(max((grade >= 1 AND rank <= 1)::INTEGER), 0)::DOUBLE AS hit_1, max((grade >= 1 AND rank <= 3)::INTEGER)::DOUBLE AS hit_3, max((grade >= 1 AND rank <= 10)::INTEGER)::DOUBLE AS hit_10, coalesce(1.0::DOUBLE / min(rank) FILTER (grade >= 1 AND rank <= 10), 0) AS rr_10 FROM j GROUP BY ALL),
+    c AS (SELECT q.query_id, count(*) FILTER (rank <= 20) / count(*)::DOUBLE AS recall_20, count(*) FILTER (rank <= 50) / count(*)::DOUBLE AS recall_50 FROM q LEFT JOIN run USING (query_id, rel_path) WHERE relevance >= 1 GROUP BY ALL),
+    met AS (SELECT DISTINCT q.query_id, q.query_type, round(coalesce(hit_1, 0), 6) AS hit_1, round(coalesce(hit_3, 0), 6) AS hit_3, round(coalesce(hit_10, 0), 6) AS hit_10, round(coalesce(rr_10, 0), 6) AS rr_10, round(coalesce(recall_20, 0), 6) AS recall_20, round(coalesce(recall_50, 0), 6) AS recall_50
+        FROM q LEFT JOIN m USING (query_id) LEFT JOIN c USING (query_id))"""
+METRICS = ["hit_1", "hit_3", "hit_10", "rr_10", "recall_20", "recall_50"]
+
+
+@query(f"WITH {EVAL} SELECT query_id, rank, rel_path, grade FROM j")
+def qrel_judge(spark, sf):
+    return evaluation.judged(V.run(spark, sf), V.qrels(spark, sf)).select("query_id", "rank", "rel_path", "grade")
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluation.query_metrics(V.run(spark, sf), V.qrels(spark, sf))
+    return found.withColumns({c: F.round(c, 6) for c in METRICS})
+
+
+@query(f"WITH {EVAL} SELECT query_id, {', '.join(METRICS)} FROM met")
+def hit_mrr_recall(spark, sf):
+    return _metrics(spark, sf)
+
+
+@query(f"WITH {EVAL} SELECT coalesce(query_type, 'overall') AS query_type, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)} FROM met GROUP BY ROLLUP (query_type)")
+def metrics_by_type(spark, sf):
+    return evaluation.mean_by_type(_metrics(spark, sf), V.qrels(spark, sf).select("query_id", "query_type").distinct(), METRICS)
+
+
+@query(f"""WITH {EVAL}, g AS (SELECT query_id, sum((2.0::DOUBLE ** grade - 1) / log2(rank + 1)) AS got FROM j WHERE rank <= 10 GROUP BY ALL),
+    i AS (SELECT query_id, sum((2.0::DOUBLE ** relevance - 1) / log2(r + 1)) AS ideal FROM (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC) AS r FROM q) WHERE r <= 10 GROUP BY ALL)
+    SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(got, 0) / ideal ELSE 0 END, 6) AS ndcg FROM i LEFT JOIN g USING (query_id)""")
+def ndcg(spark, sf):
+    return evaluation.ndcg(V.run(spark, sf), V.qrels(spark, sf)).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@query(f"""WITH {V.CHUNKS}, q AS (SELECT doc_id % 40 AS query_id, CASE WHEN doc_id % 17 = 0 THEN 'gone/' ELSE '' END || rel_path AS rel_path, CASE WHEN doc_id % 5 = 0 THEN 900 WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END AS start_line, CASE WHEN doc_id % 5 = 0 THEN 908 ELSE 8 END AS end_line FROM labels JOIN files USING (doc_id))
+    SELECT q.query_id, q.rel_path, q.start_line, q.end_line, CASE WHEN max(f.rel_path) IS NULL THEN 'missing-file' WHEN max((c.start_line = q.start_line AND c.end_line = q.end_line)::INTEGER) = 1 THEN 'exact' WHEN max(c.rel_path) IS NOT NULL THEN 'drift' ELSE 'no-overlap' END AS status
+    FROM q LEFT JOIN files f ON f.rel_path = q.rel_path LEFT JOIN chunks c ON c.rel_path = q.rel_path AND c.start_line <= q.end_line AND c.end_line >= q.start_line GROUP BY ALL""")
+def qrel_validate(spark, sf):
+    d = F.col("doc_id")
+    at = V.read(spark, sf, "labels").join(V.files(spark, sf).select("doc_id", "rel_path"), "doc_id")
+    q = at.select(
+        (d % 40).alias("query_id"), F.concat(F.when(d % 17 == 0, "gone/").otherwise(""), F.col("rel_path")).alias("rel_path"),
+        F.when(d % 5 == 0, 900).when(d % 5 == 1, 2).otherwise(1).alias("start_line"), F.when(d % 5 == 0, 908).otherwise(8).alias("end_line"),
+    )
+    return evaluation.qrel_status(q, V.chunks(spark, sf), V.files(spark, sf))
+
+
+@query("SELECT vec_id || ' Q0 d' || vec_id || ' ' || (label + 1) || ' ' || printf('%.6f', label / 8.0) || ' hash' AS value FROM embeddings")
+def trec_run(spark, sf):
+    rows = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("d"), "vec_id").alias("doc"), (F.col("label") + 1).alias("rank"), (F.col("label") / 8).alias("score"))
+    return trec_lines(rows, "hash")
+
+
+@query(f"WITH {V.VECTORS} SELECT chunk_id, round(sqrt(list_inner_product(vector, vector)), 4) AS norm, round(vector[1] / sqrt(list_inner_product(vector, vector)), 6) AS first FROM vectors")
+def unit_vectors(spark, sf):
+    from sedimenta.functions.vectors import as_doubles, norm
+
+    return V.vectors(spark, sf).select("chunk_id", F.round(norm(as_doubles(F.col("vector"))), 4).alias("norm"), F.round(to_unit(F.col("vector"))[0], 6).alias("first"))
