@@ -30,4 +30,5 @@ def constant(vector: list[float]) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(as_doubles(a), as_doubles(b)) / (norm(as_doubles(a)) * norm(as_doubles(b)))
+    """Null where one of them is zero."""
+    return F.try_divide(dot(as_doubles(a), as_doubles(b)), norm(as_doubles(a)) * norm(as_doubles(b)))

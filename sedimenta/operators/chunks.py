@@ -151,7 +151,7 @@ def python_definitions(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = [c for f, t in zip(batch["file_id"], batch["text"], strict=True) if t is not None for c in chunks(f, t)]
             made = pd.DataFrame(out, columns=columns)
-            made["refs"] = [[dict(zip(("symbol", "kind", "line"), r, strict=True)) for r in refs] for refs in made["refs"]]
+            made["refs"] = pd.Series([[dict(zip(("symbol", "kind", "line"), r, strict=True)) for r in refs] for refs in made["refs"]], dtype=object)
             yield made
 
     return files.select("file_id", "text").mapInPandas(run, CODE)
