@@ -3,8 +3,8 @@
 A document's set holds its distinct `width`-word shingles. Equal sets are one node. A node's SuperMinHash signature (each shingle ranks the
 places of the signature by a correlated permutation; a document stops once no later rank can win) is cut into bands; nodes that share
 a band are candidates. First every member of a band's bucket is held against the bucket's most central node, which links groups of copies in
-linear time; then, in buckets that still hold several components, the members of different components are compared. Links
-are confirmed on the full sets, and components come from repeated grouping. No pairs inside a component are formed.
+linear time; then, in buckets that still hold several components, the members of different components are compared, and only links that join two of
+them leave the bucket. Links are confirmed on the full sets, and components come from repeated grouping.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytehash import BLANK, LOWER, U, column_bytes, gram_hashes, mix64, pieces, word_hashes, words
@@ -112,22 +112,21 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most: int = 1024, room: int = 32 << 20) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id that links reach), kept (it is its own component).
 
     Two documents are linked where 100 * |A and B| >= percent * |A or B|. A document without words has an empty set and stands alone. Equal texts,
     repeated rows and repeated keys share a component; a null key takes part, is never the least unless alone, and isn't kept. Buckets of more than
-    `most` nodes are cut further by pairs of bands, those that stay large into blocks of which all pairs are compared; none is dropped.
+    `most` nodes, or whose sets take more than `room` bytes, are cut into blocks, of which all pairs are compared; none is dropped.
     The banding misses a pair at exactly the threshold about once in 200,000 and closer ones still less often.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "near-dedup")
+    scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     base = scratch.keep(rows.mapInArrow(lambda b: signed(b, width), NODE), "rows")
     nodes = scratch.keep(
-        base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes"
+        base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes"
     )
-    entry = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
+    entry = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
     full = entry.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = scratch.keep(entry.join(full, "bucket"), "members")
     # what the others were copied from shares more buckets, and larger ones, than they share with each other
@@ -135,16 +134,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     centres = members.where("n > 2").join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("centre"))
     centres = centres.unionByName(members.where("n = 2").groupBy("bucket").agg(F.min("node").alias("centre")))
     apart = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
-    stars = apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    tried = scratch.keep(_close(stars, nodes, percent), "tried")
-    links = scratch.keep(_confirmed(tried, nodes, rows, scratch, "stars", width, percent), "links-0")
+    stars = scratch.keep(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
+    links = scratch.keep(_confirmed(scratch.keep(_close(stars, nodes, percent), "tried"), nodes, rows, scratch, width, percent), "links-0")
     labels = scratch.keep(connected_components(links, scratch, "first"), "labels")
-
-    more = scratch.keep(_across(spark, members, nodes, labels, scratch, percent, most).join(tried, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        found = scratch.keep(_confirmed(more, nodes, rows, scratch, "across", width, percent), "links-1")
-        if not found.isEmpty():
-            labels = scratch.keep(connected_components(links.unionByName(found), scratch, "second"), "labels-2")
+    found = scratch.keep(_across(members, nodes, rows, labels, scratch, width, percent, most, room), "links-1")
+    if not found.isEmpty():
+        labels = scratch.keep(connected_components(links.unionByName(found), scratch, "second"), "labels-2")
     labelled = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = labelled.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -171,13 +166,10 @@ def estimate_floor(percent: int) -> int:
     return int(PLACES * share - 4 * (PLACES * share * (1 - share)) ** 0.5)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, label: str, width: int, percent: int) -> DataFrame:
-    """Pairs that are links by their full sets. A node's set is made once, from the text of its least document."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """Pairs that are links by their full sets."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
-    made = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(lambda b: whole_sets(b, width), "node binary, shingles binary")
-    digest = F.udf(lambda s: hashlib.blake2b(bytes(s), digest_size=16).digest(), "binary")
-    sets = scratch.keep(made.where(digest("shingles") == F.col("node")).dropDuplicates(["node"]), f"sets-{label}")  # a key may have several texts
+    sets = scratch.keep(_sets(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), rows, width), "sets-stars")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,48 +179,54 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scr
     return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary")
 
 
-def _across(spark: SparkSession, members: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, most: int) -> DataFrame:
-    """Close pairs of different components out of buckets that hold several."""
-    held = members.select("bucket", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = _mixed(scratch.keep(held, "held"), scratch, "mixed-0")
+def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of nodes (node, doc_id), each made once, from the text of the node's least document."""
+    made = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(lambda b: whole_sets(b, width), "node binary, shingles binary")
+    digest = F.udf(lambda s: hashlib.blake2b(bytes(s), digest_size=16).digest(), "binary")
+    return made.where(digest("shingles") == F.col("node")).dropDuplicates(["node"])  # a key may have several texts
+
+
+def _across(members: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataFrame, scratch: Scratch, width: int, percent: int, most: int, room: int) -> DataFrame:
+    """Links between different components, out of the buckets that hold several; of each bucket only those that join two components."""
+    held = scratch.keep(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("n"), "held")
+    n, size = F.count("*"), 8 * F.sum("n_shingles")
+    several = held.groupBy("bucket").agg(F.ceil(F.greatest(n / most, size / room)).cast("int").alias("fills"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    several = several.where(F.col("lo") != F.col("hi")).select("bucket", F.when(F.col("fills") <= 1, 1).otherwise(2 * F.col("fills")).alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = held.join(several, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "node", "component")
+    dealt = scratch.keep(dealt, "dealt")
+    sets = scratch.keep(_sets(dealt.select("node").distinct().join(nodes, "node").select("node", "doc_id"), rows, width), "sets-across")
     least = estimate_floor(percent)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         data = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, PLACES + 4 * BANDS)
         data, bands = data[:, :PLACES], np.ascontiguousarray(data[:, PLACES:]).view(np.uint32)
         component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        block, square = group["own"].to_numpy(), group["lo"].iat[0] != group["hi"].iat[0]
         node, band, out = group["node"].to_numpy(), group["band"].to_numpy(), []
+        sizes = group["shingles"].str.len().to_numpy() // 8
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        names, shingle = np.unique(np.frombuffer(b"".join(group["shingles"]), np.uint64), return_inverse=True)
+        mine = np.zeros(len(names), bool)
         for i in range(len(node) - 1):
-            others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
+            wanted = component[i + 1 :] != component[i]
+            if square:  # pairs of one block are compared where both blocks are the same
+                wanted &= block[i + 1 :] != block[i]
+            others = np.flatnonzero(wanted) + i + 1
+            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
             near = others[(data[others] == data[i]).sum(1) >= least]
-            first = (bands[near] == bands[i]).argmax(1)  # the pair is told by the first band that it shares, and by no other
-            out += [(min(node[i], node[k]), max(node[i], node[k])) for k in near[(first == band[i]) | (first == band[near])].tolist()]
+            first = (bands[near] == bands[i]).argmax(1)  # the pair is compared in the first band that it shares, and in no other
+            near = near[(first == band[i]) | (first == band[near])]
+            mine[shingle[ends[i] : ends[i + 1]]] = True
+            for k in near.tolist():
+                if component[k] != component[i]:
+                    both = int(mine[shingle[ends[k] : ends[k + 1]]].sum())
+                    if 100 * both >= percent * int(sizes[i] + sizes[k] - both):
+                        out.append((node[i], node[k]))
+                        component[component == component[k]] = component[i]
+            mine[shingle[ends[i] : ends[i + 1]]] = False
         return pd.DataFrame(out, columns=["a", "b"])
 
-    found = []
-    for depth in range(3):
-        small, large = now.where(F.col("n") <= most), now.where(F.col("n") > most)
-        with_signature = small.join(nodes.select("node", "signature"), "node").select("bucket", "band", "node", "component", "signature")
-        found.append(with_signature.groupBy("bucket").applyInPandas(compare, "a binary, b binary"))
-        if large.isEmpty():
-            break
-        if depth == 0:  # members that also share another band
-            cut = large.join(nodes.select("node", F.explode("bands").alias("other")), "node").where(F.col("other") != F.col("bucket"))
-            now = _mixed(scratch.keep(cut.select(F.xxhash64("bucket", "other").alias("bucket"), "band", "node", "component"), "cut"), scratch, "mixed-1")
-        elif depth == 1:  # blocks of a bucket, each pair of blocks a bucket of its own
-            blocks = F.ceil(2 * F.col("n") / most).cast("int")
-            own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-            dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-            now = _mixed(scratch.keep(dealt.select(pair.alias("bucket"), "band", "node", "component"), "dealt"), scratch, "mixed-2")
-        else:  # blocks that came out a little larger
-            found.append(large.join(nodes.select("node", "signature"), "node").select("bucket", "band", "node", "component", "signature").groupBy("bucket").applyInPandas(compare, "a binary, b binary"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
-
-
-def _mixed(held: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    several = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-    return scratch.keep(held.join(several.select("bucket", "n"), "bucket"), name)
+    full = dealt.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    return full.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a binary, b binary").distinct()
