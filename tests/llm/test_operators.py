@@ -1,0 +1,169 @@
+"""The operators of this subpackage against brute force, exact round trips and planted cases, with nulls, empty texts, repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from sedimenta.llm import queries
+from sedimenta.llm.ball_tree import top_inner_products
+from sedimenta.llm.byte_bpe import bpe_round_trip
+from sedimenta.llm.decontaminate import contaminated
+from sedimenta.llm.html_text import render_pages
+from sedimenta.llm.near_dedup import near_duplicates
+from sedimenta.llm.repeated_bytes import remove_repeats
+from sedimenta.llm.shuffle_shards import shuffle_shards
+from sedimenta.llm.surrogates import replace_entities
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, node string, component string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOC)
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute_components(texts):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("most", [1024, 8])
+def test_near_duplicates(spark, most):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    texts = [None, "", "  ", "one two", "ONE two", "one two three"]
+    for _ in range(40):  # a group whose members are often just below or above the threshold
+        t = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            t[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += texts[6:9]
+    got = {r.doc_id: r for r in near_duplicates(docs(spark, texts), most=most).collect()}
+    want = brute_components(texts)
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t)) for t in texts]
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
+def test_empty_tables(spark):
+    none = docs(spark, ["x"]).where("false")
+    assert near_duplicates(none).count() == 0 and remove_repeats(none).count() == 0 and shuffle_shards(none).count() == 0
+    assert bpe_round_trip(none, public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN).count() == 0 and replace_entities(none, "k").count() == 0
+    assert contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert render_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeats(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared, near = line(600), "ab" * 300
+    texts = [None, "", line(900), "p" + shared + line(50), line(30) + shared, near, "z" * 401, "q" * 400, shared, line(399)]
+    got = {r.doc_id: r for r in remove_repeats(docs(spark, texts)).collect()}
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for d in data:
+        for i in range(len(d) - 399):
+            seen[d[i : i + 400]] = seen.get(d[i : i + 400], 0) + 1
+    for k, d in enumerate(data):
+        cut = bytearray(len(d))
+        for i in range(len(d) - 399):
+            if seen[d[i : i + 400]] > 1:
+                cut[i : i + 400] = b"\1" * 400
+        kept = bytes(b for b, c in zip(d, cut, strict=True) if not c)
+        spans = sum(1 for i, c in enumerate(cut) if c and (i == 0 or not cut[i - 1]))
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, bytes(got[k].kept)) == (len(d), sum(cut), spans, kept)
+
+
+def test_bpe_is_exact(spark):
+    path = public_tokenizers.path(queries.VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "a" * 3000, "é\U0001f600\0 \n\n x", " <|endoftext|>", "aaaa bbbb " * 50] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for r in bpe_round_trip(docs(spark, texts), path, public_tokenizers.PATTERN).collect():
+        ids = exact.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_top_k(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(300)] + [(300, None), (301, [float("nan")] * 6), (302, [None] * 6), (303, [0.5] * 6), (304, [0.5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_inner_products(df.where("vec_id % 50 = 0"), df).collect()}
+    ints = {i: [int((256 * x) // 1) for x in v] for i, v in rows if v and all(x is not None and x == x for x in v)}
+    want = {}
+    for q in (i for i in ints if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_shards(spark):
+    df = queries.op5_external_shuffle(spark, SF)
+    rows = df.collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert 0 <= r.shard < 40 and r.grown_shard in (r.shard, 40)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_decontamination_finds_copies_and_edits(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    first = items.where("length(text) > 150").orderBy("item_id").first()
+    words = first.text.split()
+    edited = [w if i % 9 else "changed" for i, w in enumerate(words)]
+    texts = ["prefix words " + first.text + " tail", "start " + " ".join(edited) + " end", "nothing of this is in a test item at all", None, ""]
+    assert {r.doc_id for r in contaminated(docs(spark, texts), items).collect()} >= {0, 1}
+    assert not {r.doc_id for r in contaminated(docs(spark, texts[2:]), items).collect()}
+
+
+def test_language_on_held_out_rows(spark):
+    got = queries.op6_centroid_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = got.where("held_out AND accepted").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.95
+    assert got.where("NOT score BETWEEN 0 AND 1").count() == 0
+
+
+def test_rendering(spark):
+    html = "<p>One<p>Two<ul><li>a<li>b</ul><script>no()</script><div style='display:none'>hidden</div><table><tr><td>x<td>y</table>&amp;"
+    text = " ".join(str(v) for v in render_pages(spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "")], "page_id long, url string, html string")).where("page_id = 1").first())
+    assert all(t in text for t in ("One", "Two", "- a", "- b", "x", "y", "&")) and "hidden" not in text and "no()" not in text
+
+
+def test_surrogates(spark):
+    texts = ["Write to anna.smith@example.org or call +1 202 555 0143.", "anna.smith@example.org again", None, ""]
+    got = {r.doc_id: " ".join(map(str, r)) for r in replace_entities(docs(spark, texts), "key").collect()}
+    assert "anna.smith@example.org" not in got[0] and "555 0143" not in got[0]
+    mail = re.compile(r"[\w.]+@[\w.]+\w")
+    assert mail.search(got[0])[0] == mail.search(got[1])[0]
+
+
+def test_archives_agree_with_sql(spark):
+    import duckdb
+
+    rows = queries.op9_warc_index_merge(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    found = con.execute(queries.SQL["op9_warc_index_merge"])
+    names = [c[0] for c in found.description]
+    assert {tuple(r) for r in rows.select(names).collect()} == set(found.fetchall())
