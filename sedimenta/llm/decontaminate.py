@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, in lower case. One pass over the corpus counts how often each n-gram of a test item occurs in it; an item's
-seeds are its rare n-grams, and always at least the rarer half of them, so that an item which is copied everywhere keeps its seeds.
-A second pass finds passages with seeds and aligns the item's words with the passage's. Edited copies keep some seeds and most of their score.
+Words are runs of letters and digits, in lower case. Every n-gram of a test item is a seed. One pass over the corpus counts how often each
+occurs in it; a second finds passages with seeds and aligns the item's words with the passage's. A rare n-gram has its passage aligned at once; a passage
+that holds only frequent ones is left out where too few of the item's words are in it for any alignment to reach the share. So the counts
+decide what is tried first, never what is found, and a copy is found with as little as one n-gram left, in a corpus of any size.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Items:
     words: dict[int, np.ndarray]
     places: dict[int, list[tuple[int, int]]]
     keys: np.ndarray
+    rare: frozenset[int] = frozenset()
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], n: int) -> Items:
@@ -74,17 +76,8 @@ class Items:
         return cls(n, held, dict(places), np.array(sorted(places), np.uint64))
 
     def seeds(self, counts: dict[int, int], rare: int) -> Items:
-        """Only rare n-grams, and of each item the rarer half at least."""
-        of_item = defaultdict(list)
-        for g, at in self.places.items():
-            for item, place in at:
-                of_item[item].append((counts.get(g, 0), place, g))
-        kept = set()
-        for found in of_item.values():
-            found.sort()
-            kept |= {g for k, (count, _, g) in enumerate(found) if count <= rare or 2 * k < len(found)}
-        places = {g: at for g, at in self.places.items() if g in kept}
-        return Items(self.n, self.words, places, np.array(sorted(places), np.uint64))
+        """The same n-grams, with those that occur at most `rare` times told apart."""
+        return Items(self.n, self.words, self.places, self.keys, frozenset(g for g in self.places if counts.get(g, 0) <= rare))
 
 
 class Lookup:
@@ -136,15 +129,15 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best
 
 
-def passages(hits: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int]]:
-    """Stretches of a text that may hold an item of so many words, from the (text, item) places of seeds: start, end, seeds."""
-    hits = sorted(hits)
+def passages(hits: list[tuple[int, int, bool]], length: int, share: float) -> Iterator[tuple[int, int, int, bool]]:
+    """Stretches of a text that may hold an item of so many words, from the (text, item) places of seeds and whether they are rare: start, end, seeds,
+    and whether one is rare. An alignment with this share of the item's score has no more gaps than the slack, so it lies inside its seeds' stretch."""
+    hits, slack = sorted(hits), int(MATCH * length * (1 - share) / -GAP) + 2
     start = 0
     for k in range(1, len(hits) + 1):
         if k == len(hits) or hits[k][0] - hits[k - 1][0] > length:
             group = hits[start:k]
-            slack = length // 2 + 2
-            yield min(t - i for t, i in group) - slack, max(t - i for t, i in group) + length + slack, len(group)
+            yield min(t - i for t, i, _ in group) - slack, max(t - i for t, i, _ in group) + length + slack, len(group), any(r for *_, r in group)
             start = k
 
 
@@ -152,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """A row per document and test item that it holds a copy of: the best alignment's score, its share of a whole copy's score, and its words.
 
     A copy is an alignment with at least `share` of the score that the item has with itself. Items go over the corpus in blocks of about `block_items`,
-    so what is sent to the executors is bounded. Items without `n` words, null items and null or empty texts match nothing; a repeated
+    so what is sent to the executors is bounded. A copy none of whose `n` words in sequence are the item's has no seed. Items without `n` words, null items and null or empty texts match nothing; a repeated
     document gives its rows again, a null key stays null, equal items each match. Very long texts are searched whole; a passage
     with many seeds is one stretch, so its cost follows its length. Other columns are ignored.
     """
@@ -203,15 +196,17 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
                     grams = row_grams(word, first, items.n)
                     at = lookup.hits(grams)
                     row = np.searchsorted(first, at, "right") - 1
-                    hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                    for r, p in zip(row.tolist(), at.tolist(), strict=True):
-                        for item, place in items.places[int(grams[p])]:
-                            hits[r, item].append((p - int(first[r]), place))
+                    hits: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+                    for r, p, g in zip(row.tolist(), (at - first[row]).tolist(), grams[at].tolist(), strict=True):
+                        for item, place in items.places[g]:
+                            hits[r, item].append((p, place, g in items.rare))
                     for (r, item), found in hits.items():
                         text, own = word[first[r] : first[r + 1]], items.words[item]
                         best = (0, 0, 0, 0)
-                        for a, b, seeds in passages(found, len(own)):
+                        for a, b, seeds, rare in passages(found, len(own), share):
                             a, b = max(0, a), min(len(text), b)
+                            if not rare and np.isin(own, text[a:b]).sum() < share * len(own):
+                                continue
                             score, s, e = smith_waterman(own, text[a:b])
                             best = max(best, (score, seeds, a + s, a + e))
                         if best[0] >= share * MATCH * len(own):

@@ -173,3 +173,31 @@ def test_archives_agree_with_sql(spark):
     found = con.execute(queries.SQL["op9_warc_index_merge"])
     names = [c[0] for c in found.description]
     assert {tuple(r) for r in rows.select(names).collect()} == set(found.fetchall())
+
+
+def brute_score(item, text):
+    """Best local score of two word sequences, cell by cell."""
+    best, above = 0, [0] * (len(text) + 1)
+    for w in item:
+        row = [0]
+        for k, t in enumerate(text):
+            row.append(max(0, above[k] + (2 if t == w else -1), above[k + 1] - 1, row[k] - 1))
+        best, above = max(best, max(row)), row
+    return best
+
+
+def test_decontamination_is_the_same_however_often_an_item_occurs(spark):
+    """Truncated and edited copies, and one with a long insertion, of an item that 120 documents copy, against alignment by brute force."""
+    rng = random.Random(8)
+    item = [f"k{i}" for i in range(40)]
+    noise = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    edited = lambda step: [w if i % step else f"e{rng.randrange(10**6)}" for i, w in enumerate(item)]
+    texts = [noise(20) + item + noise(5) for _ in range(120)]
+    texts += [noise(30) + item[20:], item[20:40] + noise(40), item[:20] + noise(3), item[10:30], item[:17], item[3:20] + noise(9), item[:8] + item[33:]]
+    texts += [edited(step) + noise(7) for step in (3, 4, 5, 6, 9)] + [noise(4) + item[:20] + noise(36) + item[20:], item[:20] + noise(60) + item[20:]]
+    texts += [edited(5)[20:] + item[1:4], noise(50)] + [noise(9) + item[20:] for _ in range(20)]
+    got = {r.doc_id: (r.score, r.share) for r in contaminated(docs(spark, [" ".join(t) for t in texts]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    want = {i: brute_score(item, t) for i, t in enumerate(texts)}
+    seeded = {i for i, t in enumerate(texts) if {tuple(item[k : k + 3]) for k in range(38)} & {tuple(t[k : k + 3]) for k in range(len(t) - 2)}}
+    assert got == {i: (s, s / 80) for i, s in want.items() if s >= 0.45 * 80 and i in seeded}
+    assert {120, 121, 122, 123, 132} <= set(got)
