@@ -1,8 +1,9 @@
 """Language identification by the nearest of several centroids per language.
 
 Texts become normalised TF-IDF vectors of hashed character n-grams (1 to 3 letters, whole text). Each language's training
-vectors are clustered by spherical k-means; a text takes the language of the centroid with the highest cosine, and is rejected where it is
-farther from that centroid than `slack` times the cosine that nearly all of the centroid's own training texts reach.
+vectors are clustered by spherical k-means; a text takes the language of the centroid with the highest cosine, and is rejected where
+that cosine is below the centroid's floor. The floor lies between the cosines that other languages' training texts reach and those that
+the centroid's own texts keep when they are left out of it, `slack` of the way up.
 """
 
 from __future__ import annotations
@@ -103,6 +104,31 @@ def clusters(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray,
     return c, (x @ c.T).argmax(1)
 
 
+def left_out(own: np.ndarray, c: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+    """Each training row's cosine with the nearest of its language's centroids, its own centroid made without it."""
+    cosine = own @ c.T
+    for i in range(len(c)):
+        rows = np.flatnonzero(cluster == i)
+        if len(rows):
+            total = own[rows].sum(0)
+            rest = np.sqrt(np.maximum(total @ total - 2 * own[rows] @ total + 1, 1e-12))
+            cosine[rows, i] = (own[rows] @ total - 1) / rest if len(rows) > 1 else -1
+    return cosine.max(1)
+
+
+def floors(own: np.ndarray, others: np.ndarray, c: np.ndarray, cluster: np.ndarray, slack: float, enough: int = 20) -> np.ndarray:
+    """The least cosine accepted at each centroid: `slack` of the way from what 99% of the other languages' rows stay below to what 99% of its own
+    rows reach when left out. Centroids of fewer rows than `enough` take their language's; with no other language half of that stands for the others."""
+    reached = left_out(own, c, cluster)
+    out = np.zeros(len(c), np.float32)
+    for i in range(len(c)):
+        mine = reached[cluster == i] if (cluster == i).sum() >= enough else reached
+        low = max(0.0, float(np.quantile(mine, 0.01)))
+        high = float(np.quantile(others @ c[i], 0.99)) if len(others) else low / 2
+        out[i] = min(low, high + slack * (low - high))
+    return out
+
+
 def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 500, k: int = 4, slack: float = 0.35, rounds: int = 12, seed: int = 6) -> LanguageModel:
     """Fits on about `per_lang` rows of each language at most (those whose seeded key hash is low); rows without text or language are left out."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
@@ -126,11 +152,12 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     for j in range(len(langs)):
         own = x[of == j]
         c, cluster = clusters(own, k, rounds, seed)
+        least = floors(own, x[of != j], c, cluster, slack)
         for i in range(len(c)):
             if (cluster == i).any():
                 kept.append(c[i])
                 owner.append(j)
-                floor.append(slack * np.quantile(own[cluster == i] @ c[i], 0.01))
+                floor.append(least[i])
     return LanguageModel(langs, idf, np.array(kept, np.float32).reshape(-1, DIMENSIONS), np.array(owner, int), np.array(floor, np.float32))
 
 

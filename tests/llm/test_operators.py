@@ -15,6 +15,7 @@ from sedimenta.llm.ball_tree import top_inner_products
 from sedimenta.llm.byte_bpe import bpe_round_trip
 from sedimenta.llm.decontaminate import contaminated
 from sedimenta.llm.html_text import render_pages
+from sedimenta.llm.language_id import fit_languages, held_out
 from sedimenta.llm.near_dedup import near_duplicates
 from sedimenta.llm.repeated_bytes import remove_repeats
 from sedimenta.llm.shuffle_shards import shuffle_shards
@@ -201,3 +202,25 @@ def test_decontamination_is_the_same_however_often_an_item_occurs(spark):
     seeded = {i for i, t in enumerate(texts) if {tuple(item[k : k + 3]) for k in range(38)} & {tuple(t[k : k + 3]) for k in range(len(t) - 2)}}
     assert got == {i: (s, s / 80) for i, s in want.items() if s >= 0.45 * 80 and i in seeded}
     assert {120, 121, 122, 123, 132} <= set(got)
+
+
+FOREIGN = [
+    "Wczoraj wieczorem poszliśmy do lasu, żeby zbierać grzyby, ale zaczął padać deszcz i wróciliśmy do domu z pustymi koszami. Babcia ugotowała nam gorącą zupę i opowiadała o dawnych czasach, kiedy wszyscy mieszkali jeszcze na wsi.",
+    "Eilen illalla menimme metsään keräämään sieniä, mutta alkoi sataa ja palasimme kotiin tyhjin korein. Isoäiti keitti meille kuumaa keittoa ja kertoi vanhoista ajoista, jolloin kaikki asuivat vielä maalla.",
+    "Dün akşam mantar toplamak için ormana gittik ama yağmur başladı ve eve boş sepetlerle döndük. Büyükannem bize sıcak çorba pişirdi ve herkesin hâlâ köyde yaşadığı eski günleri anlattı.",
+    "Tegnap este elmentünk az erdőbe gombát szedni, de eleredt az eső, és üres kosárral tértünk haza. Nagymama forró levest főzött nekünk, és a régi időkről mesélt, amikor még mindenki falun lakott.",
+    "Вчера вечером мы пошли в лес за грибами, но начался дождь.",
+    "xqzv wkjf qpwz mnbv zxcv lkjh gfds qwrt plmk ijnb uhbv ygcx tfzq vvkq jjwx",
+    "a a a a a a a a",
+]
+
+
+def test_language_rejects_foreign_and_junk_texts_and_keeps_its_own(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_languages(rows.where(~held_out(F.col("doc_id"))))
+    texts = [t * n for t in FOREIGN for n in (1, 20)]
+    assert not any(model.predict(texts)[2])
+    own = [r.text for r in rows.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]")).select("text").collect()]
+    kept = model.predict(own)[2]
+    print("false rejections:", kept.count(False), "of", len(own))
+    assert len(own) > 300 and kept.count(False) <= 0.02 * len(own)
