@@ -3,13 +3,15 @@
 A surrogate is a keyed permutation of all values of the same format, without fixed points: two values never get the same one, a value gets
 the same one in every document (coreference), and none keeps its own. Digits stay digits, vowels vowels of their script, case
 and separators stay where they are; a card number keeps whether its check digit is right; a known given name becomes another of its gender
-and script.
+and script. A person is found after a title or by a known given name before a surname; each part of the name is then replaced wherever the document
+has it, before or after, by the same surrogate.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,10 @@ CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéê
 CLASS = {c: k for k, letters in enumerate(CLASSES) for c in letters}
 RANGES = [(0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0905, 0x0939)]
 TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
+PARTICLE = "von van der den de del la di da du zu"
+GIVEN_NAMES = frozenset(n for scripts in GIVEN.values() for names in scripts for n in names)
+LISTED = "|".join(sorted(GIVEN_NAMES, key=len, reverse=True))
+BEFORE = rf"(?:(?:{'|'.join(PARTICLE.split())}|[^\W\d_]\.)[ ])*"
 NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 ENTITY = re.compile(
     rf"""(?P<email>(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}(?![\w-]))
@@ -43,10 +49,11 @@ ENTITY = re.compile(
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}(?!\w)|(?<![\w(])(?:\(\d{{3}}\)[ ]?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}(?!\w))
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){{12,18}}(?!\w))
-    |(?P<person>(?<!\w)(?P<title>{TITLE})\.?[ ](?P<names>{NAME}(?:[ ]{NAME}){{0,2}}))""",
+    |(?P<person>(?<!\w)(?:(?:{TITLE})\.?[ ])+{BEFORE}{NAME}(?:[ ]{BEFORE}{NAME}){{0,2}}|(?<!\w)(?:{LISTED})(?:[ ](?:{LISTED})(?!\w))*[ ]{BEFORE}{NAME})""",
     re.X,
 )
-DIGIT, NAMED = re.compile("[0-9@]"), re.compile(rf"(?<!\w)(?:{TITLE})\.?[ ]")
+DIGIT, NAMED, NAMES = re.compile(r"[\d@]"), re.compile(rf"(?<!\w)(?:(?:{TITLE})\.?|{LISTED})[ ]"), re.compile(rf"(?<!\w){NAME}")
+OWN = re.compile("['’]s$")
 
 
 class Permutation:
@@ -90,6 +97,9 @@ def _alphabet(c: str) -> tuple[object, int, int]:
     if low in CLASS:
         k = CLASS[low]
         return k, CLASSES[k].index(low), len(CLASSES[k])
+    if c.isdecimal():
+        value = unicodedata.decimal(c)
+        return (ord(c) - value, ord(c) - value + 9), value, 10
     for a, b in RANGES:
         if a <= ord(c) <= b:
             return (a, b), ord(c) - a, b - a + 1
@@ -125,7 +135,7 @@ def luhn(digits: str) -> int:
 def _card(text: str, key: bytes) -> str:
     d = re.sub(r"\D", "", text)
     new = permuted(d[:-1], key, "card")
-    return _refill(text, new + str((luhn(new) + int(d[-1]) - luhn(d[:-1])) % 10))
+    return _refill(text, new + chr(ord(d[-1]) - int(d[-1]) + (luhn(new) + int(d[-1]) - luhn(d[:-1])) % 10))
 
 
 def _ipv4(text: str, key: bytes) -> str:
@@ -133,7 +143,8 @@ def _ipv4(text: str, key: bytes) -> str:
     for x in text.split("."):
         n = n * 256 + int(x)
     n = Permutation(key, "ipv4", 1 << 32)(n)
-    return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    zero = ord(text[0]) - int(text[0])
+    return ".".join("".join(chr(zero + int(c)) for c in str(n >> s & 255)) for s in (24, 16, 8, 0))
 
 
 def _phone(text: str, key: bytes) -> str:
@@ -159,15 +170,43 @@ def _given(name: str, key: bytes) -> str:
         for k, names in enumerate(scripts):
             if name in names:
                 return names[Permutation(key, f"given:{gender}:{k}", len(names))(names.index(name))]
+    if name.isupper() and name.capitalize() in GIVEN_NAMES:
+        return _given(name.capitalize(), key).upper()
     new = permuted(name, key, "name")
-    while any(new in names for scripts in GIVEN.values() for names in scripts):
+    while new.capitalize() in GIVEN_NAMES:
         new = permuted(new, key, "name")
     return new
 
 
 def _person(text: str, key: bytes) -> str:
-    title, names = re.match(rf"((?:{TITLE})\.?[ ])(.*)", text, re.S).groups()
-    return title + " ".join(_given(n, key) for n in names.split(" "))
+    title, names = re.match(rf"((?:(?:{TITLE})\.?[ ])*)(.*)", text, re.S).groups()
+    return title + "".join(_given(n, key) if k % 2 == 0 and n not in PARTICLE.split() else n for k, n in enumerate(re.split(r"([ -]|['’]s(?![^\W\d_]))", names)))
+
+
+def _parts(text: str) -> set[str]:
+    """The words of a person's name that stand for the person, as written and in capitals."""
+    names = re.sub(rf"^(?:(?:{TITLE})\.?[ ])+", "", text)
+    parts = {n for n in re.split(r"[ -]|['’]s(?![^\W\d_])", names) if len(n) > 1 and n[-1] != "." and n not in PARTICLE.split()}
+    return parts | {n.upper() for n in parts} | {n.capitalize() for n in parts if n.isupper()}
+
+
+def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What was found, and every other place of a part of a found person's name."""
+    parts = {p for a, b, kind in found if kind == "person" for p in _parts(text[a:b])}
+    if not parts:
+        return found
+    out, k = list(found), 0
+    for m in NAMES.finditer(text):
+        at = m.start()
+        while k < len(found) and found[k][1] <= at:
+            k += 1
+        whole = OWN.sub("", m[0])
+        for word in [whole] if whole in parts else whole.split("-"):
+            end = at + len(word)
+            if word in parts and not (k < len(found) and found[k][0] < end):
+                out.append((at, end, "person"))
+            at = end + 1
+    return sorted(out)
 
 
 def surrogate(kind: str, text: str, key: bytes) -> str:
@@ -187,8 +226,9 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of each; none overlap, none goes past its line, and only lines with a digit, @ or title are looked at."""
-    titled = any(t in text for ts in TITLES.values() for t in ts) and NAMED.search(text)
+    """Start, end and kind of each; none overlap, none goes past its line, and only lines with a digit, @, title or given name are looked at
+    before the parts of the names found there are looked for everywhere."""
+    titled = (any(t in text for ts in TITLES.values() for t in ts) or any(n in text for n in GIVEN_NAMES)) and NAMED.search(text)
     if not titled and not DIGIT.search(text) and "password=" not in text:
         return []
     out, at = [], 0
@@ -196,7 +236,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         if DIGIT.search(line) or titled and NAMED.search(line) or "password=" in line:
             out += [(at + m.start(), at + m.end(), next(k for k in KINDS if m[k] is not None)) for m in ENTITY.finditer(line)]
         at += len(line) + 1
-    return out
+    return mentions(text, out)
 
 
 class Replacer:

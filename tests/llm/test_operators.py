@@ -224,3 +224,25 @@ def test_language_rejects_foreign_and_junk_texts_and_keeps_its_own(spark):
     kept = model.predict(own)[2]
     print("false rejections:", kept.count(False), "of", len(own))
     assert len(own) > 300 and kept.count(False) <= 0.02 * len(own)
+
+
+def test_surrogates_follow_a_person_and_all_scripts(spark):
+    texts = [
+        "Becker came.\nDr Anna Becker wrote. Becker added; ANNA's and BECKER's notes, Becker-Lang too. Beckers stay.",
+        "Clara von Berg met Prof. Dr. Hugo Lindt-Maier and Robert Stone. Stone said that Berg and Lindt left. The stone fell.",
+        "هاتف\n+٩٦٦ ٥٥ ١٢٣ ٤٥٦٧\n٤١١١ ١١١١ ١١١١ ١١١١\nend", "कार्ड ४१११ १११১ ११११ ११११ and ۴۱۱۱ ۱۱۱۱ ۱۱۱۱ ۱۱۱۱",
+        "Mary had a lamb. Will Carmen?",
+    ]
+    got = {r.doc_id: r for r in replace_entities(docs(spark, texts), "key").collect()}
+    a = got[0].text
+    first, last = re.search(r"Dr (\w+) (\w+) wrote", a).groups()
+    assert not re.search(r"Anna|ANNA|Becker(?!s)|BECKER", a) and "Beckers stay." in a
+    assert a == f"{last} came.\nDr {first} {last} wrote. {last} added; {first.upper()}'s and {last.upper()}'s notes, {last}-Lang too. Beckers stay."
+    b = got[1].text
+    assert not re.search("Clara|Berg|Hugo|Lindt|Maier|Robert|Stone", b) and "The stone fell." in b and " von " in b and "Prof. Dr. " in b
+    x = re.fullmatch(r"(\w+) von (\w+) met Prof. Dr. (\w+) (\w+)-(\w+) and (\w+) (\w+)\. (\w+) said that (\w+) and (\w+) left\. The stone fell\.", b)
+    assert x and (x[8], x[9], x[10]) == (x[7], x[2], x[4])
+    assert got[2].n_phone == 1 and got[2].n_card == 1 and re.fullmatch("هاتف\n\\+٩٦[٠-٩ ]+\n[٠-٩ ]+\nend", got[2].text)
+    assert "٤١١١ ١١١١" not in got[2].text and "٥٥ ١٢٣" not in got[2].text
+    assert got[3].n_card == 2 and "४१११" not in got[3].text and "۴۱۱۱" not in got[3].text
+    assert got[4].text == texts[4]
