@@ -16,7 +16,7 @@ from sedimenta.llm.near_dedup import near_duplicates
 from sedimenta.llm.queries import SURROGATE_KEY, VOCABULARY
 from sedimenta.llm.rows import filter_rows, rewrite_column
 from sedimenta.sources.scratch import Scratch
-from sedimenta.llm.surrogates import Replacer
+from sedimenta.llm.surrogates import Replacer, settle, surrogate_table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,10 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts with surrogates for personal data, and their length."""
 
+    settled = settle(surrogate_table(docs, SURROGATE_KEY), SURROGATE_KEY)
+
     def change():
-        replace = Replacer(SURROGATE_KEY)
+        replace = Replacer(SURROGATE_KEY, settled)
         return lambda text: replace(text)[0]
 
     done = rewrite_column(docs, "text", change)

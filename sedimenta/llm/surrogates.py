@@ -52,7 +52,7 @@ ENTITY = re.compile(
     |(?P<person>(?<!\w)(?:(?:{TITLE})\.?[ ])+{BEFORE}{NAME}(?:[ ]{BEFORE}{NAME}){{0,2}}|(?<!\w)(?:{LISTED})(?:[ ](?:{LISTED})(?!\w))*[ ]{BEFORE}{NAME})""",
     re.X,
 )
-DIGIT, NAMED, NAMES = re.compile(r"[\d@]"), re.compile(rf"(?<!\w)(?:(?:{TITLE})\.?|{LISTED})[ ]"), re.compile(rf"(?<!\w){NAME}")
+DIGIT, NAMED, NAMES = re.compile(r"[\d@]|A[KS]IA"), re.compile(rf"(?<!\w)(?:(?:{TITLE})\.?|{LISTED})[ ]"), re.compile(rf"(?<!\w){NAME}")
 OWN = re.compile("['’]s$")
 
 
@@ -91,9 +91,18 @@ class Permutation:
         return self._walk((self._walk(x, range(8)) + 1) % self.size, range(7, -1, -1))
 
 
+def _upper(c: str) -> str:
+    return "ẞ" if c == "ß" else c.upper()
+
+
+def _lower(text: str) -> str:
+    """In lower case, but for letters that upper case would not bring back."""
+    return "".join(c.lower() if len(c.lower()) == 1 and _upper(c.lower()) == c else c for c in text)
+
+
 def _alphabet(c: str) -> tuple[object, int, int]:
     """Class, place in it and size of it; size 1 for what stays."""
-    low = c.lower() if len(c.lower()) == 1 else c
+    low = _lower(c)
     if low in CLASS:
         k = CLASS[low]
         return k, CLASSES[k].index(low), len(CLASSES[k])
@@ -117,7 +126,7 @@ def permuted(text: str, key: bytes, kind: str) -> str:
     for c, (k, _, n) in zip(reversed(text), reversed(found), strict=True):
         rank, place = divmod(rank, n)
         new = c if n == 1 else CLASSES[k][place] if isinstance(k, int) else chr(k[0] + place)
-        out.append(new.upper() if n > 1 and c != c.lower() and len(new.upper()) == 1 else new)
+        out.append(_upper(new) if n > 1 and c != _lower(c) else new)
     return "".join(reversed(out))
 
 
@@ -158,11 +167,11 @@ def _email(text: str, key: bytes) -> str:
     """The domain's last label stays; people of one domain stay together."""
     local, _, domain = text.rpartition("@")
     name, _, top = domain.rpartition(".")
-    return f"{_cased(local, permuted(local.lower(), key, 'local'))}@{_cased(name, permuted(name.lower(), key, 'domain'))}.{top}"
+    return f"{_cased(local, permuted(_lower(local), key, 'local'))}@{_cased(name, permuted(_lower(name), key, 'domain'))}.{top}"
 
 
 def _cased(like: str, new: str) -> str:
-    return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for c, n in zip(like, new, strict=True)) if len(like) == len(new) else new
+    return "".join(_upper(n) if c != _lower(c) else n for c, n in zip(like, new, strict=True))
 
 
 def _given(name: str, key: bytes) -> str:
@@ -214,7 +223,10 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "secret":
         if not re.fullmatch(r"[0-9a-fA-F]{32,}", text):
             head = 4 if re.match("AKIA|ASIA", text) else 0
-            return text[:head] + permuted(text[head:], key, f"secret{text[:head]}")
+            new = permuted(text[head:], key, f"secret{text[:head]}")
+            while not head and re.match("AKIA|ASIA|[0-9a-fA-F]{32,}$", new):  # those are surrogates of other formats
+                new = permuted(new, key, "secret")
+            return text[:head] + new
         low = text.lower()
         n = Permutation(key, f"secret:{len(low)}", 16 ** len(low))(int(low, 16))
         return _cased(text, f"{n:0{len(low)}x}")
@@ -225,6 +237,13 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     return by[kind](text, key)
 
 
+def canonical(kind: str, value: str) -> str:
+    """One form for all ways to write a value: addresses as numbers, hexadecimal keys in lower case."""
+    if kind == "ipv4":
+        return ".".join(str(int(x)) for x in value.split("."))
+    return value.lower() if kind == "secret" and re.fullmatch(r"[0-9a-fA-F]{32,}", value) else value
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of each; none overlap, none goes past its line, and only lines with a digit, @, title or given name are looked at
     before the parts of the names found there are looked for everywhere."""
@@ -240,24 +259,21 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 
 class Replacer:
-    """Rewrites texts; two values of a kind with one surrogate raise an error, as the permutations rule it out."""
+    """Rewrites texts; `settled` holds the surrogates of (kind, canonical value) that collided in the corpus."""
 
-    def __init__(self, key: str) -> None:
-        self.key = key.encode()
-        self.known = lru_cache(1 << 16)(lambda kind, value: surrogate(kind, value, self.key))
+    def __init__(self, key: str, settled: dict[tuple[str, str], str] | None = None) -> None:
+        self.key, self.settled = key.encode(), settled or {}
+        self.known = lru_cache(1 << 16)(self._surrogate)
+
+    def _surrogate(self, kind: str, value: str) -> str:
+        return self.settled.get((kind, canonical(kind, value))) or surrogate(kind, value, self.key)
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
-        found, out, at, back = entities(text), [], 0, {}
-        if not found:
-            return text, []
+        found, out, at = entities(text), [], 0
         for start, end, kind in found:
-            value = text[start:end]
-            new = self.known(kind, value)
-            if back.setdefault((kind, new), value) != value:
-                raise ValueError(f"two values of kind {kind} have one surrogate")
-            out += (text[at:start], new)
+            out += (text[at:start], self.known(kind, text[start:end]))
             at = end
-        return "".join(out) + text[at:], [kind for *_, kind in found]
+        return "".join(out) + text[at:] if found else text, [kind for *_, kind in found]
 
 
 def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,10 +281,12 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
 
     Null texts stay null, texts without entities come out as they were, and very long texts are rewritten whole. Repeated rows
     give equal results; a null key stays null; other columns are ignored. The same secret gives the same surrogates in every run.
+    All values of the corpus are checked for collisions first; values that collide get other surrogates.
     """
+    settled = settle(surrogate_table(docs, secret, text), secret)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = Replacer(secret)
+        replace = Replacer(secret, settled)
         for batch in batches:
             texts, counts = [], []
             for value in batch.column(1):
@@ -282,17 +300,33 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
 
 
 def surrogate_table(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
-    """(kind, value, surrogate) of every different entity of all texts."""
+    """(kind, value, surrogate) of every different entity of all texts, values in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replace = Replacer(secret)
         for batch in batches:
-            rows = {(kind, t[a:b]) for t in batch.column(0).to_pylist() if t for a, b, kind in entities(t)}
-            yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in rows], "value": [v for _, v in rows], "surrogate": [replace.known(k, v) for k, v in rows]}, schema=pa.schema([(c, pa.string()) for c in ("kind", "value", "surrogate")]))
+            rows = {(kind, canonical(kind, t[a:b]), replace.known(kind, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, kind in entities(t)}
+            columns = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "value", "surrogate"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, value string, surrogate string").distinct()
 
 
 def surrogate_collisions(table: DataFrame) -> DataFrame:
-    """The collision check over the whole corpus: surrogates that stand for several values; none is expected."""
-    return table.groupBy("kind", "surrogate").agg(F.count_distinct(F.lower("value")).alias("n")).where(F.col("n") > 1)
+    """The collision check over the whole corpus: surrogates that stand for several values, and the least of these; none is expected."""
+    return table.groupBy("kind", "surrogate").agg(F.count_distinct("value").alias("n"), F.min("value").alias("least")).where(F.col("n") > 1)
+
+
+def settle(table: DataFrame, secret: str) -> dict[tuple[str, str], str]:
+    """Other surrogates, that no value has, for all values that share one but the least of them."""
+    clashes, out = surrogate_collisions(table).collect(), {}
+    for clash in clashes:
+        same = table.where((F.col("kind") == clash["kind"]) & (F.col("surrogate") == clash["surrogate"]) & (F.col("value") != clash["least"]))
+        for value in sorted(r["value"] for r in same.select("value").distinct().collect()):
+            new, k = clash["surrogate"], 0
+            while new == value or (clash["kind"], new) in {(kind, s) for (kind, _), s in out.items()} or not table.where((F.col("kind") == clash["kind"]) & (F.col("surrogate") == new)).isEmpty():
+                new, k = surrogate(clash["kind"], value, f"{k}:{secret}".encode()), k + 1
+                if k > 1000:
+                    raise ValueError(f"no surrogate of kind {clash['kind']} is left for a value")
+            out[clash["kind"], value] = new
+    return out

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sedimenta.llm import queries
+from sedimenta.llm import queries, surrogates
 from sedimenta.llm.ball_tree import top_inner_products
 from sedimenta.llm.byte_bpe import bpe_round_trip
 from sedimenta.llm.decontaminate import contaminated
@@ -246,3 +246,19 @@ def test_surrogates_follow_a_person_and_all_scripts(spark):
     assert "٤١١١ ١١١١" not in got[2].text and "٥٥ ١٢٣" not in got[2].text
     assert got[3].n_card == 2 and "४१११" not in got[3].text and "۴۱۱۱" not in got[3].text
     assert got[4].text == texts[4]
+
+
+def test_surrogates_do_not_collide(spark):
+    hexes = "aB1c" * 8, "ab1c" * 8
+    texts = ["10.0.0.1 and 10.0.0.01", "10.0.0.01", "10.0.0.1", f"'{hexes[0]}' '{hexes[1]}'", "1.2.3.4", "Dr Maça, Dr MAÇA, Dr Maßa, Dr MAẞA, xK@k.org, xK@k.org"]
+    got = {r.doc_id: r.text for r in replace_entities(docs(spark, texts), "key").collect()}
+    assert got[0] == f"{got[2]} and {got[1]}" and got[1] == got[2] and got[4] != got[2]
+    assert got[3].lower()[1:33] == got[3].lower()[36:68] and hexes[1] not in got[3].lower()
+    assert "AKIA" + "QWERTYUIOPASDFGH" not in replace_entities(docs(spark, ["key AKIA" + "QWERTYUIOPASDFGH"]), "key").first().text
+    assert len(set(got[5].split(", "))) == 6
+    every = [f"Dr {c}{d}a" for c in "ÀÇẞŽàçß" for d in "çßñÇẞÑ"]
+    assert len({surrogates.surrogate("person", v, b"key") for v in every}) == len(every)
+    table = spark.createDataFrame([("ssn", "111-11-1111", "222-22-2222"), ("ssn", "333-33-3333", "222-22-2222"), ("ssn", "444-44-4444", "555-55-5555")], "kind string, value string, surrogate string")
+    settled = surrogates.settle(table, "key")
+    assert set(settled) == {("ssn", "333-33-3333")} and not set(settled.values()) & {"222-22-2222", "333-33-3333", "555-55-5555"}
+    assert surrogates.Replacer("key", settled)("id 333-33-3333.")[0] == f"id {settled['ssn', '333-33-3333']}."
