@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages.
 
 A tree builder supplies the tags that HTML implies (a `p`, list item, cell or row ends where the next begins), a visibility pass drops
-what a browser doesn't show, and a renderer writes the rest: blank lines between blocks, list markers with indents, and
+what a browser doesn't show (of formulas and drawings it keeps the text shown, of inputs the values of buttons), and a renderer writes the rest: blank lines between blocks, list markers with indents, and
 table cells in aligned columns. All steps run on explicit stacks, so deep nesting is no danger.
 """
 
@@ -28,7 +28,7 @@ HIDDEN_STYLE, SHOWN_STYLE, NO_BOX = (re.compile(p, re.I) for p in (r"visibility\
 # Fixed values of the HTML standard: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
 MARGIN = frozenset("p blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = (BLOCK - frozenset("body html caption optgroup option tbody td tfoot th thead tr legend".split())) - {"p"} | {"p"}
@@ -46,6 +46,13 @@ ENDED_BY = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+#: Of a drawing the elements whose text a browser draws or looks into; of a formula those whose text it doesn't show.
+SVG_SHOWN, SVG_TEXT = frozenset("svg g a switch text tspan textpath foreignobject".split()), frozenset("text tspan textpath".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: Where HTML goes on inside these, and the tags that end them elsewhere.
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var br".split())
+BUTTONS = frozenset("submit reset button".split())
 SCOPE = frozenset("table td th caption html template object".split())
 
 
@@ -84,6 +91,14 @@ def parse(source: str) -> Node:
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
 
+    def foreign() -> bool:
+        """Inside a drawing or formula, where no HTML goes on."""
+        if open_tags.get("svg") or open_tags.get("math"):
+            for node in reversed(stack):
+                if node.tag in HTML_INSIDE or node.tag in ("svg", "math"):
+                    return node.tag in ("svg", "math")
+        return False
+
     while at < len(source):
         m = match(source, at)
         at = m.end()
@@ -99,6 +114,10 @@ def parse(source: str) -> Node:
                 continue
             if tag not in ("title", "meta", "link", "base", "script", "style", "template", "noscript") and open_tags.get("head"):
                 close({"head"}, frozenset())  # the body begins, whether its tag is there or not
+            if tag in BREAKOUT and foreign():
+                close({"svg", "math"}, HTML_INSIDE)
+            elif m["attrs"].endswith("/") and (tag in ("svg", "math") or foreign()):
+                continue
             if tag in CLOSES_P and open_tags.get("p"):
                 close({"p"}, SCOPE)
             if tag in ENDED_BY:
@@ -112,7 +131,7 @@ def parse(source: str) -> Node:
                 node = Node(tag, attrs)
                 node.children.append(inner if tag in RAW else entities.unescape(inner))
                 stack[-1].children.append(node)
-            elif not m["attrs"].endswith("/") or tag not in ("svg", "math"):
+            else:
                 start(tag, attrs)
         elif tag := (m["end"] or "").lower():
             if tag == "br":
@@ -213,12 +232,12 @@ def table_lines(rows: list[list[tuple[list[str], int]]], widest: int = 80) -> li
 def render(root: Node) -> tuple[str, int, int, int]:
     """The visible text, and the numbers of text lines, list items and tables."""
     flows, tables, lists, items, blocks, n_tables = [Flow()], [], [], 0, 0, 0
-    todo: list[tuple] = [("in", root, False, False)]
+    todo: list[tuple] = [("in", root, False, False, "")]
     while todo:
-        step, node, hidden, pre = todo.pop()
+        step, node, hidden, pre, space = todo.pop()  # space: svg, svg text or math inside one of these
         flow = flows[-1]
         if isinstance(node, str):
-            if not hidden:
+            if not hidden and space != "svg":
                 flow.text(node, pre)
             continue
         tag, attrs = node.tag, node.attrs
@@ -251,10 +270,12 @@ def render(root: Node) -> tuple[str, int, int, int]:
                 flow.gap = 1
             elif tag == "q":
                 flow.text("”", True)
+            elif tag == "text":
+                flow.text(" ", False)
             elif tag in BLOCK:
                 flow.block(tag in MARGIN)
             continue
-        if tag in UNSEEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "input" or tag == "dialog" and "open" not in attrs:
+        if tag in UNSEEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in attrs:
             continue
         if style := attrs.get("style", ""):
             if NO_BOX.search(style):
@@ -263,6 +284,24 @@ def render(root: Node) -> tuple[str, int, int, int]:
         if tag == "br":
             flow.flush(True)
             continue
+        if tag == "input":
+            if attrs.get("type", "").strip().lower() in BUTTONS and attrs.get("value") and not hidden:
+                flow.text(f" {attrs['value']} ", False)
+            continue
+        if tag == "math":
+            space = "math"
+        elif space == "math" and tag in MATH_UNSEEN:
+            continue
+        elif tag == "svg":
+            space = "svg"
+        elif space.startswith("svg"):
+            if tag not in SVG_SHOWN or attrs.get("display", "").strip() == "none":
+                continue
+            if shown := attrs.get("visibility", "").strip():
+                hidden = shown in ("hidden", "collapse")
+            space = "" if tag == "foreignobject" else "svg text" if tag in SVG_TEXT else space
+            if tag == "text":
+                flow.text(" ", False)
         children = node.children
         if tag == "details" and "open" not in attrs:
             children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
@@ -299,9 +338,9 @@ def render(root: Node) -> tuple[str, int, int, int]:
         elif tag in BLOCK:
             flow.block(tag in MARGIN)
         pre = pre or tag in ("pre", "textarea", "listing")
-        if tag in BLOCK or tag == "q":
-            todo.append(("out", node, hidden, pre))
-        todo += [("in", child, hidden, pre) for child in reversed(children)]
+        if tag in BLOCK or tag == "q" or tag == "text" and space == "svg text":
+            todo.append(("out", node, hidden, pre, space))
+        todo += [("in", child, hidden, pre, space) for child in reversed(children)]
     lines = flows[0].rendered()
     return "\n".join(lines), blocks + flows[0].blocks, items, n_tables
 

@@ -262,3 +262,16 @@ def test_surrogates_do_not_collide(spark):
     settled = surrogates.settle(table, "key")
     assert set(settled) == {("ssn", "333-33-3333")} and not set(settled.values()) & {"222-22-2222", "333-33-3333", "555-55-5555"}
     assert surrogates.Replacer("key", settled)("id 333-33-3333.")[0] == f"id {settled['ssn', '333-33-3333']}."
+
+
+def test_rendering_of_formulas_drawings_and_buttons(spark):
+    html = (
+        "<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>42</mn><mphantom><mi>ghost</mi></mphantom></mrow><annotation encoding='t'>anno</annotation></semantics></math> hold."
+        "<svg><title/><title>svgtitle</title><desc>svgdesc</desc><defs><text>svgdefs</text></defs>loose<rect width='1'/><g><text x='1'>Label <tspan>one</tspan></text><a href='#'><text>Link</text></a></g>"
+        "<text display='none'>gone</text><g visibility='hidden'><text>unseen</text></g><path d='M0'/><text><textPath href='#p'>Curve</textPath></text><foreignObject><p>Inner</p></foreignObject></svg>after"
+        "<form><input type=submit value='Send it'><input type='BUTTON' value='Go'><input type=reset value='Clear'><input type=hidden value='token'><input type=submit value='nope' style='display:none'><input value='typed'></form>"
+        "<svg><rect><p>Broken out"
+    )
+    text = render_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().text
+    assert "Let x=42 hold." in text and "Label one Link Curve" in text and "Inner" in text and "after" in text and "Send it Go Clear" in text and "Broken out" in text
+    assert not re.search("ghost|anno|svgtitle|svgdesc|svgdefs|loose|gone|unseen|token|nope|typed", text)
