@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     Two documents are linked where 100 * |A and B| >= percent * |A or B|. A document without words has an empty set and stands alone. Equal texts,
     repeated rows and repeated keys share a component; a null key takes part, is never the least unless alone, and isn't kept. Buckets of more than
     `most` nodes, or whose sets take more than `room` bytes, are cut into blocks, of which all pairs are compared; none is dropped.
-    The banding misses a pair at exactly the threshold about once in 200,000 and closer ones still less often.
+    The banding and the signatures' estimate together miss a pair at exactly the threshold about once in 200,000 and closer ones still less often.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in nearly as many places as a link's would (four standard deviations less)."""
+    """Pairs whose signatures agree in nearly as many places as a link's would (six standard deviations less)."""
     least = estimate_floor(percent)
     of = nodes.select("node", "signature")
     both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
@@ -163,7 +163,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def estimate_floor(percent: int) -> int:
     share = percent / 100
-    return int(PLACES * share - 4 * (PLACES * share * (1 - share)) ** 0.5)
+    return int(PLACES * share - 6 * (PLACES * share * (1 - share)) ** 0.5)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sedimenta.llm import queries, surrogates
+from sedimenta.llm import near_dedup, queries, surrogates
 from sedimenta.llm.ball_tree import top_inner_products
 from sedimenta.llm.byte_bpe import bpe_round_trip
 from sedimenta.llm.decontaminate import contaminated
@@ -275,3 +276,8 @@ def test_rendering_of_formulas_drawings_and_buttons(spark):
     text = render_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().text
     assert "Let x=42 hold." in text and "Label one Link Curve" in text and "Inner" in text and "after" in text and "Send it Go Clear" in text and "Broken out" in text
     assert not re.search("ghost|anno|svgtitle|svgdesc|svgdefs|loose|gone|unseen|token|nope|typed", text)
+
+
+def test_signature_estimate_misses_far_less_than_banding():
+    agree = lambda k: math.comb(near_dedup.PLACES, k) * 0.75**k * 0.25 ** (near_dedup.PLACES - k)
+    assert sum(map(agree, range(near_dedup.estimate_floor(75)))) < 0.01 * (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS
