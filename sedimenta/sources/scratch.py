@@ -37,13 +37,17 @@ class Scratch:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more; those that aren't there are passed over."""
+        for name in names:
+            self._delete(self.path(name))
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
         try:
-            self.drop("")
+            self._delete(self.root)
         except Exception:  # the session has ended
             pass
