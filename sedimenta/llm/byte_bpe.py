@@ -17,7 +17,9 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from sedimenta.llm.rows import held_by_worker
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
@@ -32,6 +34,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000) -> None:
         self.pattern, self.memo = regex.compile(pattern), memo
+        self.decimal = {rank: str(rank) for rank in ranks.values()}
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.text = {rank: token for token, rank in self.ids.items()}
@@ -132,15 +135,16 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_codecs: dict[int, Codec] = {}
+def _codec(shared: Broadcast, version: str) -> Codec:
+    """One for each Python worker, as long as its tasks encode with this vocabulary and pattern."""
+    return held_by_worker("byte_bpe", version, lambda: Codec(*shared.value))
 
 
-def _codec(shared: Broadcast) -> Codec:
-    """One for each Python worker."""
-    if id(shared) not in _codecs:
-        _codecs.clear()
-        _codecs[id(shared)] = Codec(*shared.value)
-    return _codecs[id(shared)]
+def _sent(spark: SparkSession, vocabulary: str, pattern: str) -> tuple[Broadcast, str]:
+    """The vocabulary's content for the executors, and a digest of all that the codec depends on."""
+    ranks = read_ranks(vocabulary)
+    named = hashlib.sha256(pattern.encode() + b"".join(b"%d %d " % (rank, len(token)) + token for token, rank in ranks.items()))
+    return spark.sparkContext.broadcast((ranks, pattern)), named.hexdigest()
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,17 +153,16 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "d
     vocabulary is the path of a rank file on the driver; its content, which no data makes larger, is sent to the executors.
     Null and empty texts have no ids and the hash of nothing. Repeated rows and keys each give a row; a null key stays null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared, version = _sent(docs.sparkSession, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
-        decimal = {rank: str(rank) for rank in codec.bytes}
+        codec = _codec(shared, version)
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 ids = codec.encode(text.as_py() or "")
                 decoded = codec.decode(ids)
-                rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded)))
+                rows.append((len(ids), hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded)))
             n, ids, decoded, size = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(size, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
@@ -168,10 +171,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "d
 
 def bpe_ids(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id and the ids themselves (array<int>)."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared, version = _sent(docs.sparkSession, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, version)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

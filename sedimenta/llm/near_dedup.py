@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytehash import BLANK, LOWER, U, column_bytes, gram_hashes, mix64, pieces, word_hashes, words
+from sedimenta.llm.rows import tidy
 from sedimenta.operators.components import connected_components
 from sedimenta.sources.scratch import Scratch
 
@@ -76,6 +77,7 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, places: int
 
 def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text): the set's size and digest, the hashes of its bands, and a byte of each place of its signature with 4 of each band."""
+    tidy()
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -87,21 +89,27 @@ def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 key = np.tile(np.arange(BANDS, dtype=np.uint64), (j - i, 1))
                 for k in range(ROWS):
                     key = mix64(key * U(0x9E3779B97F4A7C15) + bands[:, :, k])
-                nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                nodes = [digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in np.concatenate(((signature >> U(56)).astype(np.uint8), key.astype(np.uint32).view(np.uint8)), axis=1)], pa.binary())],
                     names=["doc_id", "n_shingles", "node", "bands", "signature"],
                 )
 
 
+def digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def whole_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of (node, text): the node and its set."""
+    """Of (node, text): the node, the digest of the text's set, and the set."""
+    tidy()
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for i, j in pieces(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                held = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([digest(s) for s in held], pa.binary()), pa.array(held, pa.binary())], names=["node", "made", "shingles"])
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
@@ -137,9 +145,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     stars = scratch.keep(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = scratch.keep(_confirmed(scratch.keep(_close(stars, nodes, percent), "tried"), nodes, rows, scratch, width, percent), "links-0")
     labels = scratch.keep(connected_components(links, scratch, "first"), "labels")
+    scratch.drop("stars", "tried", "sets-stars", "first")
     found = scratch.keep(_across(members, nodes, rows, labels, scratch, width, percent, most, room), "links-1")
     if not found.isEmpty():
         labels = scratch.keep(connected_components(links.unionByName(found), scratch, "second"), "labels-2")
+    scratch.drop("nodes", "members", "held", "dealt", "sets-across", "links-0", "links-1", "second")
     labelled = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = labelled.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -181,9 +191,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scr
 
 def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of nodes (node, doc_id), each made once, from the text of the node's least document."""
-    made = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(lambda b: whole_sets(b, width), "node binary, shingles binary")
-    digest = F.udf(lambda s: hashlib.blake2b(bytes(s), digest_size=16).digest(), "binary")
-    return made.where(digest("shingles") == F.col("node")).dropDuplicates(["node"])  # a key may have several texts
+    made = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(lambda b: whole_sets(b, width), "node binary, made binary, shingles binary")
+    return made.where("made = node").select("node", "shingles").dropDuplicates(["node"])  # a key may have several texts
 
 
 def _across(members: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataFrame, scratch: Scratch, width: int, percent: int, most: int, room: int) -> DataFrame:
