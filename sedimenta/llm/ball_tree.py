@@ -1,14 +1,15 @@
 """Exact top-k by inner product with a ball tree in each shard.
 
-Candidates are dealt into shards; each task builds a ball tree over its shard and answers all queries by branch and bound. A node's inner products
-are at most <query, centre> + |query| * radius; nodes are taken in the order of that bound, and a query ends where the
-bound falls below the k-th score it has. A first pass over a few candidates gives every query a k-th score that all shards
-share from the start.
+Candidates are dealt into shards by a hash, and each shard's ball tree is built once and written. The trees answer queries by branch and bound: a node's
+inner products are at most <query, centre> + |query| * radius; nodes are taken in the order of that bound, and a query ends where
+the bound falls below the k-th score it has. Shards are asked in waves, each several times as large as all before it; after a wave, every query's k-th
+score over all shards so far goes to the next, where most trees are left at their root.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.rows import tidy
+from sedimenta.sources.scratch import Scratch
+
+TREE = "shard int, width int, tree binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -78,15 +83,13 @@ class BallTree:
                 continue
             a, b = self.spans[node]
             scores = self.rows[a:b] @ query
-            at = np.flatnonzero(scores >= least)
+            at = np.flatnonzero((scores >= least) & (self.ids[a:b] != own))
             if len(at) > 4 * k:  # only those that can be among the best here, with all ties of the last
                 edge = np.partition(scores[at], len(at) - k - 1)[len(at) - k - 1]
                 at = at[scores[at] >= edge]
-                at = at[np.lexsort((self.ids[a:b][at], -scores[at]))][: k + 1]
+                at = at[np.lexsort((self.ids[a:b][at], -scores[at]))][:k]
             for i in at.tolist():
                 entry = (int(scores[i]), -int(self.ids[a + i]))
-                if -entry[1] == own:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -96,66 +99,81 @@ class BallTree:
         return best
 
 
-def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", shards: int | None = None, shard_rows: int = 20_000, block: int = 4096, first: int = 2048) -> DataFrame:
+def top_inner_products(
+    queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None, shards: int | None = None, shard_rows: int = 20_000, block: int = 4096, growth: int = 8
+) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
     Components count as floor(256 * x); their products must stay below 2**53. Vectors that are null or hold a null or a number that isn't finite take no part,
     nor do null keys. All rows with the query's own key are left out; repeated rows of another key count once each. Vectors of other lengths than the query's
-    are not compared with it. An empty table gives no rows. Queries go over the candidates in blocks of `block`, which bounds what is sent to
-    the executors; each task holds a shard of about `shard_rows`, and sends at most k rows for each query.
+    are not compared with it. An empty table gives no rows. Queries go over the trees in blocks of about `block`, which bounds what is sent to
+    the executors and comes back (k scores a query); a tree holds about `shard_rows` rows, and sends at most k rows for each query.
     """
     spark = candidates.sparkSession
+    scratch = scratch or Scratch(spark, "ball-trees")
     shape = lambda df: df.select(df[key].cast("long").alias("vec_id"), quantised(df[vector]).alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    rows, asked = shape(candidates), shape(queries)
-    sizes = [(r["d"], r["n"]) for r in asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]
-    total = rows.count()
+    asked = shape(queries)
+    total = candidates.count()
     shards = shards or max(spark.sparkContext.defaultParallelism, -(-total // shard_rows))
-    dealt = rows.repartition(shards, F.xxhash64("vec_id", "v"))
+    dealt = shape(candidates).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    built = dealt.repartition(shards, "shard").groupBy("shard", F.size("v").alias("width")).applyInArrow(_tree, TREE)
+    trees = scratch.keep(built, "trees")
+    sizes = sorted((r["d"], r["n"]) for r in asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect())
     out = None
     for width, n in sizes:
         blocks = -(-n // block)
         for b in range(blocks):
             mine = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b))
-            got = [(r["vec_id"], r["v"]) for r in mine.toLocalIterator()]
-            held = {"ids": np.array([i for i, _ in got], np.int64), "rows": np.array([v for _, v in got], np.float64).reshape(len(got), width)}
-            share = min(1.0, first / max(1, total))
-            start = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(1_000_003)) <= share * 1_000_003)
-            held["least"] = np.full(len(got), -np.inf)
-            scores: dict[int, list[int]] = {}
-            for r in _answers(start.coalesce(1), held, k).toLocalIterator():
-                scores.setdefault(r["query_id"], []).append(r["score"])
-            for i, q in enumerate(held["ids"].tolist()):
-                if len(scores.get(q, ())) >= k:
-                    held["least"][i] = sorted(scores[q])[-k]
-            found = _answers(dealt, held, k)
-            out = found if out is None else out.unionByName(found)
+            got = sorted((r["vec_id"], r["v"]) for r in mine.toLocalIterator())
+            held = {"ids": np.array([i for i, _ in got], np.int64), "rows": np.array([v for _, v in got], np.float64).reshape(len(got), width), "least": np.full(len(got), -np.inf)}
+            best, low, high = None, 0, 1
+            while low < shards:
+                wave = _answers(trees.where((F.col("width") == width) & (F.col("shard") >= low) & (F.col("shard") < high)), held, k)
+                best = scratch.keep(_best(wave if best is None else best.unionByName(wave), k), f"best-{width}-{b}-{low}")
+                low, high = high, min(shards, high * growth)
+                if low < shards:
+                    kth = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+                    scores = {r["query_id"]: r["least"] for r in kth.toLocalIterator()}
+                    held = held | {"least": np.array([scores.get(q, -np.inf) for q in held["ids"].tolist()], float)}
+            out = best if out is None else out.unionByName(best)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return _ranked(out, k)
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, ties to the smaller id; a query has k rows a tree at most."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best").alias("e")).select("query_id", F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of all shards' best: a few rows for each shard and query."""
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "e")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score")
     )
 
 
-def _answers(shard: DataFrame, held: dict[str, np.ndarray], k: int) -> DataFrame:
-    shared = shard.sparkSession.sparkContext.broadcast(held)
+def _tree(part: pa.Table) -> pa.Table:
+    """A shard's tree in one row: its arrays, rows in the order of the leaves. A shard's rows are bounded."""
+    tidy()
+    width = part.column("width")[0].as_py() if "width" in part.column_names else len(part.column("v")[0].as_py())
+    rows = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    tree = BallTree(part.column("vec_id").to_numpy(), rows)
+    return pa.table({"shard": pa.array([part.column("shard")[0].as_py()], pa.int32()), "width": pa.array([width], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+
+def _answers(trees: DataFrame, held: dict[str, np.ndarray], k: int) -> DataFrame:
+    shared = trees.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, ids, rows = shared.value, [], []
-        width = queries["rows"].shape[1]
+        tidy()
+        queries = shared.value
         for batch in batches:
-            column = batch.column(1)
-            right = pa.compute.equal(pa.compute.list_value_length(column), width)
-            ids.append(batch.column(0).filter(right).to_numpy(zero_copy_only=False))
-            rows.append(column.filter(right).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-        tree = BallTree(np.concatenate(ids), np.concatenate(rows)) if ids else BallTree(np.zeros(0, np.int64), np.zeros((0, width)))
-        out = [(q, -i, s) for q, v, least in zip(queries["ids"].tolist(), queries["rows"], queries["least"].tolist(), strict=True) for s, i in tree.top(v, q, k, least)]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return shard.mapInArrow(run, FOUND)
+            for packed in batch.column(0):
+                tree = pickle.loads(packed.as_buffer())
+                out = [(q, -i, s) for q, v, least in zip(queries["ids"].tolist(), queries["rows"], queries["least"].tolist(), strict=True) for s, i in tree.top(v, q, k, least)]
+                columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return trees.select("tree").mapInArrow(run, FOUND)
