@@ -135,21 +135,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
         base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes"
     )
     entry = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
-    full = entry.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # tables of their own, so that Spark can split the nodes of a bucket that has very many
+    full = scratch.keep(entry.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "full")
     members = scratch.keep(entry.join(full, "bucket"), "members")
     # what the others were copied from shares more buckets, and larger ones, than they share with each other
     rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
     centres = members.where("n > 2").join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("centre"))
     centres = centres.unionByName(members.where("n = 2").groupBy("bucket").agg(F.min("node").alias("centre")))
-    apart = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
+    apart = members.join(scratch.keep(centres, "centres"), "bucket").where(F.col("node") != F.col("centre"))
     stars = scratch.keep(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = scratch.keep(_confirmed(scratch.keep(_close(stars, nodes, percent), "tried"), nodes, rows, scratch, width, percent), "links-0")
     labels = scratch.keep(connected_components(links, scratch, "first"), "labels")
-    scratch.drop("stars", "tried", "sets-stars", "first")
+    scratch.drop("full", "centres", "stars", "tried", "sets-stars", "first")
     found = scratch.keep(_across(members, nodes, rows, labels, scratch, width, percent, most, room), "links-1")
     if not found.isEmpty():
         labels = scratch.keep(connected_components(links.unionByName(found), scratch, "second"), "labels-2")
-    scratch.drop("nodes", "members", "held", "dealt", "sets-across", "links-0", "links-1", "second")
+    scratch.drop("nodes", "members", "held", "several", "dealt", "sets-across", "links-0", "links-1", "second")
     labelled = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = labelled.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -201,6 +202,7 @@ def _across(members: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataF
     n, size = F.count("*"), 8 * F.sum("n_shingles")
     several = held.groupBy("bucket").agg(F.ceil(F.greatest(n / most, size / room)).cast("int").alias("fills"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     several = several.where(F.col("lo") != F.col("hi")).select("bucket", F.when(F.col("fills") <= 1, 1).otherwise(2 * F.col("fills")).alias("blocks"))
+    several = scratch.keep(several, "several")
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     dealt = held.join(several, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "node", "component")
