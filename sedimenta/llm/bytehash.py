@@ -28,7 +28,11 @@ BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * U(BASE))
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any span, from sums over prefixes."""
+    """Polynomial hashes modulo 2**64 of any span, from sums over prefixes.
+
+    With `wide`, the symbols are the mixed 8-byte words that begin at each byte, so that no arithmetic relation between single bytes (as in
+    Thue-Morse words, which have equal polynomial hashes modulo 2**64 in any base) carries over; spans then have 8 bytes at least.
+    """
 
     _power = _inverse = np.ones(1, np.uint64)
 
@@ -42,14 +46,22 @@ class Rolling:
                 setattr(cls, name, np.cumprod(t, dtype=np.uint64))
         return cls._power, cls._inverse
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, wide: bool = False) -> None:
         power, self.inverse = self.tables(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE[data] * power[: len(data)], out=self.sums[1:])
+        self.sums, self.short = np.zeros(len(data) + 1, np.uint64), 7 * wide
+        if wide:
+            symbol = np.zeros(len(data), np.uint64)
+            padded = np.concatenate((data, np.zeros(7, np.uint8)))
+            for k in range(8):
+                symbol |= padded[k : k + len(data)].astype(np.uint64) << U(8 * k)
+            symbol = mix64(symbol + U(BASE))
+        else:
+            symbol = BYTE[data]
+        np.cumsum(symbol * power[: len(data)], out=self.sums[1:])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from start to end; the length isn't part of it."""
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+        return (self.sums[end - self.short] - self.sums[start]) * self.inverse[start]
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

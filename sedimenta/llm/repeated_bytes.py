@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bytehash import Rolling, U, column_bytes, mix64, pieces
+from sedimenta.llm.rows import tidy
 from sedimenta.sources.scratch import Scratch
 
 CORE = 101
@@ -47,7 +48,7 @@ def window_minima(keys: np.ndarray, size: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of the texts with at least `length` bytes: row, core hash, context hash, place, and the least and the greatest distance at which a string can begin."""
     window = length - CORE + 1
-    rolling = Rolling(data)
+    rolling = Rolling(data, wide=True)
     long = np.flatnonzero(np.diff(offsets) >= length)
     found, rows = [], []
     if not len(long):
@@ -61,8 +62,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         if keys is not None:
             least = window_minima(keys[a:b] | np.arange(b - a, dtype=np.uint64), window)
             at = np.unique(least & U((1 << 24) - 1)).astype(np.int64) + a
-        else:  # a text of over 16 MB: ranks serve as keys
-            order = np.argsort(core[a:b], kind="stable")
+        else:  # a text of over 16 MB: ranks by the same upper bits serve as keys
+            order = np.argsort(core[a:b] & ~U((1 << 24) - 1), kind="stable")
             rank = np.empty(b - a, np.uint64)
             rank[order] = np.arange(b - a, dtype=np.uint64)
             at = order[np.unique(window_minima(rank, window)).astype(np.int64)] + a
@@ -79,6 +80,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text_hash, text): a row for each different context of a text, at its first place, with the number of its places; and one without
     a core for each stretch that contexts cover which occur twice in the text itself."""
+    tidy()
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
@@ -276,8 +278,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, most: int) ->
     contexts = rows.groupBy("core", "context").agg(F.sum("times").alias("n"), F.count("*").alias("texts"), F.min(F.struct("doc_id", "text_hash", "at", "low", "high")).alias("first"))
     contexts = scratch.keep(contexts, "contexts")
     cores = contexts.groupBy("core").agg(F.sum("n").alias("all"), F.count("*").alias("k")).where(F.col("all") > 1)
-    shared = scratch.keep(contexts.join(cores, "core").select("core", "context", "n", "texts", "k", "first.*"), "shared")
-    scratch.drop("contexts")
+    # a table of its own, so that Spark can split the contexts of a core that has very many
+    shared = scratch.keep(contexts.join(scratch.keep(cores, "cores"), "core").select("core", "context", "n", "texts", "k", "first.*"), "shared")
+    scratch.drop("contexts", "cores")
 
     mixed = shared.where("k > 1")
     surrounding = scratch.keep(_surroundings(docs, mixed, length), "surroundings")
@@ -391,6 +394,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, key: str = "
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     spans = scratch.keep(repeated_spans(rows, scratch, length, most).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop("anchors", "shared", "surroundings", "covered", *(f"told-{k}" for k in range(4)))
     joined = rows.join(spans, rows.doc_id.eqNullSafe(spans.doc_id) & (rows.text_hash == spans.text_hash), "left").select(rows.doc_id, rows.text, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
