@@ -16,9 +16,9 @@ from sedimenta.llm.language_id import fit_languages, held_out, identify_language
 from sedimenta.llm.near_dedup import near_duplicates
 from sedimenta.llm.repeated_bytes import remove_repeats
 from sedimenta.sources.scratch import Scratch
-from sedimenta.llm.shuffle_shards import shuffle_shards
+from sedimenta.llm.shuffle_shards import shuffle_shards, write_shards
 from sedimenta.llm.surrogates import replace_entities
-from sedimenta.llm.warc_index import merge_runs, sorted_runs, write_archives
+from sedimenta.llm.warc_index import merge_runs, positions, sorted_runs, write_archives
 
 #: The key of the surrogates; a deployment passes its own.
 SURROGATE_KEY = "sedimenta"
@@ -42,7 +42,7 @@ def op4_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shuffled = shuffle_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    shuffled = write_shards(shuffle_shards(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark, "shards").path("written"))
     text = F.coalesce("record.text", F.lit(""))
     return shuffled.select(
         F.col("record.doc_id").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -60,7 +60,7 @@ def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path("archives"))
     runs = scratch.keep(sorted_runs(spark, scratch.path("archives")), "runs")
-    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = scratch.keep(merge_runs(runs), "index")
+    return positions(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +115,15 @@ SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_warc_index_merge": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        WITH u AS (
+            SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages),
+        p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS captured_at,
+                   array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE lower(path) END || CASE query WHEN '' THEN '' ELSE '?' || lower(array_to_string(list_sort(string_split(query, '&')), '&')) END AS url_key
+            FROM u),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
         SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN first <> page_id THEN first END AS refers_to
+               CASE WHEN first <> page_id THEN first END AS refers_to, url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position
         FROM p LEFT JOIN f ON f.d = p.d AND n >= 100""",
 }

@@ -1,8 +1,9 @@
 """WARC archives and their capture index.
 
 Pages are written as WARC/1.1 records through Spark's own writer, equal payloads as revisits of one response. Reading gives each archive's
-captures as a run sorted by URL key and time; the runs are dealt out by ranges of (key, time, page) and a loser tree merges, in
-each range, the slices of all runs. The rows then are in one order over all partitions: the capture history of every URL.
+captures as a run sorted by URL key and time; the runs are dealt out by ranges of (key, time, page), Spark sorts each range by run, on disk where it must,
+and a loser tree merges the slices of all runs, which wait as Arrow batches. The rows then are in one order over all partitions: the capture
+history of every URL.
 """
 
 from __future__ import annotations
@@ -13,16 +14,27 @@ import io
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sedimenta.llm.rows import tidy
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, seq int"
 INDEX = RUN.replace(", seq int", "") + ", part int, at long"
 
 
+def utc_stamp(seconds: Column) -> Column:
+    """Seconds since 1970 as a WARC date. Days and times of day are told apart by division, so that no session's time zone takes part."""
+    day = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(seconds / 86400).cast("int")).cast("string")
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    of_day = F.pmod(seconds, F.lit(86400))
+    return F.concat(day, F.lit("T"), two(F.floor(of_day / 3600)), F.lit(":"), two(F.floor(of_day / 60) % 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
+
+
 def record_text(page: Column, url: Column, seconds: Column, payload: Column, digest: Column, first: Column) -> Column:
     """A whole record but for the last line end, which the writer sets."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -34,7 +46,7 @@ def record_text(page: Column, url: Column, seconds: Column, payload: Column, dig
         line("WARC-Type", F.when(first.isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
         line("WARC-Record-ID", urn(page)),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "%0A")), F.lit("")),
-        line("WARC-Date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", utc_stamp(seconds)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         F.when(first.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), line("WARC-Refers-To", urn(first)))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -43,14 +55,15 @@ def record_text(page: Column, url: Column, seconds: Column, payload: Column, dig
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", epoch: int = 1_704_067_200, least: int = 100) -> None:
-    """A record per row, in gzipped archives of one shuffle partition each.
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", epoch: int = 1_704_067_200, least: int = 100, archive_bytes: int = 64 << 20) -> None:
+    """A record per row, in gzipped archives of about `archive_bytes` unpacked at most; a larger record has one alone.
 
     Of the rows with equal payloads of at least `least` bytes, those with the smallest key are responses and the others revisit it; a null
     key is never the smallest unless all are null. A null payload is empty, a null url gives no target. A page's date is `epoch` plus its key.
     """
     payload = F.coalesce(pages[html].cast("string"), F.lit(""))
     rows = pages.select(pages[key].cast("long").alias("page"), pages[url].cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(pages[html].cast("string")), F.lit(0)) + 600)).first()[0] or 1
     large = F.octet_length("payload") >= least
     firsts = rows.where(large).groupBy("digest").agg(F.min("page").alias("first")).select(F.col("digest").alias("group"), "first")
     group = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page", "digest").cast("string")))
@@ -58,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     first = F.when(F.col("page").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     seconds = F.lit(epoch) + F.pmod(F.coalesce("page", F.lit(0)), F.lit(1_000_000_000))
     record = record_text(F.col("page"), F.col("url"), seconds, F.col("payload"), F.col("digest"), first)
-    told.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
+    told.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -127,14 +140,19 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, RUN)
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """The rows of sorted runs in one order. Inner nodes hold the loser of each match, so a step replays one path to the root."""
+def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+    """The rows of sorted runs in one order. Inner nodes hold the loser of each match, so a step replays one path to the root; of each run one row is held.
+
+    Equal rows come in the order of their runs; a run without rows never wins, and no runs give no rows.
+    """
     k = len(runs)
     if not k:
         return
     last = (True,)
-    heads = [(False, order(run[0])) if run else last for run in runs]
-    place, losers = [0] * k, [-1] * k
+    runs = [iter(run) for run in runs]
+    rows = [next(run, None) for run in runs]
+    heads = [last if row is None else (False, order(row), i) for i, row in enumerate(rows)]
+    losers = [-1] * k
 
     def replay(i: int) -> int:
         node = (i + k) // 2
@@ -153,29 +171,34 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         found = replay(i)
         winner = found if found >= 0 else winner
     while heads[winner] != last:
-        run = runs[winner]
-        yield run[place[winner]]
-        place[winner] += 1
-        heads[winner] = (False, order(run[place[winner]])) if place[winner] < len(run) else last
+        yield rows[winner]
+        row = rows[winner] = next(runs[winner], None)
+        heads[winner] = last if row is None else (False, order(row), winner)
         winner = replay(winner)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in one order over (part, at): by URL key, then time, then page.
+    """All captures in one order over (part, at): by URL key, then time, then page; a null page comes before others, repeated rows by archive and offset.
 
-    Ranges are cut by key, time, page and place, so that the captures of a URL with very many go to several tasks.
+    Ranges are cut by key, time, page and place, so that the captures of a URL with very many go to several tasks. No runs give no rows.
     """
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in INDEX.split(", ")])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+    def lazily(batches: list[pa.RecordBatch], step: int = 512) -> Iterator[tuple]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(row[7], []).append(row)
-        for rows in slices.values():
-            rows.sort(key=lambda r: r[9])  # as the run had them, in whatever order the blocks came
+            for i in range(0, batch.num_rows, step):
+                yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns), strict=True)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        slices: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:  # each run's rows come together and in its order
+            names = batch.column(7).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                slices.setdefault(names[a], []).append(batch.slice(a, b - a))
         part, held = TaskContext.get().partitionId(), []
-        for at, row in enumerate(loser_tree(list(slices.values()))):
+        for at, row in enumerate(loser_tree([lazily(s) for s in slices.values()])):
             held.append((*row[:9], part, at))
             if len(held) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
@@ -183,4 +206,12 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
-    return runs.repartitionByRange("url_key", "captured_at", F.col("page_id").asc_nulls_first(), "archive", "offset").mapInArrow(merge, INDEX)
+    dealt = runs.repartitionByRange("url_key", "captured_at", F.col("page_id").asc_nulls_first(), "archive", "offset")
+    return dealt.sortWithinPartitions("archive", "seq").mapInArrow(merge, INDEX)
+
+
+def positions(index: DataFrame) -> DataFrame:
+    """A written index with each capture's `position` in the one order of all, from 0; what meets in a window is one count for each partition."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = index.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return index.join(F.broadcast(bases), "part").withColumn("position", F.col("base") + F.col("at")).drop("base")
