@@ -2,14 +2,17 @@
 
 A surrogate is a keyed permutation of all values of the same format, without fixed points: two values never get the same one, a value gets
 the same one in every document (coreference), and none keeps its own. Digits stay digits, vowels vowels of their script, case
-and separators stay where they are; a card number keeps whether its check digit is right; a known given name becomes another of its gender
-and script. A person is found after a title or by a known given name before a surname; each part of the name is then replaced wherever the document
+and separators stay where they are; a card number and an IBAN keep whether their check digits are right, a telephone number its country code, an address
+of a network its range (private, loopback, link-local or public), a date of birth is a date again; a known given name becomes another of its gender
+and script, and other names keep a last vowel, which tells the gender in many languages. A person is found after a title or by a known given name before a surname; each part of the name is then replaced wherever the document
 has it, before or after, by the same surrogate.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "secret", "iban", "ipv4", "ssn", "phone", "card", "person")
+from sedimenta.llm.rows import tidy
+
+KINDS = ("email", "secret", "iban", "ipv4", "ipv6", "birth", "ssn", "phone", "card", "person")
 SCHEMA = "doc_id long, text string, n_entities int, " + ", ".join(f"n_{k} int" for k in KINDS)
 # Titles by gender (f, m, or u where it tells none), and common given names by script and gender.
 TITLES = {
@@ -28,8 +33,14 @@ TITLES = {
     "u": "Dr Prof Professor".split(),
 }
 GIVEN = {
-    "f": ["Mary Anna Emma Laura Julia Sarah Alice Clara Sophie Marie Elena Lucía Carmen Greta Ingrid Hannah".split(), "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(), "Μαρία Ελένη Άννα Σοφία Κατερίνα".split()],
-    "m": ["John James Robert Peter Thomas Paul Martin Daniel Pierre Louis Jean Carlos Miguel Hans Karl Stefan".split(), "Иван Пётр Сергей Алексей Николай Андрей Михаил Павел".split(), "Γιώργος Νίκος Πέτρος Ανδρέας Παύλος".split()],
+    "f": [(
+        "Mary Anna Emma Laura Julia Sarah Alice Clara Sophie Marie Elena Lucía Carmen Greta Ingrid Hannah Elizabeth Jennifer Linda Susan Jessica Karen Margaret Emily "
+        "Olivia Charlotte Katharina Claudia Sabine Ursula Johanna Françoise Nathalie Isabelle Camille Chloé Juliette María Ana Isabel Sofía Beatriz Giulia Francesca Zofia Agnieszka Magdalena Astrid"
+    ).split(), "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(), "Μαρία Ελένη Άννα Σοφία Κατερίνα".split()],
+    "m": [(
+        "John James Robert Peter Thomas Paul Martin Daniel Pierre Louis Jean Carlos Miguel Hans Karl Stefan William Richard Michael David Joseph Charles Christopher Matthew "
+        "Anthony Andrew Wolfgang Jürgen Klaus Dieter Matthias Friedrich François Nicolas Antoine Olivier Étienne José Antonio Francisco Javier Alejandro Giovanni Marco Tomasz Krzysztof Lars Sven"
+    ).split(), "Иван Пётр Сергей Алексей Николай Андрей Михаил Павел".split(), "Γιώργος Νίκος Πέτρος Ανδρέας Παύλος".split()],
 }
 #: Letters that may stand for each other; upper case goes with lower.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüœ", "çñýÿšžß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αειουηω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "٠١٢٣٤٥٦٧٨٩"]
@@ -40,11 +51,20 @@ PARTICLE = "von van der den de del la di da du zu"
 GIVEN_NAMES = frozenset(n for scripts in GIVEN.values() for names in scripts for n in names)
 LISTED = "|".join(sorted(GIVEN_NAMES, key=len, reverse=True))
 BEFORE = rf"(?:(?:{'|'.join(PARTICLE.split())}|[^\W\d_]\.)[ ])*"
+# What stands before a date of birth.
+BORN = r"DOB:?|D\.O\.B\.:?|[Dd]ate[ ]of[ ][Bb]irth:?|[Bb]irth[ ]?date:?|[Bb]orn(?:[ ]on)?:?|[Gg]eboren[ ]am|[Gg]eburtsdatum:?|[Nn]ée?[ ]le|[Dd]ate[ ]de[ ]naissance:?|[Nn]acid[oa][ ]el|[Ff]echa[ ]de[ ]nacimiento:?"
+BORN_BEFORE = 2030
+#: Country codes of two digits; those of one are 1 and 7, all others have three.
+TWO_DIGITS = frozenset(map(str, [20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98]))
+#: Ranges of addresses (first, size in bits) that a surrogate doesn't leave.
+NETWORKS = [(10 << 24, 24), (127 << 24, 24), ((169 << 8 | 254) << 16, 16), ((172 << 8 | 16) << 16, 20), ((192 << 8 | 168) << 16, 16)]
 NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 ENTITY = re.compile(
     rf"""(?P<email>(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}(?![\w-]))
     |(?P<secret>(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Z0-9])|(?<=password=)[^\s"'<>&]{{6,}}|(?<=["'])[0-9a-fA-F]{{32,}}(?=["'])|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{32,}}(?![0-9A-Za-z]))
     |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
+    |(?P<ipv6>(?<![\w:.])(?=[^\s]*\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}}::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}})?|::[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})(?![\w:]))
+    |(?P<birth>(?<!\w)(?:{BORN})[ ]?(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}(?P<mark>[./-])\d{{1,2}}(?P=mark)\d{{4}})(?!\d))
     |(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}(?!\w)|(?<![\w(])(?:\(\d{{3}}\)[ ]?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}(?!\w))
@@ -151,14 +171,72 @@ def _ipv4(text: str, key: bytes) -> str:
     n = 0
     for x in text.split("."):
         n = n * 256 + int(x)
-    n = Permutation(key, "ipv4", 1 << 32)(n)
+    inside = next(((a, bits) for a, bits in NETWORKS if a <= n < a + (1 << bits)), None)
+    if inside:
+        n = inside[0] + Permutation(key, f"ipv4:{inside[0]}", 1 << inside[1])(n - inside[0])
+    else:
+        public = Permutation(key, "ipv4", 1 << 32)
+        n = public(n)
+        while any(a <= n < a + (1 << bits) for a, bits in NETWORKS):  # walked on, which keeps it one to one
+            n = public(n)
     zero = ord(text[0]) - int(text[0])
     return ".".join("".join(chr(zero + int(c)) for c in str(n >> s & 255)) for s in (24, 16, 8, 0))
 
 
+def _ipv6(text: str, key: bytes) -> str:
+    """The first 16 bits, which tell the kind of network, stay."""
+    n = int(ipaddress.IPv6Address(text))
+    head, bits = n >> 112, (1 << 112) - 1
+    return str(ipaddress.IPv6Address(head << 112 | Permutation(key, f"ipv6:{head}", 1 << 112)(n & bits)))
+
+
+def _date(text: str) -> tuple[datetime.date, str] | None:
+    """The date and the order of its parts; a day of a month where both orders would do."""
+    parts = [int(x) for x in re.split("[./-]", text)]
+    for order_ in ("ymd",) if len(re.match(r"\d+", text)[0]) == 4 else ("dmy", "mdy"):
+        held = dict(zip(order_, parts, strict=True))
+        try:
+            return datetime.date(held["y"], held["m"], held["d"]), order_
+        except ValueError:
+            continue
+    return None
+
+
+def _birth(text: str, key: bytes) -> str:
+    """Another day from 1900 on and before BORN_BEFORE, written in the same way; what is no date of those years is permuted by its digits."""
+    written = re.search(r"\d[\d./-]*$", text)[0]
+    label, found = text[: -len(written)], _date(written)
+    if not found or not 1900 <= found[0].year < BORN_BEFORE:
+        return label + permuted(written, key, "no birth")
+    start, wide = datetime.date(1900, 1, 1).toordinal(), len(re.split("[./-]", written)[1]) == 2
+    day = datetime.date.fromordinal(start + Permutation(key, "birth", datetime.date(BORN_BEFORE, 1, 1).toordinal() - start)(found[0].toordinal() - start))
+    mark = re.search("[./-]", written)[0]
+    return label + mark.join(f"{day.year:04d}" if c == "y" else f"{day.month if c == 'm' else day.day:0{2 if wide else 1}d}" for c in found[1])
+
+
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _iban(text: str, key: bytes) -> str:
+    """The country stays, and whether the check digits are right; check digits that no account has stay as they are."""
+    solid = text.replace(" ", "")
+    new = permuted(text[4:], key, f"iban{text[:2]}")
+    given = int(solid[2:4])
+    if 2 <= given <= 98:
+        right, fresh = (98 - _mod97(x + solid[:2] + "00") for x in (solid[4:], new.replace(" ", "")))
+        given = (given - right + fresh - 2) % 97 + 2
+    return f"{text[:2]}{given:02d}{new}"
+
+
+def country_code(text: str) -> str:
+    digits = "".join(str(unicodedata.decimal(c)) for c in re.match(r"\+(\d{0,3})", text)[1])
+    return text[: 1 + (1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO_DIGITS else len(digits))]
+
+
 def _phone(text: str, key: bytes) -> str:
     """The country code stays where one is given."""
-    code = m[0] if (m := re.match(r"\+(?:1|7|\d{2})(?=\D|\d)", text)) else ""
+    code = country_code(text) if text[0] == "+" else ""
     rest = text[len(code) :]
     return code + _refill(rest, permuted(re.sub(r"\D", "", rest), key, f"phone{code}"))
 
@@ -181,9 +259,11 @@ def _given(name: str, key: bytes) -> str:
                 return names[Permutation(key, f"given:{gender}:{k}", len(names))(names.index(name))]
     if name.isupper() and name.capitalize() in GIVEN_NAMES:
         return _given(name.capitalize(), key).upper()
-    new = permuted(name, key, "name")
+    ending = name[-1] if len(name) > 2 and name[-1].lower() in "aeiouаеиоуяαηο" else ""
+    other = lambda x: permuted(x[: len(x) - len(ending)], key, f"name{ending.lower()}") + ending
+    new = other(name)
     while new.capitalize() in GIVEN_NAMES:
-        new = permuted(new, key, "name")
+        new = other(new)
     return new
 
 
@@ -219,7 +299,7 @@ def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, in
 
 
 def surrogate(kind: str, text: str, key: bytes) -> str:
-    by = {"email": _email, "ipv4": _ipv4, "phone": _phone, "card": _card, "person": _person}
+    by = {"email": _email, "ipv4": _ipv4, "ipv6": _ipv6, "birth": _birth, "iban": _iban, "phone": _phone, "card": _card, "person": _person}
     if kind == "secret":
         if not re.fullmatch(r"[0-9a-fA-F]{32,}", text):
             head = 4 if re.match("AKIA|ASIA", text) else 0
@@ -230,8 +310,6 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         low = text.lower()
         n = Permutation(key, f"secret:{len(low)}", 16 ** len(low))(int(low, 16))
         return _cased(text, f"{n:0{len(low)}x}")
-    if kind == "iban":
-        return text[:2] + permuted(text[2:], key, f"iban{text[:2]}")
     if kind == "ssn":
         return _refill(text, permuted(re.sub(r"\D", "", text), key, "ssn"))
     return by[kind](text, key)
@@ -241,6 +319,12 @@ def canonical(kind: str, value: str) -> str:
     """One form for all ways to write a value: addresses as numbers, hexadecimal keys in lower case."""
     if kind == "ipv4":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
+    if kind == "birth":
+        written = re.search(r"\d[\d./-]*$", value)[0]
+        found = _date(written)
+        return found[0].isoformat() if found and 1900 <= found[0].year < BORN_BEFORE else written
     return value.lower() if kind == "secret" and re.fullmatch(r"[0-9a-fA-F]{32,}", value) else value
 
 
@@ -286,6 +370,7 @@ def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: st
     settled = settle(surrogate_table(docs, secret, text), secret)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         replace = Replacer(secret, settled)
         for batch in batches:
             texts, counts = [], []
@@ -303,9 +388,10 @@ def surrogate_table(docs: DataFrame, secret: str, text: str = "text") -> DataFra
     """(kind, value, surrogate) of every different entity of all texts, values in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         replace = Replacer(secret)
         for batch in batches:
-            rows = {(kind, canonical(kind, t[a:b]), replace.known(kind, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, kind in entities(t)}
+            rows = {(kind, canonical(kind, t[a:b]), canonical(kind, replace.known(kind, t[a:b]))) for t in batch.column(0).to_pylist() if t for a, b, kind in entities(t)}
             columns = zip(*rows, strict=True) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "value", "surrogate"])
 
