@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, in lower case. Every n-gram of a test item is a seed. One pass over the corpus counts how often each
-occurs in it; a second finds passages with seeds and aligns the item's words with the passage's. A rare n-gram has its passage aligned at once; a passage
-that holds only frequent ones is left out where too few of the item's words are in it for any alignment to reach the share. So the counts
-decide what is tried first, never what is found, and a copy is found with as little as one n-gram left, in a corpus of any size.
+Words are runs of letters and digits, in lower case. Seeds are every n-gram of a test item, and every n words with a gap of one before the last, which
+are left where every n-th word is changed; an item of fewer than n words is a seed by itself. One pass over the corpus counts how often each seed
+occurs in it; a second finds passages with seeds and aligns the item's words with the passage's. A rare seed has its passage aligned at once; a passage
+that holds only frequent ones is left out where too few of the item's words are in it for any alignment to reach the share. Rare is what occurs no
+oftener than the median seed of its block. So the counts decide what is tried first, never what is found, and a copy is found with as little as one seed
+left, in a corpus of any size.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.bytehash import U, column_bytes, gram_hashes, pieces, word_hashes, words
+from sedimenta.llm.bytehash import BASE, U, column_bytes, mix64, pieces, word_hashes, words
+from sedimenta.llm.rows import tidy
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCHEMA = "doc_id long, item_id long, score int, share double, n_seeds int, first_word long, last_word long"
@@ -37,21 +40,30 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return word_hashes(data, starts, ends), np.searchsorted(row, np.arange(len(offsets)))
 
 
-def row_grams(word: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n words in sequence, by the place of the first; 0 where they would run over the row's end."""
-    out = np.zeros(len(word), np.uint64)
-    grams = gram_hashes(word, n)
-    out[: len(grams)] = grams | U(1)
+def row_seeds(word: np.ndarray, first: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words at these distances from each place; 0 where they would run over the row's end."""
+    out = np.full(len(word), U(len(shape)) * U(BASE) + U(shape[-1]), np.uint64)
+    for k in shape:
+        some = max(0, len(word) - k)
+        out[:some] = mix64(out[:some] * U(BASE) + word[k:])
+    out |= U(1)
     row_end = np.repeat(first[1:], np.diff(first))
-    out[np.arange(len(word)) + n > row_end] = 0
+    out[np.arange(len(word)) + shape[-1] + 1 > row_end] = 0
     return out
 
 
+def shapes(n: int, length: int) -> list[tuple[int, ...]]:
+    """The seeds of an item: its n words in sequence, and with a gap before the last; all of it if it is shorter."""
+    if length < n:
+        return [tuple(range(length))]
+    return [tuple(range(n))] + [(*range(n - 1), n)] * (length > n > 1)
+
+
 @dataclass
 class Items:
-    """A block of test items, of bounded size: word hashes, and the items and places of each n-gram."""
+    """A block of test items, of bounded size: word hashes, and the items and places of each seed."""
 
-    n: int
+    shapes: list[tuple[int, ...]]
     words: dict[int, np.ndarray]
     places: dict[int, list[tuple[int, int]]]
     keys: np.ndarray
@@ -62,22 +74,25 @@ class Items:
         data, offsets = lowered(pa.array([t or "" for _, t in rows], pa.string()))
         with np.errstate(over="ignore"):
             word, first = hashed_words(data, offsets)
-        held, places = {}, defaultdict(list)
+        held, places, found = {}, defaultdict(list), set()
         for k, (item, _) in enumerate(rows):
             own = word[first[k] : first[k + 1]]
             if len(own):
                 held[item] = own
-                size = min(n, len(own))
-                if size == n:
+                for shape in shapes(n, len(own)):
+                    found.add(shape)
                     with np.errstate(over="ignore"):
-                        grams = row_grams(own, np.array([0, len(own)]), n)
-                    for at, g in enumerate(grams[: len(own) - n + 1].tolist()):
-                        places[g].append((item, at))
-        return cls(n, held, dict(places), np.array(sorted(places), np.uint64))
+                        seeds = row_seeds(own, np.array([0, len(own)]), shape)
+                    for at, g in enumerate(seeds.tolist()):
+                        if g:
+                            places[g].append((item, at))
+        return cls(sorted(found), held, dict(places), np.array(sorted(places), np.uint64))
 
-    def seeds(self, counts: dict[int, int], rare: int) -> Items:
-        """The same n-grams, with those that occur at most `rare` times told apart."""
-        return Items(self.n, self.words, self.places, self.keys, frozenset(g for g in self.places if counts.get(g, 0) <= rare))
+    def seeds(self, counts: dict[int, int]) -> Items:
+        """The same seeds, with those told apart that occur no oftener than the median one."""
+        each = sorted(counts.get(g, 0) for g in self.places)
+        median = each[len(each) // 2] if each else 0
+        return Items(self.shapes, self.words, self.places, self.keys, frozenset(g for g in self.places if counts.get(g, 0) <= median))
 
 
 class Lookup:
@@ -141,11 +156,11 @@ def passages(hits: list[tuple[int, int, bool]], length: int, share: float) -> It
             start = k
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, rare: int = 50, share: float = 0.45, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.45, block_items: int = 20_000) -> DataFrame:
     """A row per document and test item that it holds a copy of: the best alignment's score, its share of a whole copy's score, and its words.
 
     A copy is an alignment with at least `share` of the score that the item has with itself. Items go over the corpus in blocks of about `block_items`,
-    so what is sent to the executors is bounded. A copy none of whose `n` words in sequence are the item's has no seed. Items without `n` words, null items and null or empty texts match nothing; a repeated
+    so what is sent to the executors is bounded. A copy none of whose seeds is left isn't found. Items without words, null items and null or empty texts match nothing; a repeated
     document gives its rows again, a null key stays null, equal items each match. Very long texts are searched whole; a passage
     with many seeds is one stretch, so its cost follows its length. Other columns are ignored.
     """
@@ -157,24 +172,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         items = Items.of([(r["item_id"], r["text"]) for r in block.toLocalIterator()], n)
         counts = {r["gram"] & (1 << 64) - 1: r["n"] for r in gram_counts(rows, items).toLocalIterator()}
-        found = aligned(rows, items.seeds(counts, rare), share)
+        found = aligned(rows, items.seeds(counts), share)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def gram_counts(rows: DataFrame, items: Items) -> DataFrame:
     """How often each n-gram of the items occurs in all texts; summed in each task before the shuffle."""
-    shared = rows.sparkSession.sparkContext.broadcast((items.keys, items.n))
+    shared = rows.sparkSession.sparkContext.broadcast((items.keys, items.shapes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = shared.value
+        tidy()
+        keys, shapes = shared.value
         lookup, total = Lookup(keys), np.zeros(len(keys), np.int64)
         with np.errstate(over="ignore"):
             for batch in batches:
                 data, offsets = lowered(batch.column(1))
                 for i, j in pieces(offsets):
-                    grams = row_grams(*hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
-                    total += np.bincount(np.searchsorted(keys, grams[lookup.hits(grams)]), minlength=len(keys))[: len(keys)]
+                    held = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for shape in shapes:
+                        seeds = row_seeds(*held, shape)
+                        total += np.bincount(np.searchsorted(keys, seeds[lookup.hits(seeds)]), minlength=len(keys))[: len(keys)]
         some = total > 0
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
 
@@ -185,6 +203,7 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         items, out = shared.value, []
         lookup = Lookup(items.keys)
         with np.errstate(over="ignore"):
@@ -193,13 +212,14 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
                 ids = batch.column(0).to_pylist()
                 for i, j in pieces(offsets):
                     word, first = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    grams = row_grams(word, first, items.n)
-                    at = lookup.hits(grams)
-                    row = np.searchsorted(first, at, "right") - 1
                     hits: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
-                    for r, p, g in zip(row.tolist(), (at - first[row]).tolist(), grams[at].tolist(), strict=True):
-                        for item, place in items.places[g]:
-                            hits[r, item].append((p, place, g in items.rare))
+                    for shape in items.shapes:
+                        seeds = row_seeds(word, first, shape)
+                        at = lookup.hits(seeds)
+                        row = np.searchsorted(first, at, "right") - 1
+                        for r, p, g in zip(row.tolist(), (at - first[row]).tolist(), seeds[at].tolist(), strict=True):
+                            for item, place in items.places[g]:
+                                hits[r, item].append((p, place, g in items.rare))
                     for (r, item), found in hits.items():
                         text, own = word[first[r] : first[r + 1]], items.words[item]
                         best = (0, 0, 0, 0)
