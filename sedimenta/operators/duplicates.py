@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import let
+from sedimenta.sources.scratch import Scratch
 
 # Fixed value: names of licence texts, which are alike by design.
 LICENSE_NAMES = r"(?i)^(licen[cs]e|notice|copying)(\..*)?$"
@@ -15,36 +23,113 @@ def is_license_like(rel_path: Column) -> Column:
     return F.substring_index(F.translate(rel_path, "\\", "/"), "/", -1).rlike(LICENSE_NAMES)
 
 
+def _no_licences(files: DataFrame) -> DataFrame:
+    return files.where(~is_license_like(F.col("rel_path"))) if "rel_path" in files.columns else files
+
+
+TOKEN = r"[\p{L}\p{N}_]+"
+DETAIL = "file_id string, hash string, start_line int, end_line int, unique_tokens int"
+
+
+def _details(files: DataFrame, size: int, least_distinct: int, most_share: float) -> DataFrame:
+    """Of files (file_id, text, at): the windows at these places, null for all, but for those with too few different tokens or one that is too frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = regex.compile(TOKEN)
+        for batch in batches:
+            out: list[tuple] = []
+            for file, text, at in zip(*batch.columns, strict=True):
+                found, lines = [], []
+                for k, line in enumerate((text.as_py() or "").split("\n"), 1):
+                    some = token.findall(line)
+                    found += some
+                    lines += [k] * len(some)
+                name = file.as_py()
+                for i in at.values.to_pylist() if at.is_valid else range(len(found) - size + 1):
+                    window = found[i : i + size]
+                    counts = Counter(window)
+                    if len(counts) >= least_distinct and max(counts.values()) <= most_share * size:
+                        out.append((name, hashlib.sha1("\0".join(window).encode()).hexdigest(), lines[i], lines[i + size - 1], len(counts)))
+                if len(out) >= 20_000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    return files.select(F.col("file_id").cast("string"), "text", "at").mapInArrow(run, DETAIL)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=[f.split()[0] for f in DETAIL.split(", ")])
+
+
 def duplicate_windows(files: DataFrame, size: int = 50, least_distinct: int = 15, most_share: float = 0.6, text: str = "text") -> DataFrame:
     """(file_id, hash, start_line, end_line, unique_tokens) of every run of `size` identifiers, unless too few are different or one is too frequent.
 
-    Nothing is shuffled. A token with more than half of a window is also its median, so one count decides.
+    Files with a rel_path that names a licence text are left out. Nothing is shuffled.
     """
-    if most_share < 0.5:
-        raise ValueError("most_share below 0.5")
-    words = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda t: F.struct(t.alias("t"), (i + 1).alias("line"))))
-    at = files.select("file_id", F.flatten(words).alias("_w")).where(F.size("_w") >= size)
-    at = at.select("file_id", F.col("_w.t").alias("_t"), F.col("_w.line").alias("_l"))
-
-    def window(i: Column) -> Column:
-        rest = lambda w, m: F.struct(
-            F.sha1(F.array_join(w, "\0").cast("binary")).alias("hash"), F.element_at("_l", i).alias("start_line"), F.element_at("_l", i + size - 1).alias("end_line"),
-            F.size(F.array_distinct(w)).alias("unique_tokens"), F.size(F.filter(w, lambda t: t == m)).alias("most"),
-        )
-        return let(F.slice("_t", i, size), lambda w: let(F.element_at(F.sort_array(w), size // 2 + 1), lambda m: rest(w, m)))
+    kept = _no_licences(files).select("file_id", F.col(text).alias("text"), F.lit(None).cast("array<int>").alias("at"))
+    return _details(kept, size, least_distinct, most_share)
 
-    at = at.select("file_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), window)).alias("_w")).select("file_id", "_w.*")
-    return at.where((F.col("unique_tokens") >= least_distinct) & (F.col("most") <= most_share * size)).drop("most")
 
+def repeated_windows(files: DataFrame, size: int = 50, least_distinct: int = 15, most_share: float = 0.6, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Of duplicate_windows() those whose tokens occur in several files.
 
-def duplicate_groups(windows: DataFrame, least_files: int = 2, most_members: int = 50, most_groups: int | None = 200) -> DataFrame:
-    """(hash, members, n_files) of hashes in several files: members kept in (file_id, start_line) order up to a number, groups by kept members.
-
-    The hashes that qualify are found by counts that are combined before the shuffle; only their windows are shuffled after that.
+    A first pass makes one 64-bit rolling hash for each window and nothing else: (file, place, window) rows, written once. Hashes of a single file are
+    dropped by a count that is combined before the shuffle; the digest and the token counts are made for the windows that are left. (Two
+    different windows with one 64-bit hash only cost work, as their digests differ.)
+    """
+    scratch = scratch or Scratch(files.sparkSession, "windows")
+    kept = _no_licences(files).select(F.xxhash64("file_id").alias("file"), "file_id", F.col(text).alias("text"))
+    narrow = scratch.keep(kept.select("file", "text").mapInArrow(lambda b: _rolled(b, size), "file long, place int, window long"), "narrow")
+    several = narrow.groupBy("window").agg(F.min("file").alias("lo"), F.max("file").alias("hi")).where("lo <> hi").select("window")
+    places = narrow.join(several, "window", "left_semi").groupBy("file").agg(F.sort_array(F.collect_list("place")).alias("at"))
+    return _details(kept.join(places, "file"), size, least_distinct, most_share)
+
+
+def _rolled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of (file, text): a polynomial hash, modulo 2**64, of the token hashes of each window, from sums over prefixes."""
+    token, known, base = regex.compile(TOKEN), {}, 0x9E3779B97F4A7C15
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def told() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["file", "place", "window"])
+
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = token.findall(text.as_py() or "")
+                n = len(found) - size + 1
+                if n < 1:
+                    continue
+                if len(known) > 1 << 18:
+                    known.clear()
+                for t in set(found).difference(known):
+                    known[t] = xxhash.xxh64_intdigest(t)
+                power, inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(found) - 1, b, np.uint64))), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.array([known[t] for t in found], np.uint64) * power)))
+                window = (sums[size:] - sums[:-size]) * inverse[:n]
+                held.append((np.full(n, file), np.arange(n, dtype=np.int32), window.view(np.int64)))
+                if len(held) == 500:
+                    yield told()
+        yield told()
+
+
+def duplicate_members(windows: DataFrame, least_files: int = 2, most_members: int = 50) -> DataFrame:
+    """The windows of hashes in several files with `n_files` over all, at most so many members of each hash, in (file_id, start_line) order.
+
+    The hashes that qualify are found by counts that are combined before the shuffle; of each hash, a task sends no more than `most_members` rows on.
     """
     often = windows.select("hash", "file_id").distinct().groupBy("hash").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= max(2, least_files))
     turn = F.row_number().over(Window.partitionBy("hash").orderBy("file_id", "start_line"))
-    kept = windows.join(often.select("hash"), "hash", "left_semi").withColumn("_n", turn).where(F.col("_n") <= most_members)
+    return windows.join(often, "hash").withColumn("turn", turn).where(F.col("turn") <= most_members)
+
+
+def duplicate_groups(windows: DataFrame, least_files: int = 2, most_members: int = 50, most_groups: int | None = 200) -> DataFrame:
+    """(hash, members, n_files) of hashes in several files: members kept in (file_id, start_line) order up to a number, groups by kept members."""
+    kept = duplicate_members(windows, least_files, most_members)
     groups = kept.groupBy("hash").agg(F.count("*").alias("members"), F.count_distinct("file_id").alias("n_files"), F.min(F.struct("file_id", "start_line"))["file_id"].alias("first_file"))
     return groups if most_groups is None else groups.orderBy(F.desc("members"), "hash").limit(most_groups)
 

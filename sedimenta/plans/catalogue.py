@@ -12,6 +12,7 @@ from sedimenta.functions.vectors import cosine, to_unit
 from sedimenta.operators import accounts, chunks, duplicates, evaluation, filtering, fusion, graph, lexical, quality, similarity, store
 from sedimenta.plans import views as V
 from sedimenta.sources.formats import trec_lines
+from sedimenta.sources.scratch import Scratch
 from sedimenta.streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +317,12 @@ def dup_windows(spark, sf):
     return w.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("hashes"), F.sum("unique_tokens").alias("tokens"), F.min("hash").alias("least"), F.sum(F.col("end_line") - F.col("start_line")).alias("spans"))
 
 
+def _repeated(files: DataFrame) -> DataFrame:
+    """Written once, as both the count of files and the members are read from it."""
+    scratch = Scratch(files.sparkSession, "windows")
+    return scratch.keep(duplicates.repeated_windows(files, scratch=scratch), "repeated")
+
+
 def _groups(where: str) -> str:
     return f"""WITH {WINDOWS}, scoped AS (SELECT * FROM windows {where}), o AS (SELECT hash FROM scoped GROUP BY hash HAVING count(DISTINCT file_id) >= 2),
         k AS (SELECT * FROM scoped WHERE hash IN (SELECT hash FROM o) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_id, start_line) <= 50)
@@ -324,17 +331,17 @@ def _groups(where: str) -> str:
 
 @query(_groups(""))
 def dup_groups(spark, sf):
-    return duplicates.duplicate_groups(duplicates.duplicate_windows(V.files(spark, sf)))
+    return duplicates.duplicate_groups(_repeated(V.files(spark, sf)))
 
 
 @query(_groups("WHERE file_id IN (SELECT file_id FROM files WHERE project_id = 'src0')"))
 def dup_groups_scoped(spark, sf):
-    return duplicates.duplicate_groups(duplicates.duplicate_windows(V.files(spark, sf).where(lexical.in_scope("src0"))))
+    return duplicates.duplicate_groups(_repeated(V.files(spark, sf).where(lexical.in_scope("src0"))))
 
 
 @query(f"WITH {WINDOWS} SELECT file_id, start_line, end_line, hash FROM windows WHERE hash IN (SELECT hash FROM windows GROUP BY hash HAVING count(DISTINCT file_id) >= 3)")
 def extract_candidates(spark, sf):
-    return duplicates.extract_candidates(duplicates.duplicate_windows(V.files(spark, sf)))
+    return duplicates.extract_candidates(_repeated(V.files(spark, sf)))
 
 
 # quality

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from sedimenta.functions.text import language_of, short_sha1
 from sedimenta.operators.chunks import line_windows, with_chunk_ids
 from sedimenta.operators.graph import html_links
+from sedimenta.sources.scratch import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those of long texts are dealt out where they come in fewer splits than there are cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

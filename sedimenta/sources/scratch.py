@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, enough: int = 128 << 20) -> DataFrame:
+    """The rows over all cores where Spark expects fewer bytes than `enough` for each of them, as a file of one row group is one task however it is
+    split; what is shuffled is small then. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * enough else df
+
+
 class Scratch:
     """Tables written once and read many times; a lost executor costs a reread, not a recomputation."""
 
