@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import extension, round_half_up
+from sedimenta.functions.text import capped, extension, round_half_up
 
 
 def chunk_counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -31,6 +31,24 @@ def newest(requests: DataFrame, n: int, order: str = "request_id") -> DataFrame:
     return requests.orderBy(F.desc(order)).limit(n)
 
 
+def project_chunk_counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(project_id, n_chunks) of every project that has files, 0 included."""
+    n = chunks.groupBy("project_id").agg(F.count("*").alias("n_chunks"))
+    return files.select("project_id").distinct().join(n, "project_id", "left").na.fill(0, ["n_chunks"])
+
+
+def capped_fields(requests: DataFrame, fields: list[str], most: int) -> DataFrame:
+    """The log with long fields cut and marked."""
+    return requests.withColumns({c: capped(F.col(c), most) for c in fields})
+
+
+def usage_report(usage: DataFrame) -> DataFrame:
+    """usage (project_id, queries, returned_bytes, baseline_bytes, zero_hits, elapsed_ms) as usage_summary() with zero_hit_pct and mean_ms, those who saved most first."""
+    n = F.col("queries")
+    each = usage_summary(usage).join(usage.select("project_id", F.when(n > 0, round_half_up(100 * F.col("zero_hits") / n)).otherwise(0).alias("zero_hit_pct"), F.when(n > 0, round_half_up(F.col("elapsed_ms") / n)).otherwise(0).alias("mean_ms")), "project_id")
+    return each.orderBy(F.desc("tokens_saved"), "project_id")
+
+
 def usage_deltas(results: DataFrame) -> DataFrame:
     """(query_id, project_id, n_files, returned_bytes, baseline_bytes) per query and project, and per query over all as project ''.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,28 @@ def qrel_status(qrels: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFr
 
 
 def boundary_digest(chunks: DataFrame, group: str, path: str = "rel_path") -> DataFrame:
-    """(group, n, digest): SHA-256 over the sorted `path:start-end` lines of a group, each with its end of line; for groups of bounded size."""
+    """(group, path, n, digest): of each file of a group, SHA-256 over its sorted `path:start-end` lines, each with its end of line."""
     line = F.concat(F.col(path), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"), F.lit("\n"))
-    return chunks.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "").cast("binary"), 256).alias("digest"))
+    return chunks.groupBy(group, path).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "").cast("binary"), 256).alias("digest"))
+
+
+def group_digest(digests: DataFrame, group: str, path: str = "rel_path", buckets: int = 1024) -> DataFrame:
+    """(group, n, digest) of boundary_digest()'s rows in two levels, so that no task holds a group's files: the digest of each of the buckets that a hash of the path deals
+    files into, and the digest of the buckets that are not empty, in order."""
+    entry = F.struct(path, "digest")
+    bucket = F.conv(F.substring(F.md5(F.col(path).cast("binary")), 1, 4), 16, 10).cast("int") % buckets
+    each = digests.withColumn("_b", bucket).groupBy(group, "_b").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["digest"]), "").cast("binary"), 256).alias("digest"))
+    return each.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "digest"))), lambda e: e["digest"]), "").cast("binary"), 256).alias("digest"))
+
+
+def run_of(scored: DataFrame, fetch: int = 50) -> DataFrame:
+    """All queries' ranked lists at once from scored (query_id, rel_path, start_line, end_line, score): the `fetch` best of each, by score and then by place."""
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path", "start_line"))
+    return scored.withColumn("rank", turn).where(F.col("rank") <= fetch)
+
+
+def gate(run: DataFrame, qrels: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """One row: n queries, the share with a judged place among the first k, and whether that is enough."""
+    good = judged(run.where(F.col("rank") <= k), qrels).where("grade >= 1").select("query_id").distinct().withColumn("hit", F.lit(1))
+    each = qrels.select("query_id").distinct().join(good, "query_id", "left")
+    return each.agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("hit"), F.lit(0)) / F.count("*"), 6).alias("share")).withColumn("passed", F.col("share") >= least)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 PER_REASON, PER_LOG_INBOUND, DEFINITION, DERIVATIVE = 0.004, 0.01, 0.006, -0.008
 # From which depth or count on a chunk counts as complex.
 DEEP_NESTING, DEEP_LOOPS, MANY_PARAMETERS = 4, 2, 5
-DERIVATIVE_FOLDERS = r"(?i)(^|/)(presentation|slide|deck)s?/"
-DERIVATIVE_NAMES = r"(?i)\.(slide|slides|deck)\.md$|(^|/)index\.md$"
+# Folders, endings and names of what is made from other documents.
+DERIVED_FOLDERS = ["presentation", "presentations", "slide", "slides", "deck", "decks"]
+DERIVED_ENDINGS = [".slide.md", ".slides.md", ".deck.md"]
+DERIVED_NAMES = ["index.md"]
 
 
 def ranked(branch: DataFrame, name: str, order: list[Column], key: str = "chunk_id") -> DataFrame:
@@ -27,6 +29,14 @@ def rrf(branches: list[DataFrame], k: int = 60, key: str = "chunk_id") -> DataFr
     return each.groupBy(key).agg(score.alias("rrf"), F.array_sort(F.collect_set("branch")).alias("sources"), F.min("rank").alias("best_rank"))
 
 
+def merged(first: DataFrame, second: DataFrame, fields: list[str], key: str = "chunk_id") -> DataFrame:
+    """Both lists' rows by key; a field that both have is the first list's where that isn't null. Each list is a bounded top."""
+    a, b = (df.select(key, *[F.col(c).alias(f"{side}{c}") for c in fields if c in df.columns]) for df, side in ((first, "_a_"), (second, "_b_")))
+    both = a.join(b, key, "full")
+    pick = lambda c: F.coalesce(*[F.col(f"{side}{c}") for side in ("_a_", "_b_") if f"{side}{c}" in both.columns])
+    return both.select(key, *[pick(c).alias(c) for c in fields])
+
+
 def boost(reasons: Column, inbound: Column, is_definition: Column, is_derivative: Column) -> Column:
     return (
         PER_REASON * F.size(reasons) + PER_LOG_INBOUND * F.log1p(F.coalesce(inbound, F.lit(0)).cast("double"))
@@ -36,7 +46,10 @@ def boost(reasons: Column, inbound: Column, is_definition: Column, is_derivative
 
 def is_derivative(rel_path: Column) -> Column:
     """Slides, presentations and index pages, which rank below what they were made from."""
-    return rel_path.rlike(DERIVATIVE_FOLDERS) | rel_path.rlike(DERIVATIVE_NAMES)
+    parts = F.split(F.lower(rel_path), "/")
+    name, above = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
+    ends = reduce(Column.__or__, [name.endswith(e) for e in DERIVED_ENDINGS])
+    return F.arrays_overlap(above, F.array(*map(F.lit, DERIVED_FOLDERS))) | ends | name.isin(*DERIVED_NAMES)
 
 
 def is_definition(kind: Column, symbols: Column, terms: list[str]) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.functions.text import resolve_path
+
 
 def usages(refs: DataFrame, symbol: str, project_id: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
     """References to one symbol, definitions first."""
@@ -98,3 +100,59 @@ def scope_of(paths: DataFrame, projects: DataFrame) -> DataFrame:
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def usage_snippets(refs: DataFrame, files: DataFrame, chunks: DataFrame, symbol: str, project_id: str | None = None) -> DataFrame:
+    """usages() of a symbol, each with the path of its file and the lines and text of its chunk: definitions first, then by path and line.
+
+    The symbol's references are few, so that they meet the tables as the small side of equi-joins.
+    """
+    found = usages(refs, symbol, project_id).select("symbol", "project_id", "file_id", "chunk_id", "line", "kind", "is_definition")
+    at = found.join(files.select("file_id", "rel_path"), "file_id")
+    body = chunks.select("chunk_id", F.col("start_line").alias("chunk_start"), F.col("end_line").alias("chunk_end"), "document")
+    return at.join(body, "chunk_id").orderBy(F.desc("is_definition"), "kind", "rel_path", "line", "chunk_id")
+
+
+def _lowest(target: Column) -> Column:
+    """How far a relative path climbs above where it starts: 0 or less."""
+
+    def step(s: Column, part: Column) -> Column:
+        now = s["now"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
+        return F.struct(now.alias("now"), F.least(s["least"], now).alias("least"))
+
+    return F.aggregate(F.split(target, "/+"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), step)["least"]
+
+
+def resolve_refs(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """refs(project_id, rel_path, line, target) with `resolved`: the path that the target has from the document's folder, else from the root, else as
+    the suffix of a file's path; null if none. Targets in a home folder (~) are left out; what leads out of the project isn't looked up.
+    """
+    kept = refs.where(~F.col("target").startswith("~"))
+    folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
+    depth = F.size(F.filter(F.split(folder, "/"), lambda p: p != ""))
+    bare = F.regexp_replace("target", "#.*$", "")
+    here = F.when(_lowest(bare) + depth >= 0, resolve_path(folder, F.col("target")))
+    root = F.when(_lowest(bare) >= 0, resolve_path(F.lit(""), F.col("target")))
+    known = files.select("project_id", F.col("rel_path").alias("_path")).distinct()
+    at = kept.withColumn("_here", here).withColumn("_root", root)
+    for name in ("_here", "_root"):
+        at = at.join(known.select("project_id", F.col("_path").alias(name), F.lit(True).alias(f"{name}_is")), ["project_id", name], "left")
+    suffix = resolve_suffix(kept.select("project_id", F.col("target").alias("ref")).distinct(), files.select("project_id", "rel_path")).select("project_id", F.col("ref").alias("target"), F.col("rel_path").alias("_suffix"))
+    out = at.join(suffix, ["project_id", "target"], "left")
+    found = F.coalesce(F.when(F.col("_here_is"), F.col("_here")), F.when(F.col("_root_is"), F.col("_root")), F.col("_suffix"))
+    return out.withColumn("resolved", found).select(*refs.columns, "resolved")
+
+
+def stale_refs(resolved: DataFrame) -> DataFrame:
+    """A finding for each reference of resolve_refs() that leads nowhere."""
+    return resolved.where(F.col("resolved").isNull()).select("project_id", "rel_path", F.lit("quality/stale-ref").alias("rule_id"), F.lit("warning").alias("severity"), "target", F.col("line").alias("line_from"), F.col("line").alias("line_to"))
+
+
+def common_prefix(roots: DataFrame, root: str = "root") -> DataFrame:
+    """One row with `prefix`, the folders that all roots share: the same as those that the least and the greatest share. Empty for fewer than two roots, and
+    where only the leading slash is shared."""
+    ends = roots.agg(F.count("*").alias("n"), F.min(F.split(root, "/")).alias("lo"), F.max(F.split(root, "/")).alias("hi"))
+    same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
+    n = F.coalesce(F.array_position(same, False).cast("int") - 1, F.lit(0))
+    n = F.when(F.array_contains(same, False), n).otherwise(F.least(F.size("lo"), F.size("hi")))
+    return ends.select(F.when((F.col("n") > 1) & (n > 1), F.array_join(F.slice("lo", 1, F.greatest(n, F.lit(1))), "/")).otherwise("").alias("prefix"))

@@ -2,29 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from sedimenta.functions.stems import porter
 from sedimenta.functions.text import let, query_terms, tokens
+from sedimenta.sources.scratch import Scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def bm25_scores(chunks: DataFrame, query: str, document: str = "document") -> DataFrame:
+def words_of(document: str, symbols: str | None) -> Column:
+    """The terms of a chunk: those of its text, and those of its symbols after them."""
+    found = tokens(F.col(document), 1)
+    return found if symbols is None else F.concat(found, F.flatten(F.transform(F.coalesce(symbols, F.array().cast("array<string>")), lambda s: tokens(s, 1))))
+
+
+def bm25_scores(chunks: DataFrame, query: str, document: str = "document", symbols: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The chunks that hold a term of the query, with bm25 (higher is better). An empty query has no hits.
 
-    The counts of the query's terms are taken row by row, so the only shuffle is that of one row of corpus statistics, which is also all that is broadcast.
+    Texts are cut into terms once: what is counted of each chunk that matters - its length and the counts of the query's terms - is written, and both the
+    statistics of the corpus and the hits come from there. The only shuffle is that of the one row of statistics, which is also all that is broadcast.
     """
     terms = query_terms(query)
     if not terms:
         return chunks.withColumn("bm25", F.lit(0.0)).limit(0)
+    scratch = scratch or Scratch(chunks.sparkSession, "bm25")
     counts = lambda words: F.struct(F.size(words).alias("len"), F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(words, lambda w: w == t))).alias("tf"))
-    counted = chunks.withColumn("_c", let(tokens(F.col(document), 1), counts)).withColumn("_len", F.col("_c.len")).withColumn("_tf", F.col("_c.tf")).drop("_c")
+    counted = chunks.withColumn("_c", let(words_of(document, symbols), counts)).drop(document)
+    counted = scratch.keep(counted.withColumn("_len", F.col("_c.len")).withColumn("_tf", F.col("_c.tf")).drop("_c"), "counted")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.sum((F.col("_tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("_df"))
     hit = counted.where(F.exists("_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    return _scored(hit).drop("_len", "_tf", "_n", "_avg", "_df")
+
+
+def _scored(hit: DataFrame) -> DataFrame:
     idf = F.transform("_df", lambda d: F.greatest(F.log((F.col("_n") - d + 0.5) / (d + 0.5)), F.lit(IDF_FLOOR)))
     part = F.zip_with("_tf", idf, lambda tf, i: i * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))))
-    return hit.withColumn("bm25", F.aggregate(part, F.lit(0.0), lambda s, x: s + x)).drop("_len", "_tf", "_n", "_avg", "_df")
+    return hit.withColumn("bm25", F.aggregate(part, F.lit(0.0), lambda s, x: s + x))
+
+
+def postings(chunks: DataFrame, document: str = "document", symbols: str | None = None, stem: bool = False, key: str = "chunk_id") -> DataFrame:
+    """The index: (term, key, tf, len), a row for each term of a chunk, to be written sorted or bucketed by term. With `stem`, terms are Porter stems, which are
+    made once for each different word of a chunk."""
+    words = chunks.select(key, words_of(document, symbols).alias("_w")).withColumn("len", F.size("_w"))
+    each = words.select(key, "len", F.explode("_w").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    if stem:
+        each = each.withColumn("term", F.pandas_udf(_stems, StringType())("term")).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
+    return each.select("term", key, F.col("tf").cast("int").alias("tf"), "len")
+
+
+def bm25_of_postings(index: DataFrame, lengths: DataFrame, query: str, k: int, stem: bool = False, key: str = "chunk_id") -> DataFrame:
+    """The k best chunks (key, bm25) of a written index; only the rows of the query's terms are read. lengths: (key, len) of every chunk, also those without a term."""
+    terms = query_terms(query)
+    terms = sorted({porter(t) for t in terms}) if stem else terms
+    found = index.where(F.col("term").isin(*terms)) if terms else index.limit(0)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("a"))
+    each = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row for each term of the query, and one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("a")))
+    return each.groupBy(key).agg(F.round(F.sum(score), 6).alias("bm25")).orderBy(F.desc("bm25"), key).limit(k)
+
+
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map({w: porter(w) for w in words.unique()})
 
 
 def bm25_topk(chunks: DataFrame, query: str, k: int, scope=None, key: str = "chunk_id") -> DataFrame:

@@ -84,6 +84,40 @@ def file_ranking(findings: DataFrame, limit: int) -> DataFrame:
     return findings.groupBy("file_id", "rel_path").agg(F.sum(weight(F.col("severity"))).alias("weight"), F.count("*").alias("n")).orderBy(F.desc("weight"), "rel_path").limit(limit)
 
 
+def attached(results: DataFrame, findings: DataFrame, functions: DataFrame, most: int = 50) -> DataFrame:
+    """results (chunk_id, file_id, start_line, end_line) with `findings`, those whose lines overlap, the worst first and then by line, and `function`, the one
+    that shares most lines. Results are a ranked list's top; a chunk shows `most` findings and tells in n_findings how many there are.
+    """
+    at = results.select("chunk_id", "file_id", "start_line", "end_line")
+    each = overlapping(at, findings)
+    turn = F.row_number().over(Window.partitionBy("chunk_id").orderBy(ordinal(F.col("severity")), "line_from", "rule_id"))
+    shown = each.withColumn("_n", turn)
+    entry = F.struct(F.col("_n"), "rule_id", "severity", "line_from", "line_to")
+    lists = shown.groupBy("chunk_id").agg(F.count("*").alias("n_findings"), F.array_sort(F.array_compact(F.collect_list(F.when(F.col("_n") <= most, entry)))).alias("_f"))
+    lists = lists.select("chunk_id", "n_findings", F.transform("_f", lambda e: e.dropFields("_n")).alias("findings"))
+    best = best_overlap(at, functions, "chunk_id", "ordinal").select("chunk_id", F.col("ordinal").alias("function"))
+    return results.join(lists, "chunk_id", "left").join(best, "chunk_id", "left").na.fill(0, ["n_findings"])
+
+
+def fan_in_findings(counts: DataFrame, least: int = FAN_IN) -> DataFrame:
+    return counts.where(F.col("fan_in") > least).select("file_id", F.lit("quality/high-fan-in").alias("rule_id"), F.lit("info").alias("severity"))
+
+
+def report(stored: DataFrame, at_query: list[DataFrame], files: DataFrame, rules: list[tuple[str, str]], baseline: DataFrame) -> DataFrame:
+    """The findings (file_id, rule_id, severity) of the analyzers and of the rules of query time, of files that are in the index, with suppressed_by."""
+    each = reduce(DataFrame.unionByName, [df.select("file_id", "rule_id", "severity") for df in (stored, *at_query)])
+    return suppressed(each.join(files.select("file_id", "rel_path"), "file_id"), rules, baseline)
+
+
+def metadata_union(chunks: DataFrame, file: str = "file_id") -> DataFrame:
+    """(file, n_exports, n_imports): how many different names the chunks of a file export and import."""
+    names = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    both = F.concat(F.transform(names("exports"), lambda x: F.struct(F.lit("e").alias("kind"), x.alias("name"))), F.transform(names("imports"), lambda x: F.struct(F.lit("i").alias("kind"), x.alias("name"))))
+    each = chunks.select(file, F.explode(both).alias("_x"))
+    named = each.select(file, "_x.*").distinct().groupBy(file).agg(F.count_if(F.col("kind") == "e").alias("n_exports"), F.count_if(F.col("kind") == "i").alias("n_imports"))
+    return chunks.select(file).distinct().join(named, file, "left").na.fill(0, ["n_exports", "n_imports"])
+
+
 def shown_findings(findings: DataFrame, most: int = 50) -> DataFrame:
     """At most `most` findings per file, the worst first, then by line."""
     turn = F.row_number().over(Window.partitionBy("file_id").orderBy(ordinal(F.col("severity")), "line_from", "rule_id"))

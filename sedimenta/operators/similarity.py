@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,38 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, where=None, key:
     return rows.withColumn("score", F.round(cosine(F.col(vector), constant(query)), 6)).drop(vector).where("score is not null").orderBy(F.desc("score"), key).limit(max(1, k))
 
 
+def vector_scan(vectors: DataFrame, limit: int, where=None, key: str = "chunk_id", columns: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """The `limit` rows of smallest key, without the other columns; sorted before the cut, so that the same rows stay in every run."""
+    rows = vectors if where is None else vectors.where(where)
+    return rows.select(key, *columns).orderBy(key).limit(limit)
+
+
+def vector_index(vectors: DataFrame, least: int = 10_000, vector: str = "vector", bucket: float = 0.25, tables: int = 8, seed: int = 21):
+    """A fitted index of random projections over unit vectors for nearest_of(), or None for fewer than `least` rows, where the exact search is enough."""
+    if vectors.limit(least).count() < least:
+        return None
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+    return BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(_dense(vectors, vector).limit(1))
+
+
+def _dense(vectors: DataFrame, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return vectors.withColumn("_u", to_unit(F.col(vector))).where("_u is not null").withColumn("_u", array_to_vector("_u"))
+
+
+def nearest_of(vectors: DataFrame, index, query: list[float], k: int, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
+    """The k rows of highest cosine: exact without an index, else among those that share a bucket with the query, widened until there are k."""
+    if index is None:
+        return vector_topk(vectors, query, k, key=key, vector=vector)
+    from pyspark.ml.linalg import Vectors
+
+    length = math.sqrt(sum(x * x for x in query))
+    near = index.approxNearestNeighbors(_dense(vectors, vector), Vectors.dense([x / length for x in query]), k)
+    return near.select(*[c for c in vectors.columns if c != vector], F.round(1 - F.col("distCol") ** 2 / 2, 6).alias("score")).orderBy(F.desc("score"), key)
+
+
 def centroids(vectors: DataFrame, group: str, vector: str = "vector") -> DataFrame:
     """Per group the mean of its unit vectors, element by element, and how many there were. Means are combined before the shuffle."""
     unit = vectors.select(group, to_unit(F.col(vector)).alias("_u")).where("_u is not null")
@@ -84,13 +117,23 @@ def diverse(rows: DataFrame, group: str, order: list[str], most: int) -> DataFra
     return rows.withColumn("round", turn).where(F.col("round") <= most).orderBy("round", group).limit(most)
 
 
-def model_embeddings(files: DataFrame, embed, text: str = "text", batch: int = 8) -> DataFrame:
-    """The rows with `vector`: embed() makes, once per task, a function from a list of texts to vectors, which gets `batch` texts at a time."""
+def model_embeddings(files: DataFrame, embed, text: str = "text", batch: int = 8, prefix: str = "", most_tokens: int = 512, pooling: str = "mean") -> DataFrame:
+    """The rows with `vector`: embed() makes, once per task, a function from a list of texts to their token vectors (one array of rows per text) or vectors.
+
+    It gets `batch` texts at a time, each behind the prefix of its kind (query or document). Of token vectors, the first `most_tokens` count; they are pooled to their mean, or
+    to the first one (`cls`). A model that pools by itself returns one vector a text, which is taken as it is.
+    """
+
+    def pooled(found) -> list[float]:
+        rows = np.asarray(found, np.float32)
+        if rows.ndim == 1:
+            return rows.tolist()
+        return (rows[0] if pooling == "cls" else rows[:most_tokens].mean(0)).tolist()
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = embed()
         for part in parts:
-            values = part.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(values), batch) for v in model(values[i : i + batch])])
+            values = [prefix + v for v in part.fillna("").tolist()]
+            yield pd.Series([pooled(v) for i in range(0, len(values), batch) for v in model(values[i : i + batch])])
 
     return files.withColumn("vector", F.pandas_udf(run, "array<float>")(F.col(text)))

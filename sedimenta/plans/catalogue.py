@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
@@ -48,10 +48,11 @@ def line_window_chunks(spark, sf):
     return V.chunks(spark, sf).select("chunk_id", "start_line", "end_line", "kind", F.sha2(F.col("document").cast("binary"), 256).alias("sha"))
 
 
-@query(f"""WITH {V.CHUNKS} SELECT project_id, count(*) AS n, sha256(string_agg(rel_path || ':' || start_line || '-' || end_line || chr(10), '' ORDER BY rel_path || ':' || start_line || '-' || end_line || chr(10))) AS digest
-    FROM chunks GROUP BY ALL""")
+@query(f"""WITH {V.CHUNKS}, fd AS (SELECT project_id, rel_path, count(*) AS n, sha256(string_agg(rel_path || ':' || start_line || '-' || end_line || chr(10), '' ORDER BY rel_path || ':' || start_line || '-' || end_line || chr(10))) AS digest FROM chunks GROUP BY ALL),
+    bd AS (SELECT project_id, ('0x' || substr(md5(rel_path), 1, 4))::INTEGER % 1024 AS b, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY rel_path, digest)) AS digest FROM fd GROUP BY ALL)
+    SELECT project_id, sum(n)::BIGINT AS n, sha256(string_agg(digest, '' ORDER BY b)) AS digest FROM bd GROUP BY ALL""")
 def boundary_digest(spark, sf):
-    return evaluation.boundary_digest(V.chunks(spark, sf), "project_id")
+    return evaluation.group_digest(evaluation.boundary_digest(V.chunks(spark, sf), "project_id"), "project_id")
 
 
 @query(rf"""WITH {V.CHUNKS}, e AS (SELECT file_id, start_line, end_line FROM chunks WHERE start_line % 4 = 1 UNION ALL SELECT file_id, len(ls) + 1, NULL FROM cut),
@@ -226,17 +227,23 @@ def hybrid_search(spark, sf):
     return fusion.rrf(_branches(spark, sf), key="key").orderBy(F.desc("rrf"), "best_rank", "key").limit(10)
 
 
+_TERMS = lexical.query_terms(SEARCH)
+
+
 @query(f"""WITH {FUSED}, {V.LINKS}, inb AS (SELECT page_id AS key, n FROM pages JOIN (SELECT to_path, count(DISTINCT from_file_id) AS n FROM links GROUP BY ALL) ON to_path = '/' || regexp_extract(url, '/([a-zA-Z]+)[^/]*$', 1)),
-    s AS (SELECT r.key, rrf, coalesce(n, 0) AS inbound, rel_path FROM rrf r LEFT JOIN inb USING (key) LEFT JOIN files f ON f.doc_id = r.key)
-    SELECT key, inbound, round(rrf + 0.004 * (language IS NOT NULL)::INTEGER + 0.01 * ln(1 + inbound) + CASE WHEN rel_path LIKE '%0.md' THEN 0.006 ELSE 0 END, 6) AS score, inbound >= 2 AS authoritative
-    FROM s LEFT JOIN (SELECT rel_path, language FROM files) USING (rel_path) ORDER BY score DESC, key LIMIT 10""")
+    s AS (SELECT r.key, rrf, coalesce(n, 0) AS inbound, coalesce(regexp_extract(lower(text), '[a-z]+', 0) IN {tuple(_TERMS)}, false) AS named, coalesce(regexp_matches(lower(substr(text, 1, 20)), '{'|'.join(t for t in _TERMS if len(t) >= 3)}'), false) AS defines FROM rrf r LEFT JOIN inb USING (key) LEFT JOIN files f ON f.doc_id = r.key)
+    SELECT key, inbound, round(rrf + 0.004 * 2 * named::INTEGER + 0.01 * ln(1 + inbound) + CASE WHEN defines THEN 0.006 ELSE 0 END, 6) AS score, inbound >= 2 AS authoritative FROM s ORDER BY score DESC, key LIMIT 10""")
 def boosted_search(spark, sf):
+    """A document exports its first word, and its first characters stand for a heading."""
     to_path = F.concat(F.lit("/"), F.regexp_extract("url", "/([a-zA-Z]+)[^/]*$", 1))
     inbound = V.read(spark, sf, "pages").select(F.col("page_id").alias("key"), to_path.alias("to_path")).join(graph.inbound_links(V.links(spark, sf)), "to_path").select("key", "inbound")
-    at = V.files(spark, sf).select(F.col("doc_id").alias("key"), "rel_path", "language")
+    none = F.array().cast("array<string>")
+    word = F.array(F.regexp_extract(F.lower("text"), "[a-z]+", 0))
+    meta = F.struct(word.alias("exports"), *[none.alias(c) for c in ("imports", "calls", "risky_calls")], *[F.lit(0).alias(c) for c in ("max_nesting", "max_loops", "params")], *[F.lit(False).alias(c) for c in ("has_recursion", "has_async")])
+    at = V.files(spark, sf).select(F.col("doc_id").alias("key"), "rel_path", meta.alias("meta"), F.array(F.substring("text", 1, 20)).alias("symbols"))
     rows = fusion.rrf(_branches(spark, sf), key="key").join(inbound, "key", "left").join(at, "key", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("language").isNotNull(), F.lit("known_language"))))
-    gain = fusion.boost(reasons, F.col("inbound"), F.col("rel_path").endswith("0.md"), F.coalesce(fusion.is_derivative(F.col("rel_path")), F.lit(False)))
+    reasons = fusion.match_reasons(F.col("meta"), _TERMS)
+    gain = fusion.boost(reasons, F.col("inbound"), fusion.is_definition(F.lit("section-h1"), F.col("symbols"), _TERMS), F.coalesce(fusion.is_derivative(F.col("rel_path")), F.lit(False)))
     out = rows.select("key", F.coalesce("inbound", F.lit(0)).alias("inbound"), F.round(F.col("rrf") + gain, 6).alias("score"))
     return out.withColumn("authoritative", F.col("inbound") >= 2).orderBy(F.desc("score"), "key").limit(10)
 
@@ -266,17 +273,18 @@ def fan_in(spark, sf):
     return graph.fan_in(V.refs(spark, sf), 5)
 
 
-HITS = "hits AS (SELECT project_id, file_id, rank, symbol FROM (SELECT project_id, file_id, symbol, dense_rank() OVER (ORDER BY file_id, project_id) AS rank FROM (SELECT DISTINCT project_id, file_id, symbol FROM refs WHERE kind = 'def' AND file_id < 200)))"
+HITS = """top AS (SELECT project_id, file_id, row_number() OVER (ORDER BY count(DISTINCT symbol) DESC, file_id, project_id) AS rank FROM refs WHERE kind = 'def' GROUP BY project_id, file_id QUALIFY rank <= 50),
+    hits AS (SELECT DISTINCT project_id, file_id, rank, symbol FROM top JOIN refs USING (project_id, file_id) WHERE kind = 'def')"""
 
 
 @query(f"""WITH {V.REFS}, {HITS}, f AS (SELECT r.project_id, r.file_id, r.line, min({{'hit_rank': h.rank, 'symbol': h.symbol}}) AS b FROM refs r JOIN hits h ON r.project_id = h.project_id AND r.symbol = h.symbol AND r.file_id <> h.file_id WHERE kind <> 'def' GROUP BY ALL)
     SELECT project_id, file_id, line, b.symbol AS symbol, b.hit_rank::INTEGER AS hit_rank FROM f ORDER BY b.hit_rank, project_id, file_id, line LIMIT 100""")
 def coverage_expand(spark, sf):
-    from pyspark.sql import Window
-
-    hits = V.refs(spark, sf).where("kind = 'def' AND file_id < 200").groupBy("project_id", "file_id").agg(F.collect_set("symbol").alias("exports"))
-    hits = hits.withColumn("rank", F.dense_rank().over(Window.orderBy("file_id", "project_id")))  # stands for a ranked list's bounded top
-    return graph.coverage(hits, V.refs(spark, sf), 50)
+    """The hits are the files that define most, out of all."""
+    exports = V.refs(spark, sf).where("kind = 'def'").groupBy("project_id", "file_id").agg(F.collect_set("symbol").alias("exports"))
+    order = [F.desc(F.size("exports")), F.col("file_id"), F.col("project_id")]
+    hits = exports.orderBy(*order).limit(50)
+    return graph.coverage(hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))), V.refs(spark, sf), 50)
 
 
 @query("""WITH p AS (SELECT '/ws/c' || (c_custkey % 50) || '/s' || (c_custkey % 7) || CASE WHEN c_custkey % 3 = 0 THEN '/x' ELSE '' END AS path FROM customer), q AS (SELECT DISTINCT path FROM p),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What marks a folder as a project, and its rank.
@@ -12,6 +12,8 @@ MARKERS = {
     ".git": 0, ".idea": 1, ".vscode": 1, "package.json": 2, "pyproject.toml": 2, "Cargo.toml": 2, "go.mod": 2, "pom.xml": 2, "build.gradle": 2,
     "build.gradle.kts": 2, "Makefile": 2, "CMakeLists.txt": 2,
 }
+# Fixed value: the ending of files that mark a folder as a project too, with the rank of .vscode.
+MARKER_ENDING, MARKER_ENDING_RANK = ".code-workspace", 1
 
 
 def workspace_files(spark: SparkSession, root: str) -> DataFrame:
@@ -25,22 +27,43 @@ def workspace_files(spark: SparkSession, root: str) -> DataFrame:
 def projects_of(paths: DataFrame, depth: int = 4) -> DataFrame:
     """(root, marker) of the topmost folders that hold a marker, at most `depth` deep; of several markers the one of least rank."""
     leaf, parent = F.substring_index("path", "/", -1), F.regexp_replace("path", "/?[^/]*$", "")
-    inner = paths.select(parent.alias("root"), leaf.alias("marker")).where(F.col("marker").isin(*MARKERS))
-    rank = F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair])
-    found = inner.where(F.size(F.split("root", "/")) <= depth).groupBy("root").agg(F.min_by("marker", F.struct(F.element_at(rank, F.col("marker")), F.col("marker"))).alias("marker"))
+    inner = paths.select(parent.alias("root"), leaf.alias("marker")).where(_is_marker(F.col("marker")))
+    found = inner.where(F.size(F.split("root", "/")) <= depth).groupBy("root").agg(F.min_by("marker", F.struct(_rank(F.col("marker")), F.col("marker"))).alias("marker"))
     parts = F.split("root", "/")
     above = found.select(F.col("root").alias("_r"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("root")).where("_r <> root")
     inside = above.join(found.select("root"), "root", "left_semi").select(F.col("_r").alias("root")).distinct()
     return found.join(inside, "root", "left_anti")
 
 
+def _is_marker(name: Column) -> Column:
+    return name.isin(*MARKERS) | name.endswith(MARKER_ENDING)
+
+
+def _rank(name: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair]), name), F.lit(MARKER_ENDING_RANK))
+
+
+def absorbed_markers(paths: DataFrame, root: str, skipped: list[str], depth: int = 4) -> DataFrame:
+    """(rel_path, marker) of the topmost folders below a project's root that hold a marker of their own, at most `depth` deep; not those inside hidden or skipped folders."""
+    rel = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
+    inner = paths.where(F.col("path").startswith(root.rstrip("/") + "/")).select(rel.alias("_r"))
+    at = inner.select(F.regexp_replace("_r", "/?[^/]*$", "").alias("rel_path"), F.substring_index("_r", "/", -1).alias("marker")).where((F.col("rel_path") != "") & _is_marker(F.col("marker")))
+    parts = F.split("rel_path", "/")
+    at = at.where((F.size(parts) <= depth) & ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*skipped)))
+    found = at.groupBy("rel_path").agg(F.min_by("marker", F.struct(_rank(F.col("marker")), F.col("marker"))).alias("marker"))
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    above = found.select("rel_path", F.explode(up).alias("up")).where("up <> rel_path")
+    inside = above.join(found.select(F.col("rel_path").alias("up")), "up", "left_semi").select("rel_path").distinct()
+    return found.join(inside, "rel_path", "left_anti").orderBy("rel_path")
+
+
 QREL = "query_id string, query string, query_type string, rel_path string, start_line int, end_line int, relevance int, provenance string, notes string"
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """Judgements in JSON lines; blank lines and those that begin with # or // are left out, and a bad one is an error that shows it."""
-    raw = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|//|$)"))
-    q = raw.select("value", F.from_json("value", QREL).alias("q"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("_at", "value")).where(~F.col("value").rlike(r"^\s*(#|//|$)"))
+    q = raw.select(F.concat(F.lit("line "), F.col("_at") + 1, F.lit(": "), "value").alias("value"), F.from_json("value", QREL).alias("q"))
     ok = (
         F.col("q.query_id").isNotNull() & F.col("q.rel_path").isNotNull() & F.col("q.query_type").isin("literal", "symbol", "concept", "mixed", "prose") & (F.col("q.start_line") >= 1)
         & (F.col("q.end_line") >= F.col("q.start_line")) & F.col("q.relevance").isin(0, 1, 2)
