@@ -24,7 +24,7 @@ from sedimenta.llm.bytehash import BASE, U, column_bytes, mix64, pieces, word_ha
 from sedimenta.llm.rows import tidy
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-SCHEMA = "doc_id long, item_id long, score int, share double, n_seeds int, first_word long, last_word long"
+SCHEMA = "doc_id long, text_hash long, item_id long, score int, share double, n_seeds int, first_word long, last_word long"
 _byte = np.arange(256)
 #: All but ASCII letters and digits and the bytes of longer characters.
 SEPARATOR = ~((_byte >= 128) | ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 97) & (_byte <= 122)))
@@ -157,7 +157,7 @@ def passages(hits: list[tuple[int, int, bool]], length: int, share: float) -> It
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.45, block_items: int = 20_000) -> DataFrame:
-    """A row per document and test item that it holds a copy of: the best alignment's score, its share of a whole copy's score, and its words.
+    """A row per document (doc_id, text_hash) and test item that it holds a copy of: the best alignment's score, its share of a whole copy's score, and its words.
 
     A copy is an alignment with at least `share` of the score that the item has with itself. Items go over the corpus in blocks of about `block_items`,
     so what is sent to the executors is bounded. A copy none of whose seeds is left isn't found. Items without words, null items and null or empty texts match nothing; a repeated
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     with many seeds is one stretch, so its cost follows its length. Other columns are ignored.
     """
     tests = benchmark.select(benchmark[item_key].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     blocks = max(1, -(-tests.count() // block_items))
     out = None
     for k in range(blocks):
@@ -209,7 +209,7 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 data, offsets = lowered(batch.column(1))
-                ids = batch.column(0).to_pylist()
+                ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 for i, j in pieces(offsets):
                     word, first = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     hits: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
@@ -230,7 +230,7 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
                             score, s, e = smith_waterman(own, text[a:b])
                             best = max(best, (score, seeds, a + s, a + e))
                         if best[0] >= share * MATCH * len(own):
-                            out.append((ids[i + r], item, best[0], best[0] / (MATCH * len(own)), best[1], best[2], best[3]))
+                            out.append((ids[i + r], hashes[i + r], item, best[0], best[0] / (MATCH * len(own)), best[1], best[2], best[3]))
                 if len(out) > 10_000:
                     yield table(out)
                     out = []
@@ -240,6 +240,6 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
 
 
 def table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])

@@ -25,7 +25,7 @@ from sedimenta.sources.scratch import Scratch
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
-NODE = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
+NODE = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, signature binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -76,7 +76,7 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, places: int
 
 
 def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text): the set's size and digest, the hashes of its bands, and a byte of each place of its signature with 4 of each band."""
+    """Of (doc_id, text, text_hash): the first and the last, the set's size and digest, the hashes of its bands, and a byte of each place of its signature with 4 of each band."""
     tidy()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -91,8 +91,8 @@ def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                     key = mix64(key * U(0x9E3779B97F4A7C15) + bands[:, :, k])
                 nodes = [digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in np.concatenate(((signature >> U(56)).astype(np.uint8), key.astype(np.uint32).view(np.uint8)), axis=1)], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "bands", "signature"],
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in np.concatenate(((signature >> U(56)).astype(np.uint8), key.astype(np.uint32).view(np.uint8)), axis=1)], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "bands", "signature"],
                 )
 
 
@@ -121,15 +121,16 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most: int = 1024, room: int = 32 << 20) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id that links reach), kept (it is its own component).
+    """Per row: doc_id, n_shingles, component_id (least doc_id that links reach), kept (it is its own component), text_hash, stays (it is the group's first row).
 
     Two documents are linked where 100 * |A and B| >= percent * |A or B|. A document without words has an empty set and stands alone. Equal texts,
-    repeated rows and repeated keys share a component; a null key takes part, is never the least unless alone, and isn't kept. Buckets of more than
+    repeated rows and repeated keys of linked texts share a component; a null key takes part, is never the least unless alone, and isn't kept. `stays` tells rows apart where
+    `kept` can't: of each group the row of least key, null last, and then of least text hash, and every copy of exactly that row; and each row without words. Buckets of more than
     `most` nodes, or whose sets take more than `room` bytes, are cut into blocks, of which all pairs are compared; none is dropped.
     The banding and the signatures' estimate together miss a pair at exactly the threshold about once in 200,000 and closer ones still less often.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     base = scratch.keep(rows.mapInArrow(lambda b: signed(b, width), NODE), "rows")
     nodes = scratch.keep(
         base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes"
@@ -151,10 +152,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     if not found.isEmpty():
         labels = scratch.keep(connected_components(links.unionByName(found), scratch, "second"), "labels-2")
     scratch.drop("nodes", "members", "held", "several", "dealt", "sets-across", "links-0", "links-1", "second")
-    labelled = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    alone = labelled.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = labelled.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    labelled = base.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
+    alone = labelled.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("stays"))
+    out = labelled.join(scratch.keep(least, "least"), "component").select("doc_id", "n_shingles", "component_id", "text_hash", place.eqNullSafe(F.col("first")).alias("stays")).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -364,14 +364,14 @@ def _by_halves(many: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     now, found = many.select("core", "context", F.lit(0).alias("range_lo"), F.lit(length - CORE).alias("range_hi"), "left", "right"), None
     for k, width in enumerate((75, 15, 5, 1)):
         pieces_ = scratch.keep(now.mapInArrow(lambda b, w=width: cut(b, w), schema), f"ranges-{k}")
-        hulls = pieces_.groupBy("core", "common", "hull").agg(F.count("*").alias("n"), F.min("context").alias("one"))
-        commons = hulls.groupBy("core", "common").agg(F.sum("n").alias("all"), F.min("n").alias("least")).where(F.col("all") > 1)
+        hulls = scratch.keep(pieces_.groupBy("core", "common", "hull").agg(F.count("*").alias("n"), F.min("context").alias("one")), f"hulls-{k}")
+        commons = scratch.keep(hulls.groupBy("core", "common").agg(F.sum("n").alias("all"), F.min("n").alias("least")).where(F.col("all") > 1), f"commons-{k}")
         told = scratch.keep(pieces_.join(hulls, ["core", "common", "hull"]).join(commons, ["core", "common"]), f"told-{k}")
         settled = told.where("n > 1").select("core", "context", F.col("range_lo").alias("lo"), F.col("range_hi").alias("hi"))
         found = settled if found is None else found.unionByName(settled)
         # what is still open, and of each hull that is settled one context that may be its match
         now = told.where("least = 1 AND (n = 1 OR context = one)").select("core", "context", "range_lo", "range_hi", "left", "right")
-        scratch.drop(f"ranges-{k}")
+        scratch.drop(f"ranges-{k}", f"hulls-{k}", f"commons-{k}")
         if now.isEmpty():
             break
     return found.groupBy("core", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
