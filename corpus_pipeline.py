@@ -1,6 +1,7 @@
 """A training corpus from raw documents, in five stages; each works on all that the one before kept.
 
-Rows whose doc_id is null pass the stages that decide by id. Repeated rows count once from the second stage on.
+Stages decide on rows, which a doc_id and a hash of the text tell apart: null and repeated ids are treated as others are. Repeated rows count once from the
+second stage on. Empty tables give empty tables, and further columns come along until the last stage.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ from sedimenta.sources.scratch import Scratch
 from sedimenta.llm.surrogates import Replacer, settle, surrogate_table
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that are not among found (doc_id, text_hash)."""
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and lies near enough to a language's centroid."""
     model = spark.sparkContext.broadcast(fit_languages(docs))
@@ -26,15 +33,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    found = near_duplicates(docs)
-    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """The document with the least id of each group of near copies; of repeated rows one."""
+    scratch = Scratch(spark, "found")
+    found = scratch.keep(near_duplicates(docs).select("doc_id", "text_hash", "stays"), "rows")
+    left = without(docs, found.where(~F.col("stays")))
+    repeated = found.where("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a test item."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, found)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +72,7 @@ STAGES = [
     ("pii_surrogates", without_personal_data),
     ("byte_bpe", tokens),
 ]
-#: Alignment, surrogates and BPE have no SQL; the stages are tested against brute force.
+#: Alignment, surrogates and BPE have no SQL; tests/llm/test_pipeline.py runs all stages against plain Python.
 ORACLE_SQL = None
 
 
