@@ -1,19 +1,23 @@
 """Layout-aware text of HTML pages.
 
 A tree builder supplies the tags that HTML implies (a `p`, list item, cell or row ends where the next begins), a visibility pass drops
-what a browser doesn't show (of formulas and drawings it keeps the text shown, of inputs the values of buttons), and a renderer writes the rest: blank lines between blocks, list markers with indents, and
-table cells in aligned columns. All steps run on explicit stacks, so deep nesting is no danger.
+what a browser doesn't show, by attributes, styles and the simple selectors of style sheets (of formulas and drawings it keeps the text shown, of inputs the values
+of buttons, of images what stands for them), and a renderer writes the rest: blank lines between blocks, list markers with indents, and
+table cells in aligned columns, also where cells span rows and columns. All steps run on explicit stacks, so deep nesting is no danger.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sedimenta.llm.rows import tidy
+
 SCHEMA = "page_id long, text string, n_chars long, n_blocks int, n_list_items int, n_tables int"
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<![^>]*(?:>|\Z)
@@ -24,11 +28,11 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE, SHOWN_STYLE, NO_BOX = (re.compile(p, re.I) for p in (r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible", r"display\s*:\s*none|content-visibility\s*:\s*hidden"))
+NO_CONTENT = re.compile(r"content-visibility\s*:\s*hidden", re.I)
 # Fixed values of the HTML standard: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist".split())
 MARGIN = frozenset("p blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = (BLOCK - frozenset("body html caption optgroup option tbody td tfoot th thead tr legend".split())) - {"p"} | {"p"}
@@ -53,9 +57,16 @@ MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
 HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var br".split())
 BUTTONS = frozenset("submit reset button".split())
+#: The captions of buttons that have no value of their own.
+CAPTIONS = {"submit": "Submit", "reset": "Reset"}
 SCOPE = frozenset("table td th caption html template object".split())
 
 
+#: Where a rule hides, shows or says nothing: display, and visibility.
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -200,6 +211,48 @@ class Flow:
         return self.lines
 
 
+def style_rules(root: Node) -> list[tuple[str, frozenset[str], frozenset[str], str]]:
+    """(tag or '', classes, ids, declarations) of the page's style sheets, in their order, for rules that can hide. Only selectors of one element count - its
+    tag, classes and id; @media and other blocks are passed over."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            sheet = re.sub(r"/\*.*?\*/", "", "".join(x for x in node.children if isinstance(x, str)), flags=re.S)
+            sheet = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})", "", sheet)
+            for selectors, body in RULE.findall(sheet):
+                if "display" in body or "visibility" in body:
+                    for selector in selectors.split(","):
+                        if (m := SELECTOR.match(selector.strip())) and m[0]:
+                            names = re.findall(r"[.#][\w-]+", m[2])
+                            out.append(((m[1] or "").lower().replace("*", ""), frozenset(n[1:] for n in names if n[0] == "."), frozenset(n[1:] for n in names if n[0] == "#"), body))
+        else:
+            todo += [x for x in reversed(node.children) if not isinstance(x, str)]
+    return sorted(out, key=lambda r: (len(r[2]), len(r[1]), bool(r[0])))
+
+
+def styled(tag: str, attrs: dict[str, str], rules: list[tuple[str, frozenset[str], frozenset[str], str]]) -> str:
+    """The declarations that hold for an element, the strongest last: those of rules, and its own."""
+    if not rules:
+        return attrs.get("style", "")
+    classes, own = frozenset(attrs.get("class", "").split()), {attrs.get("id", "")}
+    return ";".join([body for t, c, i, body in rules if (not t or t == tag) and c <= classes and i <= own] + [attrs.get("style", "")])
+
+
+DISPLAY, VISIBILITY = (re.compile(rf"(?:^|[;\s]){name}\s*:\s*([a-z-]+)", re.I) for name in ("display", "visibility"))
+
+
+def width(s: str) -> int:
+    """Columns of a terminal or a fixed-width page: wide characters take two, combining marks none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def filled(s: str, to: int) -> str:
+    return s + " " * (to - width(s))
+
+
 def number(s: str, default: int, most: int = 10**9) -> int:
     try:
         return max(-most, min(most, int(s)))
@@ -207,24 +260,48 @@ def number(s: str, default: int, most: int = 10**9) -> int:
         return default
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]], widest: int = 80) -> list[str]:
-    """Rows of (lines, colspan) with their columns aligned; a cell wider than `widest` is kept whole but moves only its own row."""
-    widths: list[int] = []
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of (lines, colspan, rowspan) as rows of (column, lines, colspan): a cell begins in the first column that no cell of a row above still spans."""
+    out, held = [], {}  # column -> rows that it is still taken in
     for row in rows:
-        col = 0
-        for lines, span in row:
+        col, now, fresh = 0, [], {}
+        for lines, span, down in row:
+            while held.get(col):
+                col += 1
+            now.append((col, lines, span))
+            if down > 1:
+                fresh |= {c: down for c in range(col, col + span)}
+            col += span
+        held = {c: n - 1 for c, n in (held | fresh).items() if n > 1}
+        out.append(now)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]], widest: int = 80) -> list[str]:
+    """Rows of (lines, colspan, rowspan) with their columns aligned; a cell wider than `widest` is kept whole but moves only its own row."""
+    widths: list[int] = []
+    at = placed(rows)
+    for row in at:
+        for col, lines, span in row:
             widths += [0] * (col + 1 - len(widths))
             if span == 1:
-                widths[col] = max(widths[col], min(widest, max(map(len, lines), default=0)))
-            col += span
+                widths[col] = max(widths[col], min(widest, max(map(width, lines), default=0)))
+    for row in at:
+        for col, lines, span in row:
+            if span > 1:  # what a wide cell lacks goes to the last of its columns
+                widths += [0] * (col + min(span, 1000) - len(widths))
+                lack = min(widest, max(map(width, lines), default=0)) - sum(widths[col : col + span]) - 2 * (span - 1)
+                widths[col + span - 1] += max(0, lack)
+    edges = [0]
+    for w in widths:
+        edges.append(edges[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, col, edge = "", 0, 0
-            for lines, span in row:
-                line = line.ljust(edge) + ("  " if col else "") + (lines[k] if k < len(lines) else "")
-                edge += 2 * bool(col) + sum(widths[c] if c < len(widths) else 0 for c in range(col, col + span))
-                col += span
+    for row in at:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line = ""
+            for col, lines, _ in row:
+                edge = edges[min(col, len(edges) - 1)]
+                line = filled(line, max(edge, width(line) + 2 if line else edge)) + (lines[k] if k < len(lines) else "")
             out.append(line.rstrip())
     return out
 
@@ -232,6 +309,7 @@ def table_lines(rows: list[list[tuple[list[str], int]]], widest: int = 80) -> li
 def render(root: Node) -> tuple[str, int, int, int]:
     """The visible text, and the numbers of text lines, list items and tables."""
     flows, tables, lists, items, blocks, n_tables = [Flow()], [], [], 0, 0, 0
+    rules = style_rules(root)
     todo: list[tuple] = [("in", root, False, False, "")]
     while todo:
         step, node, hidden, pre, space = todo.pop()  # space: svg, svg text or math inside one of these
@@ -261,7 +339,7 @@ def render(root: Node) -> tuple[str, int, int, int]:
                 flows.pop()
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, max(1, number(attrs.get("colspan", "1"), 1, 1000))))
+                tables[-1][-1].append((lines, max(1, number(attrs.get("colspan", "1"), 1, 1000)), max(1, number(attrs.get("rowspan", "1"), 1, 65534))))
             elif tag == "table":
                 flow.block(True)
                 for line in table_lines(tables.pop()):
@@ -275,18 +353,27 @@ def render(root: Node) -> tuple[str, int, int, int]:
             elif tag in BLOCK:
                 flow.block(tag in MARGIN)
             continue
-        if tag in UNSEEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in attrs:
+        style = styled(tag, attrs, rules)
+        shown = found[-1].lower() if style and (found := DISPLAY.findall(style)) else ""
+        if tag in UNSEEN or not shown and ("hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in attrs):
             continue
-        if style := attrs.get("style", ""):
-            if NO_BOX.search(style):
+        if style:
+            if shown == "none" or NO_CONTENT.search(style):
                 continue
-            hidden = bool(HIDDEN_STYLE.search(style)) or hidden and not SHOWN_STYLE.search(style)
+            if found := VISIBILITY.findall(style):
+                hidden = found[-1].lower() in ("hidden", "collapse") or hidden and found[-1].lower() != "visible"
         if tag == "br":
             flow.flush(True)
             continue
         if tag == "input":
-            if attrs.get("type", "").strip().lower() in BUTTONS and attrs.get("value") and not hidden:
-                flow.text(f" {attrs['value']} ", False)
+            kind = attrs.get("type", "").strip().lower()
+            caption = attrs.get("value", CAPTIONS.get(kind, "")) if kind in BUTTONS else attrs.get("alt", "") if kind == "image" else ""
+            if caption.strip() and not hidden:
+                flow.text(f" {caption} ", False)
+            continue
+        if tag == "img":  # what a browser shows where the picture isn't
+            if attrs.get("alt", "").strip() and not hidden:
+                flow.text(attrs["alt"], False)
             continue
         if tag == "math":
             space = "math"
@@ -353,6 +440,7 @@ def render_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             rows = [render(parse(page.as_py() or "")) for page in batch.column(1)]
             text, blocks, items, tables = zip(*rows, strict=True) if rows else ((),) * 4
