@@ -118,13 +118,20 @@ def _rolled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def duplicate_members(windows: DataFrame, least_files: int = 2, most_members: int = 50) -> DataFrame:
-    """The windows of hashes in several files with `n_files` over all, at most so many members of each hash, in (file_id, start_line) order.
+    """The windows of hashes in several files, at most so many members of each hash, in (file_id, start_line) order.
 
-    The hashes that qualify are found by counts that are combined before the shuffle; of each hash, a task sends no more than `most_members` rows on.
+    Of each hash, a task sends no more than `most_members` rows on.
     """
-    often = windows.select("hash", "file_id").distinct().groupBy("hash").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= max(2, least_files))
     turn = F.row_number().over(Window.partitionBy("hash").orderBy("file_id", "start_line"))
-    return windows.join(often, "hash").withColumn("turn", turn).where(F.col("turn") <= most_members)
+    return windows.join(_often(windows, least_files), "hash", "left_semi").withColumn("turn", turn).where(F.col("turn") <= most_members)
+
+
+def _often(windows: DataFrame, least_files: int) -> DataFrame:
+    """The hashes in so many files, two at least: by counts that are combined before the shuffle, and where two will do, by a least and a greatest one."""
+    if least_files > 2:
+        return windows.select("hash", "file_id").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_files).select("hash")
+    file = F.xxhash64("file_id")
+    return windows.groupBy("hash").agg(F.min(file).alias("lo"), F.max(file).alias("hi")).where("lo <> hi").select("hash")
 
 
 def duplicate_groups(windows: DataFrame, least_files: int = 2, most_members: int = 50, most_groups: int | None = 200) -> DataFrame:
@@ -136,5 +143,4 @@ def duplicate_groups(windows: DataFrame, least_files: int = 2, most_members: int
 
 def extract_candidates(windows: DataFrame, least_files: int = 3) -> DataFrame:
     """(file_id, start_line, end_line, hash): a finding for each member of a group in enough files."""
-    often = windows.select("hash", "file_id").distinct().groupBy("hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_files)
-    return windows.join(often.select("hash"), "hash", "left_semi").select("file_id", "start_line", "end_line", "hash")
+    return windows.join(_often(windows, least_files), "hash", "left_semi").select("file_id", "start_line", "end_line", "hash")
