@@ -185,6 +185,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scr
     sets = scratch.keep(_sets(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), rows, width), "sets-stars")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             yes = [similar(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
