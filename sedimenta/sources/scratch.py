@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; in local mode only, a temporary folder where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,7 +42,16 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Written with small Arrow batches: rows that hold whole texts or sets take a worker's and the JVM's memory batch by batch."""
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in LEAN}
+        for k, v in LEAN.items():
+            conf.set(k, v)
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
