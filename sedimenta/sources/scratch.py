@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: For intermediate tables: small Arrow batches, and files that are few and large, since each costs its writer several calls of the file system.
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,9 +43,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Written with small Arrow batches: rows that hold whole texts or sets take a worker's and the JVM's memory batch by batch."""
+        """Written with small Arrow batches, as rows that hold whole texts or sets take a worker's and the JVM's memory batch by batch, and in few files."""
         conf = self.spark.conf
-        before = {k: conf.get(k) for k in LEAN}
+        before = {k: conf.get(k) for k in LEAN}  # put back whatever happens
         for k, v in LEAN.items():
             conf.set(k, v)
         try:
