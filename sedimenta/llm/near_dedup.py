@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, key: str =
     centres = centres.unionByName(members.where("n = 2").groupBy("bucket").agg(F.min("node").alias("centre")))
     apart = members.join(scratch.keep(centres, "centres"), "bucket").where(F.col("node") != F.col("centre"))
     stars = scratch.keep(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
-    links = scratch.keep(_confirmed(scratch.keep(_close(stars, nodes, percent), "tried"), nodes, rows, scratch, width, percent), "links-0")
+    links = scratch.keep(confirmed(scratch.keep(_close(stars, nodes, percent), "tried"), nodes, rows, scratch, width, percent), "links-0")
     labels = scratch.keep(connected_components(links, scratch, "first"), "labels")
     scratch.drop("full", "centres", "stars", "tried", "sets-stars", "first")
     found = scratch.keep(_across(members, nodes, rows, labels, scratch, width, percent, most, room), "links-1")
@@ -179,7 +179,7 @@ def estimate_floor(percent: int) -> int:
     return int(PLACES * share - 6 * (PLACES * share * (1 - share)) ** 0.5)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Pairs that are links by their full sets."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = scratch.keep(_sets(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), rows, width), "sets-stars")

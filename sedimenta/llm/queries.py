@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.ball_tree import top_inner_products
 from sedimenta.llm.byte_bpe import bpe_round_trip
+from sedimenta.llm.collocations import collocations
 from sedimenta.llm.decontaminate import contaminated
 from sedimenta.llm.html_text import render_pages
+from sedimenta.llm.importance import importance_sample
+from sedimenta.llm.jaccard_join import jaccard_classes
 from sedimenta.llm.language_id import fit_languages, held_out, identify_languages
 from sedimenta.llm.near_dedup import near_duplicates
 from sedimenta.llm.repeated_bytes import remove_repeats
@@ -81,8 +84,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op4_seed_alignment, op5_external_shuffle, op6_centroid_language, op7_deep_shallow_repeats, op8_ball_tree_topk, op9_warc_index_merge, op10_byte_bpe)
+    f.__name__: f for f in (op1_pii_surrogates, op2_superminhash_dedup, op3_html_rendering, op4_seed_alignment, op5_external_shuffle, op6_centroid_language, op7_deep_shallow_repeats, op8_ball_tree_topk, op9_warc_index_merge, op10_byte_bpe, op11_importance_resampling, op12_collocations, op13_jaccard_join)
 }
 
 SQL: dict[str, str] = {
@@ -126,4 +142,66 @@ SQL: dict[str, str] = {
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to, url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position
         FROM p LEFT JOIN f ON f.d = p.d AND n >= 100""",
+    "op11_importance_resampling": r"""
+        WITH RECURSIVE steps(b, k, c) AS (
+            SELECT b, 0, b FROM (SELECT unnest(range(256)) AS b)
+            UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+        texts AS (SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+        w AS (SELECT own, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        f AS (
+            SELECT own, id, unnest(w) AS f FROM w
+            UNION ALL SELECT own, id, w[i] || ' ' || w[i + 1] FROM (SELECT own, id, w, unnest(range(1, len(w))) AS i FROM w)),
+        d AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM f),
+        z AS (
+            SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+                lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM d, crc),
+        n AS (SELECT own, count(*)::DOUBLE AS n FROM f GROUP BY own),
+        c AS (SELECT bucket, count(*) FILTER (own)::DOUBLE AS s, count(*) FILTER (NOT own)::DOUBLE AS t FROM f JOIN z USING (f) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT coalesce(sum(n), 0) FROM n WHERE own) + 10000) / ((s + 1) * ((SELECT coalesce(sum(n), 0) FROM n WHERE NOT own) + 10000)))) AS gain FROM c),
+        x AS (SELECT id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN z USING (f) JOIN g USING (bucket) WHERE own GROUP BY id),
+        e AS (
+            SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM w LEFT JOIN x USING (id) WHERE own),
+        r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= n * 25 // 100 THEN place END AS rank FROM r""",
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) r(k))),
+        f AS (SELECT lang, k, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+        cut AS (SELECT lang, phrase, f AS a, j, array_to_string(g[:j], ' ') AS x, array_to_string(g[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        s AS (
+            SELECT cut.lang, cut.phrase, a, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+            FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y
+            QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, j) = 1),
+        inner_runs AS (SELECT lang, f, array_to_string(g[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) r(m) WHERE m < k)),
+        covered AS (SELECT lang, phrase, max(f) AS f FROM inner_runs GROUP BY ALL),
+        kept AS (SELECT s.* FROM s LEFT JOIN covered v ON v.lang = s.lang AND v.phrase = s.phrase WHERE v.f IS NULL OR 100 * v.f < 80 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_jaccard_join": r"""
+        WITH RECURSIVE toks AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM toks WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(node, least) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT e.b, r.least FROM reach r JOIN edges e ON e.a = r.node WHERE r.least < e.b),
+        found AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN found ON node = d.doc_id""",
 }
