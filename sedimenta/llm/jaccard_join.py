@@ -10,10 +10,10 @@ components meet; nothing is estimated and no pair is left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,23 +124,52 @@ def _meeting(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, scr
     dealt = held.join(several, "tile").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n_shingles").join(nodes.select("node", "bits"), "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        size, least = group["n_shingles"].to_numpy(), min(map(len, group["bits"]))
-        bits = np.stack([folded(np.frombuffer(b, np.uint8), least) for b in group["bits"]]).view(np.uint64)
-        component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
-        node, block, square, out = group["node"].to_numpy(), group["own"].to_numpy(), group["lo"].iat[0] != group["hi"].iat[0], []
-        for i in range(len(node) - 1):
-            other = component[i + 1 :] != component[i]
-            if square:
-                other &= block[i + 1 :] != block[i]
-            other = np.flatnonzero(other) + i + 1
-            other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
-            for k in other[may_link(apart, size[other], size[i], percent)].tolist():
-                out.append((min(node[i], node[k]), max(node[i], node[k])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("tile", "lo", "hi").applyInPandas(compare, "a binary, b binary").distinct()
+    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
+    return dealt.select("tile", "lo", "hi", "own", "node", "component", "n_shingles", "bits").mapInArrow(lambda b: _compared(b, percent), "a binary, b binary").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their blocks: the pairs within the bound of each block. What is held is a batch and the block that it cuts, which is of bounded size."""
+    tidy()
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None:
+            return
+        keys = np.stack([table.column(c).to_numpy() for c in (0, 1, 2)])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+        upto = edges[-1] if batch is None else edges[-2]
+        whole, rest = table.slice(0, upto).combine_chunks(), table.slice(upto)
+        own, size, square = whole.column(3).to_numpy(), whole.column(6).to_numpy(), keys[1] != keys[2]
+        component = whole.column(5).combine_chunks().dictionary_encode().indices.to_numpy() if upto else own
+        node, bits, out = whole.column(4).to_pylist(), whole.column(7).to_pylist(), []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi <= upto:
+                some = slice(lo, hi)
+                for i, k in _pairs(component[some], own[some], square[lo], size[some], bits[some], percent):
+                    out.append((node[lo + i], node[lo + k]) if node[lo + i] < node[lo + k] else (node[lo + k], node[lo + i]))
+        columns = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+
+def _pairs(component: np.ndarray, own: np.ndarray, square: bool, size: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Places of rows of different components - of different blocks, where two meet - that are within the bound. One of any two is not in the largest component, so only
+    those rows are held against all."""
+    width = min(map(len, bits))
+    cells = np.stack([folded(np.frombuffer(b, np.uint8), width) for b in bits]).view(np.uint64)
+    largest = np.bincount(component).argmax()
+    minor = component != largest
+    order = np.concatenate((np.flatnonzero(minor), np.flatnonzero(~minor)))
+    component, own, size, cells = component[order], own[order], size[order], cells[order]
+    for i in range(int(minor.sum())):
+        other = component[i + 1 :] != component[i]
+        if square:
+            other &= own[i + 1 :] != own[i]
+        other = np.flatnonzero(other) + i + 1
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        apart = np.bitwise_count(cells[other] ^ cells[i]).sum(1, dtype=np.int64)
+        for k in other[may_link(apart, size[other], size[i], percent)].tolist():
+            yield int(order[i]), int(order[k])
 
 
 def _tables(docs: DataFrame, scratch: Scratch, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
