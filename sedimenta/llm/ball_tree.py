@@ -9,6 +9,7 @@ score over all shards so far goes to the next, where most trees are left at thei
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -22,20 +23,26 @@ from sedimenta.sources.scratch import Scratch
 
 TREE = "shard int, width int, tree binary"
 FOUND = "query_id long, vec_id long, score long"
+#: Whole numbers below this are float64 numbers.
+EXACT = 2.0**53
 
 
 def quantised(embedding: Column) -> Column:
     """floor(256 * x) of each component; null where the vector or a component is null or not finite."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     wide = embedding.cast("array<double>")
-    return F.when(F.forall(wide, finite), F.transform(wide, lambda x: F.floor(256 * x).cast("long")))
+    whole = lambda x: F.when(F.abs(x) < 2.0**55, F.floor(256 * x).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for a whole number of 64 bits")).cast("long"))
+    return F.when(F.forall(wide, finite), F.transform(wide, whole))
 
 
 class BallTree:
-    """Nodes over rows in one array; a leaf holds `leaf` rows at most. Components are whole numbers, so float64 products are exact below 2**53."""
+    """Nodes over rows in one array; a leaf holds `leaf` rows at most. Components are whole numbers: float64 products are exact as long as the lengths of
+    two vectors have a product below 2**53; beyond that whole numbers of any size are taken, and floats serve for bounds alone."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = 128) -> None:
         self.ids, self.rows = ids, rows.astype(np.float64)
+        self.longest = float(np.sqrt((self.rows**2).sum(1)).max()) if len(ids) else 0.0
+        self.whole = rows if self.longest >= EXACT else None  # components that float64 may not hold
         self.order = np.arange(len(ids))
         self.spans: list[tuple[int, int]] = []
         self.children: list[tuple[int, int] | None] = []
@@ -62,14 +69,24 @@ class BallTree:
                 todo += [(a, middle, node, 0), (middle, b, node, 1)]
         self.centres, self.radii = np.array(centres).reshape(len(centres), -1), np.array(radii)
         self.rows, self.ids = self.rows[self.order], self.ids[self.order]
+        self.whole = None if self.whole is None else self.whole[self.order]
 
-    def top(self, query: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
+    def scores(self, a: int, b: int, query: np.ndarray, exact: bool) -> np.ndarray:
+        """The inner products of rows a to b with the query, in floats where these are exact."""
+        if exact:
+            return self.rows[a:b] @ query.astype(np.float64)
+        rows = self.rows[a:b].astype(np.int64) if self.whole is None else self.whole[a:b]
+        return rows.astype(object) @ query.astype(object)
+
+    def top(self, whole: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
         """The k best (score, -id) that reach `least`, but for the query's own id; ties go to smaller ids."""
         if not len(self.ids):
             return []
+        query = whole.astype(np.float64)
         norm = float(np.sqrt(query @ query))
         bounds = self.centres @ query + norm * self.radii
         bounds += 1e-9 * (np.abs(bounds) + 1) + 1e-9 * norm * (self.radii + 1)
+        exact = norm * self.longest * (1 + 1e-9) < EXACT
         best: list[tuple[int, int]] = []
         todo = [(-bounds[0], 0)]
         while todo:
@@ -82,12 +99,15 @@ class BallTree:
                         heapq.heappush(todo, (-bounds[child], child))
                 continue
             a, b = self.spans[node]
-            scores = self.rows[a:b] @ query
+            scores = self.scores(a, b, whole, exact)
             at = np.flatnonzero((scores >= least) & (self.ids[a:b] != own))
             if len(at) > 4 * k:  # only those that can be among the best here, with all ties of the last
-                edge = np.partition(scores[at], len(at) - k - 1)[len(at) - k - 1]
-                at = at[scores[at] >= edge]
-                at = at[np.lexsort((self.ids[a:b][at], -scores[at]))][:k]
+                if exact:
+                    edge = np.partition(scores[at], len(at) - k - 1)[len(at) - k - 1]
+                    at = at[scores[at] >= edge]
+                    at = at[np.lexsort((self.ids[a:b][at], -scores[at]))][:k]
+                else:
+                    at = np.array(sorted(at.tolist(), key=lambda i: (-scores[i], self.ids[a + i]))[:k])
             for i in at.tolist():
                 entry = (int(scores[i]), -int(self.ids[a + i]))
                 if len(best) < k:
@@ -104,7 +124,7 @@ def top_inner_products(
 ) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    Components count as floor(256 * x); their products must stay below 2**53. Vectors that are null or hold a null or a number that isn't finite take no part,
+    Components count as floor(256 * x), scores are exact whole numbers of 64 bits; what is larger is an error and never a wrong score. Vectors that are null or hold a null or a number that isn't finite take no part,
     nor do null keys. All rows with the query's own key are left out; repeated rows of another key count once each. Vectors of other lengths than the query's
     are not compared with it. An empty table gives no rows. Queries go over the trees in blocks of about `block`, which bounds what is sent to
     the executors and comes back (k scores a query); a tree holds about `shard_rows` rows, and sends at most k rows for each query.
@@ -125,7 +145,7 @@ def top_inner_products(
         for b in range(blocks):
             mine = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b))
             got = sorted((r["vec_id"], r["v"]) for r in mine.toLocalIterator())
-            held = {"ids": np.array([i for i, _ in got], np.int64), "rows": np.array([v for _, v in got], np.float64).reshape(len(got), width), "least": np.full(len(got), -np.inf)}
+            held = {"ids": np.array([i for i, _ in got], np.int64), "rows": np.array([v for _, v in got], np.int64).reshape(len(got), width), "least": [-math.inf] * len(got)}
             best, low, high = None, 0, 1
             while low < shards:
                 wave = _answers(trees.where((F.col("width") == width) & (F.col("shard") >= low) & (F.col("shard") < high)), held, k)
@@ -134,7 +154,7 @@ def top_inner_products(
                 if low < shards:
                     kth = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
                     scores = {r["query_id"]: r["least"] for r in kth.toLocalIterator()}
-                    held = held | {"least": np.array([scores.get(q, -np.inf) for q in held["ids"].tolist()], float)}
+                    held = held | {"least": [scores.get(q, -math.inf) for q in held["ids"].tolist()]}
             out = best if out is None else out.unionByName(best)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -163,7 +183,7 @@ def _tree(part: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([part.column("shard")[0].as_py()], pa.int32()), "width": pa.array([width], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
-def _answers(trees: DataFrame, held: dict[str, np.ndarray], k: int) -> DataFrame:
+def _answers(trees: DataFrame, held: dict, k: int) -> DataFrame:
     shared = trees.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +192,7 @@ def _answers(trees: DataFrame, held: dict[str, np.ndarray], k: int) -> DataFrame
         for batch in batches:
             for packed in batch.column(0):
                 tree = pickle.loads(packed.as_buffer())
-                out = [(q, -i, s) for q, v, least in zip(queries["ids"].tolist(), queries["rows"], queries["least"].tolist(), strict=True) for s, i in tree.top(v, q, k, least)]
+                out = [(q, -i, s) for q, v, least in zip(queries["ids"].tolist(), queries["rows"], queries["least"], strict=True) for s, i in tree.top(v, q, k, least)]
                 columns = list(zip(*out, strict=True)) if out else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
