@@ -63,7 +63,7 @@ ENTITY = re.compile(
     rf"""(?P<email>(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}(?![\w-]))
     |(?P<secret>(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Z0-9])|(?<=password=)[^\s"'<>&]{{6,}}|(?<=["'])[0-9a-fA-F]{{32,}}(?=["'])|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{32,}}(?![0-9A-Za-z]))
     |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
-    |(?P<ipv6>(?<![\w:.])(?=[^\s]*\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}}::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}})?|::[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})(?![\w:]))
+    |(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]{{0,39}}\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}}::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,5}})?|::[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})(?![\w:]))
     |(?P<birth>(?<!\w)(?:{BORN})[ ]?(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}(?P<mark>[./-])\d{{1,2}}(?P=mark)\d{{4}})(?!\d))
     |(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
