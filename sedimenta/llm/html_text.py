@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ NO_CONTENT = re.compile(r"content-visibility\s*:\s*hidden", re.I)
 # Fixed values of the HTML standard: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist progress meter rp".split())
 MARGIN = frozenset("p blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 hr ol pre table ul".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = (BLOCK - frozenset("body html caption optgroup option tbody td tfoot th thead tr legend".split())) - {"p"} | {"p"}
@@ -57,6 +58,8 @@ MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
 HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var br".split())
 BUTTONS = frozenset("submit reset button".split())
+#: Inputs that show the text in them, or else their placeholder; an unknown kind is a text.
+UNWRITTEN = frozenset("hidden checkbox radio file range color password image submit reset button".split())
 #: The captions of buttons that have no value of their own.
 CAPTIONS = {"submit": "Submit", "reset": "Reset"}
 SCOPE = frozenset("table td th caption html template object".split())
@@ -77,21 +80,22 @@ class Node:
 def parse(source: str) -> Node:
     """The tree of a page; text is kept as strings among the children."""
     root = Node("html", {})
-    stack, open_tags, at, match = [root], {"html": 1}, 0, TOKEN.match
+    stack, at, match = [root], 0, TOKEN.match
+    open_tags: dict[str, list[int]] = {"html": [0]}  # where in the stack the open elements of each tag are
 
     def pop() -> None:
-        open_tags[stack.pop().tag] -= 1
+        open_tags[stack.pop().tag].pop()
+
+    def innermost(tags: frozenset[str] | set[str], but: frozenset[str] | set[str] = frozenset()) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((open_tags[t][-1] for t in tags if t not in but and open_tags.get(t)), default=0)
 
     def close(tags: set[str], bounds: frozenset[str] | set[str]) -> None:
         """Ends the outermost open element of these tags inside the nearest boundary."""
         if not any(open_tags.get(t) for t in tags):
             return
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                found = i
-            elif stack[i].tag in bounds:
-                break
+        bound = innermost(bounds, tags)
+        found = min((places[k] for t in tags if (places := open_tags.get(t)) and (k := bisect_right(places, bound)) < len(places)), default=0)
         while found and len(stack) > found:
             pop()
 
@@ -99,15 +103,13 @@ def parse(source: str) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
+            open_tags.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
 
     def foreign() -> bool:
         """Inside a drawing or formula, where no HTML goes on."""
         if open_tags.get("svg") or open_tags.get("math"):
-            for node in reversed(stack):
-                if node.tag in HTML_INSIDE or node.tag in ("svg", "math"):
-                    return node.tag in ("svg", "math")
+            return innermost({"svg", "math"}) > innermost(HTML_INSIDE)
         return False
 
     while at < len(source):
@@ -151,13 +153,10 @@ def parse(source: str) -> Node:
                 start("p", {})
                 pop()
             elif open_tags.get(tag) and tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        while len(stack) > i:
-                            pop()
-                        break
-                    if stack[i].tag in SCOPE and tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"):
-                        break
+                last = open_tags[tag][-1]
+                if tag in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption") or last > innermost(SCOPE, {tag}):
+                    while len(stack) > last:
+                        pop()
     return root
 
 
@@ -306,6 +305,17 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]], widest: int = 80)
     return out
 
 
+def chosen(select: Node) -> list[Node]:
+    """What a closed drop-down list shows: the last option marked as selected, or else the first that isn't disabled."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        node = todo.pop()
+        if not isinstance(node, str):
+            options += [node] * (node.tag == "option")
+            todo += reversed(node.children)
+    return [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1]
+
+
 def render(root: Node) -> tuple[str, int, int, int]:
     """The visible text, and the numbers of text lines, list items and tables."""
     flows, tables, lists, items, blocks, n_tables = [Flow()], [], [], 0, 0, 0
@@ -368,6 +378,8 @@ def render(root: Node) -> tuple[str, int, int, int]:
         if tag == "input":
             kind = attrs.get("type", "").strip().lower()
             caption = attrs.get("value", CAPTIONS.get(kind, "")) if kind in BUTTONS else attrs.get("alt", "") if kind == "image" else ""
+            if kind not in UNWRITTEN:
+                caption = attrs.get("value") or attrs.get("placeholder", "")
             if caption.strip() and not hidden:
                 flow.text(f" {caption} ", False)
             continue
@@ -392,6 +404,10 @@ def render(root: Node) -> tuple[str, int, int, int]:
         children = node.children
         if tag == "details" and "open" not in attrs:
             children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
+        if tag == "textarea" and not "".join(x for x in children if isinstance(x, str)).strip():
+            children = [attrs.get("placeholder", "")]
+        if tag == "select" and "multiple" not in attrs and number(attrs.get("size", "1"), 1) <= 1:
+            children = chosen(node)
         if tag in ("ul", "ol", "menu", "dir"):
             flow.block(not lists)
             lists.append([number(attrs.get("start", ""), 1), tag == "ol"])
