@@ -61,11 +61,11 @@ def shapes(n: int, length: int) -> list[tuple[int, ...]]:
 
 @dataclass
 class Items:
-    """A block of test items, of bounded size: word hashes, and the items and places of each seed."""
+    """A block of test items, of bounded size: word hashes, and the items of each seed with its first and last place there and its number."""
 
     shapes: list[tuple[int, ...]]
     words: dict[int, np.ndarray]
-    places: dict[int, list[tuple[int, int]]]
+    places: dict[int, list[tuple[int, int, int, int]]]
     keys: np.ndarray
     rare: frozenset[int] = frozenset()
 
@@ -83,9 +83,13 @@ class Items:
                     found.add(shape)
                     with np.errstate(over="ignore"):
                         seeds = row_seeds(own, np.array([0, len(own)]), shape)
-                    for at, g in enumerate(seeds.tolist()):
+                    seed, inverse, n = np.unique(seeds, return_inverse=True, return_counts=True)
+                    least, last = np.full(len(seed), len(own)), np.zeros(len(seed), np.int64)
+                    np.minimum.at(least, inverse, np.arange(len(own)))
+                    np.maximum.at(last, inverse, np.arange(len(own)))
+                    for g, *at in zip(seed.tolist(), least.tolist(), last.tolist(), n.tolist(), strict=True):
                         if g:
-                            places[g].append((item, at))
+                            places[g].append((item, *at))
         return cls(sorted(found), held, dict(places), np.array(sorted(places), np.uint64))
 
     def seeds(self, counts: dict[int, int]) -> Items:
@@ -144,15 +148,15 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best
 
 
-def passages(hits: list[tuple[int, int, bool]], length: int, share: float) -> Iterator[tuple[int, int, int, bool]]:
-    """Stretches of a text that may hold an item of so many words, from the (text, item) places of seeds and whether they are rare: start, end, seeds,
-    and whether one is rare. An alignment with this share of the item's score has no more gaps than the slack, so it lies inside its seeds' stretch."""
+def passages(hits: list[tuple[int, int, int, int, bool]], length: int, share: float) -> Iterator[tuple[int, int, int, bool]]:
+    """Stretches of a text that may hold an item of so many words, from the places of seeds in the text - with the seed's first and last place in the item, its number there and
+    whether it is rare: start, end, seeds, and whether one is rare. An alignment with this share of the item's score has no more gaps than the slack, so it lies inside its seeds' stretch."""
     hits, slack = sorted(hits), int(MATCH * length * (1 - share) / -GAP) + 2
     start = 0
     for k in range(1, len(hits) + 1):
         if k == len(hits) or hits[k][0] - hits[k - 1][0] > length:
             group = hits[start:k]
-            yield min(t - i for t, i, _ in group) - slack, max(t - i for t, i, _ in group) + length + slack, len(group), any(r for *_, r in group)
+            yield min(t - last for t, _, last, _, _ in group) - slack, max(t - least for t, least, *_ in group) + length + slack, sum(n for *_, n, _ in group), any(r for *_, r in group)
             start = k
 
 
@@ -212,14 +216,14 @@ def aligned(rows: DataFrame, items: Items, share: float) -> DataFrame:
                 ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 for i, j in pieces(offsets):
                     word, first = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    hits: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+                    hits: dict[tuple[int, int], list[tuple[int, int, int, int, bool]]] = defaultdict(list)
                     for shape in items.shapes:
                         seeds = row_seeds(word, first, shape)
                         at = lookup.hits(seeds)
                         row = np.searchsorted(first, at, "right") - 1
                         for r, p, g in zip(row.tolist(), (at - first[row]).tolist(), seeds[at].tolist(), strict=True):
-                            for item, place in items.places[g]:
-                                hits[r, item].append((p, place, g in items.rare))
+                            for item, least, last, n in items.places[g]:
+                                hits[r, item].append((p, least, last, n, g in items.rare))
                     for (r, item), found in hits.items():
                         text, own = word[first[r] : first[r + 1]], items.words[item]
                         best = (0, 0, 0, 0)
