@@ -26,14 +26,14 @@ def shuffle_shards(records: DataFrame, key: str = "doc_id", text: str = "text",
 
     `record` is a struct of all input columns, whatever their names; slot is gapless from 0 in each shard; grown_shard is the shard
     under shards + 1. The law is `key`: the key and the number of shards alone decide. Rows that repeat a key share a shard, lie in its buckets by their
-    other columns, and each get a slot; rows that are equal in all columns lie in one bucket, in which they can't be told apart. A null key is a key like
+    other columns (columns that are or hold maps by their text), and each get a slot; rows that are equal in all columns lie in one bucket, in which they can't be told apart. A null key is a key like
     any other, a null text counts no bytes, an empty table gives an empty result. Equal tables give equal orders in every run.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 16
     total = records.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     columns = [F.col(f"`{c}`") for c in records.columns]
-    hashed = [c.cast("string") if kind.startswith("map") else c for c, (_, kind) in zip(columns, records.dtypes, strict=True)]
+    hashed = [c.cast("string") if "map<" in kind else c for c, (_, kind) in zip(columns, records.dtypes, strict=True)]
     bucket = F.pmod(F.xxhash64(*hashed, F.lit(seed + 1)), F.lit(buckets)).cast("int")
     shard = shard_of(F.col(f"`{key}`"), shards, seed)
     place = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
