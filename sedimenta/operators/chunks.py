@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,42 +38,45 @@ def markdown_sections(files: DataFrame, most: int = 200, overlap: int = 8, text:
     """A chunk per section of an ATX heading outside fences, with the path of headings above it as `symbols`.
 
     Lines before the first heading belong to its section. A section of more than `most` lines becomes windows that keep the path; a text
-    without headings becomes line windows. All in higher-order functions and one explode.
+    without headings becomes line windows. A text's lines are walked once, in Arrow batches, as a section's path and whether a fence is open hang on all lines before; null
+    and empty texts have no rows.
     """
     keep = [c for c in files.columns if c != text]
-    base = files.withColumn("_lines", lines(F.col(text))).where(F.size("_lines") > 0)
-    # walk the lines once: whether a fence is open, and the (line, depth, title) of each heading
-    empty = F.struct(F.lit("").alias("fence"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,depth:int,title:string>>").alias("heads"))
-
-    def walk(s, line):
-        mark = F.regexp_extract(line, r"^\s{0,3}(```|~~~)", 1)
-        fence = F.when((s["fence"] == "") & (mark != ""), mark).when((s["fence"] != "") & (mark == s["fence"]), F.lit("")).otherwise(s["fence"])
-        hashes = F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)
-        head = F.struct((s["line"] + 1).alias("line"), F.length(hashes).alias("depth"), F.regexp_extract(line, r"^#{1,6}\s+(.*?)\s*#*\s*$", 1).alias("title"))
-        heads = F.when((s["fence"] == "") & (mark == "") & (hashes != ""), F.concat(s["heads"], F.array(head))).otherwise(s["heads"])
-        return F.struct(fence.alias("fence"), (s["line"] + 1).alias("line"), heads.alias("heads"))
-
-    base = base.withColumn("_heads", F.aggregate("_lines", empty, walk)["heads"])
-    plain = line_windows(base.where(F.size("_heads") == 0).select(*keep, F.col(text)), text=text).withColumn("symbols", F.array().cast("array<string>"))
-    some = base.where(F.size("_heads") > 0).select("*", F.posexplode("_heads").alias("_i", "_head"))
-    above = F.slice("_heads", 1, F.col("_i") + 1)
-
-    def push(path, head):
-        return F.concat(F.filter(path, lambda h: h["depth"] < head["depth"]), F.array(head))
-
-    path = F.aggregate(above, F.array().cast("array<struct<line:int,depth:int,title:string>>"), push)
-    first = F.when(F.col("_i") == 0, 1).otherwise(F.col("_head.line"))
-    last = F.coalesce(F.try_element_at("_heads", F.col("_i") + 2)["line"] - 1, F.size("_lines"))
-    part = some.withColumn("symbols", F.transform(path, lambda h: h["title"])).withColumn("_first", first).withColumn("_n", last - first + 1)
-    starts = F.when(F.col("_n") > most, window_starts(F.col("_n"), most, overlap)).otherwise(F.array(F.lit(0)))
-    part = part.withColumn("_at", F.explode(starts))
-    start = F.col("_first") + F.col("_at")
-    end = F.least(start + most - 1, F.col("_first") + F.col("_n") - 1)
-    sections = part.select(
-        *keep, start.alias("start_line"), end.alias("end_line"), F.concat(F.lit("section-h"), F.col("_head.depth")).alias("kind"),
-        F.array_join(F.slice("_lines", start, end - start + 1), "\n").alias("document"), "symbols",
-    )
-    return sections.unionByName(plain)
+    whole = files.select(*keep, F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, *piece) for i, content in enumerate(batch.column(len(keep)).to_pylist()) if content for piece in _sections(content, most, overlap)]
+            at, *made = zip(*got, strict=True) if got else ((),) * 6
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns[: len(keep)], *map(pa.array, made, kinds)], names=[*keep, "start_line", "end_line", "kind", "document", "symbols"])
+
+    shape = whole.drop("_text").withColumns({n: F.lit(None).cast(k) for n, k in (("start_line", "int"), ("end_line", "int"), ("kind", "string"), ("document", "string"), ("symbols", "array<string>"))})
+    return whole.mapInArrow(run, shape.schema)
+
+
+FENCE, HEADING, TITLE = re.compile(r"\s{0,3}(```|~~~)", re.A), re.compile(r"(#{1,6})\s+\S", re.A), re.compile(r"#{1,6}\s+(.*?)\s*#*\s*$", re.A)
+
+
+def _sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int, str, str, list[str]]]:
+    """(first line, last line, kind, text, path) of the pieces of a text's sections, or of its windows where it has no heading."""
+    cut = re.split(r"\r?\n", content)
+    cut = cut[:-1] if not cut[-1] else cut
+    heads, fence, path = [], "", []
+    for i, line in enumerate(cut, 1):
+        if m := FENCE.match(line):
+            fence = m[1] if not fence else "" if m[1] == fence else fence
+        elif not fence and (m := HEADING.match(line)):
+            path = [*(h for h in path if h[0] < len(m[1])), (len(m[1]), TITLE.match(line)[1])]
+            heads.append((i, f"section-h{len(m[1])}", [title for _, title in path]))
+    size, back = (most, overlap) if heads else (60, 10)
+    parts = heads or [(1, "window", [])]
+    for k, (line, kind, titles) in enumerate(parts):
+        first, end = line if k else 1, parts[k + 1][0] - 1 if k + 1 < len(parts) else len(cut)
+        n = end - first + 1
+        for at in range(0, max(n - back - 1, 0) + 1, size - back) if n > size else [0]:
+            last = min(first + at + size - 1, end)
+            yield first + at, last, kind, "\n".join(cut[first + at - 1 : last]), titles
 
 
 def coverage_gaps(chunks: DataFrame, files: DataFrame, least: int = 30, file: str = "file_id", n_lines: str = "n_lines") -> DataFrame:

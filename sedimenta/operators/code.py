@@ -1,4 +1,4 @@
-"""Chunks of code in languages with braces: one for each top-level declaration, found by its first line and its brackets."""
+"""Chunks of code in languages with braces: one for each top-level declaration, with what it holds, out of the text's syntax tree."""
 
 from __future__ import annotations
 
@@ -10,111 +10,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.chunks import CODE, line_windows, markdown_sections, python_definitions
+from sedimenta.operators.syntax import Node, below, depth, tree
 
 # Names of calls that reach the system.
 RISKY = ["eval", "exec", "system", "child_process", "subprocess", "shell", "spawn", "execfile", "execsync", "spawnsync", "dangerouslysetinnerhtml"]
-_js = {
-    "export": r"export\s+(?:default\s+)?(?:(?:async\s+)?function\*?|(?:abstract\s+)?class|const|let|var|interface|type|enum)?\s*(?P<name>[\w$]*)", "function": r"(?:async\s+)?function\*?\s*(?P<name>[\w$]+)",
-    "class": r"(?:abstract\s+)?class\s+(?P<name>[\w$]+)", "declaration": r"(?:const|let|var)\s+(?P<name>[\w$]+)",
+#: Of each language the kinds of nodes that are chunks where they stand at the top, and how a chunk of them is called.
+_js = {k: k for k in ("function", "class", "declaration", "export")}
+_ts = _js | {k: k for k in ("interface", "type", "enum")}
+TOP = {
+    "javascript": _js | {"var": "declaration"}, "typescript": _ts, "tsx": _ts, "go": {k: k for k in ("function", "method", "type")},
+    "rust": {k: k for k in ("function", "struct", "impl", "enum", "trait", "module")}, "java": {k: k for k in ("method", "class", "interface")},
 }
-_ts = _js | {"interface": r"interface\s+(?P<name>\w+)", "type": r"type\s+(?P<name>\w+)", "enum": r"(?:const\s+)?enum\s+(?P<name>\w+)"}
-#: Of each language the kinds of top-level declarations and how their first line begins.
-DECLARATIONS = {
-    "javascript": _js, "typescript": _ts, "tsx": _ts,
-    "go": {"method": r"func\s*\([^)]*\)\s*(?P<name>\w+)", "function": r"func\s+(?P<name>\w+)", "type": r"type\s+(?P<name>\w+)"},
-    "rust": {k: rf"(?:pub(?:\([^)]*\))?\s+)?{how}(?P<name>\w+)" for k, how in {"function": r"(?:const\s+|async\s+|unsafe\s+)*fn\s+", "struct": r"struct\s+", "impl": r"impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?", "enum": r"enum\s+", "trait": r"trait\s+", "module": r"mod\s+"}.items()},
-    "java": {k: rf"(?:(?:public|private|protected|static|final|abstract)\s+)*{k}\s+(?P<name>\w+)" for k in ("class", "interface")},
-}
-IMPORTS = {
-    "javascript": r"""(?m)^\s*import\b[^'"\n]*['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]""", "go": r"""(?m)^import\s+(?:\w+\s+)?"([^"]+)"|^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$""", "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",
-}
-EXPORTED = {"go": r"func\s*(?:\([^)]*\)\s*)?[A-Z]|type\s+[A-Z]", "rust": r"pub\b", "java": r"public\b"}
-INNER = {"java": r"(?m)^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\],.]+\s+(\w+)\s*\([^;{]*\{", "rust": r"(?m)^[ \t]+(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", "javascript": r"(?m)^[ \t]+(?:(?:static|async|public|private|protected|readonly|get|set)\s+)*(\w+)\s*\([^;{]*\)[^;{]*\{"}
-KEYWORDS = frozenset("if for while switch catch return function func fn match loop new typeof sizeof super await async else do throw select go defer in of".split())
-HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|'(?:\\.[^'\n]*|[^'\\\n])'""", re.S)
-SINGLE = re.compile(r"""'(?:\\.|[^'\\\n])*'""")  # in the script languages
-BLOCK = re.compile(r"\b(if|for|while|do|switch|try|match|loop|select)\b[^{}\n]*\{|\{|\}")
-CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*)!?\s*\(")
-
-
-def masked(text: str, language: str) -> str:
-    """The text with strings and comments blanked, line ends kept. A quote that stays open on its line, as of a lifetime, hides nothing."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    out = HIDDEN.sub(blank, text)
-    return SINGLE.sub(blank, out) if DECLARATIONS[language] in (_js, _ts) else out
-
-
-def depths(text: str) -> tuple[int, int]:
-    """How deep blocks of control flow, and loops among them, are nested."""
-    open_, most, loops = [], 0, 0
-    for m in BLOCK.finditer(text):
-        if m[0] == "}":
-            open_ = open_[:-1]
-        else:
-            open_.append(m[1])
-            most, loops = max(most, sum(w is not None for w in open_)), max(loops, sum(w in ("for", "while", "do", "loop") for w in open_))
-    return most, loops
-
-
-def declarations(text: str, language: str) -> Iterator[tuple[int, int, str, str]]:
-    """(first line, last line, kind, name), lines from 0; a declaration ends where its brackets are closed again."""
-    lines, depth, open_ = masked(text, language).split("\n"), 0, None
-    kinds = {k: re.compile(p) for k, p in DECLARATIONS[language].items()}
-    for i, line in enumerate(lines):
-        if open_ is None and depth == 0:
-            found = next(((k, m["name"]) for k, p in kinds.items() if (m := p.match(line))), None)
-            open_ = (i, *found, False) if found else None
-        depth = max(0, depth + len(re.findall(r"[{(\[]", line)) - len(re.findall(r"[})\]]", line)))
-        if open_:
-            braced = open_[3] or "{" in line or line.rstrip().endswith(";")
-            open_ = (*open_[:3], braced)
-            last = i + 1 == len(lines) or not lines[i + 1].strip() or re.match(r"[\w@}]", lines[i + 1])
-            if depth == 0 and (braced or last):
-                yield open_[0], i, open_[1], open_[2]
-                open_ = None
-    if open_:
-        yield open_[0], len(lines) - 1, open_[1], open_[2]
+NESTING, LOOPS, METHODS = frozenset(["if", "for", "while", "try"]), frozenset(["for", "while", "do", "loop"]), frozenset(["method"])
 
 
 def _chunks(file_id: str, text: str, language: str) -> Iterator[tuple]:
-    base = "javascript" if language in ("typescript", "tsx") else language
-    cut = text.split("\n")
-    imports = list(dict.fromkeys(a or b for a, b in ((*(m if isinstance(m, tuple) else (m,)), "")[:2] for m in re.findall(IMPORTS[base], text))))
-    for start, end, kind, name in declarations(text, language):
-        body = "\n".join(cut[start : end + 1])
-        seen = masked(body, language)
-        inside = [m for m in re.finditer(INNER.get(base, r"(?!)"), seen) if m[1] not in KEYWORDS]
-        named = {m.start(1) for m in inside}
-        calls = [(m[1].replace("::", "."), start + 1 + seen.count("\n", 0, m.start())) for m in CALL.finditer(seen) if m[1] not in KEYWORDS and m[1] != name and m.start(1) not in named]
-        nesting, loops = depths(seen)
-        head = re.match(r"[^({]*(?:func\s*\([^)]*\)[^(]*)?\(([^)]*)\)", seen)
-        inner = [(m[1], "def", start + 1 + seen.count("\n", 0, m.start(1))) for m in inside]
-        exported = kind == "export" if base == "javascript" else bool(re.match(EXPORTED[base], body))
-        names = list(dict.fromkeys(c for c, _ in calls))
-        refs = [(name, "def", start + 1)] * bool(name) + inner + [(c.split(".")[-1], "call", n) for c, n in calls] + [(i, "import", 1) for i in imports]
+    cut, nodes, top = text.split("\n"), tree(text, language), TOP[language]
+    imports = [n for n in nodes if n.kind == "import"]
+    modules = list(dict.fromkeys(n.name for n in imports if n.name))
+    said = [(m, "import", 1) for m in modules] + [(name, "import", n.line + 1) for n in imports for name in n.exported]
+    for node in nodes:
+        if node.kind not in top:
+            continue
+        inside = list(below(node))
+        calls = [n for n in inside if n.kind == "call"]
+        inner = METHODS | {"function"} if language == "rust" else METHODS
+        refs = [(node.name, "def", node.line + 1)] * bool(node.name) + [(n.name, "def", n.line + 1) for n in inside if n.kind in inner and n.name]
+        refs += [(n.name.split(".")[-1], "call", n.line + 1) for n in calls] + said
+        exported = [node.name] if language == "go" and node.name[:1].isupper() else node.exported if node.kind not in ("declaration", "var") else []
         yield (
-            file_id, start + 1, end + 1, kind, [name] if name else [], body, imports, [name] if exported and name else [], names, nesting, loops,
-            len([p for p in head[1].split(",") if p.strip()]) if head else 0, bool(re.search(r"\basync\b", body[:200])), list(dict.fromkeys(refs)),
+            file_id, node.line + 1, node.last + 1, top[node.kind], [node.name] if node.name else [], "\n".join(cut[node.line : node.last + 1]), modules, exported, list(dict.fromkeys(n.name for n in calls)),
+            depth(node.children, NESTING), depth(node.children, LOOPS), _params(node), bool(re.search(r"\basync\b", text[node.at : node.end][:200])), list(dict.fromkeys(refs)),
         )
-        imports = []
+        modules, said = [], []
+
+
+def _all(file_id: str, text: str, language: str) -> list[tuple]:
+    try:
+        return list(_chunks(file_id, text, language))
+    except RecursionError:  # blocks without braces may be nested without end
+        return []
+
+
+def _params(node: Node) -> int:
+    """A function's parameters; those of what an export wraps count too."""
+    return node.params if node.kind != "export" else next((n.params for n in node.children if n.kind == "function"), 0)
 
 
 def code_definitions(files: DataFrame) -> DataFrame:
     """A chunk per top-level declaration of files (file_id, language, text) in a language with braces, with metadata and references as python_definitions() has them.
 
-    Brackets in strings and comments don't count. Texts without a declaration have no rows here and belong to line_windows(). Imports of the file
-    count for its first chunk. It is no parser: a declaration that doesn't begin its line isn't seen.
+    Declarations begin and end wherever the language lets them; chunks are of whole lines. `max_nesting` counts if, for, while and try, an `else if` one more than its if; `calls` are names with
+    the objects or paths before them, `refs` only the last name. Texts without a declaration, or with brackets nested deeper than a parser goes, have no rows here and belong to line_windows(). Imports of the file
+    count for its first chunk: modules for line 1, and the names a script takes from them for the import's line.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CODE.split("array<struct")[0].split(", ") if c]
         for batch in batches:
-            out = [c for f, lang, t in zip(batch["file_id"], batch["language"], batch["text"], strict=True) if t for c in _chunks(f, t, lang)]
+            out = [c for f, lang, t in zip(batch["file_id"], batch["language"], batch["text"], strict=True) if t for c in _all(f, t, lang)]
             made = pd.DataFrame(out, columns=columns)
             made["refs"] = pd.Series([[dict(zip(("symbol", "kind", "line"), r, strict=True)) for r in refs] for refs in made["refs"]], dtype=object)
             yield made
 
-    return files.where(F.col("language").isin(*DECLARATIONS)).select("file_id", "language", "text").mapInPandas(run, CODE)
+    return files.where(F.col("language").isin(*TOP)).select("file_id", "language", "text").mapInPandas(run, CODE)
 
 
 def risky_calls(calls: Column) -> Column:

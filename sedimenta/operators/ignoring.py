@@ -7,8 +7,15 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: This library's own rule file; where another name is in use, pass `rule_files(name)`.
+OWN_RULES = ".sedimentaignore"
+
+
 # The names of rule files, in the order in which they are read, and the folders of tools that the root layer takes in again.
-RULE_FILES = [".gitignore", ".loctxignore", ".cursorignore", ".aiderignore", ".ignore"]
+def rule_files(own: str = OWN_RULES) -> list[str]:
+    return [".gitignore", own, ".cursorignore", ".aiderignore", ".ignore"]
+
+
 TAKEN_IN = ["!.claude/", "!.claude/**", "!.cursor/", "!.cursor/**", "!.aider/", "!.aider/**"]
 RULE = "layer string, turn int, pattern string, again boolean, folders boolean"
 

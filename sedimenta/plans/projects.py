@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,48 +152,106 @@ def capped_chunks(spark, sf):
     return chunks.cap_sizes(V.chunks(spark, sf).select("chunk_id", "start_line", "end_line", "kind", "document"), 5, 3, 1)
 
 
-SOURCES = {
-    "python": "import os\n\ndef f(a, b):\n    for x in a:\n        os.system(x)\n\nclass K:\n    def m(self):\n        return f(1, 2)\n",
-    "typescript": "import { x } from 'lib';\nexport async function go(a, b) {\n  while (a) { eval('}') }\n}\ninterface I {\n  k: string\n}\n",
-    "go": "package p\nimport \"fmt\"\nfunc Add(a int, b int) int {\n\tif a > b { fmt.Println(a) }\n\treturn a\n}\ntype T struct { x int }\n",
-    "markdown": "# Title\ntext\n",
-}
-_FOUND = """(VALUES ('python', 3, 5, 'function', 'f', 'os', 'f', 'os.system', 1, 1, 2, false, 'os.system'), ('python', 7, 9, 'class', 'K', '', 'K', 'f', 0, 0, 0, false, ''), ('typescript', 2, 4, 'export', 'go', 'lib', 'go', 'eval', 1, 1, 2, true, 'eval'),
-    ('typescript', 5, 7, 'interface', 'I', '', '', '', 0, 0, 0, false, ''), ('go', 3, 6, 'function', 'Add', 'fmt', 'Add', 'fmt.Println', 1, 0, 2, false, ''), ('go', 7, 7, 'type', 'T', '', 'T', '', 0, 0, 0, false, ''))
-    t(language, start_line, end_line, kind, symbols, imports, exports, calls, max_nesting, max_loops, params, has_async, risky)"""
-_REFS = "(VALUES ('python', 'f', 'def', 3), ('python', 'system', 'call', 5), ('python', 'os', 'import', 1), ('python', 'K', 'def', 7), ('python', 'm', 'def', 8), ('python', 'f', 'call', 9), ('typescript', 'go', 'def', 2), ('typescript', 'eval', 'call', 3), ('typescript', 'lib', 'import', 1), ('typescript', 'I', 'def', 5), ('go', 'Add', 'def', 3), ('go', 'Println', 'call', 4), ('go', 'fmt', 'import', 1), ('go', 'T', 'def', 7)) t(language, symbol, kind, line)"
-
-
-def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.element_at(F.create_map(*[F.lit(x) for pair in SOURCES.items() for x in pair]), F.col("language"))
-    return V.files(spark, sf).select("file_id", "language", text.alias("text"))
+# Sources assembled from the words of each document, three words for each declaration; `m` (the first word's length) says what is declared, and {a}, {b}, {c} are the words.
+HEADS = {"python": "import {a}", "typescript": "import { {a} } from '{b}'", "go": "package p\nimport \"{a}\"", "markdown": ""}
+DECLARED = {
+    "python": ["def f{i}(a, b=1):\n    for x in a:\n        if x: {b}.{c}(x)", "class K{i}({a}):\n    async def get(self):\n        return {b}({c}())", "x{i} = {a}({b})\n\n"],
+    "typescript": [
+        "export async function f{i}(x: Map<string, {a}>, y = '}') { for (const k of x) for (const j of k) if (j) {b}.{c}(j); else if (k) return `${ {c}(k) }` }",
+        "class K{i} extends {a} { static n = (v) => {b}(v); get(p: T): { q: string } { while (p) { try { {c}(p) } finally { } } } }",
+        "const v{i} = { {a}() { do {b}(); while ({c}()) } }; type T{i} = {a} | string",
+    ],
+    "go": [
+        "func (s *S[T]) F{i}(a, b int, c func(x int) error) (int, error) { if v, ok := m[k]; ok { for i := range v { for { {b}.{c}(i) } } }; return 1, nil }",
+        "type T{i} struct { f func(int) string }; func g{i}[K any](x map[K]{a}) interface{} { defer func() { {b}({c}(x)) }(); return nil }",
+        "var x{i} = {a}({b})",
+    ],
+    "markdown": [f"{'#' * k} {{a}}\n{{b}} {{c}}" for k in (1, 2, 3)],
+}
+#: For each of these the chunks, in their order: kind, name, exported, calls, nesting, loops, parameters, async; then names of inner definitions.
+TOLD = [
+    ("python", 0, 1, "'function'", "'f' || i", True, "[b || '.' || c]", 2, 1, 2, False, "[]"),
+    ("python", 1, 1, "'class'", "'K' || i", True, "CASE WHEN b = c THEN [b] ELSE [b, c] END", 0, 0, 0, True, "['get']"),
+    ("typescript", 0, 1, "'export'", "'f' || i", True, "[b || '.' || c, c]", 4, 2, 2, True, "[]"),
+    ("typescript", 1, 1, "'class'", "'K' || i", False, "CASE WHEN b = c THEN [b] ELSE [b, c] END", 2, 1, 0, False, "['get']"),
+    ("typescript", 2, 1, "'declaration'", "'v' || i", False, "CASE WHEN b = c THEN [b] ELSE [b, c] END", 0, 1, 0, False, "[a]"),
+    ("typescript", 2, 2, "'type'", "'T' || i", False, "[]", 0, 0, 0, False, "[]"),
+    ("go", 0, 1, "'method'", "'F' || i", True, "[b || '.' || c]", 3, 2, 2, False, "[]"),
+    ("go", 1, 1, "'type'", "'T' || i", True, "[]", 0, 0, 0, False, "[]"),
+    ("go", 1, 2, "'function'", "'g' || i", False, "CASE WHEN b = c THEN [b] ELSE [b, c] END", 0, 0, 1, False, "[]"),
+]
+_told = " UNION ALL ".join(
+    f"SELECT file_id, language, i, a, b, c, {turn} AS turn, {kind} AS kind, {name} AS name, {exported} AS exported, {calls}::VARCHAR[] AS calls, {nesting} AS max_nesting, {loops} AS max_loops, {params} AS params, {has_async} AS has_async, {inner}::VARCHAR[] AS inner_names FROM tri WHERE language = '{language}' AND m = {m}"
+    for language, m, turn, kind, name, exported, calls, nesting, loops, params, has_async, inner in TOLD
+)
+TRIPLES = (
+    V.FILES
+    + r""", words AS (SELECT file_id, language, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}'), lambda x: 'w_' || x) AS w FROM files),
+    tri AS (SELECT file_id, language, i, w[3 * i + 1] AS a, w[3 * i + 2] AS b, w[3 * i + 3] AS c, len(w[3 * i + 1]) % 3 AS m FROM (SELECT *, unnest(range(len(w) // 3)) AS i FROM words))"""
+)
+TOLD_SQL = (
+    TRIPLES
+    + f""", told AS ({_told}),
+    placed AS (SELECT *, (CASE language WHEN 'python' THEN 3 * i + 2 WHEN 'go' THEN i + 3 ELSE i + 2 END)::INTEGER AS line, row_number() OVER (PARTITION BY file_id ORDER BY i, turn) = 1 AS leads FROM told),
+    led AS (SELECT file_id, a AS first_a, b AS first_b FROM tri WHERE i = 0)"""
+)
+_module = "CASE language WHEN 'typescript' THEN first_b ELSE first_a END"
+
+
+def _assembled(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources from the words of whole documents, written once; one of fewer than three words has none."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(F.regexp_extract_all(lower, F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.concat(F.lit("w_"), x))
+    n = F.floor(F.size("w") / 3).cast("int")
+
+    def filled(form, i):
+        parts = {k: F.element_at("w", 3 * i + 1 + at) for at, k in enumerate("abc")} | {"i": i.cast("string")}
+        return F.concat(*[parts[x[1]] if x in ("{a}", "{b}", "{c}", "{i}") else F.lit(x) for x in re.split(r"(\{[abci]\})", form) if x])
+
+    def line(language):
+        return lambda i: F.element_at(F.array(*[filled(form, i) for form in DECLARED[language]]), (F.length(F.element_at("w", 3 * i + 1)) % 3 + 1).cast("int"))
+
+    lines = lambda language: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line(language)), "\n")
+    text = None
+    for language, head in HEADS.items():
+        whole = F.concat(*[x for x in (filled(head, F.lit(0)), F.lit("\n")) if head], lines(language)) if head else lines(language)
+        text = F.when(F.col("language") == language, whole) if text is None else text.when(F.col("language") == language, whole)
+    at = V.files(spark, sf).select("file_id", "language", words.alias("w"))
+    return Scratch(spark, "sources").keep(at.select("file_id", "language", F.when(n > 0, text).otherwise("").alias("text")), "assembled")
 
 
 def _definitions(spark: SparkSession, sf: str) -> DataFrame:
-    files = _sources(spark, sf)
+    files = _assembled(spark, sf)
     return chunks.python_definitions(files.where("language = 'python'")).unionByName(code.code_definitions(files))
 
 
-@query(f"WITH {V.FILES} SELECT file_id, t.* EXCLUDE (language) FROM files JOIN {_FOUND} USING (language)")
+@query(f"""WITH {TOLD_SQL} SELECT file_id, line AS start_line, (line + CASE WHEN language = 'python' THEN 2 ELSE 0 END)::INTEGER AS end_line, kind, name AS symbols, CASE WHEN leads THEN {_module} ELSE '' END AS imports, CASE WHEN exported THEN name ELSE '' END AS exports,
+    array_to_string(calls, ',') AS calls, max_nesting::INTEGER AS max_nesting, max_loops::INTEGER AS max_loops, params::INTEGER AS params, has_async, '' AS risky FROM placed JOIN led USING (file_id)""")
 def code_chunks(spark, sf):
     joined = {c: F.array_join(c, ",") for c in ("symbols", "imports", "exports", "calls")}
     found = _definitions(spark, sf).withColumn("risky", F.array_join(code.risky_calls(F.col("calls")), ","))
     return found.withColumns(joined).drop("document", "refs")
 
 
-@query(f"WITH {V.FILES} SELECT file_id, symbol, t.kind, line FROM files JOIN {_REFS} USING (language)")
+@query(f"""WITH {TOLD_SQL}, within AS (SELECT *, (CASE WHEN language <> 'python' THEN line WHEN kind = 'class' THEN line + 1 ELSE line + 2 END)::INTEGER AS of_inner, (CASE WHEN language <> 'python' THEN line ELSE line + 2 END)::INTEGER AS of_call FROM placed)
+    SELECT file_id, name AS symbol, 'def' AS kind, line FROM placed UNION ALL SELECT file_id, unnest(inner_names), 'def', of_inner FROM within
+    UNION ALL SELECT file_id, unnest(list_distinct(list_transform(calls, lambda x: string_split(x, '.')[-1]))), 'call', of_call FROM within
+    UNION ALL SELECT file_id, {_module}, 'import', 1 FROM placed JOIN led USING (file_id) WHERE leads UNION ALL SELECT file_id, first_a, 'import', 1 FROM placed JOIN led USING (file_id) WHERE leads AND language = 'typescript' AND first_a <> first_b""")
 def symbol_refs(spark, sf):
     return _definitions(spark, sf).select("file_id", F.explode("refs").alias("r")).select("file_id", "r.symbol", "r.kind", "r.line")
 
 
-@query(f"WITH {V.FILES} SELECT file_id, count(DISTINCT e) FILTER (e <> '')::BIGINT AS n_exports, count(DISTINCT i) FILTER (i <> '')::BIGINT AS n_imports FROM (SELECT file_id, unnest(string_split(exports, ',')) AS e, imports AS i FROM files JOIN {_FOUND} USING (language)) GROUP BY file_id")
+@query(f"WITH {TOLD_SQL} SELECT file_id, count(DISTINCT name) FILTER (exported)::BIGINT AS n_exports, 1::BIGINT AS n_imports FROM placed GROUP BY file_id")
 def metadata_union(spark, sf):
     return quality.metadata_union(_definitions(spark, sf))
 
 
-@query(f"WITH {V.FILES} SELECT file_id, t.kind, count(*) AS n FROM files JOIN (SELECT language, kind FROM {_FOUND} UNION ALL SELECT 'markdown', 'section-h1') t USING (language) GROUP BY ALL")
+@query(f"""WITH {TOLD_SQL}, cut_by AS (SELECT file_id, kind FROM placed UNION ALL SELECT file_id, 'section-h' || (m + 1) FROM tri WHERE language = 'markdown'),
+    size AS (SELECT file_id, language, CASE WHEN len(w) < 3 THEN 0 WHEN language = 'python' THEN 1 + len(w) // 3 * 3 - (len(w[len(w) // 3 * 3 - 2]) % 3 = 2)::INTEGER WHEN language = 'go' THEN 2 + len(w) // 3 ELSE 1 + len(w) // 3 END AS n FROM words WHERE language <> 'markdown'),
+    rest AS (SELECT file_id, 'window' AS kind, unnest(range(0, greatest(n - 10, 1), 50)) AS s FROM size WHERE n > 0 AND file_id NOT IN (SELECT file_id FROM placed))
+    SELECT file_id, kind, count(*) AS n FROM (SELECT file_id, kind FROM cut_by UNION ALL SELECT file_id, kind FROM rest) GROUP BY ALL""")
 def routed_chunks(spark, sf):
-    return code.routed_chunks(_sources(spark, sf)).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+    return code.routed_chunks(_assembled(spark, sf)).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
 
 
 META = V.FILES + """, meta AS (SELECT file_id, doc_id % 5 AS m FROM files)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The fields of a run that are text, and its metrics with their names in reports.
-RUN_FIELDS = ["runId", "goldenSet", "corpusSha", "loctxSha", "embedder", "runtime", "chunkingConfig", "retrievalConfig", "chunkBoundaryHash", "startedAt", "finishedAt"]
+RUN_FIELDS = ["runId", "goldenSet", "corpusSha", "engineSha", "embedder", "runtime", "chunkingConfig", "retrievalConfig", "chunkBoundaryHash", "startedAt", "finishedAt"]
 METRICS = {"hitAt1": "Hit@1", "hitAt3": "Hit@3", "hitAt10": "Hit@10", "mrrAt10": "MRR@10", "ndcgAt10": "nDCG@10", "recallAt20": "Recall@20", "recallAt50": "Recall@50"}
 QUERY_TYPES = ["literal", "symbol", "concept", "mixed", "prose"]
 _metrics = ", ".join(f"{m}: double" for m in METRICS)
