@@ -577,10 +577,26 @@ def debounce(spark, sf):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("SELECT time_bucket(INTERVAL 2 SECOND, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _coalesced(width: str) -> str:
+    """The first event opens a window; the next opens with the first event at or after its end."""
+    return f"""WITH RECURSIVE w(user_id, start) AS (
+            SELECT user_id, min(ts) FROM events GROUP BY user_id
+            UNION ALL SELECT w.user_id, min(ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start + INTERVAL {width} GROUP BY w.user_id, w.start)
+        SELECT e.user_id, w.start AS window_start, e.event_type, count(*) AS n FROM events e ASOF JOIN w ON e.user_id = w.user_id AND e.ts >= w.start GROUP BY ALL"""
+
+
+def _windows(spark: SparkSession, sf: str, width: str) -> DataFrame:
+    return S.coalesce(V.read(spark, sf, "events"), width, ["event_type"], "user_id").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(_coalesced("2 SECONDS"))
 def coalesce_2s(spark, sf):
-    out = S.coalesce(V.read(spark, sf, "events"), "2 seconds", ["event_type"])
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _windows(spark, sf, "2 SECONDS")
+
+
+@query(_coalesced("3 DAYS"))
+def coalesce_3d(spark, sf):
+    return _windows(spark, sf, "3 DAYS")
 
 
 # evaluation

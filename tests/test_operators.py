@@ -1,5 +1,6 @@
 """Edge cases of the operators on inline rows."""
 
+import datetime
 import json
 import math
 
@@ -184,3 +185,30 @@ def test_stream_agrees_with_batch_on_closed_sessions(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         events.with_backoff(lambda: 1 // 0, waits.append, 1.0, 3.0, 4)
     assert waits == [1.0, 2.0, 3.0]
+
+
+def test_the_first_event_opens_a_window(spark):
+    at = lambda s: f"2024-01-01 00:00:{s}"
+    rows = [("a", at("01.9"), "x"), ("a", at("02.1"), "y"), ("a", at("03.9"), "x"), ("a", at("03.95"), "x"), ("a", at("05.8"), "z"), ("b", at("02.0"), None), ("a", at("30"), "x"), ("a", None, "x"), (None, at("01"), "x")]
+    df = spark.createDataFrame(rows, "user string, ts string, kind string")
+    got = sorted((r.user, str(r.window_start)[17:22], r.kind or "", r.n) for r in events.coalesce(df, "2 seconds", ["kind"], "user").collect())
+    assert got == [("a", "01.90", "x", 1), ("a", "01.90", "y", 1), ("a", "03.90", "x", 2), ("a", "03.90", "z", 1), ("a", "30", "x", 1), ("b", "02", "", 1)]
+    assert events.coalesce(df.where("false"), "2 seconds", ["kind"], "user").count() == 0
+
+
+def test_stream_of_windows_agrees_with_the_batch(spark, tmp_path):
+    """Files come out of order; what the watermark has passed is told, as in the batch, and no more."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").where("user_id % 10 = 1")
+    for i in (0, 1):
+        rows.where(F.pmod(F.xxhash64("ts"), F.lit(2)) == i).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    last = rows.agg(F.max("ts")).first()[0]
+    spark.createDataFrame([(10**6, last + datetime.timedelta(days=60), "end")], rows.schema).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    try:
+        events.run_available(events.coalesce(stream, "2 days", ["event_type"], "user_id", delay="40 days"), f"{tmp_path}/cp", lambda df, i: seen.extend(map(tuple, df.collect()))).awaitTermination(240)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    batch = sorted(map(tuple, events.coalesce(rows, "2 days", ["event_type"], "user_id").collect()))
+    assert seen and sorted(seen) == batch
