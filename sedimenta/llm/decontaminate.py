@@ -83,11 +83,11 @@ class Items:
                     found.add(shape)
                     with np.errstate(over="ignore"):
                         seeds = row_seeds(own, np.array([0, len(own)]), shape)
-                    seed, inverse, n = np.unique(seeds, return_inverse=True, return_counts=True)
+                    seed, inverse, times = np.unique(seeds, return_inverse=True, return_counts=True)
                     least, last = np.full(len(seed), len(own)), np.zeros(len(seed), np.int64)
                     np.minimum.at(least, inverse, np.arange(len(own)))
                     np.maximum.at(last, inverse, np.arange(len(own)))
-                    for g, *at in zip(seed.tolist(), least.tolist(), last.tolist(), n.tolist(), strict=True):
+                    for g, *at in zip(seed.tolist(), least.tolist(), last.tolist(), times.tolist(), strict=True):
                         if g:
                             places[g].append((item, *at))
         return cls(sorted(found), held, dict(places), np.array(sorted(places), np.uint64))
