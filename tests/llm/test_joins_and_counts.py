@@ -215,7 +215,7 @@ def test_repeated_words_of_items(spark):
 
 
 def test_controls_of_pages():
-    page = "<p>A<input value=v><input placeholder=ph><input type=hidden value=h><select><option>one<option selected>two</select><select multiple><option>p<option>q</select><textarea placeholder=t></textarea><progress>no</progress><ruby>x<rp>(</rp><rt>y</rt></ruby>"
+    page = "<p>A<input value=v><input placeholder=ph><input type=hidden value=h><select><option>one<option selected>two</select><select multiple><option>p<option>q</select><textarea placeholder=t></textarea> <progress>no</progress><ruby>x<rp>(</rp><rt>y</rt></ruby>"
     text = render(parse(page))[0]
     assert [w for w in ("v", "ph", "two", "p", "q", "t") if w not in text.split()] == [] and not re.search(r"\b(h|one|no)\b|\(", text)
 
