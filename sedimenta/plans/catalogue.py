@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
 from sedimenta.functions.vectors import cosine, to_unit
-from sedimenta.operators import accounts, chunks, duplicates, evaluation, filtering, fusion, graph, lexical, quality, similarity, store
+from sedimenta.operators import accounts, chunks, duplicates, evaluation, filtering, fusion, graph, inverted, lexical, quality, similarity, store
 from sedimenta.plans import views as V
 from sedimenta.sources.formats import trec_lines
 from sedimenta.sources.scratch import Scratch
@@ -109,7 +109,7 @@ def literal_search_subtree(spark, sf):
 
 def _bm25(where: str = "true", k: int = 20) -> str:
     terms = ", ".join(f"'{t}'" for t in lexical.query_terms(SEARCH))
-    return rf"""{V.CHUNKS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(document), '[^\p{{L}}\p{{N}}_]+'), lambda t: len(t) >= 1) AS w FROM chunks),
+    return rf"""{V.CHUNKS}, w AS (SELECT *, regexp_extract_all(strip_accents(lower(document || ' ' || coalesce(language, '') || ' ' || coalesce(project_id, ''))), '[\p{{L}}\p{{N}}]+') AS w FROM chunks),
         st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), t AS (SELECT unnest([{terms}]) AS t),
         tf AS (SELECT chunk_id, t, len(list_filter(w, lambda x: x = t)) AS tf, len(w) AS dl FROM w, t), df AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY t),
         bm AS (SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS bm25 FROM tf JOIN df USING (t), st GROUP BY chunk_id HAVING sum(tf) > 0),
@@ -118,17 +118,33 @@ def _bm25(where: str = "true", k: int = 20) -> str:
 
 @query(f"WITH {_bm25()} SELECT * FROM lex")
 def bm25_topk(spark, sf):
-    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20).select("chunk_id", "bm25")
+    return _searched(spark, sf, 20).select("chunk_id", "bm25")
+
+
+def _searched(spark: SparkSession, sf: str, k: int, where=None) -> DataFrame:
+    return inverted.search_index(V.index(spark, sf), SEARCH, k, where).withColumnRenamed("key", "chunk_id")
 
 
 @query(f"WITH {_bm25("project_id = 'src2'")} SELECT * FROM lex")
 def bm25_topk_project(spark, sf):
-    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20, lexical.in_scope("src2")).select("chunk_id", "bm25")
+    return _searched(spark, sf, 20, lexical.in_scope("src2")).select("chunk_id", "bm25")
 
 
 @query(f"WITH {_bm25("starts_with(rel_path, 'en/') AND language = 'markdown'")} SELECT * FROM lex")
 def bm25_topk_subtree(spark, sf):
-    return lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 20, lexical.in_scope(prefix="en/", language="markdown")).select("chunk_id", "bm25")
+    return _searched(spark, sf, 20, lexical.in_scope(prefix="en/", language="markdown")).select("chunk_id", "bm25")
+
+
+#: Sequences of words, and a word.
+PHRASES = "de_la Reaux_LA été"
+
+
+@query(rf"""WITH {V.CHUNKS}, w AS (SELECT chunk_id, [document, concat_ws(' ', language, project_id)] AS parts FROM chunks), x AS (SELECT chunk_id, list_transform(parts, lambda p: regexp_extract_all(strip_accents(lower(p)), '[\p{{L}}\p{{N}}]+')) AS ws FROM w),
+    p AS (SELECT unnest([['de', 'la'], ['reaux', 'la'], ['ete']]) AS p), st AS (SELECT count(*) AS n, avg(len(flatten(ws))) AS a FROM x),
+    tf AS (SELECT chunk_id, p, len(flatten(ws)) AS dl, list_sum(list_transform(ws, lambda w: len(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)))) AS tf FROM x, p), df AS (SELECT p, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY p)
+    SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS bm25 FROM tf JOIN df USING (p), st GROUP BY chunk_id HAVING sum(tf) > 0 ORDER BY bm25 DESC, chunk_id LIMIT 50""")
+def phrase_search(spark, sf):
+    return inverted.search_index(V.index(spark, sf), PHRASES, 50).select(F.col("key").alias("chunk_id"), "bm25")
 
 
 # vectors
@@ -212,7 +228,7 @@ FUSED = f"""{_bm25(k=50)}, {_topk(k=50)}, b AS (
 
 
 def _branches(spark: SparkSession, sf: str) -> list[DataFrame]:
-    lex = lexical.bm25_topk(V.chunks(spark, sf), SEARCH, 50).groupBy(F.col("doc_id").alias("key")).agg(F.min_by(F.struct("bm25", "chunk_id"), F.struct(-F.col("bm25"), F.col("chunk_id"))).alias("_b")).select("key", "_b.*")
+    lex = _searched(spark, sf, 50).groupBy(F.col("doc_id").alias("key")).agg(F.min_by(F.struct("bm25", "chunk_id"), F.struct(-F.col("bm25"), F.col("chunk_id"))).alias("_b")).select("key", "_b.*")
     vec = similarity.vector_topk(V.vectors(spark, sf), VECTOR, 50).withColumnRenamed("chunk_id", "key")
     return [fusion.ranked(lex, "lexical", [F.desc("bm25"), F.col("chunk_id")], "key"), fusion.ranked(vec, "vector", [F.desc("score"), F.col("key")], "key")]
 

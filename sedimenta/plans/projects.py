@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, lexical, quality, similarity, store
+from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, inverted, lexical, quality, similarity, store
 from sedimenta.plans import views as V
 from sedimenta.plans.catalogue import SEARCH, query
 from sedimenta.sources import formats, runs
@@ -290,10 +290,7 @@ def bm25_postings(spark, sf):
 
 @query()
 def bm25_stemmed(spark, sf):
-    scratch = Scratch(spark, "stems")
-    rows = V.chunks(spark, sf)
-    index = scratch.keep(lexical.postings(rows, stem=True), "index")
-    return lexical.bm25_of_postings(index, rows.select("chunk_id", F.size(lexical.words_of("document", None)).alias("len")), SEARCH, 20, True)
+    return inverted.search_index(V.index(spark, sf, stem=True), SEARCH, 20).select(F.col("key").alias("chunk_id"), "bm25")
 
 
 @query(f"""WITH {V.FILES}, a AS (SELECT file_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN language END AS kind, rel_path FROM files WHERE doc_id % 2 = 0 AND doc_id < 100), b AS (SELECT file_id AS chunk_id, 'vector' AS kind, size FROM files WHERE doc_id % 5 = 0 AND doc_id < 100)

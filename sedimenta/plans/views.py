@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sedimenta.functions.text import language_of, short_sha1
 from sedimenta.operators.chunks import line_windows, with_chunk_ids
 from sedimenta.operators.graph import html_links
-from sedimenta.sources.scratch import spread
+from sedimenta.operators.inverted import Index, build_index
+from sedimenta.sources.scratch import Scratch, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,19 @@ def chunks(spark: SparkSession, sf_dir: str, size: int = 8, overlap: int = 2) ->
     return with_chunk_ids(line_windows(files(spark, sf_dir), size, overlap)).drop("size", "content_sha", "error", "indexed_at")
 
 
+_indexes: dict[tuple[str, str, bool], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
+    """The inverted index of the chunks, with language and project as their symbols: written once for a session, as a store would hold it."""
+    named = (spark.sparkContext.applicationId, sf_dir, stem)
+    if named not in _indexes:
+        rows = chunks(spark, sf_dir).withColumn("symbols", F.array("language", "project_id"))
+        path = Scratch(spark, "lexical").path("index")
+        _indexes[named] = build_index(rows, path, symbols="symbols", keep=["doc_id", "project_id", "rel_path", "language"], stem=stem, buckets=16)
+    return _indexes[named]
+
+
 CHUNKS = (
     FILES
     + r""", cut AS (
