@@ -16,13 +16,18 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sedimenta.functions.stems import porter
 from sedimenta.operators.lexical import IDF_FLOOR, K1, B
 from sedimenta.sources.scratch import Scratch
 
 WORD = re.compile(r"[^\W_]+")
-POSTING = "bucket int, term string, block int, key string, tf int, len int, positions array<int>"
+#: The tables of an index but for `docs`, whose columns follow the chunks kept; an empty index has no file to read them from.
+TABLES = {
+    "postings": "term string, block int, key string, tf int, len int, positions array<int>, bucket int", "blocks": "term string, block int, n long, best double, bucket int",
+    "totals": "n long, average double",
+}
 
 
 def terms_of(text: str | None, stem: bool, known: dict[str, str] | None = None) -> list[str]:
@@ -60,9 +65,10 @@ class Index:
     path: str
     stem: bool
     buckets: int
+    docs: StructType
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(TABLES.get(name, self.docs)).parquet(f"{self.path}/{name}")
 
     def of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of some terms: of the buckets that they fall into, no other folder is read."""
@@ -109,12 +115,13 @@ def build_index(chunks: DataFrame, path: str, key: str = "chunk_id", document: s
         at = lambda k: F.create_map(*[F.lit(x) for r, v in ranges.items() for x in (r, v[k])])[F.col("range")]
         blocks = at(0) + F.pmod(F.xxhash64("key"), at(1)).cast("int")
     counted = counted.withColumn("block", blocks)
-    counted.select("key", "block", "len", *(keep or [])).write.parquet(f"{path}/docs")
+    docs = counted.select("key", "block", "len", *(keep or []))
+    docs.write.parquet(f"{path}/docs")
     counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average")).write.parquet(f"{path}/totals")
     each = counted.select("key", "block", "len", F.explode("posted").alias("p")).select("key", "block", "len", "p.term", "p.positions")
     each = each.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", "key", F.size("positions").alias("tf"), "len", "positions")
     each.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(spark, path, stem, buckets)
+    index = Index(spark, path, stem, buckets, docs.schema)
     average = index.table("totals").first()["average"]
     best = index.table("postings").groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max(share("tf", "len", average)).alias("best"))
     best.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")

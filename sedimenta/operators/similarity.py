@@ -74,33 +74,6 @@ def low_cohesion(scores: DataFrame, group: str, share: float = 0.1, ceiling: flo
     return scores.orderBy("cohesion", group).limit(most).where(F.col("cohesion") < ceiling)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "file_id", vector: str = "vector", block: int = 2048) -> DataFrame:
-    """(a, b, similarity) with a < b, different groups and a cosine of at least the threshold.
-
-    Every vector goes to the pairs of blocks that its own block takes part in, and each pair of blocks is one matrix product in a task. The number of blocks follows the
-    count, so a task's memory is bounded; the work is that of all pairs, as the exact result asks.
-    """
-    blocks = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = vectors.select(F.col(key).alias("key"), F.col(group).alias("grp"), to_unit(F.col(vector)).alias("u"), own.alias("own")).where("u is not null")
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("key", "grp", "u", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        one = part if part["lo"].iat[0] == part["hi"].iat[0] else part[part["own"] == part["lo"]]
-        two = part if one is part else part[part["own"] == part["hi"]]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        score = np.stack(one["u"]) @ np.stack(two["u"]).T
-        i, j = np.nonzero(score >= threshold - 1e-9)
-        a, b, ga, gb, s = one["key"].to_numpy()[i], two["key"].to_numpy()[j], one["grp"].to_numpy()[i], two["grp"].to_numpy()[j], score[i, j]
-        ok = (a != b) & (ga != gb) & ((a < b) if one is part else np.ones(len(a), bool))
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": s[ok]})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    out = dealt.groupBy("lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
-    return out.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= threshold)
-
-
 def similar_groups(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component, size, similarity): components of pairs, with the mean similarity of each component's edges."""
     scratch = scratch or Scratch(pairs.sparkSession, "similar")
@@ -111,6 +84,22 @@ def similar_groups(pairs: DataFrame, scratch: Scratch | None = None) -> DataFram
     return labels.join(size, "component").join(edge, "component").select("node", "component", "size", "similarity")
 
 
+def doc_drift(docs: DataFrame, refs: DataFrame, vectors: DataFrame, doc: str = "doc_id", most: int = 20, floor: float = 0.35, vector: str = "vector") -> DataFrame:
+    """(doc, n_refs, similarity, drifted): how near each document's own vectors are to those of what it refers to; drifted below the floor.
+
+    refs: (doc, line, resolved), of which a document's first `most` by line count that lead somewhere, one as often as it is named; vectors: (doc, vector). Both sides are pooled to the
+    mean of unit vectors, before the shuffle as far as they meet. A document without a live reference, or without vectors on either side, has no row.
+    """
+    turn = F.row_number().over(Window.partitionBy(doc).orderBy("line", "resolved"))
+    live = refs.join(docs.select(doc).distinct(), doc, "left_semi").where(F.col("resolved").isNotNull()).withColumn("_turn", turn).where(F.col("_turn") <= most)
+    of = vectors.select(F.col(doc).alias("resolved"), F.col(vector))
+    pooled = centroids(live.select(doc, "resolved").join(of, "resolved"), doc, vector).select(doc, F.col("centroid").alias("_refs"))
+    own = centroids(vectors.join(docs.select(doc).distinct(), doc, "left_semi"), doc, vector).select(doc, F.col("centroid").alias("_own"))
+    n = live.groupBy(doc).agg(F.count("*").alias("n_refs"))
+    out = own.join(pooled, doc).join(n, doc).select(doc, "n_refs", F.round(cosine(F.col("_own"), F.col("_refs")), 6).alias("similarity"))
+    return out.withColumn("drifted", F.col("similarity") < floor)
+
+
 def diverse(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
     """At most `most` rows, taken one per group in each round, groups in their order."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))

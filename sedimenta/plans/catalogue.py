@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.functions.vectors import cosine, to_unit
-from sedimenta.operators import accounts, chunks, duplicates, evaluation, filtering, fusion, graph, inverted, lexical, quality, similarity, store
+from sedimenta.functions.vectors import to_unit
+from sedimenta.operators import accounts, cells, chunks, duplicates, evaluation, filtering, fusion, graph, inverted, lexical, quality, similarity, store, trigrams
 from sedimenta.plans import views as V
 from sedimenta.sources.formats import trec_lines
 from sedimenta.sources.scratch import Scratch
@@ -88,6 +88,14 @@ def _literal(where: str = "true") -> str:
         SELECT file_id, project_id, line, instr(snippet, 'ment')::INTEGER AS "column", snippet FROM e WHERE contains(snippet, 'ment')"""
 
 
+@query(_literal())
+def literal_search_indexed(spark, sf):
+    """The same lines by the stored trigrams."""
+    rows = V.files(spark, sf).select("file_id", "project_id", "text")
+    index = trigrams.build_trigrams(rows, Scratch(spark, "trigrams").path("index"), buckets=16, parts=16)
+    return trigrams.find_literal(index, "ment").select("file_id", "project_id", "line", "column", "snippet")
+
+
 def _lines_with(files: DataFrame) -> DataFrame:
     return lexical.literal_matches(files.select("file_id", "project_id", "text"), "ment")
 
@@ -184,12 +192,29 @@ def low_cohesion(spark, sf):
     return similarity.low_cohesion(similarity.cohesion(V.vectors(spark, sf), "file_id"), "file_id")
 
 
-@query(f"WITH {CENTROIDS}, p AS (SELECT i, avg(x) AS x FROM el GROUP BY i), pc AS (SELECT list(x ORDER BY i) AS p FROM p) SELECT file_id, round(list_cosine_similarity(c, p), 6) AS similarity, round(list_cosine_similarity(c, p), 6) < 0.35 AS drifted FROM c, pc")
+DRIFT = f"""{V.FILES}, vecs AS (SELECT vec_id // 2 AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), un AS (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM vecs),
+    drefs AS (SELECT doc_id, k AS line, (doc_id * 3 + k * k) % 1200 AS resolved FROM files, range(4) r(k) WHERE k < doc_id % 4), live AS (SELECT doc_id, resolved FROM drefs WHERE resolved IN (SELECT doc_id FROM files)),
+    pool AS (SELECT doc_id, 1 AS side, u FROM un JOIN (SELECT doc_id FROM files) USING (doc_id) UNION ALL SELECT live.doc_id, 2, u FROM live JOIN un ON un.doc_id = resolved),
+    el AS (SELECT doc_id, side, unnest(u) AS x, unnest(range(64)) AS i FROM pool), ce AS (SELECT doc_id, side, list(x ORDER BY i) AS c FROM (SELECT doc_id, side, i, avg(x) AS x FROM el GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {DRIFT}, s AS (SELECT a.doc_id, round(list_cosine_similarity(a.c, b.c), 6) AS similarity FROM ce a JOIN ce b ON a.doc_id = b.doc_id AND a.side = 1 AND b.side = 2)
+    SELECT doc_id, n_refs, similarity, similarity < 0.35 AS drifted FROM s JOIN (SELECT doc_id, count(*) AS n_refs FROM live GROUP BY doc_id) USING (doc_id)""")
 def doc_drift(spark, sf):
-    vectors = V.vectors(spark, sf)
-    pooled = similarity.centroids(vectors.withColumn("_all", F.lit(1)), "_all").select(F.col("centroid").alias("pooled"))
-    both = similarity.centroids(vectors, "file_id").crossJoin(F.broadcast(pooled)).select("file_id", F.round(cosine(F.col("centroid"), F.col("pooled")), 6).alias("similarity"))
-    return both.withColumn("drifted", F.col("similarity") < 0.35)
+    """Documents name up to three others, some of which aren't there; two vectors belong to each document that has any."""
+    docs = V.read(spark, sf, "documents").select("doc_id")
+    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    refs = docs.withColumn("line", k).where("line < doc_id % 4").withColumn("to", (F.col("doc_id") * 3 + F.col("line") * F.col("line")) % 1200)
+    refs = refs.join(docs.select(F.col("doc_id").alias("to"), F.col("doc_id").alias("resolved")), "to", "left").select("doc_id", "line", "resolved")
+    vectors = V.vectors(spark, sf).select(F.floor(F.col("chunk_id") / 2).alias("doc_id"), "vector")
+    return similarity.doc_drift(docs, refs, vectors)
+
+
+@query(f"WITH {_topk()} SELECT * FROM vec")
+def vector_index_topk(spark, sf):
+    """The exact search over vectors stored by cell."""
+    index = cells.build_cells(V.vectors(spark, sf), Scratch(spark, "cells").path("index"))
+    return cells.nearest_in_cells(index, VECTOR, 20).select("chunk_id", "score")
 
 
 PAIRS = f"""{V.VECTORS}, pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity FROM vectors a JOIN vectors b ON a.chunk_id < b.chunk_id AND a.file_id <> b.file_id
@@ -198,14 +223,14 @@ PAIRS = f"""{V.VECTORS}, pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, roun
 
 @query(f"WITH {PAIRS} SELECT * FROM pairs")
 def semantic_pairs(spark, sf):
-    return similarity.similar_pairs(V.vectors(spark, sf), 0.4)
+    return cells.similar_pairs(V.vectors(spark, sf), 0.4)
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, least) AS (SELECT a, a FROM e UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node WHERE r.least < e.b),
     l AS (SELECT node, min(least) AS component FROM r GROUP BY node), z AS (SELECT component, count(*) AS size FROM l GROUP BY ALL), m AS (SELECT component, round(avg(similarity), 4) AS similarity FROM pairs JOIN l ON a = node GROUP BY ALL)
     SELECT node, component, size, similarity FROM l JOIN z USING (component) JOIN m USING (component)""")
 def semantic_groups(spark, sf):
-    return similarity.similar_groups(similarity.similar_pairs(V.vectors(spark, sf), 0.4))
+    return similarity.similar_groups(cells.similar_pairs(V.vectors(spark, sf), 0.4))
 
 
 @query("""SELECT vec_id, label, round FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS round FROM embeddings) ORDER BY round, label LIMIT 25""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, inverted, lexical, quality, similarity, store
+from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, inverted, lexical, quality, similarity, store, trigrams
 from sedimenta.plans import views as V
 from sedimenta.plans.catalogue import SEARCH, query
 from sedimenta.sources import formats, runs
@@ -524,10 +524,12 @@ def run_comparison(spark, sf):
     return runs.compared(_run(spark, sf, 0, "first"), _run(spark, sf, 1, "second"))
 
 
-@query(f"WITH {V.FILES} SELECT doc_id, length(text) > 0 AS has_text FROM files WHERE starts_with(rel_path, 'en/')")
+@query(f"""WITH {V.FILES} SELECT file_id FROM files WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'men') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ent')""")
 def literal_candidates(spark, sf):
-    rows = V.files(spark, sf).where(lexical.in_scope(prefix="en/"))
-    return rows.select("doc_id", (F.length("text") > 0).alias("has_text"))
+    """The files that hold both trigrams of a pattern, in whatever case."""
+    rows = V.files(spark, sf).select("file_id", "text")
+    index = trigrams.build_trigrams(rows, Scratch(spark, "trigrams").path("index"), buckets=16, parts=16)
+    return trigrams.candidates(index, "MENT").select(F.col("key").alias("file_id"))
 
 
 @query(f"WITH {V.FILES} SELECT file_id, len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x) <> ''))::INTEGER AS n FROM files")

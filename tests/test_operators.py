@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import chunks, duplicates, evaluation, filtering, fusion, graph, lexical, quality, similarity, store
+from sedimenta.operators import cells, chunks, duplicates, evaluation, filtering, fusion, graph, lexical, quality, similarity, store
 from sedimenta.operators.components import connected_components
 from sedimenta.sources import formats
 from sedimenta.sources.scratch import Scratch
@@ -126,7 +126,7 @@ def test_similarity(spark):
     df = spark.createDataFrame(rows, "chunk_id long, file_id long, vector array<float>")
     want = {(i, j) for i in range(30) for j in range(i + 1, 30) if i % 3 != j % 3 and math.cos(i - j) >= 0.9}
     for block in (4, 2048):
-        assert {(r.a, r.b) for r in similarity.similar_pairs(df, 0.9, block=block).collect()} == want
+        assert {(r.a, r.b) for r in cells.similar_pairs(df, 0.9, block=block).collect()} == want
     assert similarity.vector_topk(df, [1.0, 0.0], 1).first().chunk_id == 0
 
 
