@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
-from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, inverted, lexical, quality, similarity, store, trigrams
+from sedimenta.operators import accounts, chunks, code, definitions, evaluation, filtering, fusion, graph, ignoring, inverted, lexical, quality, similarity, store, trigrams, versions
 from sedimenta.plans import views as V
 from sedimenta.plans.catalogue import SEARCH, query
 from sedimenta.sources import formats, runs
@@ -441,6 +441,17 @@ def enrichment_backfill(spark, sf):
     return store.backfill(files.select("file_id", "content_sha"), done, {"lizard": "1", "quality": "1"}, {"quality": ["lizard"]})
 
 
+@query(f"""WITH {V.CHUNKS} SELECT file_id, chunk_id FROM chunks WHERE doc_id % 100 NOT IN (7, 11) UNION ALL SELECT file_id, file_id || ':new' FROM files WHERE doc_id % 100 = 7""")
+def bucketed_versions(spark, sf):
+    """A second version, in which one file of a hundred has changed and another is gone, out of the buckets of both."""
+    path = Scratch(spark, "versions").path("index")
+    files, rows = V.files(spark, sf), V.chunks(spark, sf).select("file_id", "chunk_id")
+    versions.first_version({"chunks": rows}, path, "v1", buckets=64)
+    fresh = files.where("doc_id % 100 = 7").select("file_id", F.concat("file_id", F.lit(":new")).alias("chunk_id"))
+    versions.next_version(spark, path, "v2", {"chunks": fresh}, files.where("doc_id % 100 = 11").select("file_id"), buckets=64)
+    return versions.read_version(spark, path)["chunks"].select("file_id", "chunk_id")
+
+
 @query(f"WITH {V.CHUNKS} SELECT 'chunks' AS name, count(*) AS n FROM chunks WHERE doc_id % 9 <> 2 UNION ALL SELECT 'files', count(*) FROM files WHERE doc_id % 9 <> 2")
 def incremental_index(spark, sf):
     """Two committed versions and a third whose marker is missing: the second is what readers see."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.operators import cells, lexical, similarity, trigrams
+from sedimenta.operators import cells, lexical, similarity, store, trigrams, versions
 from sedimenta.sources.scratch import Scratch
 
 
@@ -89,3 +89,22 @@ def test_drift_of_documents(spark):
     own = 1 / math.sqrt(5)  # (1, 0) with the mean of (1, 0), (0, 1), (0, 1)
     assert got == {0: (2, round(own, 6), False), 1: (1, round(math.sqrt(0.5), 6), False), 5: (20, 1.0, False)}
     assert similarity.doc_drift(docs, refs, vectors, floor=0.5).where("drifted").select("doc_id").collect()[0][0] == 0
+
+
+def test_versions_share_what_is_not_touched(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    files = spark.range(2000).select(F.concat(F.lit("f"), "id").alias("file_id"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("text"))
+    chunks = files.select("file_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("chunk"), "text")
+    assert versions.read_version(spark, path) == {} and versions.manifest(spark, path) is None
+    versions.first_version({"files": files, "chunks": chunks}, path, "v1", buckets=512)
+    of_first = versions.read_version(spark, path)
+    fresh = files.where("file_id LIKE 'f100_'").withColumn("text", F.lit("new"))
+    told = versions.next_version(spark, path, "v2", {"files": fresh, "chunks": fresh.select("file_id", F.lit(1).alias("chunk"), "text")}, spark.createDataFrame([("f3",), ("f4",), ("none",)], "file_id string"), buckets=512)
+    assert 5 <= told <= 13
+    size = lambda v: store.table_bytes(spark, f"{path}/data/{v}")[1]
+    assert size("v2") < 0.05 * size("v1")
+    now = versions.read_version(spark, path)
+    assert now["files"].count() == 1998 and now["chunks"].count() == 2 * 1988 + 10 and now["files"].where("text = 'new'").count() == 10
+    assert of_first["files"].count() == 2000 and versions.read_version(spark, path, "v1")["chunks"].where("text = 'new'").count() == 0
+    assert versions.next_version(spark, path, "v3", {"files": fresh.limit(0), "chunks": chunks.limit(0)}, files.select("file_id").limit(0), buckets=512) == 0
+    assert versions.read_version(spark, path)["files"].count() == 1998 and store.table_bytes(spark, f"{path}/data")[0] == store.table_bytes(spark, f"{path}/data/v1")[0] + store.table_bytes(spark, f"{path}/data/v2")[0]
