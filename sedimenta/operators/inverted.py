@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,7 +55,7 @@ def phrases_of(query: str, stem: bool) -> list[tuple[str, ...]]:
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,8 @@ class Index:
 
     def of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of some terms: of the buckets that they fall into, no other folder is read."""
-        wanted = self.spark.range(1).select(F.array(*[bucket_of(F.lit(t), self.buckets) for t in terms]).alias("b")).first()["b"]
-        return self.table(name).where(F.col("bucket").isin(*sorted(set(wanted))) & F.col("term").isin(*terms))
+        wanted = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        return self.table(name).where(F.col("bucket").isin(*wanted) & F.col("term").isin(*terms))
 
 
 def build_index(chunks: DataFrame, path: str, key: str = "chunk_id", document: str = "document", symbols: str | None = None, keep: list[str] | None = None, stem: bool = False, buckets: int = 64, block_chunks: int = 4096) -> Index:

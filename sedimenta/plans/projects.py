@@ -102,38 +102,69 @@ def stale_refs(spark, sf):
     return graph.stale_refs(graph.resolve_refs(_doc_refs(spark, sf), V.files(spark, sf)))
 
 
-LINKED = V.FILES + r""", md AS (SELECT file_id, 'see [a' || doc_id || '](doc_' || doc_id || '.md "t") and [x](http://e.org/' || doc_id || ')' || chr(10) || '`src/f' || doc_id || '.py` or [top](#a) or `not a path/x.py`' AS text, doc_id FROM files)"""
+# Markdown assembled from the words of each document: three words for each line or section
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """(file_id, language, w): the words of a document, A-Z lowered, of three letters or more."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(F.regexp_extract_all(lower, F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.concat(F.lit("w_"), x))
+    return V.files(spark, sf).select("file_id", "language", words.alias("w"))
+
+
+WORD_SQL = (
+    V.FILES
+    + r""", words AS (SELECT file_id, language, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}'), lambda x: 'w_' || x) AS w FROM files),
+    tri AS (SELECT file_id, language, i, w[3 * i + 1] AS a, w[3 * i + 2] AS b, w[3 * i + 3] AS c, len(w[3 * i + 1]) % 3 AS m FROM (SELECT *, unnest(range(len(w) // 3)) AS i FROM words))"""
+)
+
+
+def _by_triples(words: DataFrame, line) -> DataFrame:
+    """(file_id, text): a line, or lines, for each three words (i, a, b, c)."""
+    n = F.floor(F.size("w") / 3).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: line(i, *(F.element_at("w", 3 * i + k) for k in (1, 2, 3))))
+    return words.select("file_id", F.when(n > 0, F.array_join(each, "\n")).otherwise("").alias("text"))
 
 
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("doc_id")
-    text = F.concat(F.lit("see [a"), d, F.lit("](doc_"), d, F.lit('.md "t") and [x](http://e.org/'), d, F.lit(")\n`src/f"), d, F.lit(".py` or [top](#a) or `not a path/x.py`"))
-    return V.files(spark, sf).select("file_id", text.alias("text"), "doc_id")
+    """Lines with an internal link, and by the first word's length an external one, an anchor, a path between back quotes or what only looks like one."""
+
+    def line(i, a, b, c):
+        m = F.length(a) % 3
+        rest = F.when(m == 0, F.concat(F.lit("(x) [e](http://"), b, F.lit(".org/"), c, F.lit(") `"), b, F.lit(" "), c, F.lit("/x.py`"))).when(m == 1, F.concat(F.lit("[top](#"), c, F.lit(") `"), b, F.lit(" / no`"))).otherwise(F.concat(F.lit("`"), c, F.lit("/"), a, F.lit(".py` `"), c, F.lit(".py`")))
+        return F.concat(F.lit("see ["), a, F.lit("]("), b, F.lit("/"), c, F.lit('.md "t") and '), rest)
+
+    return _by_triples(_words(spark, sf), line)
 
 
-@query(f"WITH {LINKED} SELECT file_id, 1 AS line, 'a' || doc_id AS label, 'doc_' || doc_id || '.md' AS target, 'internal' AS kind FROM md UNION ALL SELECT file_id, 1, 'x', 'http://e.org/' || doc_id, 'external' FROM md UNION ALL SELECT file_id, 2, 'top', '#a', 'anchor' FROM md")
+@query(f"""WITH {WORD_SQL}, l AS (SELECT *, (i + 1)::INTEGER AS line FROM tri) SELECT file_id, line, a AS label, b || '/' || c || '.md' AS target, 'internal' AS kind FROM l
+    UNION ALL SELECT file_id, line, 'e', 'http://' || b || '.org/' || c, 'external' FROM l WHERE m = 0 UNION ALL SELECT file_id, line, 'top', '#' || c, 'anchor' FROM l WHERE m = 1""")
 def markdown_links(spark, sf):
     return graph.markdown_links(_linked(spark, sf))
 
 
-@query(f"WITH {LINKED} SELECT file_id, 1 AS line, 'doc_' || doc_id || '.md' AS target FROM md UNION ALL SELECT file_id, 2, 'src/f' || doc_id || '.py' FROM md")
+@query(f"WITH {WORD_SQL}, l AS (SELECT *, (i + 1)::INTEGER AS line FROM tri) SELECT file_id, line, b || '/' || c || '.md' AS target FROM l UNION SELECT file_id, line, c || '/' || a || '.py' FROM l WHERE m = 2")
 def path_mentions(spark, sf):
     return graph.path_mentions(_linked(spark, sf))
 
 
 # chunks
 
-SECTIONED = V.FILES + r""", sec AS (SELECT file_id, doc_id % 4 AS m FROM files)"""
+def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
+    """A heading for each three words, as deep as the first one's length says, and as many lines below it as the second one's; a fence with what isn't a heading where the third is long."""
 
+    def section(i, a, b, c):
+        fence = F.when(F.length(c) > 9, F.lit("\n```\n# no heading\n```")).otherwise("")
+        return F.concat(F.repeat(F.lit("#"), F.length(a) % 3 + 1), F.lit(" "), a, F.repeat(F.concat(F.lit("\n"), c), F.length(b) % 12), fence)
 
-def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
-    m = F.col("doc_id") % 4
-    text = F.when(m == 0, "intro\n# A\nx\n## B\ny\n").when(m == 1, "# A\n```\n# no\n```\n### C #\nz\n# D\nw").when(m == 2, "a\nb\nc").otherwise(F.concat(F.lit("# L"), F.repeat(F.lit("\nline"), 10)))
-    return V.files(spark, sf).select("file_id", text.alias("text"))
+    return _by_triples(_words(spark, sf), section)
 
 
-@query(f"""WITH {SECTIONED}, x AS (SELECT * FROM (VALUES (0, 1, 3, 'section-h1', 'A'), (0, 4, 5, 'section-h2', 'A/B'), (1, 1, 4, 'section-h1', 'A'), (1, 5, 6, 'section-h3', 'A/C'), (1, 7, 8, 'section-h1', 'D'), (2, 1, 3, 'window', ''),
-    (3, 1, 6, 'section-h1', 'L'), (3, 5, 10, 'section-h1', 'L'), (3, 9, 11, 'section-h1', 'L')) t(m, start_line, end_line, kind, symbols)) SELECT file_id, start_line, end_line, kind, symbols FROM sec JOIN x USING (m)""")
+@query(f"""WITH {WORD_SQL}, h AS (SELECT file_id, i, a, m + 1 AS d, 1 + len(b) % 12 + CASE WHEN len(c) > 9 THEN 3 ELSE 0 END AS n FROM tri),
+    p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(CASE WHEN d = 1 THEN i END) OVER (PARTITION BY file_id ORDER BY i) AS one, max(CASE WHEN d = 2 THEN i END) OVER (PARTITION BY file_id ORDER BY i) AS two FROM h),
+    t AS (SELECT p.*, CASE WHEN p.d > 1 THEN x.a END AS of_one, CASE WHEN p.d > 2 AND two > coalesce(one, -1) THEN y.a END AS of_two FROM p LEFT JOIN h x ON x.file_id = p.file_id AND x.i = one LEFT JOIN h y ON y.file_id = p.file_id AND y.i = two),
+    w AS (SELECT *, unnest(CASE WHEN n > 6 THEN range(0, n - 2, 4) ELSE [0] END) AS s FROM t)
+    SELECT file_id, (before + s + 1)::INTEGER AS start_line, (before + least(s + 6, n))::INTEGER AS end_line, 'section-h' || d AS kind, concat_ws('/', of_one, of_two, a) AS symbols FROM w""")
 def markdown_sections(spark, sf):
     return chunks.markdown_sections(_sectioned(spark, sf), 6, 2).select("file_id", "start_line", "end_line", "kind", F.array_join("symbols", "/").alias("symbols"))
 
@@ -184,13 +215,8 @@ _told = " UNION ALL ".join(
     f"SELECT file_id, language, i, a, b, c, {turn} AS turn, {kind} AS kind, {name} AS name, {exported} AS exported, {calls}::VARCHAR[] AS calls, {nesting} AS max_nesting, {loops} AS max_loops, {params} AS params, {has_async} AS has_async, {inner}::VARCHAR[] AS inner_names FROM tri WHERE language = '{language}' AND m = {m}"
     for language, m, turn, kind, name, exported, calls, nesting, loops, params, has_async, inner in TOLD
 )
-TRIPLES = (
-    V.FILES
-    + r""", words AS (SELECT file_id, language, list_transform(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}'), lambda x: 'w_' || x) AS w FROM files),
-    tri AS (SELECT file_id, language, i, w[3 * i + 1] AS a, w[3 * i + 2] AS b, w[3 * i + 3] AS c, len(w[3 * i + 1]) % 3 AS m FROM (SELECT *, unnest(range(len(w) // 3)) AS i FROM words))"""
-)
 TOLD_SQL = (
-    TRIPLES
+    WORD_SQL
     + f""", told AS ({_told}),
     placed AS (SELECT *, (CASE language WHEN 'python' THEN 3 * i + 2 WHEN 'go' THEN i + 3 ELSE i + 2 END)::INTEGER AS line, row_number() OVER (PARTITION BY file_id ORDER BY i, turn) = 1 AS leads FROM told),
     led AS (SELECT file_id, a AS first_a, b AS first_b FROM tri WHERE i = 0)"""
@@ -200,8 +226,6 @@ _module = "CASE language WHEN 'typescript' THEN first_b ELSE first_a END"
 
 def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     """Sources from the words of whole documents, written once; one of fewer than three words has none."""
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.transform(F.regexp_extract_all(lower, F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.concat(F.lit("w_"), x))
     n = F.floor(F.size("w") / 3).cast("int")
 
     def filled(form, i):
@@ -216,7 +240,7 @@ def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     for language, head in HEADS.items():
         whole = F.concat(*[x for x in (filled(head, F.lit(0)), F.lit("\n")) if head], lines(language)) if head else lines(language)
         text = F.when(F.col("language") == language, whole) if text is None else text.when(F.col("language") == language, whole)
-    at = V.files(spark, sf).select("file_id", "language", words.alias("w"))
+    at = _words(spark, sf)
     return Scratch(spark, "sources").keep(at.select("file_id", "language", F.when(n > 0, text).otherwise("").alias("text")), "assembled")
 
 
