@@ -14,9 +14,10 @@ def chunk_counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.select("file_id").join(n, "file_id", "left").na.fill(0, ["n_chunks"])
 
 
-def file_stats(files: DataFrame) -> DataFrame:
-    """(project_id, n_files, n_errors, bytes, last) per project."""
-    return files.groupBy("project_id").agg(F.count("*").alias("n_files"), F.count("error").alias("n_errors"), F.sum("size").alias("bytes"), F.max("indexed_at").alias("last"))
+def file_stats(files: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """(project_id, n_files, n_errors, bytes, last) per project that has files, or of all the projects given, those without files with zeros and a null `last`."""
+    stats = files.groupBy("project_id").agg(F.count("*").alias("n_files"), F.count("error").alias("n_errors"), F.sum("size").alias("bytes"), F.max("indexed_at").alias("last"))
+    return stats if projects is None else projects.select("project_id").distinct().join(stats, "project_id", "left").na.fill(0, ["n_files", "n_errors", "bytes"])
 
 
 def extension_rollup(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -46,15 +46,18 @@ class Rules:
         return out
 
 
-def decision(path: Column, size: Column, head: Column, rules: Rules = Rules()) -> Column:
-    """The first reason against a file, or ok: ignored-directory, secret, noise, unsupported-extension, missing, oversized, binary (a zero byte in the first 8192)."""
+def decision(path: Column, size: Column, head: Column, rules: Rules = Rules(), outside: Column = F.lit(False), ignored: Column = F.lit(False), link: Column = F.lit(False)) -> Column:
+    """The first reason against a file, or ok: outside-project, ignored-directory, gitignore, secret, noise, unsupported-extension, symlink, missing, oversized, binary (a zero byte in the first 8192).
+
+    Whether a path lies outside its project, a rule file ignores it, or it is a link, is told by the caller: see ignoring.ignored() and the workspace source. Nulls count as no.
+    """
     leaf = basename(path)
     any_of = lambda globs: reduce(Column.__or__, [matches_glob(leaf, g) for g in globs], F.lit(False))
     named = leaf.isin(*rules.names)
     inside = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in rules.ignored_dirs]))
     return (
-        F.when(path == "", "ignored-directory").when(inside, "ignored-directory").when(any_of(rules.secrets) & ~any_of(rules.not_secrets), "secret").when(any_of(rules.noise) & ~named, "noise")
-        .when(~extension(path).isin(*rules.extensions) & ~named & ~any_of(rules.not_secrets), "unsupported-extension").when(size.isNull(), "missing").when(size > rules.max_bytes, "oversized")
+        F.when(outside, "outside-project").when(path == "", "ignored-directory").when(inside, "ignored-directory").when(ignored, "gitignore").when(any_of(rules.secrets) & ~any_of(rules.not_secrets), "secret").when(any_of(rules.noise) & ~named, "noise")
+        .when(~extension(path).isin(*rules.extensions) & ~named & ~any_of(rules.not_secrets), "unsupported-extension").when(link, "symlink").when(size.isNull(), "missing").when(size > rules.max_bytes, "oversized")
         .when(F.instr(F.substring(head, 1, 8192), "\0") > 0, "binary").otherwise("ok")
     )
 

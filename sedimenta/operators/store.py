@@ -27,6 +27,11 @@ def replace_children(base: DataFrame, delta: DataFrame, changed: DataFrame, pare
     return base.join(changed.select(parent).distinct(), parent, "left_anti").unionByName(delta)
 
 
+def replace_chunks(base: DataFrame, delta: DataFrame, changed: DataFrame, parent: str = "file_id") -> DataFrame:
+    """replace_children() for chunks: the symbol that a new chunk defines is its `symbol_def`, or where that is null the first of its `symbols`, if it has any."""
+    return replace_children(base, delta.withColumn("symbol_def", F.coalesce("symbol_def", F.try_element_at("symbols", F.lit(1)))), changed, parent)
+
+
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame, parent: str = "file_id", keep: tuple[str, ...] = ("enrichments",)) -> dict[str, DataFrame]:
     """Each table without the rows of the parents that are gone; the tables in `keep` stay as they are."""
     ids = gone.select(parent).distinct()

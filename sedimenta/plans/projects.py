@@ -25,6 +25,32 @@ def layered_ignore(spark, sf):
     return ignoring.ignored(V.files(spark, sf).select("rel_path"), ignoring.ignore_rules(spark, LAYERS))
 
 
+@query(f"""WITH {V.FILES}, g AS (SELECT *, (ends_with(rel_path, '7.py') AND NOT starts_with(rel_path, 'fr/doc_1')) OR starts_with(rel_path, 'de/') OR (starts_with(rel_path, 'es/doc_2') AND rel_path <> 'es/doc_21.go') OR regexp_full_match(rel_path, 'en/doc_([0-9]|3[0-4])\\.md') AS gone FROM files)
+    SELECT rel_path, CASE WHEN doc_id % 17 = 0 THEN 'outside-project' WHEN gone THEN 'gitignore' WHEN language = 'go' THEN 'unsupported-extension' WHEN doc_id % 13 = 0 THEN 'symlink' WHEN size > 4000 THEN 'oversized' ELSE 'ok' END AS reason FROM g""")
+def filter_reasons(spark, sf):
+    """All files, of which some count as outside their project or as links; the others' reasons come from rule files, names and sizes."""
+    rules = filtering.Rules(max_bytes=4000).merged({"remove_extensions": ["go"]})
+    at = ignoring.ignored(V.files(spark, sf).select("rel_path", "doc_id", "size", "text"), ignoring.ignore_rules(spark, LAYERS))
+    d = F.col("doc_id")
+    return at.select("rel_path", filtering.decision(F.col("rel_path"), F.col("size"), F.col("text"), rules, d % 17 == 0, F.col("is_ignored"), d % 13 == 0).alias("reason"))
+
+
+@query(f"""WITH {V.CHUNKS} SELECT chunk_id, NULL AS symbol_def FROM chunks WHERE doc_id % 10 <> 3 UNION ALL SELECT file_id || ':new', CASE WHEN doc_id % 20 = 3 THEN language ELSE project_id END FROM files WHERE doc_id % 10 = 3""")
+def replaced_definitions(spark, sf):
+    """Chunks of changed files, half of them with a definition of their own and half with symbols alone."""
+    fresh = V.files(spark, sf).where("doc_id % 10 = 3")
+    delta = fresh.select("file_id", F.concat("file_id", F.lit(":new")).alias("chunk_id"), F.when(F.col("doc_id") % 20 == 3, F.col("language")).alias("symbol_def"), F.array("project_id", "language").alias("symbols"))
+    base = V.chunks(spark, sf).select("file_id", "chunk_id", F.lit(None).cast("string").alias("symbol_def"), F.array().cast("array<string>").alias("symbols"))
+    return store.replace_chunks(base, delta, fresh).select("chunk_id", "symbol_def")
+
+
+@query(f"""WITH {V.FILES} SELECT 'src' || k AS project_id, count(file_id) AS n_files, count(error) AS n_errors, coalesce(sum(size), 0)::BIGINT AS bytes, max(indexed_at) AS last FROM (SELECT n_nationkey AS k FROM nation) LEFT JOIN files ON project_id = 'src' || k GROUP BY ALL""")
+def project_stats(spark, sf):
+    """Of every project that is known, those without files too."""
+    known = V.read(spark, sf, "nation").select(F.concat(F.lit("src"), "n_nationkey").alias("project_id"))
+    return accounts.file_stats(V.files(spark, sf), known)
+
+
 @query(f"WITH {V.FILES} SELECT file_id, CASE WHEN size > 4000 THEN 'oversized' ELSE 'unsupported-extension' END AS reason FROM files WHERE size > 4000 OR language = 'go'")
 def not_indexable(spark, sf):
     rules = filtering.Rules(max_bytes=4000).merged({"remove_extensions": ["go"]})
