@@ -38,6 +38,11 @@ def front_matter(files: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _uncommented(text: str) -> str:
+    m = re.search(r"(?<=\s)#", text)
+    return text[: m.start()].rstrip() if m else text
+
+
 def _scalar(text: str) -> object:
     """A value in the flow style of YAML: quoted or plain text, number, boolean, null, list or map."""
     text = text.strip()
@@ -61,7 +66,7 @@ def _scalar(text: str) -> object:
         return text[1:-1].replace("''", "'")
     if text[0] in "[{\"'@`%":
         raise ValueError(f"can't read {text!r}")
-    text = re.sub(r"\s+#.*$", "", text)
+    text = _uncommented(text)
     if text in ("true", "True", "false", "False"):
         return text[0] in "tT"
     if re.fullmatch(r"[+-]?\d+", text):
@@ -71,26 +76,154 @@ def _scalar(text: str) -> object:
     return text
 
 
-def parse_block(body: str) -> dict:
-    """A map of YAML whose values are flow values, lists of them with `- `, or maps one level deeper; other constructs are errors."""
-    out: dict = {}
-    key = None
-    for n, line in enumerate(body.split("\n"), 2):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        inner = line[:1] in " \t" or line.startswith("- ")
-        if inner and key is not None and line.strip().startswith("- "):
-            out[key] = [*(out[key] or []), _scalar(line.strip()[2:])]
-        elif inner and key is not None and (m := re.match(r"\s+([^\s:][^:]*):(?:\s+(.*))?$", line)):
-            out[key] = {**(out[key] or {}), m[1].strip(): _scalar(m[2] or "")}
-        elif not inner and (m := re.match(r"([^\s:#][^:]*):(?:\s+(.*))?$", line)):
-            key = m[1].strip().strip("\"'")
-            if key in out:
-                raise ValueError(f"line {n}: {key} is there twice")
-            out[key] = _scalar(m[2] or "")
+KEY = re.compile(r"""("(?:[^"\\]|\\.)*"(?=\s*:)|'(?:[^']|'')*'(?=\s*:)|[^\s:#&*!|>%@`"'\[{-](?:[^:#]|:(?=\S)|(?<=\S)#)*|-(?=\S)(?:[^:#]|:(?=\S)|(?<=\S)#)*)(?:(?<=["'])\s*)?:(?:\s+(.*))?$""")
+BLOCK = re.compile(r"([|>])([+-]?)(\d?)([+-]?)\s*(?:#.*)?$")
+#: How deep blocks may be nested.
+DEEPEST = 60
+
+
+class _Blocks:
+    """Reads lines by their indents: maps, lists, block texts, anchors and what refers to them; flow values may run over several lines."""
+
+    def __init__(self, body: str) -> None:
+        self.lines, self.at, self.known = body.split("\n"), 0, {}
+
+    def next(self) -> tuple[int, str] | None:
+        """Indent and text of the next line that says something."""
+        while self.at < len(self.lines) and (not self.lines[self.at].strip() or self.lines[self.at].lstrip().startswith("#")):
+            self.at += 1
+        if self.at == len(self.lines):
+            return None
+        line = self.lines[self.at].rstrip()
+        if "\t" in line[: len(line) - len(line.lstrip())]:
+            raise self.error("a tab as indent")
+        return len(line) - len(line.lstrip()), line.lstrip()
+
+    def error(self, what: str) -> ValueError:
+        return ValueError(f"line {self.at + 2}: {what}")
+
+    def node(self, least: int, deep: int = 0) -> object:
+        """The value that begins on the next line, if that is indented by `least`."""
+        found = self.next()
+        if deep > DEEPEST:
+            raise self.error("nested too deep")
+        if found is None or found[0] < least:
+            return None
+        indent, text = found
+        if text == "-" or text.startswith("- "):
+            out = []
+            while (found := self.next()) and found[0] == indent and (found[1] == "-" or found[1].startswith("- ")):
+                rest = found[1][1:].lstrip()
+                inner = indent + len(found[1]) - len(rest) if rest else indent + 1
+                if rest and (KEY.match(rest) or rest.startswith("- ")):  # a map or list that begins on the same line
+                    self.lines[self.at] = " " * inner + rest
+                    out.append(self.node(inner, deep + 1))
+                else:
+                    out.append(self.value(rest, indent, deep))
+        elif KEY.match(text):
+            out = {}
+            while (found := self.next()) and found[0] == indent:
+                if not (m := KEY.match(found[1])):
+                    raise self.error("not a key and a value")
+                key = str(_scalar(m[1])) if m[1][0] in "\"'" else m[1].strip()
+                if key in out:
+                    raise self.error(f"{key} is there twice")
+                out[key] = self.value(m[2] or "", indent, deep)
+        else:
+            return self.value(text, indent, deep)
+        if (found := self.next()) and found[0] > indent:
+            raise self.error("not a key and a value")
+        return out
+
+    def value(self, rest: str, indent: int, deep: int) -> object:
+        """What follows a key or a dash, on its line or on those below; the line is passed."""
+        rest, name = rest.strip(), None
+        if m := re.match(r"&([^\s,\[\]{}]+)(?:\s+|$)", rest):
+            name, rest = m[1], rest[m.end() :]
+        if m := re.match(r"\*([^\s,\[\]{}]+)\s*(?:#.*)?$", rest):
+            if m[1] not in self.known:
+                raise self.error(f"{m[1]} isn't known")
+            self.at += 1
+            return self.known[m[1]]
+        if m := BLOCK.match(rest):
+            out = self.block(m, indent)
+        elif not rest or rest.startswith("#"):
+            self.at += 1
+            found = self.next()
+            beside = found and found[0] == indent and (found[1] == "-" or found[1].startswith("- ")) and not self.listed(indent)
+            out = self.node(indent if beside else indent + 1, deep + 1)
         else:
-            raise ValueError(f"line {n}: not a key and a value")
-    return out
+            while rest[0] in "[{" and _open(rest) and self.at + 1 < len(self.lines):
+                self.at += 1
+                rest += " " + self.lines[self.at].strip()
+            try:
+                out = _scalar(rest)
+            except ValueError as e:
+                raise self.error(str(e)) from e
+            self.at += 1
+            if isinstance(out, str) and rest[0] not in "\"'":  # plain text may go on below
+                while (found := self.next()) and found[0] > indent and not KEY.match(found[1]):
+                    out += " " + _uncommented(found[1])
+                    self.at += 1
+        if name:
+            self.known[name] = out
+        return out
+
+    def listed(self, indent: int) -> bool:
+        """Whether the line just passed was an item of a list at this indent."""
+        before = self.lines[self.at - 1]
+        return before.lstrip().startswith("-") and len(before) - len(before.lstrip()) == indent
+
+    def block(self, m: re.Match, indent: int) -> str:
+        self.at += 1
+        held: list[str] = []
+        depth = indent + int(m[3]) if m[3] else None
+        while self.at < len(self.lines):
+            line = self.lines[self.at].rstrip("\r")
+            own = len(line) - len(line.lstrip(" "))
+            if line.strip():
+                depth = own if depth is None else depth
+                if own < depth or own <= indent:
+                    break
+            held.append(line[depth:] if depth is not None else "")
+            self.at += 1
+        end = len(held)
+        while end and not held[end - 1].strip():
+            end -= 1
+        kept, tail, chomp = held[:end], len(held) - end, m[2] or m[4]
+        if m[1] == "|":
+            out = "\n".join(kept)
+        else:  # single breaks fold into blanks; more deeply indented lines stay
+            out = ""
+            for k, line in enumerate(kept):
+                if not k:
+                    out = line
+                elif not line:
+                    out += "\n"
+                elif line[0] == " " or kept[k - 1][:1] == " ":
+                    out += "\n" + line
+                else:
+                    out += ("" if out.endswith("\n") else " ") + line
+        return out if chomp == "-" or not kept else out + "\n" + ("\n" * tail if chomp == "+" else "")
+
+
+def _open(text: str) -> bool:
+    """Whether a flow value's brackets aren't closed yet."""
+    depth, quote = 0, ""
+    for c in text:
+        quote = "" if quote == c else quote or (c if c in "\"'" else "")
+        depth += (c in "[{") - (c in "]}") if not quote else 0
+    return depth > 0
+
+
+def parse_block(body: str) -> dict:
+    """A map of YAML: nested maps and lists by indents, flow values, block texts (| and >, with their endings), anchors and aliases. Tags, merge keys and several documents aren't read;
+    what can't be read is an error that names its line, the first after the opening one being line 2."""
+    reader = _Blocks(body)
+    out = reader.node(0)
+    if out is not None and not isinstance(out, dict) or reader.next() is not None:
+        raise reader.error("not a key and a value")
+    return out or {}
 
 
 def type_of(value: object) -> str:
