@@ -46,11 +46,12 @@ class Rules:
         return out
 
 
-def decision(path: Column, size: Column, head: Column, rules: Rules = Rules(), outside: Column = F.lit(False), ignored: Column = F.lit(False), link: Column = F.lit(False)) -> Column:
+def decision(path: Column, size: Column, head: Column, rules: Rules = Rules(), outside: Column | None = None, ignored: Column | None = None, link: Column | None = None) -> Column:
     """The first reason against a file, or ok: outside-project, ignored-directory, gitignore, secret, noise, unsupported-extension, symlink, missing, oversized, binary (a zero byte in the first 8192).
 
     Whether a path lies outside its project, a rule file ignores it, or it is a link, is told by the caller: see ignoring.ignored() and the workspace source. Nulls count as no.
     """
+    outside, ignored, link = (F.lit(False) if c is None else c for c in (outside, ignored, link))
     leaf = basename(path)
     any_of = lambda globs: reduce(Column.__or__, [matches_glob(leaf, g) for g in globs], F.lit(False))
     named = leaf.isin(*rules.names)
