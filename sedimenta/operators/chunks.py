@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,21 +46,42 @@ def markdown_sections(files: DataFrame, most: int = 200, overlap: int = 8, text:
     whole = files.select(*keep, F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(i, *piece) for i, content in enumerate(batch.column(len(keep)).to_pylist()) if content for piece in _sections(content, most, overlap)]
-            at, *made = zip(*got, strict=True) if got else ((),) * 6
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns[: len(keep)], *map(pa.array, made, kinds)], names=[*keep, "start_line", "end_line", "kind", "document", "symbols"])
+        return _pieces(batches, most, overlap)
 
     shape = whole.drop("_text").withColumns({n: F.lit(None).cast(k) for n, k in (("start_line", "int"), ("end_line", "int"), ("kind", "string"), ("document", "string"), ("symbols", "array<string>"))})
     return whole.mapInArrow(run, shape.schema)
 
 
+#: Characters of the pieces that a batch of Python's rows may hold.
+MOST = 4 << 20
+
 FENCE, HEADING, TITLE = re.compile(r"\s{0,3}(```|~~~)", re.A), re.compile(r"(#{1,6})\s+\S", re.A), re.compile(r"#{1,6}\s+(.*?)\s*#*\s*$", re.A)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of texts, the last column, in bounded batches with the other columns; texts come out of Arrow one at a time."""
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+
+    def made(kept: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+        at, *parts = zip(*got, strict=True) if got else ((),) * 6
+        return pa.RecordBatch.from_arrays([*kept.take(pa.array(at, pa.int64())).columns, *map(pa.array, parts, kinds)], names=[*kept.schema.names, "start_line", "end_line", "kind", "document", "symbols"])
+
+    for batch in batches:
+        kept, got, size = batch.select(range(batch.num_columns - 1)), [], 0
+        for i, content in enumerate(batch.column(batch.num_columns - 1)):
+            for piece in _sections(content.as_py() or "", most, overlap):
+                got.append((i, *piece))
+                size += len(piece[3]) + sum(map(len, piece[4])) + 64
+                if size > MOST:
+                    yield made(kept, got)
+                    got, size = [], 0
+        yield made(kept, got)
+
+
 def _sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int, str, str, list[str]]]:
     """(first line, last line, kind, text, path) of the pieces of a text's sections, or of its windows where it has no heading."""
+    if not content:
+        return
     cut = re.split(r"\r?\n", content)
     cut = cut[:-1] if not cut[-1] else cut
     heads, fence, path = [], "", []
@@ -124,8 +146,28 @@ def python_definitions(files: DataFrame) -> DataFrame:
     loops = (ast.For, ast.AsyncFor, ast.While)
     definitions = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
-    def depth(node: ast.AST, kinds: tuple) -> int:
-        return max((depth(x, kinds) + isinstance(x, kinds) for x in ast.iter_child_nodes(node)), default=0)
+    leaves = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+
+    def below(node: ast.AST) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]], int, int, bool]:
+        """In one walk by levels: calls, inner definitions, how deep blocks and loops are nested, and whether a function is async."""
+        calls, inner, nesting, in_loops, has_async = [], [], 0, 0, False
+        level = [(node, 0, 0)]
+        for x, most, deep in level:
+            if isinstance(x, ast.Call):
+                if called := name(x.func):
+                    calls.append((called, x.lineno))
+            elif isinstance(x, definitions):
+                inner.append((x.name, "def", x.lineno))
+                has_async = has_async or isinstance(x, ast.AsyncFunctionDef)
+            elif isinstance(x, blocks) and x is not node:
+                most, deep = most + 1, deep + isinstance(x, loops)
+                nesting, in_loops = max(nesting, most), max(in_loops, deep)
+            for field in x._fields:
+                held = getattr(x, field, None)
+                for y in held if isinstance(held, list) else (held,):
+                    if isinstance(y, ast.AST) and not isinstance(y, leaves):
+                        level.append((y, most, deep))
+        return calls, inner, nesting, in_loops, has_async
 
     def name(node: ast.AST) -> str:
         return f"{name(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else getattr(node, "id", "")
@@ -140,23 +182,51 @@ def python_definitions(files: DataFrame) -> DataFrame:
         for node in tree.body:
             if isinstance(node, definitions):
                 start = min([node.lineno] + [x.lineno for x in node.decorator_list])
-                calls = [(name(x.func), x.lineno) for x in ast.walk(node) if isinstance(x, ast.Call) and name(x.func)]
-                inner = [(x.name, "def", x.lineno) for x in ast.walk(node) if isinstance(x, definitions)]
+                calls, inner, nesting, in_loops, has_async = below(node)
                 args = node.args if not isinstance(node, ast.ClassDef) else None
                 yield (
                     file_id, start, node.end_lineno, "class" if args is None else "function", [node.name], "\n".join(cut[start - 1 : node.end_lineno]), list(dict.fromkeys(imports)),
-                    [node.name] if not node.name.startswith("_") else [], list(dict.fromkeys(c for c, _ in calls)), depth(node, blocks), depth(node, loops),
-                    len(args.args + args.posonlyargs + args.kwonlyargs) if args else 0, any(isinstance(x, ast.AsyncFunctionDef) for x in ast.walk(node)),
+                    [node.name] if not node.name.startswith("_") else [], list(dict.fromkeys(c for c, _ in calls)), nesting, in_loops,
+                    len(args.args + args.posonlyargs + args.kwonlyargs) if args else 0, has_async,
                     list(dict.fromkeys(inner + [(c.split(".")[-1], "call", line) for c, line in calls] + [(i, "import", 1) for i in imports])),
                 )
                 imports = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CODE.split("array<struct")[0].split(", ") if c]
-        for batch in batches:
-            out = [c for f, t in zip(batch["file_id"], batch["text"], strict=True) if t is not None for c in chunks(f, t)]
-            made = pd.DataFrame(out, columns=columns)
-            made["refs"] = pd.Series([[dict(zip(("symbol", "kind", "line"), r, strict=True)) for r in refs] for refs in made["refs"]], dtype=object)
-            yield made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return told(batches, lambda file, text: chunks(file, text) if text is not None else [])
+
+    return files.select("file_id", "text").mapInArrow(run, CODE)
+
 
-    return files.select("file_id", "text").mapInPandas(run, CODE)
+def told(batches: Iterator[pa.RecordBatch], chunks: Callable[..., Iterable[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The chunks (CODE) that a function finds in each row, one text at a time, in batches bounded by their length.
+
+    Trees have no cycles, so that nothing is lost while Python's collector, which goes over all of a tree again and again as it grows, waits for the end of a text.
+    """
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            values = [x.as_py() for x in row]
+            gc.disable()
+            try:
+                found = list(chunks(*values))
+            finally:
+                gc.enable()
+            for chunk in found:
+                held.append(chunk)
+                size += len(chunk[5]) + 64 * len(chunk[13])
+                if size > MOST:
+                    yield _coded(held)
+                    held, size = [], 0
+    yield _coded(held)
+
+
+def _coded(rows: list[tuple]) -> pa.RecordBatch:
+    *columns, refs = zip(*rows, strict=True) if rows else [()] * 14
+    text, number, texts = pa.string(), pa.int32(), pa.list_(pa.string())
+    kinds = (text, number, number, text, texts, text, texts, texts, texts, number, number, number, pa.bool_())
+    ends = [0, *accumulate(map(len, refs))]
+    parts = [pa.array(c, k) for c, k in zip(zip(*chain.from_iterable(refs), strict=True) if ends[-1] else [()] * 3, (text, text, number), strict=True)]
+    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["symbol", "kind", "line"]))
+    names = [c.split()[0] for c in CODE.split("array<struct")[0].split(", ") if c]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), listed], names=names)

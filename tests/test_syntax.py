@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from sedimenta.operators import code
+from sedimenta.operators import chunks, code
 from sedimenta.operators.syntax import tree
 
 
@@ -70,3 +70,22 @@ def test_chunks_of_code(spark):
     assert {tuple(x) for x in got[1].refs} == {("v", "def", 2), ("m", "def", 2), ("w", "call", 2)}
     routed = {(r.file_id, r.kind) for r in code.routed_chunks(files).collect()}
     assert ("d", "window") in routed and ("w", "window") in routed
+
+
+def test_pieces_and_chunks_in_bounded_batches():
+    import gc
+
+    import pyarrow as pa
+
+    text = pa.array(["".join(f"# h{k}\n{'x' * 1000}\n" for k in range(2000))] * 6)
+    got = list(chunks._pieces(iter([pa.RecordBatch.from_arrays([pa.array(list("abcdef")), text], ["file_id", "text"])]), 6, 2))
+    assert sum(b.num_rows for b in got) == 12_000 and max(b.nbytes for b in got) < 2 * chunks.MOST
+    assert all(b.schema == got[0].schema for b in got) and got[0].column(5)[1].as_py() == ["h1"]
+
+    def found(file):
+        assert not gc.isenabled()
+        return [(file, 1, 2, "k", ["s"], "y" * 1_000_000, [], [], ["c"], 1, 0, 2, False, [("s", "def", 1), ("c", "call", 2)])] * 3
+
+    told = list(chunks.told(iter([pa.RecordBatch.from_arrays([pa.array(list("abcdef"))], ["file_id"])]), found))
+    assert gc.isenabled() and sum(b.num_rows for b in told) == 18 and max(b.nbytes for b in told) < 2 * chunks.MOST
+    assert told[0].column(13)[0].as_py() == [{"symbol": "s", "kind": "def", "line": 1}, {"symbol": "c", "kind": "call", "line": 2}]
