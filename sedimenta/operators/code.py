@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.chunks import CODE, line_windows, markdown_sections, python_definitions
+from sedimenta.operators.chunks import CODE, line_windows, markdown_sections, python_definitions, told
 from sedimenta.operators.syntax import Node, below, depth, tree
 
 # Names of calls that reach the system.
@@ -65,15 +65,10 @@ def code_definitions(files: DataFrame) -> DataFrame:
     count for its first chunk: modules for line 1, and the names a script takes from them for the import's line.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CODE.split("array<struct")[0].split(", ") if c]
-        for batch in batches:
-            out = [c for f, lang, t in zip(batch["file_id"], batch["language"], batch["text"], strict=True) if t for c in _all(f, t, lang)]
-            made = pd.DataFrame(out, columns=columns)
-            made["refs"] = pd.Series([[dict(zip(("symbol", "kind", "line"), r, strict=True)) for r in refs] for refs in made["refs"]], dtype=object)
-            yield made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return told(batches, lambda file, language, text: _all(file, text, language) if text else [])
 
-    return files.where(F.col("language").isin(*TOP)).select("file_id", "language", "text").mapInPandas(run, CODE)
+    return files.where(F.col("language").isin(*TOP)).select("file_id", "language", "text").mapInArrow(run, CODE)
 
 
 def risky_calls(calls: Column) -> Column:
