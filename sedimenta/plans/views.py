@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per document, of the project that its source names."""
     docs = read(spark, sf_dir, "documents")
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("read-error").alias("error")).distinct()
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("error", F.lit("read-error"))
     ext = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "md", "fr", "py", "de", "ts", "es", "go")]), F.col("lang"))
     rel_path = F.concat("lang", F.lit("/doc_"), "doc_id", F.lit("."), ext)
     at = docs.join(toxic, "doc_id", "left").withColumn("rel_path", rel_path)

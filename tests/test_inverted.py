@@ -64,3 +64,14 @@ def test_what_is_read(spark, tmp_path):
     assert inverted.search_index(index, "needle", 3).count() == 3
     none = inverted.build_index(spark.createDataFrame([], SCHEMA), f"{tmp_path}/none")
     assert inverted.search_index(none, "needle", 3).count() == 0
+
+
+def test_a_row_for_each_term_and_block(spark, tmp_path):
+    """Lists hold a block's chunks by place, so that keys stand once in the index, and diacritics of any text fall away."""
+    rows = [(f"c{i:04}", "Été x̣́ " + "hay " * (i % 5), None, "p") for i in range(400)]
+    index = inverted.build_index(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"{tmp_path}/index", buckets=4, block_chunks=64)
+    posted = index.of_terms("postings", ["hay"]).collect()
+    assert len(posted) == len({r.block for r in posted}) < 10 and sum(len(r.ats) for r in posted) == 320 and "key" not in posted[0]
+    docs = {(r.block, r.at): r.len for r in index.table("docs").collect()}
+    assert len(docs) == 400 and all(docs[r.block, at] == n for r in posted for at, n in zip(r.ats, r.lens))
+    assert sum(len(r.ats) for r in index.of_terms("postings", ["ete", "x"]).collect()) == 800
