@@ -33,10 +33,9 @@ DOCS, HELD = -1, 4 << 20
 
 
 @cache
-def _marks() -> re.Pattern[str]:
-    """Runs of what diacritics are when they stand apart."""
-    return re.compile("[" + "".join(map(re.escape, (c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Mn"))) + "]+")
-
+def _marks() -> dict[int, None]:
+    """What diacritics are when they stand apart, for str.translate() to leave out."""
+    return {i: None for i in range(0x110000) if unicodedata.category(chr(i)) == "Mn"}
 
 
 def terms_of(text: str | None, stem: bool, known: dict[str, str] | None = None) -> list[str]:
@@ -45,7 +44,7 @@ def terms_of(text: str | None, stem: bool, known: dict[str, str] | None = None)
         return []
     text = text.lower()
     if not text.isascii():
-        text = _marks().sub("", unicodedata.normalize("NFD", text))
+        text = unicodedata.normalize("NFD", text).translate(_marks())
     found = WORD.findall(text)
     if not stem:
         return found
