@@ -39,17 +39,8 @@ def _details(files: DataFrame, size: int, least_distinct: int, most_share: float
         for batch in batches:
             out: list[tuple] = []
             for file, text, at in zip(*batch.columns, strict=True):
-                found, lines = [], []
-                for k, line in enumerate((text.as_py() or "").split("\n"), 1):
-                    some = token.findall(line)
-                    found += some
-                    lines += [k] * len(some)
                 name = file.as_py()
-                for i in at.values.to_pylist() if at.is_valid else range(len(found) - size + 1):
-                    window = found[i : i + size]
-                    counts = Counter(window)
-                    if len(counts) >= least_distinct and max(counts.values()) <= most_share * size:
-                        out.append((name, hashlib.sha1("\0".join(window).encode()).hexdigest(), lines[i], lines[i + size - 1], len(counts)))
+                out += [(name, *w) for w in _windows(token, text.as_py() or "", at.values.to_pylist() if at.is_valid else None, size, least_distinct, most_share)]
                 if len(out) >= 20_000:
                     yield _batch(out)
                     out = []
@@ -58,6 +49,20 @@ def _details(files: DataFrame, size: int, least_distinct: int, most_share: float
     return files.select(F.col("file_id").cast("string"), "text", "at").mapInArrow(run, DETAIL)
 
 
+def _windows(token: regex.Pattern, text: str, at: list[int] | None, size: int, least_distinct: int, most_share: float) -> Iterator[tuple[str, int, int, int]]:
+    """(hash, first line, last line, different tokens) of a text's windows at these places, or at all."""
+    found, lines = [], []
+    for k, line in enumerate(text.split("\n"), 1):
+        some = token.findall(line)
+        found += some
+        lines += [k] * len(some)
+    for i in range(len(found) - size + 1) if at is None else at:
+        window = found[i : i + size]
+        counts = Counter(window)
+        if len(counts) >= least_distinct and max(counts.values()) <= most_share * size:
+            yield hashlib.sha1("\0".join(window).encode()).hexdigest(), lines[i], lines[i + size - 1], len(counts)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=[f.split()[0] for f in DETAIL.split(", ")])
@@ -72,6 +77,39 @@ def duplicate_windows(files: DataFrame, size: int = 50, least_distinct: int = 15
     return _details(kept, size, least_distinct, most_share)
 
 
+def window_totals(files: DataFrame, size: int = 50, least_distinct: int = 15, most_share: float = 0.6, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(file_id, n, hashes, tokens, least, spans) of each file with duplicate_windows(): how many, how many different ones, and of their columns the sums and the least hash.
+
+    A row's windows are counted where they are made, so that one row a file leaves the task. Only files whose id several rows share have their windows shuffled.
+    """
+    scratch = scratch or Scratch(files.sparkSession, "totals")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = regex.compile(TOKEN)
+        for batch in batches:
+            rows = []
+            for file, content in zip(*batch.columns, strict=True):
+                n = tokens = spans = 0
+                hashes = set()
+                for digest, first, last, unique in _windows(token, content.as_py() or "", None, size, least_distinct, most_share):
+                    hashes.add(digest)
+                    n, tokens, spans = n + 1, tokens + unique, spans + last - first
+                if n:
+                    rows.append((file.as_py(), n, len(hashes), tokens, min(hashes), spans))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["file_id", "n", "hashes", "tokens", "least", "spans"])
+
+    kept = _no_licences(files).select(F.col("file_id").cast("string"), F.col(text).alias("text"))
+    totals = scratch.keep(kept.mapInArrow(run, "file_id string, n long, hashes long, tokens long, least string, spans long"), "totals")
+    shared = totals.groupBy(F.col("file_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if shared.isEmpty():
+        return totals
+    same = F.col("file_id").eqNullSafe(F.col("_id"))
+    each = duplicate_windows(files.join(shared, same, "left_semi"), size, least_distinct, most_share, text)
+    whole = each.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("hashes"), F.sum("unique_tokens").alias("tokens"), F.min("hash").alias("least"), F.sum(F.col("end_line") - F.col("start_line")).alias("spans"))
+    return totals.join(shared, same, "left_anti").unionByName(whole)
+
+
 def repeated_windows(files: DataFrame, size: int = 50, least_distinct: int = 15, most_share: float = 0.6, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Of duplicate_windows() those whose tokens occur in several files.
 

@@ -212,3 +212,10 @@ def test_stream_of_windows_agrees_with_the_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     batch = sorted(map(tuple, events.coalesce(rows, "2 days", ["event_type"], "user_id").collect()))
     assert seen and sorted(seen) == batch
+
+
+def test_window_totals_of_ids_that_rows_share(spark):
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [("a", text), ("b", text + " u"), ("b", text), (None, text), (None, text), ("c", "few"), ("d", None)]
+    got = {r.file_id: (r.n, r.hashes, r.tokens, r.spans) for r in duplicates.window_totals(spark.createDataFrame(rows, "file_id string, text string")).collect()}
+    assert got == {"a": (11, 11, 550, 0), "b": (23, 12, 1150, 0), None: (22, 11, 1100, 0)}
