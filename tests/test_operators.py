@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,27 @@ def test_duplicate_window_limits(spark):
     assert [r[0] for r in names.select(duplicates.is_license_like(F.col("p"))).collect()] == [True, True, False]
 
 
+def test_repeated_windows_of_odd_files(spark):
+    """Rows that share an id or have none, equal rows, and groups beyond both limits, against plain counts of all windows."""
+    rng = random.Random(3)
+    words = [[f"{c}{i % 17}" for i in range(70)] for c in "abcdef"]
+    said = [" ".join(rng.choice(words)[rng.randrange(15) :][:60]) + rng.choice(["", "\n", " q\nq q"]) + " ".join(rng.choice(words)) for _ in range(40)]
+    rows = [(f"f{i // 2}" if i % 7 else None, t) for i, t in enumerate(said)] + [("f3", said[6]), ("f3", None), ("x", " ".join(["y"] * 40 + words[0]))]
+    df = spark.createDataFrame(rows, "file_id string, text string")
+    each = [tuple(r) for r in duplicates.duplicate_windows(df).collect()]
+    of: dict = {}
+    for r in each:
+        of.setdefault(r[1], []).append(r)
+    for least in (2, 3):
+        often = {h for h, m in of.items() if len({r[0] for r in m} - {None}) >= least}
+        got = sorted((tuple(r) for r in duplicates.repeated_windows(df, least_files=least).collect()), key=str)
+        assert got == sorted((r for r in each if r[1] in often), key=str) and 0 < len(got) < len(each) - (least == 3)
+    for members, groups in ((4, 9), (50, 10_000)):
+        kept = {h: sorted(of[h], key=lambda r: (r[0] is None, r[0] or "", r[2]))[:members] for h in of if len({r[0] for r in of[h]} - {None}) >= 2}
+        want = sorted(((h, len(m), len({r[0] for r in m} - {None}), min((r[0] for r in m if r[0]), default=None)) for h, m in kept.items()), key=lambda g: (-g[1], g[0]))[:groups]
+        assert [tuple(r) for r in duplicates.repeated_groups(df, most_members=members, most_groups=groups).collect()] == want
+
+
 def test_overlaps_across_buckets(spark):
     c = spark.createDataFrame([("c", "f", 1, 1000)], "chunk_id string, file_id string, start_line int, end_line int")
     f = spark.createDataFrame([("f", 0, 250, 600), ("f", 1, 1, 351), ("f", 2, 1000, 1001), ("f", 3, 1001, 1002)], "file_id string, ordinal int, line_from int, line_to int")
