@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sedimenta.functions.stems import porter
 from sedimenta.functions.text import let, query_terms, tokens
@@ -17,7 +19,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 def words_of(document: str, symbols: str | None) -> Column:
     """The terms of a chunk: those of its text, and those of its symbols after them."""
     found = tokens(F.col(document), 1)
-    return found if symbols is None else F.concat(found, F.flatten(F.transform(F.coalesce(symbols, F.array().cast("array<string>")), lambda s: tokens(s, 1))))
+    return found if symbols is None else F.concat(found, F.flatten(F.transform(F.coalesce(F.array_compact(symbols), F.array().cast("array<string>")), lambda s: tokens(s, 1))))
 
 
 def bm25_scores(chunks: DataFrame, query: str, document: str = "document", symbols: str | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -45,13 +47,27 @@ def _scored(hit: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, document: str = "document", symbols: str | None = None, stem: bool = False, key: str = "chunk_id") -> DataFrame:
-    """The index: (term, key, tf, len), a row for each term of a chunk, to be written sorted or bucketed by term. With `stem`, terms are Porter stems, which are
-    made once for each different word of a chunk."""
-    words = chunks.select(key, words_of(document, symbols).alias("_w")).withColumn("len", F.size("_w"))
-    each = words.select(key, "len", F.explode("_w").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    if stem:
-        each = each.withColumn("term", F.pandas_udf(_stems, StringType())("term")).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
-    return each.select("term", key, F.col("tf").cast("int").alias("tf"), "len")
+    """The index: (term, key, tf, len), a row for each term of a chunk. With `stem`, terms are Porter stems. Chunks are counted one by one where they are read, and nothing is shuffled."""
+    shape = chunks.select(F.lit("").alias("term"), key, F.lit(0).alias("tf"), F.lit(0).alias("len")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                at, terms, tfs, lens = [], [], [], []
+                for i, words in enumerate(batch.column(1).slice(a, 256).to_pylist(), a):
+                    if stem:
+                        known.update({w: porter(w) for w in set(words).difference(known)})
+                    counts = Counter(map(known.__getitem__, words) if stem else words)
+                    at += [i] * len(counts)
+                    terms += counts.keys()
+                    tfs += counts.values()
+                    lens += [len(words)] * len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32())], names=shape.names)
+                if len(known) > 1 << 20:
+                    known.clear()
+
+    return chunks.select(key, F.coalesce(words_of(document, symbols), F.array().cast("array<string>")).alias("_w")).mapInArrow(run, shape)
 
 
 def bm25_of_postings(index: DataFrame, lengths: DataFrame, query: str, k: int, stem: bool = False, key: str = "chunk_id") -> DataFrame:
@@ -67,10 +83,6 @@ def bm25_of_postings(index: DataFrame, lengths: DataFrame, query: str, k: int, s
     return each.groupBy(key).agg(F.round(F.sum(score), 6).alias("bm25")).orderBy(F.desc("bm25"), key).limit(k)
 
 
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map({w: porter(w) for w in words.unique()})
-
-
 def bm25_topk(chunks: DataFrame, query: str, k: int, scope=None, key: str = "chunk_id") -> DataFrame:
     """The k best chunks; ties go to the smaller key. A scope is a Column; corpus statistics are those of all chunks, as an index has them."""
     scored = bm25_scores(chunks, query)

@@ -20,6 +20,13 @@ def test_stems(word, stem):
     assert porter(word) == stem
 
 
+def test_postings_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([("a", "x y x", ["Y", None]), ("a", "x z y", None), ("b", None, ["q"]), ("c", "", None)], "chunk_id string, document string, symbols array<string>")
+    index = lexical.postings(rows, symbols="symbols")
+    assert sorted(tuple(r) for r in index.collect()) == [("x", "a", 1, 3), ("x", "a", 2, 4), ("y", "a", 1, 3), ("y", "a", 2, 4), ("z", "a", 1, 3)]
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stems_find_other_forms(spark):
     rows = spark.createDataFrame([("a", "hopping hops"), ("b", "a rabbit hopped"), ("c", "hope")], "chunk_id string, document string")
     index = lexical.postings(rows, stem=True)
