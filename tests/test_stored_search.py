@@ -29,6 +29,16 @@ def test_literal_search_by_trigrams(spark, tmp_path):
     assert trigrams.find_literal(none, "foo").count() == 0 and trigrams.find_literal(none, "f").count() == 0
 
 
+def test_literal_search_of_rows_that_share_a_key(spark, tmp_path):
+    """Each text counts by itself; a task's texts fill several blocks, and neither they nor their postings are shuffled."""
+    rows = spark.createDataFrame([("same", "one needle"), ("same", "two needles"), ("same", "hay"), (None, "NEEDLE needle")] + [(f"k{i}", f"n{i} eed le") for i in range(9000)], "file_id string, text string").coalesce(1)
+    index = trigrams.build_trigrams(rows, f"{tmp_path}/index", buckets=4, parts=2)
+    assert sorted((str(r.file_id), r.snippet) for r in trigrams.find_literal(index, "needle").collect()) == [("None", "NEEDLE needle"), ("same", "one needle"), ("same", "two needles")]
+    assert sorted(str(r.key) for r in trigrams.candidates(index, "Needle").collect()) == ["None", "same", "same"]
+    assert index.table("texts").select("block").distinct().count() == 3 and index.table("texts").count() == 9004
+    assert trigrams.find_literal(index, "n8999 e").count() == 1
+
+
 def clustered(n, d, groups, seed, spread=0.15):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(groups, d))
