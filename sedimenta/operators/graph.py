@@ -42,21 +42,40 @@ def html_links(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("from_file_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"#]+)'), 1)).alias("position", "to_path"))
 
 
+LINK = r'\[([^\]]*)\]\(\s*([^)\s]+)(?:\s+"[^"]*")?\s*\)'
+
+
+def _kind(target: Column) -> Column:
+    return F.when(target.startswith("#"), "anchor").when(target.rlike(r"^(?i:[a-z][a-z0-9+.-]*:|//)"), "external").otherwise("internal")
+
+
 def markdown_links(files: DataFrame, text: str = "text") -> DataFrame:
     """(file_id, line, label, target, kind) of [label](target "title") in Markdown, with kind internal, external or anchor."""
-    link = r'\[([^\]]*)\]\(\s*([^)\s]+)(?:\s+"[^"]*")?\s*\)'
     line = files.select("file_id", F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-    each = line.withColumn("_both", F.explode(F.arrays_zip(F.regexp_extract_all("_line", F.lit(link), 1).alias("label"), F.regexp_extract_all("_line", F.lit(link), 2).alias("target"))))
+    each = line.withColumn("_both", F.explode(F.arrays_zip(F.regexp_extract_all("_line", F.lit(LINK), 1).alias("label"), F.regexp_extract_all("_line", F.lit(LINK), 2).alias("target"))))
     target = F.col("_both.target")
-    kind = F.when(target.startswith("#"), "anchor").when(target.rlike(r"^(?i:[a-z][a-z0-9+.-]*:|//)"), "external").otherwise("internal")
-    return each.select("file_id", (F.col("_at") + 1).alias("line"), F.col("_both.label").alias("label"), target.alias("target"), kind.alias("kind"))
+    return each.select("file_id", (F.col("_at") + 1).alias("line"), F.col("_both.label").alias("label"), target.alias("target"), _kind(target).alias("kind"))
 
 
 def path_mentions(files: DataFrame, text: str = "text") -> DataFrame:
-    """(file_id, line, target) of internal links and of back-quoted words that look like paths, once per line."""
-    quoted = files.select("file_id", F.posexplode(F.split(text, "\n")).alias("_at", "_line")).select("file_id", (F.col("_at") + 1).alias("line"), F.explode(F.regexp_extract_all("_line", F.lit("`([^`]+)`"), 1)).alias("target"))
-    quoted = quoted.where(F.col("target").contains("/") & ~F.col("target").rlike(r"\s") & (F.length("target") <= 200) & F.col("target").rlike(r"\.[A-Za-z][A-Za-z0-9]*$"))
-    return markdown_links(files, text).where("kind = 'internal'").select("file_id", "line", "target").unionByName(quoted).distinct()
+    """(file_id, line, target) of internal links and of back-quoted words that look like paths, once per line.
+
+    A line's targets are made distinct where it is read. Only those of ids that several rows share are compared across rows.
+    """
+    ids = F.col("file_id").alias("_id")
+    shared = files.select(ids).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if shared.isEmpty():
+        return _mentions(files, text)
+    same = F.col("file_id").eqNullSafe(F.col("_id"))
+    return _mentions(files.join(shared, same, "left_anti"), text).unionByName(_mentions(files.join(shared, same, "left_semi"), text).distinct())
+
+
+def _mentions(files: DataFrame, text: str) -> DataFrame:
+    line = files.select("file_id", F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
+    linked = F.filter(F.regexp_extract_all("_line", F.lit(LINK), 2), lambda t: _kind(t) == "internal")
+    path = lambda t: t.contains("/") & ~t.rlike(r"\s") & (F.length(t) <= 200) & t.rlike(r"\.[A-Za-z][A-Za-z0-9]*$")
+    quoted = F.filter(F.regexp_extract_all("_line", F.lit("`([^`]+)`"), 1), path)
+    return line.select("file_id", (F.col("_at") + 1).alias("line"), F.explode(F.array_distinct(F.concat(linked, quoted))).alias("target"))
 
 
 def resolve_suffix(refs: DataFrame, files: DataFrame) -> DataFrame:

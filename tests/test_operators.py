@@ -90,6 +90,18 @@ def test_links(spark):
     assert [r[0] for r in df.select(T.resolve_path(F.col("f"), F.col("t"))).collect()] == ["a/c/d.md", "r.md", "x"]
 
 
+def test_mentions_once_per_line(spark):
+    """Without a shuffle where ids differ; rows that share an id are compared."""
+    text = "[a](x.md) `s/a.py` [b](x.md) `s/a.py` [c](s/a.py) [d](#t) [e](http://e.org/a.py)\n[a](x.md)"
+    want = {("f0", 1, "x.md"), ("f0", 1, "s/a.py"), ("f0", 2, "x.md"), ("f1", 1, "x.md")}
+    found = graph.path_mentions(files(spark, text, "[a](x.md)"))
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 4
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    again = files(spark, text, "[a](x.md)").unionByName(files(spark, "[z](x.md)\n`t/b.py`"))
+    got = graph.path_mentions(again).collect()
+    assert {tuple(r) for r in got} == want | {("f0", 2, "t/b.py")} and len(got) == 5
+
+
 def test_duplicate_window_limits(spark):
     ok, few, dominant = " ".join(f"t{i % 15}" for i in range(50)), " ".join(f"t{i % 14}" for i in range(50)), " ".join(["x"] * 31 + [f"t{i}" for i in range(19)])
     got = duplicates.duplicate_windows(files(spark, ok, few, dominant, ok, ok + " z")).collect()
