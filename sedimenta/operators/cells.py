@@ -20,6 +20,8 @@ from sedimenta.operators.similarity import vector_topk
 from sedimenta.sources.scratch import Scratch
 
 SLACK = 1e-6
+#: Rows of a block, where they aren't given; and how many rows of it meet how many visitors at once.
+LEAST, LARGEST, RESIDENTS, VISITORS = 256, 1 << 16, 4096, 256
 
 
 def fit_centroids(units: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
@@ -107,11 +109,15 @@ def nearest_in_cells(index: CellIndex, query: list[float], k: int, probes: int =
     return some if not rest else some.unionByName(search(rest)).orderBy(F.desc("score"), key).limit(k)
 
 
-def dealt_rows(vectors: DataFrame, threshold: float, key: str, group: str, vector: str, block: int, scratch: Scratch) -> DataFrame:
+def dealt_rows(vectors: DataFrame, threshold: float, key: str, group: str, vector: str, block: int | None, scratch: Scratch) -> DataFrame:
     """(cell, block, visits, key, grp, u): each vector once in a block of its cell, and as a visitor in the blocks of its cell before its own and of each later
-    cell in which a vector may be similar to it."""
-    units = unit_rows(vectors.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(vector)), vector).drop(vector)
+    cell in which a vector may be similar to it. Rows whose key or group is null are left out.
+
+    What visitors take is the number of rows times that of blocks. So blocks grow with the table, to LARGEST rows, and there are about two for each core.
+    """
+    units = unit_rows(vectors.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(vector)).where("key is not null and grp is not null"), vector).drop(vector)
     n = units.count()
+    block = block or min(max(LEAST, -(-n // (2 * vectors.sparkSession.sparkContext.defaultParallelism))), LARGEST)
     centres = fit_centroids(units, max(1, min(4096, -(-n // block))))
     if not len(centres):
         return units.select(F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(0).alias("visits"), "key", "grp", "u")
@@ -127,21 +133,25 @@ def dealt_rows(vectors: DataFrame, threshold: float, key: str, group: str, vecto
                 continue
             names = batch.schema.names
             cell, own = batch.column(names.index("cell")).to_numpy(), batch.column(names.index("own")).to_numpy()
-            near = (angles(_matrix(batch.column(names.index("u"))), centres) <= reach) & (np.arange(len(centres)) > cell[:, None])
-            out = [(i, int(c), int(b), 0) for i, (c, b) in enumerate(zip(cell, own, strict=True))]
-            out += [(i, int(c), b, 1) for i, (c, o) in enumerate(zip(cell, own, strict=True)) for b in range(int(o))]
-            out += [(i, c, b, 1) for i, c in zip(*(x.tolist() for x in np.nonzero(near)), strict=True) for b in range(int(blocks[c]))]
-            for a in range(0, len(out), 4096):
-                at, to, block_no, visits = zip(*out[a : a + 4096], strict=True)
-                taken = batch.select(["key", "grp", "u"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block_no, pa.int32()), pa.array(visits, pa.int32()), *taken.columns], names=["cell", "block", "visits", "key", "grp", "u"])
+            for a in range(0, batch.num_rows, 64):  # a row has as many visits as there are blocks
+                yield from visited(batch.slice(a, 64), cell[a : a + 64], own[a : a + 64])
+
+    def visited(batch: pa.RecordBatch, cell: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = (angles(_matrix(batch.column("u")), centres) <= reach) & (np.arange(len(centres)) > cell[:, None])
+        out = [(i, int(c), int(b), 0) for i, (c, b) in enumerate(zip(cell, own, strict=True))]
+        out += [(i, int(c), b, 1) for i, (c, o) in enumerate(zip(cell, own, strict=True)) for b in range(int(o))]
+        out += [(i, c, b, 1) for i, c in zip(*(x.tolist() for x in np.nonzero(near)), strict=True) for b in range(int(blocks[c]))]
+        for a in range(0, len(out), 4096):
+            at, to, block_no, visits = zip(*out[a : a + 4096], strict=True)
+            taken = batch.select(["key", "grp", "u"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block_no, pa.int32()), pa.array(visits, pa.int32()), *taken.columns], names=["cell", "block", "visits", "key", "grp", "u"])
 
     split = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in blocks]), F.col("cell") + 1)
     shape = placed.select("cell", F.lit(0).alias("block"), F.lit(0).alias("visits"), "key", "grp", "u").schema
     return placed.withColumn("own", F.pmod(F.xxhash64("key"), split).cast("int")).mapInArrow(run, shape)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "file_id", vector: str = "vector", block: int = 2048, scratch: Scratch | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "file_id", vector: str = "vector", block: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, similarity) with a < b, different groups and a cosine of at least the threshold; all of them, from those cells alone that may hold one.
 
     A task holds one block of a cell, about `block` rows however many a cell has, and the visitors stream past it. Vectors without a direction take no part.
@@ -151,21 +161,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
     kind = vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = None, []  # the block at hand: keys, groups and vectors of its residents
-        for batch in batches:
-            place = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                keys, groups = (np.array(batch.column(i).slice(lo, hi - lo).to_pylist(), object) for i in (3, 4))
-                rows, at = _matrix(batch.column(5).slice(lo, hi - lo)), (place[0, lo], place[1, lo])
-                if at != own:
-                    own, held = at, []
-                visits = place[2, lo]
-                for some in held:
-                    yield _told(some, (keys, groups, rows), False, threshold, kind)
-                if not visits:
-                    yield _told((keys, groups, rows), (keys, groups, rows), True, threshold, kind)
-                    held.append((keys, groups, rows))
+        for _, held, keys, groups, rows, visits in _met(batches):
+            if keys is None:
+                continue
+            for lo, i, j, score in _tiles(held, keys, groups, rows, visits, threshold):
+                left, right = held[0][i + lo], keys[j]
+                swap = left > right
+                yield pa.RecordBatch.from_arrays([_keys(np.where(swap, right, left), kind), _keys(np.where(swap, left, right), kind), pa.array(score)], names=["a", "b", "similarity"])
 
     names = dict(a=F.lit(None).cast(kind), b=F.lit(None).cast(kind), similarity=F.lit(0.0))
     shape = vectors.sparkSession.range(0).select(*[c.alias(n) for n, c in names.items()]).schema
@@ -173,12 +175,105 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
     return out.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= threshold)
 
 
-def _told(one: tuple, two: tuple, same: bool, threshold: float, kind: str) -> pa.RecordBatch:
-    score = one[2] @ two[2].T
-    i, j = np.nonzero(score >= threshold - SLACK)
-    keep = [k for k in range(len(i)) if one[0][i[k]] != two[0][j[k]] and one[1][i[k]] != two[1][j[k]] and (not same or i[k] < j[k])]
-    i, j = i[keep], j[keep]
-    pairs = [(min(a, b), max(a, b)) for a, b in zip(one[0][i], two[0][j], strict=True)]
-    left, right = zip(*pairs, strict=True) if pairs else ((), ())
-    arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    return pa.RecordBatch.from_arrays([pa.array(left, arrow), pa.array(right, arrow), pa.array(score[i, j], pa.float64())], names=["a", "b", "similarity"])
+def similar_links(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "file_id", vector: str = "vector", block: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b, n, total): links that connect what similar_pairs() connects, and with each how many pairs it stands for and the sum of their similarities in millionths.
+
+    A vector has one link into each block that holds something similar to it, and each of the block's own vectors one to the block's component; so pairs are counted, not written.
+    """
+    scratch = scratch or Scratch(vectors.sparkSession, "cells")
+    dealt = dealt_rows(vectors, threshold, key, group, vector, block, scratch).repartition("cell", "block").sortWithinPartitions("cell", "block", "visits")
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def row(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_keys(a, kind), _keys(b, kind), pa.array(n), pa.array(total)], names=["a", "b", "n", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = np.zeros(0, np.int64)  # of the block's own vectors, by place: the least place of each one's component
+        for last, held, keys, groups, rows, visits in _met(batches):
+            if keys is None:  # the block is done
+                own = np.flatnonzero(root[: len(last)] != np.arange(len(last)))
+                yield row(last[own], last[root[own]], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64))
+                root = np.zeros(0, np.int64)
+                continue
+            root = np.concatenate((root, np.arange(len(root), len(held[0]))))
+            n, total, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+            for lo, i, j, score in _tiles(held, keys, groups, rows, visits, threshold):
+                parts = np.rint(score * 1e6).astype(np.int64)
+                good = parts / 1e6 >= threshold
+                i, j, parts = i[good] + lo, j[good], parts[good]
+                np.add.at(n, j, 1)
+                np.add.at(total, j, parts)
+                first[j] = i
+                if not visits:  # the row itself lies in the block
+                    i, j = np.concatenate((i, len(held[0]) - len(keys) + j)), np.concatenate((j, j))
+                _join(root, i, j)
+            some = np.flatnonzero(n)
+            yield row(keys[some], held[0][first[some]], n[some], total[some])
+
+    names = dict(a=F.lit(None).cast(kind), b=F.lit(None).cast(kind), n=F.lit(0).cast("long"), total=F.lit(0).cast("long"))
+    return dealt.mapInArrow(run, vectors.sparkSession.range(0).select(*[c.alias(n) for n, c in names.items()]).schema)
+
+
+def _join(root: np.ndarray, places: np.ndarray, by: np.ndarray) -> None:
+    """Makes the components of places with the same `by` one, in `root`."""
+    order = np.lexsort((root[places], by))
+    at, by = root[places][order], by[order]
+    differ = (by[1:] == by[:-1]) & (at[1:] != at[:-1])
+    pairs = np.unique(np.stack((at[:-1][differ], at[1:][differ])), axis=1)
+    for a, b in pairs.T.tolist():
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    if pairs.size:
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of sorted dealt rows, each stretch of a block as (None, the block's own so far, keys, groups, vectors, visits), and (the block's keys, None, None, None, None, None) when a block ends.
+
+    What is the block's own so far holds the stretch itself, where it isn't of visitors.
+    """
+    own, held, whole = None, [], None
+    for batch in batches:
+        place = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            keys, groups = (batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (3, 4))
+            rows, at, visits = _matrix(batch.column(5).slice(lo, hi - lo)), (place[0, lo], place[1, lo]), place[2, lo]
+            if at != own:
+                if whole is not None:
+                    yield whole[0], None, None, None, None, None
+                own, held, whole = at, [], None
+            if not visits:
+                held.append((keys, groups, rows))
+                whole = None
+            if whole is None:
+                whole = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else (keys[:0], groups[:0], rows[:0])
+                held = [whole] if held else []
+            yield None, whole, keys, groups, rows, visits
+    if whole is not None:
+        yield whole[0], None, None, None, None, None
+
+
+def _tiles(held: tuple, keys: np.ndarray, groups: np.ndarray, rows: np.ndarray, visits: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lo, i, j, score): pairs of the block's row lo + i and row j, of different keys and groups and similar enough but for rounding. A pair of rows that both lie in the block comes once."""
+    begin = None if visits else len(held[0]) - len(keys)
+    for lo in range(0, len(held[0]), RESIDENTS):
+        some = held[2][lo : lo + RESIDENTS]
+        for a in range(0, len(keys), VISITORS):
+            score = some @ rows[a : a + VISITORS].T
+            i, j = np.nonzero(score >= threshold - SLACK)
+            found = score[i, j]
+            j = j + a
+            keep = (held[0][lo + i] != keys[j]) & (held[1][lo + i] != groups[j])
+            if begin is not None:
+                keep &= lo + i < begin + j
+            if keep.any():
+                yield lo, i[keep], j[keep], found[keep]
+
+
+def _keys(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array(values, pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64())

@@ -82,6 +82,19 @@ def test_pruned_pairs(spark, threshold, block):
     assert cells.similar_pairs(df.where("false"), threshold).count() == 0
 
 
+@pytest.mark.parametrize("threshold, block", [(0.92, 32), (0.5, None), (-1.0, 8)])
+def test_links_stand_for_all_pairs(spark, threshold, block):
+    """Fewer links than pairs, with the same groups and means; null keys and groups take no part."""
+    data = clustered(300, 8, 20, 3)
+    df = spark.createDataFrame([(i, i % 7, v.tolist()) for i, v in enumerate(data)] + [(None, 1, [1.0] * 8), (9999, None, [1.0] * 8)], "chunk_id long, file_id int, vector array<double>")
+    pairs = cells.similar_pairs(df, threshold, block=block).toPandas()
+    links = cells.similar_links(df, threshold, block=block)
+    told = links.toPandas()
+    assert told.n.sum() == len(pairs) > len(told) and abs(told.total.sum() / 1e6 - pairs.similarity.sum()) < 1e-4
+    said = lambda found: sorted(tuple(r) for r in found.collect())
+    assert said(similarity.linked_groups(links)) == said(similarity.similar_groups(spark.createDataFrame(pairs)))
+
+
 def test_few_rows_are_sent(spark):
     """Cells too far apart don't meet: far fewer rows than all pairs of blocks would take."""
     data = clustered(2000, 16, 60, 5, 0.05)
