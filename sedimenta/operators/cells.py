@@ -176,7 +176,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
 
 
 def similar_links(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "file_id", vector: str = "vector", block: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b, n, total): links that connect what similar_pairs() connects, and with each how many pairs it stands for and the sum of their similarities in millionths.
+    """(a, b, n, total): links that connect what similar_pairs() connects, and with each how many pairs it stands for and the sum of their similarities.
 
     A vector has one link into each block that holds something similar to it, and each of the block's own vectors one to the block's component; so pairs are counted, not written.
     """
@@ -192,14 +192,14 @@ def similar_links(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
         for last, held, keys, groups, rows, visits in _met(batches):
             if keys is None:  # the block is done
                 own = np.flatnonzero(root[: len(last)] != np.arange(len(last)))
-                yield row(last[own], last[root[own]], np.zeros(len(own), np.int64), np.zeros(len(own), np.int64))
+                yield row(last[own], last[root[own]], np.zeros(len(own), np.int64), np.zeros(len(own)))
                 root = np.zeros(0, np.int64)
                 continue
             root = np.concatenate((root, np.arange(len(root), len(held[0]))))
-            n, total, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+            n, total, first = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.full(len(keys), -1)
             for lo, i, j, score in _tiles(held, keys, groups, rows, visits, threshold):
-                parts = np.rint(score * 1e6).astype(np.int64)
-                good = parts / 1e6 >= threshold
+                parts = np.rint(score * 1e6) / 1e6
+                good = parts >= threshold
                 i, j, parts = i[good] + lo, j[good], parts[good]
                 np.add.at(n, j, 1)
                 np.add.at(total, j, parts)
@@ -210,7 +210,7 @@ def similar_links(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
             some = np.flatnonzero(n)
             yield row(keys[some], held[0][first[some]], n[some], total[some])
 
-    names = dict(a=F.lit(None).cast(kind), b=F.lit(None).cast(kind), n=F.lit(0).cast("long"), total=F.lit(0).cast("long"))
+    names = dict(a=F.lit(None).cast(kind), b=F.lit(None).cast(kind), n=F.lit(0).cast("long"), total=F.lit(0.0))
     return dealt.mapInArrow(run, vectors.sparkSession.range(0).select(*[c.alias(n) for n, c in names.items()]).schema)
 
 

@@ -77,15 +77,15 @@ def low_cohesion(scores: DataFrame, group: str, share: float = 0.1, ceiling: flo
 def similar_groups(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component, size, similarity): components of pairs, with the mean similarity of each component's edges."""
     scratch = scratch or Scratch(pairs.sparkSession, "similar")
-    return linked_groups(pairs.withColumn("n", F.lit(1)).withColumn("total", F.col("similarity") * 1e6), scratch)
+    return linked_groups(pairs.withColumn("n", F.lit(1)).withColumn("total", F.col("similarity")), scratch)
 
 
 def linked_groups(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """similar_groups() from links (a, b, n, total), each for n pairs of the component that it lies in, whose similarities add up to total millionths."""
+    """similar_groups() from links (a, b, n, total), each for n pairs of the component that it lies in, whose similarities add up to total."""
     scratch = scratch or Scratch(links.sparkSession, "similar")
     links = scratch.keep(links, "links")
     labels = scratch.keep(connected_components(links.select("a", "b"), scratch), "labels")
-    mean = F.round(F.sum("total") / F.sum("n") / 1e6, 4)
+    mean = F.round(F.sum("total") / F.sum("n"), 4)
     edge = links.where("n > 0").join(labels, links.a == labels.node).groupBy("component").agg(mean.alias("similarity"))
     size = labels.groupBy("component").agg(F.count("*").alias("size"))
     return labels.join(size, "component").join(edge, "component").select("node", "component", "size", "similarity")
