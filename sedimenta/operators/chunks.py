@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ast
 import gc
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 from itertools import accumulate, chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import chunk_id, lines
+from sedimenta.operators import shapes
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -132,7 +136,14 @@ def cap_sizes(chunks: DataFrame, most: int = 120, size: int = 60, overlap: int =
     return at.withColumn("end_line", F.col("start_line") + F.col("_at") + length - 1).withColumn("start_line", F.col("start_line") + F.col("_at")).drop("_n", "_at")
 
 
-CODE = "file_id string, start_line int, end_line int, kind string, symbols array<string>, document string, imports array<string>, exports array<string>, calls array<string>, max_nesting int, max_loops int, params int, has_async boolean, refs array<struct<symbol:string,kind:string,line:int>>"
+FIELDS = {
+    "file_id": "string", "start_line": "int", "end_line": "int", "kind": "string", "symbols": "array<string>", "document": "string", "imports": "array<string>", "exports": "array<string>", "calls": "array<string>",
+    "max_nesting": "int", "max_loops": "int", "params": "int", "has_async": "boolean", "refs": "array<struct<symbol:string,kind:string,line:int>>",
+}
+
+
+def code_schema(columns: Sequence[str] = tuple(FIELDS)) -> str:
+    return ", ".join(f"{c} {FIELDS[c]}" for c in columns)
 
 
 def python_definitions(files: DataFrame) -> DataFrame:
@@ -140,66 +151,83 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
     Texts that don't parse, and those without definitions, have no rows here and belong to line_windows(). Imports of the file count for its first chunk.
     """
-    import ast
-
-    blocks = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
-    loops = (ast.For, ast.AsyncFor, ast.While)
-    definitions = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-
-    leaves = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
-
-    def below(node: ast.AST) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]], int, int, bool]:
-        """In one walk by levels: calls, inner definitions, how deep blocks and loops are nested, and whether a function is async."""
-        calls, inner, nesting, in_loops, has_async = [], [], 0, 0, False
-        level = [(node, 0, 0)]
-        for x, most, deep in level:
-            if isinstance(x, ast.Call):
-                if called := name(x.func):
-                    calls.append((called, x.lineno))
-            elif isinstance(x, definitions):
-                inner.append((x.name, "def", x.lineno))
-                has_async = has_async or isinstance(x, ast.AsyncFunctionDef)
-            elif isinstance(x, blocks) and x is not node:
-                most, deep = most + 1, deep + isinstance(x, loops)
-                nesting, in_loops = max(nesting, most), max(in_loops, deep)
-            for field in x._fields:
-                held = getattr(x, field, None)
-                for y in held if isinstance(held, list) else (held,):
-                    if isinstance(y, ast.AST) and not isinstance(y, leaves):
-                        level.append((y, most, deep))
-        return calls, inner, nesting, in_loops, has_async
-
-    def name(node: ast.AST) -> str:
-        return f"{name(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else getattr(node, "id", "")
-
-    def chunks(file_id: str, text: str) -> Iterator[tuple]:
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError):
-            return
-        cut = text.split("\n")
-        imports = [x.name for n in tree.body if isinstance(n, ast.Import) for x in n.names] + [n.module or "." for n in tree.body if isinstance(n, ast.ImportFrom)]
-        for node in tree.body:
-            if isinstance(node, definitions):
-                start = min([node.lineno] + [x.lineno for x in node.decorator_list])
-                calls, inner, nesting, in_loops, has_async = below(node)
-                args = node.args if not isinstance(node, ast.ClassDef) else None
-                yield (
-                    file_id, start, node.end_lineno, "class" if args is None else "function", [node.name], "\n".join(cut[start - 1 : node.end_lineno]), list(dict.fromkeys(imports)),
-                    [node.name] if not node.name.startswith("_") else [], list(dict.fromkeys(c for c, _ in calls)), nesting, in_loops,
-                    len(args.args + args.posonlyargs + args.kwonlyargs) if args else 0, has_async,
-                    list(dict.fromkeys(inner + [(c.split(".")[-1], "call", line) for c, line in calls] + [(i, "import", 1) for i in imports])),
-                )
-                imports = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return told(batches, lambda file, text: chunks(file, text) if text is not None else [])
+        return told(batches, lambda file, text: python_chunks(file, text) if text is not None else [])
+
+    return files.select("file_id", "text").mapInArrow(run, code_schema())
+
+
+def python_chunks(file_id: str, text: str) -> list[tuple]:
+    found = _python_shapes().find(file_id, text)
+    return found if found is not None else _python_whole(file_id, text)
+
+
+def _python_whole(file_id: str, text: str) -> list[tuple]:
+    try:
+        parsed = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    return shapes.chunks(file_id, text, *_python_found(parsed), _python_public)
+
+
+@cache
+def _python_shapes() -> shapes.PythonShapes:
+    return shapes.PythonShapes(_python_found, _python_public)
+
+
+def _python_public(name: str) -> bool:
+    return not name.startswith("_")
+
+
+BLOCKS, LOOPS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match), (ast.For, ast.AsyncFor, ast.While)
+DEFINITIONS, LEAVES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef), (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+
+
+def _called(node: ast.AST) -> str:
+    return f"{_called(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else getattr(node, "id", "")
+
+
+def _below(node: ast.AST) -> tuple[list[tuple[str, int]], list[tuple[str, str, int]], int, int, bool]:
+    """In one walk by levels: calls, inner definitions, how deep blocks and loops are nested, and whether a function is async."""
+    calls, inner, nesting, in_loops, has_async = [], [], 0, 0, False
+    level = [(node, 0, 0)]
+    for x, most, deep in level:
+        if isinstance(x, ast.Call):
+            if called := _called(x.func):
+                calls.append((called, x.lineno))
+        elif isinstance(x, DEFINITIONS):
+            inner.append((x.name, "def", x.lineno))
+            has_async = has_async or isinstance(x, ast.AsyncFunctionDef)
+        elif isinstance(x, BLOCKS) and x is not node:
+            most, deep = most + 1, deep + isinstance(x, LOOPS)
+            nesting, in_loops = max(nesting, most), max(in_loops, deep)
+        for field in x._fields:
+            held = getattr(x, field, None)
+            for y in held if isinstance(held, list) else (held,):
+                if isinstance(y, ast.AST) and not isinstance(y, LEAVES):
+                    level.append((y, most, deep))
+    return calls, inner, nesting, in_loops, has_async
+
 
-    return files.select("file_id", "text").mapInArrow(run, CODE)
+def _python_found(tree: ast.Module) -> tuple[list[shapes.Import], list[shapes.Found]]:
+    """What a module imports, and its definitions."""
+    found = []
+    for node in tree.body:
+        if isinstance(node, DEFINITIONS):
+            start = min([node.lineno] + [x.lineno for x in node.decorator_list])
+            calls, inner, nesting, in_loops, has_async = _below(node)
+            args = node.args if not isinstance(node, ast.ClassDef) else None
+            found.append(shapes.Found(
+                start, node.end_lineno, "class" if args is None else "function", node.name, None, [c for c, _ in calls], nesting, in_loops, len(args.args + args.posonlyargs + args.kwonlyargs) if args else 0,
+                has_async, inner + [(c.split(".")[-1], "call", line) for c, line in calls],
+            ))
+    imports = [shapes.Import(x.name) for n in tree.body if isinstance(n, ast.Import) for x in n.names] + [shapes.Import(n.module or ".", rank=1) for n in tree.body if isinstance(n, ast.ImportFrom)]
+    return imports, found
 
 
-def told(batches: Iterator[pa.RecordBatch], chunks: Callable[..., Iterable[tuple]]) -> Iterator[pa.RecordBatch]:
-    """The chunks (CODE) that a function finds in each row, one text at a time, in batches bounded by their length.
+def told(batches: Iterator[pa.RecordBatch], chunks: Callable[..., Iterable[tuple]], columns: Sequence[str] = tuple(FIELDS)) -> Iterator[pa.RecordBatch]:
+    """Of the chunks (FIELDS) that a function finds in each row these columns, one text at a time, in batches bounded by their length.
 
     Trees have no cycles, so that nothing is lost while Python's collector, which goes over all of a tree again and again as it grows, waits for the end of a text.
     """
@@ -216,17 +244,26 @@ def told(batches: Iterator[pa.RecordBatch], chunks: Callable[..., Iterable[tuple
                 held.append(chunk)
                 size += len(chunk[5]) + 64 * len(chunk[13])
                 if size > MOST:
-                    yield _coded(held)
+                    yield _coded(held, columns)
                     held, size = [], 0
-    yield _coded(held)
-
-
-def _coded(rows: list[tuple]) -> pa.RecordBatch:
-    *columns, refs = zip(*rows, strict=True) if rows else [()] * 14
-    text, number, texts = pa.string(), pa.int32(), pa.list_(pa.string())
-    kinds = (text, number, number, text, texts, text, texts, texts, texts, number, number, number, pa.bool_())
-    ends = [0, *accumulate(map(len, refs))]
-    parts = [pa.array(c, k) for c, k in zip(zip(*chain.from_iterable(refs), strict=True) if ends[-1] else [()] * 3, (text, text, number), strict=True)]
-    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["symbol", "kind", "line"]))
-    names = [c.split()[0] for c in CODE.split("array<struct")[0].split(", ") if c]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), listed], names=names)
+    yield _coded(held, columns)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _coded(rows: list[tuple], columns: Sequence[str]) -> pa.RecordBatch:
+    """Lists become one array of all they hold, and where each ends."""
+    made = []
+    for name in columns:
+        values = list(map(itemgetter(list(FIELDS).index(name)), rows))
+        if FIELDS[name] in _ARROW:
+            made.append(pa.array(values, _ARROW[FIELDS[name]]))
+            continue
+        ends, flat = pa.array([0, *accumulate(map(len, values))], pa.int32()), list(chain.from_iterable(values))
+        if FIELDS[name] == "array<string>":
+            made.append(pa.ListArray.from_arrays(ends, pa.array(flat, pa.string())))
+        else:
+            parts = [pa.array(c, k) for c, k in zip(zip(*flat, strict=True) if flat else [()] * 3, (pa.string(), pa.string(), pa.int32()), strict=True)]
+            made.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["symbol", "kind", "line"])))
+    return pa.RecordBatch.from_arrays(made, names=list(columns))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.chunks import CODE, line_windows, markdown_sections, python_definitions, told
+from sedimenta.operators.chunks import FIELDS, code_schema, line_windows, markdown_sections, python_chunks, python_definitions, told
+from sedimenta.operators import shapes
+from sedimenta.operators.shapes import BraceShapes, Found, Import
 from sedimenta.operators.syntax import Node, below, depth, tree
 
 # Names of calls that reach the system.
@@ -23,31 +26,46 @@ TOP = {
 }
 NESTING, LOOPS, METHODS = frozenset(["if", "for", "while", "try"]), frozenset(["for", "while", "do", "loop"]), frozenset(["method"])
 
+Source = Callable[[str | None, str | None], str | None]
 
-def _chunks(file_id: str, text: str, language: str) -> Iterator[tuple]:
-    cut, nodes, top = text.split("\n"), tree(text, language), TOP[language]
-    imports = [n for n in nodes if n.kind == "import"]
-    modules = list(dict.fromkeys(n.name for n in imports if n.name))
-    said = [(m, "import", 1) for m in modules] + [(name, "import", n.line + 1) for n in imports for name in n.exported]
+
+def _found(nodes: list[Node], text: str, language: str) -> tuple[list[Import], list[Found]]:
+    """What a text's tree imports, and the declarations at its top."""
+    top, found = TOP[language], []
+    inner = METHODS | {"function"} if language == "rust" else METHODS
     for node in nodes:
         if node.kind not in top:
             continue
         inside = list(below(node))
         calls = [n for n in inside if n.kind == "call"]
-        inner = METHODS | {"function"} if language == "rust" else METHODS
         refs = [(node.name, "def", node.line + 1)] * bool(node.name) + [(n.name, "def", n.line + 1) for n in inside if n.kind in inner and n.name]
-        refs += [(n.name.split(".")[-1], "call", n.line + 1) for n in calls] + said
-        exported = [node.name] if language == "go" and node.name[:1].isupper() else node.exported if node.kind not in ("declaration", "var") else []
-        yield (
-            file_id, node.line + 1, node.last + 1, top[node.kind], [node.name] if node.name else [], "\n".join(cut[node.line : node.last + 1]), modules, exported, list(dict.fromkeys(n.name for n in calls)),
-            depth(node.children, NESTING), depth(node.children, LOOPS), _params(node), bool(re.search(r"\basync\b", text[node.at : node.end][:200])), list(dict.fromkeys(refs)),
-        )
-        modules, said = [], []
+        refs += [(n.name.split(".")[-1], "call", n.line + 1) for n in calls]
+        exported = None if language == "go" else node.exported if node.kind not in ("declaration", "var") else []
+        found.append(Found(
+            node.line + 1, node.last + 1, top[node.kind], node.name, exported, [n.name for n in calls], depth(node.children, NESTING), depth(node.children, LOOPS), _params(node),
+            bool(re.search(r"\basync\b", text[node.at : node.end][:200])), refs, node.at, node.end,
+        ))
+    return [Import(n.name, n.exported, n.line + 1) for n in nodes if n.kind == "import"], found
+
+
+def _public(name: str) -> bool:
+    """Whether Go exports a name."""
+    return name[:1].isupper()
+
+
+@cache
+def _shapes(language: str) -> BraceShapes:
+    return BraceShapes(language, _found, _public)
 
 
 def _all(file_id: str, text: str, language: str) -> list[tuple]:
+    found = _shapes(language).find(file_id, text)
+    return found if found is not None else _whole(file_id, text, language)
+
+
+def _whole(file_id: str, text: str, language: str) -> list[tuple]:
     try:
-        return list(_chunks(file_id, text, language))
+        return shapes.chunks(file_id, text, *_found(tree(text, language), text, language), _public)
     except RecursionError:  # blocks without braces may be nested without end
         return []
 
@@ -64,11 +82,22 @@ def code_definitions(files: DataFrame) -> DataFrame:
     the objects or paths before them, `refs` only the last name. Texts without a declaration, or with brackets nested deeper than a parser goes, have no rows here and belong to line_windows(). Imports of the file
     count for its first chunk: modules for line 1, and the names a script takes from them for the import's line.
     """
+    return definitions(files.where(F.col("language").isin(*TOP)))
+
+
+def definitions(files: DataFrame, columns: Sequence[str] = tuple(FIELDS), source: Source | None = None) -> DataFrame:
+    """The chunks of python_definitions() and code_definitions() of files (file_id, language, text), or some of their columns, in one pass; if told, of what `source` makes of a language and a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return told(batches, lambda file, language, text: _all(file, text, language) if text else [])
+        return told(batches, lambda file, language, text: _declared(file, language, source(language, text) if source else text), columns)
 
-    return files.where(F.col("language").isin(*TOP)).select("file_id", "language", "text").mapInArrow(run, CODE)
+    return files.where(F.col("language").isin("python", *TOP)).select("file_id", "language", "text").mapInArrow(run, code_schema(columns))
+
+
+def _declared(file_id: str, language: str | None, text: str | None) -> list[tuple]:
+    if not text:
+        return []
+    return python_chunks(file_id, text) if language == "python" else _all(file_id, text, language) if language in TOP else []
 
 
 def risky_calls(calls: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,6 +251,33 @@ TOLD_SQL = (
 _module = "CASE language WHEN 'typescript' THEN first_b ELSE first_a END"
 
 
+_PARTS = re.compile(r"(\{[abci]\})")
+
+
+def _filler(form: str) -> Callable[[tuple[str, str, str, int]], str]:
+    """What fills a form with the words a, b and c and the number i of a declaration."""
+    parts = _PARTS.split(form)
+    names = ["abci".index(x[1]) for x in parts[1::2]]
+    parts[1::2], parts[::2] = ["%s"] * len(names), [x.replace("%", "%%") for x in parts[::2]]
+    whole = "".join(parts)
+    return lambda values: whole % tuple([values[k] for k in names])
+
+
+FILLED = {language: (_filler(HEADS[language] + "\n" if HEADS[language] else ""), [_filler(form) for form in forms]) for language, forms in DECLARED.items()}
+
+
+def source(language: str | None, text: str | None) -> str | None:
+    """A source in a language from the words of a whole document; one of fewer than three words has none."""
+    w = ["w_" + x for x in "\n".join(re.findall("[A-Za-z]{3,}", text or "")).lower().split("\n")]
+    if len(w) < 3:
+        return ""
+    if language not in FILLED:
+        return None
+    head, forms = FILLED[language]
+    turn = zip(w[::3], w[1::3], w[2::3], range(len(w) // 3))  # noqa: B905  the last words may be fewer than three
+    return head((w[0], w[1], w[2], 0)) + "\n".join([forms[len(at[0]) % 3](at) for at in turn])
+
+
 def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     """Sources from the words of whole documents, written once; one of fewer than three words has none."""
     n = F.floor(F.size("w") / 3).cast("int")
@@ -270,17 +298,16 @@ def _assembled(spark: SparkSession, sf: str) -> DataFrame:
     return Scratch(spark, "sources").keep(at.select("file_id", "language", F.when(n > 0, text).otherwise("").alias("text")), "assembled")
 
 
-def _definitions(spark: SparkSession, sf: str) -> DataFrame:
-    files = _assembled(spark, sf)
-    return chunks.python_definitions(files.where("language = 'python'")).unionByName(code.code_definitions(files))
+def _definitions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return code.definitions(V.files(spark, sf), columns, source)
 
 
 @query(f"""WITH {TOLD_SQL} SELECT file_id, line AS start_line, (line + CASE WHEN language = 'python' THEN 2 ELSE 0 END)::INTEGER AS end_line, kind, name AS symbols, CASE WHEN leads THEN {_module} ELSE '' END AS imports, CASE WHEN exported THEN name ELSE '' END AS exports,
     array_to_string(calls, ',') AS calls, max_nesting::INTEGER AS max_nesting, max_loops::INTEGER AS max_loops, params::INTEGER AS params, has_async, '' AS risky FROM placed JOIN led USING (file_id)""")
 def code_chunks(spark, sf):
     joined = {c: F.array_join(c, ",") for c in ("symbols", "imports", "exports", "calls")}
-    found = _definitions(spark, sf).withColumn("risky", F.array_join(code.risky_calls(F.col("calls")), ","))
-    return found.withColumns(joined).drop("document", "refs")
+    found = _definitions(spark, sf, *[c for c in chunks.FIELDS if c not in ("document", "refs")]).withColumn("risky", F.array_join(code.risky_calls(F.col("calls")), ","))
+    return found.withColumns(joined)
 
 
 @query(f"""WITH {TOLD_SQL}, within AS (SELECT *, (CASE WHEN language <> 'python' THEN line WHEN kind = 'class' THEN line + 1 ELSE line + 2 END)::INTEGER AS of_inner, (CASE WHEN language <> 'python' THEN line ELSE line + 2 END)::INTEGER AS of_call FROM placed)
@@ -288,12 +315,12 @@ def code_chunks(spark, sf):
     UNION ALL SELECT file_id, unnest(list_distinct(list_transform(calls, lambda x: string_split(x, '.')[-1]))), 'call', of_call FROM within
     UNION ALL SELECT file_id, {_module}, 'import', 1 FROM placed JOIN led USING (file_id) WHERE leads UNION ALL SELECT file_id, first_a, 'import', 1 FROM placed JOIN led USING (file_id) WHERE leads AND language = 'typescript' AND first_a <> first_b""")
 def symbol_refs(spark, sf):
-    return _definitions(spark, sf).select("file_id", F.explode("refs").alias("r")).select("file_id", "r.symbol", "r.kind", "r.line")
+    return _definitions(spark, sf, "file_id", "refs").select("file_id", F.explode("refs").alias("r")).select("file_id", "r.symbol", "r.kind", "r.line")
 
 
 @query(f"WITH {TOLD_SQL} SELECT file_id, count(DISTINCT name) FILTER (exported)::BIGINT AS n_exports, 1::BIGINT AS n_imports FROM placed GROUP BY file_id")
 def metadata_union(spark, sf):
-    return quality.metadata_union(_definitions(spark, sf))
+    return quality.metadata_union(_definitions(spark, sf, "file_id", "exports", "imports"))
 
 
 @query(f"""WITH {TOLD_SQL}, cut_by AS (SELECT file_id, kind FROM placed UNION ALL SELECT file_id, 'section-h' || (m + 1) FROM tri WHERE language = 'markdown'),
