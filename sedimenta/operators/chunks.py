@@ -73,7 +73,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, overlap: int) -> Itera
     for batch in batches:
         kept, got, size = batch.select(range(batch.num_columns - 1)), [], 0
         for i, content in enumerate(batch.column(batch.num_columns - 1)):
-            for piece in _sections(content.as_py() or "", most, overlap):
+            for piece in sections(content.as_py() or "", most, overlap):
                 got.append((i, *piece))
                 size += len(piece[3]) + sum(map(len, piece[4])) + 64
                 if size > MOST:
@@ -82,7 +82,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, overlap: int) -> Itera
         yield made(kept, got)
 
 
-def _sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int, str, str, list[str]]]:
+def sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int, str, str, list[str]]]:
     """(first line, last line, kind, text, path) of the pieces of a text's sections, or of its windows where it has no heading."""
     if not content:
         return
@@ -105,6 +105,14 @@ def _sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int,
             yield first + at, last, kind, "\n".join(cut[first + at - 1 : last]), titles
 
 
+def windows(content: str, size: int, overlap: int) -> Iterator[tuple[int, int, str, str]]:
+    """(first line, last line, kind, text) of the windows of a text, as line_windows() cuts it."""
+    cut = re.split(r"\r?\n", content)
+    cut = cut[:-1] if not cut[-1] else cut
+    for at in range(0, max(len(cut) - overlap - 1, 0) + 1, size - overlap) if cut else []:
+        yield at + 1, min(at + size, len(cut)), "window", "\n".join(cut[at : at + size])
+
+
 def coverage_gaps(chunks: DataFrame, files: DataFrame, least: int = 30, file: str = "file_id", n_lines: str = "n_lines") -> DataFrame:
     """Runs of at least `least` lines of a file that no chunk covers: (file, gap_start, gap_end), from 1, inclusive."""
     ends = files.select(file, (F.col(n_lines) + 1).alias("start_line"), F.lit(None).cast("int").alias("end_line"))

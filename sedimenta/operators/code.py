@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.chunks import FIELDS, code_schema, line_windows, markdown_sections, python_chunks, python_definitions, told
+from sedimenta.operators.chunks import FIELDS, code_schema, python_chunks, sections, told, windows
 from sedimenta.operators import shapes
 from sedimenta.operators.shapes import BraceShapes, Found, Import
 from sedimenta.operators.syntax import Node, below, depth, tree
+from sedimenta.sources.scratch import Scratch
 
 # Names of calls that reach the system.
 RISKY = ["eval", "exec", "system", "child_process", "subprocess", "shell", "spawn", "execfile", "execsync", "spawnsync", "dangerouslysetinnerhtml"]
@@ -26,6 +27,7 @@ TOP = {
 }
 NESTING, LOOPS, METHODS = frozenset(["if", "for", "while", "try"]), frozenset(["for", "while", "do", "loop"]), frozenset(["method"])
 
+ROUTED = ("file_id", "start_line", "end_line", "kind", "document")
 Source = Callable[[str | None, str | None], str | None]
 
 
@@ -106,13 +108,37 @@ def risky_calls(calls: Column) -> Column:
     return F.filter(calls, lambda c: F.arrays_overlap(F.split(F.lower(c), r"\."), names))
 
 
-def routed_chunks(files: DataFrame, size: int = 60, overlap: int = 10) -> DataFrame:
+def routed_chunks(files: DataFrame, size: int = 60, overlap: int = 10, columns: Sequence[str] = ROUTED, source: Source | None = None) -> DataFrame:
     """(file_id, start_line, end_line, kind, document) of every file (file_id, language, text) by the chunker of its language: Markdown by headings, code by declarations,
-    and what has neither by windows of lines."""
-    columns = ["file_id", "start_line", "end_line", "kind", "document"]
-    python = python_definitions(files.where("language = 'python'")).select(columns)
-    code = code_definitions(files).select(columns)
-    cut = python.unionByName(code)
-    sections = markdown_sections(files.where("language = 'markdown'").select("file_id", "text")).select(columns)
-    rest = files.where("language IS NULL OR language <> 'markdown'").join(cut.select("file_id").distinct(), "file_id", "left_anti")
-    return cut.unionByName(sections).unionByName(line_windows(rest.select("file_id", "text"), size, overlap).select(columns))
+    and what has neither by windows of lines; or some of these columns.
+
+    Files are read once, each by its chunker, and the chunks are kept in a scratch table; if told, they are of what `source` makes of a language and a text. Rows of the same file_id are one file, which has windows only if none of its rows has declarations.
+    """
+    names = list(dict.fromkeys(["file_id", *columns]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return told(batches, lambda file, language, text: _routed(file, language, source(language, text) if source else text, size, overlap), ("symbols", *names))
+
+    made = files.select("file_id", "language", "text").mapInArrow(run, code_schema(("symbols", *names)))
+    kept = Scratch(files.sparkSession, "routed").keep(made.select(F.element_at("symbols", 1).alias("_by"), *names), "chunks")
+    cut = kept.where("_by = 'declarations'").select("file_id").distinct()
+    rest = kept.where("_by = 'windows'").join(cut, "file_id", "left_anti")
+    return kept.where("_by <> 'windows'").select(*columns).unionByName(rest.select(*columns))
+
+
+def _routed(file_id: str, language: str | None, text: str | None, size: int, overlap: int) -> Iterator[tuple]:
+    """The chunks of a file as rows of FIELDS; `symbols` has the chunker's name alone."""
+    def row(first: int, last: int, kind: str, document: str, by: str) -> tuple:
+        return (file_id, first, last, kind, [by], document, [], [], [], 0, 0, 0, False, [])
+
+    if not text:
+        return
+    if language == "markdown":
+        for first, last, kind, document, _ in sections(text, 200, 8):
+            yield row(first, last, kind, document, "sections")
+    elif found := _declared(file_id, language, text):
+        for chunk in found:
+            yield row(*chunk[1:4], chunk[5], "declarations")
+    else:
+        for first, last, kind, document in windows(text, size, overlap):
+            yield row(first, last, kind, document, "windows")

@@ -278,26 +278,6 @@ def source(language: str | None, text: str | None) -> str | None:
     return head((w[0], w[1], w[2], 0)) + "\n".join([forms[len(at[0]) % 3](at) for at in turn])
 
 
-def _assembled(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources from the words of whole documents, written once; one of fewer than three words has none."""
-    n = F.floor(F.size("w") / 3).cast("int")
-
-    def filled(form, i):
-        parts = {k: F.element_at("w", 3 * i + 1 + at) for at, k in enumerate("abc")} | {"i": i.cast("string")}
-        return F.concat(*[parts[x[1]] if x in ("{a}", "{b}", "{c}", "{i}") else F.lit(x) for x in re.split(r"(\{[abci]\})", form) if x])
-
-    def line(language):
-        return lambda i: F.element_at(F.array(*[filled(form, i) for form in DECLARED[language]]), (F.length(F.element_at("w", 3 * i + 1)) % 3 + 1).cast("int"))
-
-    lines = lambda language: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line(language)), "\n")
-    text = None
-    for language, head in HEADS.items():
-        whole = F.concat(*[x for x in (filled(head, F.lit(0)), F.lit("\n")) if head], lines(language)) if head else lines(language)
-        text = F.when(F.col("language") == language, whole) if text is None else text.when(F.col("language") == language, whole)
-    at = _words(spark, sf)
-    return Scratch(spark, "sources").keep(at.select("file_id", "language", F.when(n > 0, text).otherwise("").alias("text")), "assembled")
-
-
 def _definitions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return code.definitions(V.files(spark, sf), columns, source)
 
@@ -328,7 +308,7 @@ def metadata_union(spark, sf):
     rest AS (SELECT file_id, 'window' AS kind, unnest(range(0, greatest(n - 10, 1), 50)) AS s FROM size WHERE n > 0 AND file_id NOT IN (SELECT file_id FROM placed))
     SELECT file_id, kind, count(*) AS n FROM (SELECT file_id, kind FROM cut_by UNION ALL SELECT file_id, kind FROM rest) GROUP BY ALL""")
 def routed_chunks(spark, sf):
-    return code.routed_chunks(_assembled(spark, sf)).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+    return code.routed_chunks(V.files(spark, sf), columns=("file_id", "kind"), source=source).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
 
 
 META = V.FILES + """, meta AS (SELECT file_id, doc_id % 5 AS m FROM files)"""

@@ -78,3 +78,22 @@ def test_an_annotation_at_the_end_of_an_export():
     for language in syntax.SCRIPTS:
         for text in ("export @", "export async @", "export @a @"):
             assert [n.kind for n in syntax.tree(text, language)] == ["export"]
+
+
+SOURCES = [("t", "typescript", "export function f() { g() }\nclass K {}"), ("p", "python", "import os\ndef f():\n    return g()"), ("m", "markdown", "# a\nx\n## b\ny"), ("w", "go", "just words\n" * 130), ("n", None, "x\n\n"), ("e", "rust", ""), ("u", "java", None), ("t", "typescript", "no code here")]
+
+
+def test_routed_chunks_read_each_file_once(spark):
+    files = spark.createDataFrame(SOURCES, "file_id string, language string, text string")
+    plan = code.routed_chunks(files)
+    assert "MapIn" not in plan._jdf.queryExecution().executedPlan().toString()  # all chunks come from the table that one pass wrote
+    got = sorted((r.file_id, r.start_line, r.end_line, r.kind, r.document) for r in plan.collect())
+    rest = "just words\n" * 130
+    assert got == sorted([
+        ("t", 1, 1, "export", "export function f() { g() }"), ("t", 2, 2, "class", "class K {}"), ("p", 2, 3, "function", "def f():\n    return g()"), ("m", 1, 2, "section-h1", "# a\nx"), ("m", 3, 4, "section-h2", "## b\ny"),
+        *[("w", k + 1, min(k + 60, 130), "window", "\n".join(rest.split("\n")[k : min(k + 60, 130)])) for k in (0, 50, 100)], ("n", 1, 2, "window", "x\n"),
+    ])
+    by_plan = chunks.line_windows(files.where("file_id IN ('w', 'n')")).select(*code.ROUTED).collect()
+    assert sorted(map(tuple, by_plan)) == [x for x in got if x[0] in "wn"]
+    kinds = code.routed_chunks(files, columns=("file_id", "kind"))
+    assert kinds.columns == ["file_id", "kind"] and sorted(map(tuple, kinds.collect())) == sorted((x[0], x[3]) for x in got)
