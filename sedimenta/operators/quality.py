@@ -113,9 +113,8 @@ def metadata_union(chunks: DataFrame, file: str = "file_id") -> DataFrame:
     """(file, n_exports, n_imports): how many different names the chunks of a file export and import."""
     names = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     both = F.concat(F.transform(names("exports"), lambda x: F.struct(F.lit("e").alias("kind"), x.alias("name"))), F.transform(names("imports"), lambda x: F.struct(F.lit("i").alias("kind"), x.alias("name"))))
-    each = chunks.select(file, F.explode(both).alias("_x"))
-    named = each.select(file, "_x.*").distinct().groupBy(file).agg(F.count_if(F.col("kind") == "e").alias("n_exports"), F.count_if(F.col("kind") == "i").alias("n_imports"))
-    return chunks.select(file).distinct().join(named, file, "left").na.fill(0, ["n_exports", "n_imports"])
+    each = chunks.select(file, F.explode_outer(both).alias("_x"))  # a null where a chunk has neither, so that its file has a row
+    return each.select(file, "_x.*").distinct().groupBy(file).agg(F.count_if(F.col("kind") == "e").alias("n_exports"), F.count_if(F.col("kind") == "i").alias("n_imports"))
 
 
 def shown_findings(findings: DataFrame, most: int = 50) -> DataFrame:

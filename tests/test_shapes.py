@@ -97,3 +97,12 @@ def test_routed_chunks_read_each_file_once(spark):
     assert sorted(map(tuple, by_plan)) == [x for x in got if x[0] in "wn"]
     kinds = code.routed_chunks(files, columns=("file_id", "kind"))
     assert kinds.columns == ["file_id", "kind"] and sorted(map(tuple, kinds.collect())) == sorted((x[0], x[3]) for x in got)
+
+
+def test_metadata_is_united_in_one_pass(spark):
+    from sedimenta.operators import quality
+
+    files = spark.createDataFrame([*SOURCES, ("x", "go", "func f() {}")], "file_id string, language string, text string")
+    united = quality.metadata_union(code.definitions(files, ("file_id", "exports", "imports")))
+    assert united._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, united.collect())) == [("p", 1, 1), ("t", 1, 0), ("x", 0, 0)]
