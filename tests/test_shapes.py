@@ -99,6 +99,16 @@ def test_routed_chunks_read_each_file_once(spark):
     assert kinds.columns == ["file_id", "kind"] and sorted(map(tuple, kinds.collect())) == sorted((x[0], x[3]) for x in got)
 
 
+def test_definitions_leave_the_worker_as_the_columns_asked_for(spark):
+    from sedimenta.plans import catalogue, projects  # noqa: F401
+
+    found = code.definitions(spark.createDataFrame(SOURCES, "file_id string, language string, text string"), ("file_id", "exports"))
+    assert found.columns == ["file_id", "exports"] and sorted(map(tuple, found.collect())) == [("p", ["f"]), ("t", []), ("t", ["f"])]
+    plan = catalogue.QUERIES["symbol_refs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    passes = [x for x in plan.split("\n") if "MapInArrow" in x]
+    assert len(passes) == 1 and "refs" in passes[0] and not any(c in passes[0].rpartition("[")[2] for c in ("document", "calls", "symbols"))
+
+
 def test_metadata_is_united_in_one_pass(spark):
     from sedimenta.operators import quality
 
