@@ -82,33 +82,39 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, overlap: int) -> Itera
         yield made(kept, got)
 
 
+def _lines(content: str) -> list[str]:
+    """As lines() cuts a text."""
+    cut = re.split(r"\r?\n", content) if "\r" in content else content.split("\n")
+    return cut[:-1] if not cut[-1] else cut
+
+
 def sections(content: str, most: int, overlap: int) -> Iterator[tuple[int, int, str, str, list[str]]]:
     """(first line, last line, kind, text, path) of the pieces of a text's sections, or of its windows where it has no heading."""
     if not content:
         return
-    cut = re.split(r"\r?\n", content)
-    cut = cut[:-1] if not cut[-1] else cut
+    cut = _lines(content)
     heads, fence, path = [], "", []
+    fences = "```" in content or "~~~" in content
     for i, line in enumerate(cut, 1):
-        if m := FENCE.match(line):
+        if fences and (m := FENCE.match(line)):
             fence = m[1] if not fence else "" if m[1] == fence else fence
-        elif not fence and (m := HEADING.match(line)):
-            path = [*(h for h in path if h[0] < len(m[1])), (len(m[1]), TITLE.match(line)[1])]
+        elif line[:1] == "#" and not fence and (m := HEADING.match(line)):
+            title = TITLE.match(line)[1] if line[-1] in "# \t\r\f\v" else line[m.end() - 1 :]
+            path = [*[h for h in path if h[0] < len(m[1])], (len(m[1]), title)]
             heads.append((i, f"section-h{len(m[1])}", [title for _, title in path]))
     size, back = (most, overlap) if heads else (60, 10)
     parts = heads or [(1, "window", [])]
     for k, (line, kind, titles) in enumerate(parts):
         first, end = line if k else 1, parts[k + 1][0] - 1 if k + 1 < len(parts) else len(cut)
         n = end - first + 1
-        for at in range(0, max(n - back - 1, 0) + 1, size - back) if n > size else [0]:
+        for at in range(0, max(n - back - 1, 0) + 1, size - back) if n > size else (0,):
             last = min(first + at + size - 1, end)
             yield first + at, last, kind, "\n".join(cut[first + at - 1 : last]), titles
 
 
 def windows(content: str, size: int, overlap: int) -> Iterator[tuple[int, int, str, str]]:
     """(first line, last line, kind, text) of the windows of a text, as line_windows() cuts it."""
-    cut = re.split(r"\r?\n", content)
-    cut = cut[:-1] if not cut[-1] else cut
+    cut = _lines(content)
     for at in range(0, max(len(cut) - overlap - 1, 0) + 1, size - overlap) if cut else []:
         yield at + 1, min(at + size, len(cut)), "window", "\n".join(cut[at : at + size])
 

@@ -27,6 +27,7 @@ TOP = {
 }
 NESTING, LOOPS, METHODS = frozenset(["if", "for", "while", "try"]), frozenset(["for", "while", "do", "loop"]), frozenset(["method"])
 
+NOTHING = ([], [], [], 0, 0, 0, False, [])
 ROUTED = ("file_id", "start_line", "end_line", "kind", "document")
 Source = Callable[[str | None, str | None], str | None]
 
@@ -128,17 +129,14 @@ def routed_chunks(files: DataFrame, size: int = 60, overlap: int = 10, columns:
 
 def _routed(file_id: str, language: str | None, text: str | None, size: int, overlap: int) -> Iterator[tuple]:
     """The chunks of a file as rows of FIELDS; `symbols` has the chunker's name alone."""
-    def row(first: int, last: int, kind: str, document: str, by: str) -> tuple:
-        return (file_id, first, last, kind, [by], document, [], [], [], 0, 0, 0, False, [])
-
     if not text:
         return
     if language == "markdown":
         for first, last, kind, document, _ in sections(text, 200, 8):
-            yield row(first, last, kind, document, "sections")
+            yield (file_id, first, last, kind, ["sections"], document, *NOTHING)
     elif found := _declared(file_id, language, text):
         for chunk in found:
-            yield row(*chunk[1:4], chunk[5], "declarations")
+            yield (file_id, *chunk[1:4], ["declarations"], chunk[5], *NOTHING)
     else:
         for first, last, kind, document in windows(text, size, overlap):
-            yield row(first, last, kind, document, "windows")
+            yield (file_id, first, last, kind, ["windows"], document, *NOTHING)
